@@ -7,7 +7,7 @@ import json
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -17,6 +17,7 @@ from plywise.functions.text import strip
 # Error name and reasons of a rejected response.
 MALFORMED = "malformed_json"
 ILLEGAL = "illegal_move"
+DELIBERATIVE = "llm_deliberative"
 NO_JSON = "Response does not contain JSON"
 NOT_JSON = "Response is not JSON"
 NOT_OBJECT = "Response JSON must be an object"
@@ -77,72 +78,76 @@ def _is_object(value: Column) -> Column:
     return F.startswith(F.schema_of_variant(value), F.lit("OBJECT"))
 
 
-def object_column(text: Column) -> Column:
-    """The response's JSON object as VARIANT; NULL when there is none."""
-    return _resolve(text)[0]
+def with_object(df: DataFrame, text: str, out: str) -> DataFrame:
+    """Add the JSON object of a text column as VARIANT (NULL when there is none) and, as
+    ``<out>_scan``, what the scan of the rows that do not parse directly found.
 
-
-def _resolve(text: Column) -> tuple[Column, Column]:
-    direct = F.when(F.startswith(text, F.lit("{")), F.try_parse_json(text))
-    needs_scan = direct.isNull() & F.contains(text, F.lit("{"))
-    buried = _buried_object(F.when(needs_scan, text))
-    found = F.when(~buried.isin("", "!"), buried)
-    return F.coalesce(direct, F.try_parse_json(found)), buried
-
-
-def validate_move_response(raw: Column) -> Column:
-    """struct<move, parse_ok, error_type, reason, rationale, strategy_update> of a response."""
-    text = unfenced(raw)
-    value, buried = _resolve(text)
-    move = strip(_typed(value, "$.move", "STRING"))
+    Each step is its own projection: an expensive expression that is used several times stays
+    a column, so every response is parsed once.
+    """
+    direct = F.when(F.startswith(F.col(text), F.lit("{")), F.try_parse_json(F.col(text)))
+    staged = df.withColumn("_direct", direct)
+    needs_scan = F.col("_direct").isNull() & F.contains(F.col(text), F.lit("{"))
+    scanned = staged.withColumn(f"{out}_scan", _buried_object(F.when(needs_scan, F.col(text))))
+    found = F.when(~F.col(f"{out}_scan").isin("", "!"), F.col(f"{out}_scan"))
+    return scanned.withColumn(out, F.coalesce(F.col("_direct"), F.try_parse_json(found))).drop("_direct")
+
+
+def validated_moves(df: DataFrame, raw: str = "raw_response", prefix: str = "") -> DataFrame:
+    """Add move, parse_ok, error_type, reason, rationale and strategy_update of a response."""
+    staged = with_object(df.withColumn("_text", unfenced(F.col(raw))), "_text", "_object")
+    value, scan, text = F.col("_object"), F.col("_object_scan"), F.col("_text")
+    named = staged.withColumns({
+        "_move": strip(_typed(value, "$.move", "STRING")),
+        "_update": F.try_variant_get(value, "$.strategy_update", "variant"),
+    })
+    move = F.col("_move")
     ok = F.coalesce(move != "", F.lit(False))
     other_json = ~F.contains(text, F.lit("{")) & F.try_parse_json(text).isNotNull() & text.rlike(r'^["\[0-9tfn-]')
     reason = (
         F.when(ok, F.lit(None).cast("string"))
         .when(value.isNotNull(), NO_MOVE)
-        .when((buried == "") | other_json, NOT_OBJECT)
-        .when(buried == "!", NOT_JSON)
+        .when((scan == "") | other_json, NOT_OBJECT)
+        .when(scan == "!", NOT_JSON)
         .otherwise(NO_JSON)
     )
-    update = F.try_variant_get(value, "$.strategy_update", "variant")
-    return F.struct(
-        F.when(ok, move).alias("move"),
-        ok.alias("parse_ok"),
-        F.when(~ok, MALFORMED).alias("error_type"),
-        reason.alias("reason"),
-        F.when(ok, strip(_typed(value, "$.rationale", "STRING"))).alias("rationale"),
-        F.when(ok & _is_object(update), F.to_json(update)).alias("strategy_update"),
-    )
-
-
-def validate_critic_response(raw: Column) -> Column:
-    """struct<risk, blunder, score, reason_type> between the outermost braces, or NULL."""
-    start = F.instr(raw, "{")
-    end = F.char_length(raw) - F.instr(F.reverse(raw), "}") + 1
-    inside = F.when((start > 0) & F.contains(raw, F.lit("}")) & (end > start), F.substr(raw, start, end - start + 1))
-    value = F.try_parse_json(inside)
-    risk = _typed(value, "$.risk", "STRING")
-    blunder = _typed(value, "$.blunder", "BOOLEAN").try_cast("boolean")
-    number = _typed(value, "$.score", "BIGINT").try_cast("bigint")
-    flag = _typed(value, "$.score", "BOOLEAN").try_cast("boolean").cast("bigint")
-    score = F.coalesce(number, flag)
-    reason = _typed(value, "$.reason_type", "STRING")
-    valid = risk.isin(*RISK_ORDER) & blunder.isNotNull() & score.isNotNull() & reason.isNotNull()
-    return F.when(
-        valid,
-        F.struct(
-            risk.alias("risk"),
-            blunder.alias("blunder"),
-            F.greatest(F.least(score, F.lit(100)), F.lit(0)).cast("int").alias("score"),
-            reason.alias("reason_type"),
+    out = {
+        "move": F.when(ok, move), "parse_ok": ok, "error_type": F.when(~ok, MALFORMED), "reason": reason,
+        "rationale": F.when(ok, strip(_typed(value, "$.rationale", "STRING"))),
+        "strategy_update": F.when(ok & _is_object(F.col("_update")), F.to_json(F.col("_update"))),
+    }
+    done = named.withColumns({prefix + k: v for k, v in out.items()})
+    return done.drop("_text", "_object", "_object_scan", "_move", "_update")
+
+
+def validated_critics(df: DataFrame, raw: str = "raw_response", out: str = "predicted") -> DataFrame:
+    """Add struct<risk, blunder, score, reason_type> found between the outermost braces, or NULL."""
+    text = F.col(raw)
+    start = F.instr(text, "{")
+    end = F.char_length(text) - F.instr(F.reverse(text), "}") + 1
+    inside = F.when((start > 0) & F.contains(text, F.lit("}")) & (end > start), F.substr(text, start, end - start + 1))
+    value = F.col("_critic")
+    staged = df.withColumn("_critic", F.try_parse_json(inside)).withColumns({
+        "_risk": _typed(value, "$.risk", "STRING"),
+        "_blunder": _typed(value, "$.blunder", "BOOLEAN").try_cast("boolean"),
+        # A JSON boolean passes for a whole number.
+        "_score": F.coalesce(
+            _typed(value, "$.score", "BIGINT").try_cast("bigint"),
+            _typed(value, "$.score", "BOOLEAN").try_cast("boolean").cast("bigint"),
         ),
-    )
-
-
-def candidate_items(raw: Column) -> Column:
-    """array<struct<pos, move, idea>> of the ``candidates`` list; moves trimmed, lower-case."""
-    value = object_column(strip(raw))
-    items = F.try_variant_get(value, "$.candidates", "array<variant>")
+        "_reason": _typed(value, "$.reason_type", "STRING"),
+    })
+    parts = [F.col(c) for c in ("_risk", "_blunder", "_score", "_reason")]
+    valid = parts[0].isin(*RISK_ORDER) & parts[1].isNotNull() & parts[2].isNotNull() & parts[3].isNotNull()
+    score = F.greatest(F.least(parts[2], F.lit(100)), F.lit(0)).cast("int")
+    record = F.struct(parts[0].alias("risk"), parts[1].alias("blunder"), score.alias("score"), parts[3].alias("reason_type"))
+    return staged.withColumn(out, F.when(valid, record)).drop("_critic", "_risk", "_blunder", "_score", "_reason")
+
+
+def listed_candidates(df: DataFrame, raw: str = "raw_response", out: str = "items") -> DataFrame:
+    """Add array<struct<pos, move, idea>> of the ``candidates`` list; moves trimmed, lower-case."""
+    staged = with_object(df.withColumn("_text", strip(F.col(raw))), "_text", "_object")
+    items = F.try_variant_get(F.col("_object"), "$.candidates", "array<variant>")
     parsed = F.transform(
         items,
         lambda item, i: F.struct(
@@ -151,66 +156,59 @@ def candidate_items(raw: Column) -> Column:
             _typed(item, "$.idea", "STRING").alias("idea"),
         ),
     )
-    return F.filter(parsed, lambda c: c["move"].isNotNull())
-
-
-def deliberation_items(metadata: Column) -> Column:
-    """array<struct<pos, uci, idea, mode>> of a deliberation record; other records give NULL.
-
-    Ideas come from the raw candidate list, where the last entry of a move wins.
-    """
-    record = F.try_parse_json(metadata)
-    regime = _typed(record, "$.regime", "STRING")
-    mode = _typed(record, "$.mode", "STRING")
-    moves = F.try_variant_get(record, "$.candidate_legal_moves", "array<variant>")
-    listed = F.filter(
-        F.transform(
-            moves,
-            lambda m, i: F.struct(i.alias("pos"), _typed(m, "$", "STRING").alias("uci"), mode.alias("mode")),
-        ),
-        lambda c: c["uci"].isNotNull(),
-    )
-    return F.when(regime == "llm_deliberative", listed)
+    return staged.withColumn(out, F.filter(parsed, lambda c: c["move"].isNotNull())).drop("_text", "_object", "_object_scan")
 
 
-def deliberation_ideas(metadata: Column) -> Column:
-    """array<struct<move, idea>> from the raw candidate answer inside the record."""
-    record = F.try_parse_json(metadata)
+def deliberations(df: DataFrame, metadata: str = "reranker_metadata") -> DataFrame:
+    """Add ``items`` array<struct<pos, uci, mode>> of deliberation records (NULL for others) and
+    ``ideas`` array<struct<move, idea>> from the raw candidate answer stored inside."""
+    record, answer = F.col("_record"), F.col("_answer")
     text = F.coalesce(
         _typed(record, "$.candidate_raw_response", "STRING"),
         F.to_json(F.try_variant_get(record, "$.candidate_raw_response", "variant")),
     )
-    answer = F.try_parse_json(text)
+    staged = df.withColumn("_record", F.try_parse_json(F.col(metadata))).withColumn("_answer", F.try_parse_json(text))
+    staged = staged.withColumns({"_mode": _typed(record, "$.mode", "STRING"), "_regime": _typed(record, "$.regime", "STRING")})
+    moves = F.try_variant_get(record, "$.candidate_legal_moves", "array<variant>")
+    listed = F.filter(
+        F.transform(moves, lambda m, i: F.struct(
+            i.alias("pos"), _typed(m, "$", "STRING").alias("uci"), F.col("_mode").alias("mode"))),
+        lambda c: c["uci"].isNotNull(),
+    )
     raw = F.try_variant_get(answer, "$.candidates", "array<variant>")
-    return F.transform(
-        F.filter(raw, lambda c: _typed(c, "$.move", "STRING").isNotNull()),
-        lambda c: F.struct(_typed(c, "$.move", "STRING").alias("move"), _typed(c, "$.idea", "STRING").alias("idea")),
+    ideas = F.filter(
+        F.transform(raw, lambda c: F.struct(
+            _typed(c, "$.move", "STRING").alias("move"), _typed(c, "$.idea", "STRING").alias("idea"))),
+        lambda c: c["move"].isNotNull(),
     )
-
-
-def pair_decision(left: Column, right: Column, raw: Column) -> Column:
-    """The answer if it names one of the two moves, else the left move and why."""
-    parsed = validate_move_response(raw)
-    answer = F.lower(parsed["move"])
-    named = F.coalesce(parsed["parse_ok"] & answer.isin(left, right), F.lit(False))
-    return F.struct(
-        F.when(named, answer).otherwise(left).alias("selected_uci"),
-        parsed["move"].alias("parsed_move"),
-        parsed["parse_ok"].alias("parse_ok"),
-        named.alias("candidate_ok"),
-        F.when(named, F.lit(None).cast("string"))
-        .when(parsed["parse_ok"], "parsed_move_not_pair_candidate")
-        .otherwise(parsed["error_type"])
-        .alias("fallback_reason"),
+    return staged.withColumns({"items": F.when(F.col("_regime") == DELIBERATIVE, listed), "ideas": ideas}).drop(
+        "_record", "_answer", "_mode", "_regime"
     )
 
 
-def critic_summary(raw: Column) -> Column:
-    """Normalised critic answer: unusable fields become their defaults."""
-    value = object_column(strip(raw))
-    return F.struct(
-        F.lower(strip(_typed(value, "$.best_reply", "STRING"))).alias("best_reply"),
-        F.coalesce(_typed(value, "$.risk", "STRING"), F.lit("unknown")).alias("risk"),
-        _typed(value, "$.blunder_suspected", "BOOLEAN").try_cast("boolean").alias("blunder_suspected"),
-        _typed(value, "$.reason", "STRING").alias("reason"),
+def pair_decisions(df: DataFrame, left: str, right: str, raw: str = "raw_response") -> DataFrame:
+    """Add the move each answer votes for: the named one of the two, else the left, and why."""
+    parsed = validated_moves(df, raw, "_answer_")
+    answer = F.lower(F.col("_answer_move"))
+    named = F.coalesce(F.col("_answer_parse_ok") & answer.isin(F.col(left), F.col(right)), F.lit(False))
+    reason = (
+        F.when(named, F.lit(None).cast("string"))
+        .when(F.col("_answer_parse_ok"), "parsed_move_not_pair_candidate")
+        .otherwise(F.col("_answer_error_type"))
     )
+    return parsed.withColumns({
+        "selected_uci": F.when(named, answer).otherwise(F.col(left)), "parsed_move": F.col("_answer_move"),
+        "parse_ok": F.col("_answer_parse_ok"), "candidate_ok": named, "fallback_reason": reason,
+    }).drop(*[f"_answer_{c}" for c in ("move", "parse_ok", "error_type", "reason", "rationale", "strategy_update")])
+
+
+def critic_summaries(df: DataFrame, raw: str = "raw_response") -> DataFrame:
+    """Add best_reply, risk, blunder_suspected and critic_reason; unusable fields get defaults."""
+    staged = with_object(df.withColumn("_text", strip(F.col(raw))), "_text", "_object")
+    value = F.col("_object")
+    return staged.withColumns({
+        "best_reply": F.lower(strip(_typed(value, "$.best_reply", "STRING"))),
+        "risk": F.coalesce(_typed(value, "$.risk", "STRING"), F.lit("unknown")),
+        "blunder_suspected": _typed(value, "$.blunder_suspected", "BOOLEAN").try_cast("boolean"),
+        "critic_reason": _typed(value, "$.reason", "STRING"),
+    }).drop("_text", "_object", "_object_scan")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plywise.functions import labels, prompts
-from plywise.functions.responses import deliberation_ideas, deliberation_items
+from plywise.functions.responses import deliberations
 from plywise.functions.stats import count_if, mean2
 from plywise.functions.text import listed
 from plywise.operators.ordering import counters, first_per_key, hash_order, top_per_group
@@ -62,9 +62,8 @@ def metadata_specs(attempts: DataFrame, games: DataFrame, moves: DataFrame, run_
         .select("attempt_id", "game_id", "move_id", "ply", "attempt_number", "reranker_metadata")
         .join(of_runs(games.select("game_id", "run_id"), run_ids), "game_id")
         .join(moves.select("move_id", "fen_before").where(F.col("fen_before").isNotNull()), "move_id")
-        .withColumn("ideas", deliberation_ideas(F.col("reranker_metadata")))
-        .select("*", F.inline(deliberation_items(F.col("reranker_metadata"))))
     )
+    rows = deliberations(rows).select("*", F.inline("items"))
     same = F.filter("ideas", lambda c: c["move"] == F.col("uci"))
     c = F.col
     return _spec(

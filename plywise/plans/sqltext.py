@@ -134,7 +134,7 @@ ROLLUP = f"""
   round({rate('sum(malformed_rate * attempt_count)', 'sum(attempt_count)')}, 6) AS malformed_rate,
   round({rate('sum(avg_game_plies * games_played)', 'sum(games_played)')}, 6) AS avg_game_plies,
   round({rate('sum(avg_retries * games_played)', 'sum(games_played)')}, 6) AS avg_retries,
-  round({rate('sum(avg_latency_ms * games_played)', 'sum(games_played)')}, 6) AS avg_latency_ms,
+  round({rate('sum(avg_latency_ms * games_played)', 'sum(games_played)')} + 1e-9, 6) AS avg_latency_ms,
   round({rate('sum(wins)', 'sum(games_played)')}, 6) AS win_rate,
   round({low('sum(wins)', 'sum(games_played)')}, 6) AS win_rate_ci_low,
   round({high('sum(wins)', 'sum(games_played)')}, 6) AS win_rate_ci_high,

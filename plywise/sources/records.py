@@ -63,7 +63,8 @@ def first_lines(lines: DataFrame, limit: int | None) -> DataFrame:
 def external_candidates(lines: DataFrame, text: str = "value") -> DataFrame:
     """Candidate moves from foreign JSON lines: aliases are tried in order, rows without
     a textual position or move are skipped."""
-    record = F.try_parse_json(F.col(text))
+    record = F.col("_record")
+    lines = lines.withColumn("_record", F.try_parse_json(F.col(text)))
     first = lambda *names: F.coalesce(*[_present(record, n) for n in names])
     rank = F.coalesce(
         _typed(record, "$.candidate_rank_in_generator", "BIGINT").try_cast("int"),
@@ -76,7 +77,7 @@ def external_candidates(lines: DataFrame, text: str = "value") -> DataFrame:
         .withColumn("candidate_rank_in_generator", rank)
         .withColumn("generator_idea", _typed(record, "$.generator_idea", "STRING"))
         .where(F.col("fen_before").isNotNull() & F.col("candidate_uci").isNotNull())
-        .drop(text)
+        .drop(text, "_record")
     )
 
 

@@ -78,6 +78,16 @@ def _is_object(value: Column) -> Column:
     return F.startswith(F.schema_of_variant(value), F.lit("OBJECT"))
 
 
+def evaluated_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns through a one-row generator.
+
+    The optimizer does not push filters below a generator, so later predicates on these columns
+    read them instead of repeating the (expensive) expressions.
+    """
+    row = F.struct(*[value.alias(name) for name, value in columns.items()])
+    return df.select("*", F.inline(F.array(row)))
+
+
 def with_object(df: DataFrame, text: str, out: str) -> DataFrame:
     """Add the JSON object of a text column as VARIANT (NULL when there is none) and, as
     ``<out>_scan``, what the scan of the rows that do not parse directly found.
@@ -167,7 +177,7 @@ def deliberations(df: DataFrame, metadata: str = "reranker_metadata") -> DataFra
         _typed(record, "$.candidate_raw_response", "STRING"),
         F.to_json(F.try_variant_get(record, "$.candidate_raw_response", "variant")),
     )
-    staged = df.withColumn("_record", F.try_parse_json(F.col(metadata))).withColumn("_answer", F.try_parse_json(text))
+    staged = evaluated_once(df, _record=F.try_parse_json(F.col(metadata))).withColumn("_answer", F.try_parse_json(text))
     staged = staged.withColumns({"_mode": _typed(record, "$.mode", "STRING"), "_regime": _typed(record, "$.regime", "STRING")})
     moves = F.try_variant_get(record, "$.candidate_legal_moves", "array<variant>")
     listed = F.filter(
@@ -181,9 +191,8 @@ def deliberations(df: DataFrame, metadata: str = "reranker_metadata") -> DataFra
             _typed(c, "$.move", "STRING").alias("move"), _typed(c, "$.idea", "STRING").alias("idea"))),
         lambda c: c["move"].isNotNull(),
     )
-    return staged.withColumns({"items": F.when(F.col("_regime") == DELIBERATIVE, listed), "ideas": ideas}).drop(
-        "_record", "_answer", "_mode", "_regime"
-    )
+    done = evaluated_once(staged, items=F.when(F.col("_regime") == DELIBERATIVE, listed), ideas=ideas)
+    return done.drop("_record", "_answer", "_mode", "_regime")
 
 
 def pair_decisions(df: DataFrame, left: str, right: str, raw: str = "raw_response") -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plywise.plans import board_queries, candidate_queries, game_queries  # noqa: F401
+from plywise.plans import board_queries, candidate_queries, game_queries, prediction_queries  # noqa: F401
 from plywise.plans.registry import REGISTRY, runner
 
 

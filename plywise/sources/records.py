@@ -8,7 +8,7 @@ from pathlib import PurePosixPath
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plywise.functions.responses import _typed
+from plywise.functions.responses import _typed, evaluated_once
 from plywise.functions.text import lenient_int, strip
 from plywise.operators.ordering import dense_index_by
 from plywise.schemas import ID_COLUMNS, table_schema
@@ -62,27 +62,30 @@ def first_lines(lines: DataFrame, limit: int | None) -> DataFrame:
 
 def external_candidates(lines: DataFrame, text: str = "value") -> DataFrame:
     """Candidate moves from foreign JSON lines: aliases are tried in order, rows without
-    a textual position or move are skipped."""
+    a textual position or move are skipped.
+
+    A line is parsed once and its fields are read once; aliases and filters use those columns.
+    """
+    kept = [c for c in lines.columns if c != text]
     record = F.col("_record")
-    lines = lines.withColumn("_record", F.try_parse_json(F.col(text)))
-    first = lambda *names: F.coalesce(*[_present(record, n) for n in names])
-    rank = F.coalesce(
-        _typed(record, "$.candidate_rank_in_generator", "BIGINT").try_cast("int"),
-        lenient_int(_typed(record, "$.candidate_rank_in_generator", "STRING")),
+    names = ("fen_before", "fen", "candidate_uci", "uci", "move", "source", "generator_idea")
+    parsed = lines.select(*kept, F.try_parse_json(F.col(text)).alias("_record"))
+    fields = evaluated_once(
+        parsed,
+        **{f"_{n}": _typed(record, f"$.{n}", "STRING") for n in names},
+        _rank=F.try_variant_get(record, "$.candidate_rank_in_generator", "variant"),
     )
-    return (
-        lines.withColumn("fen_before", first("fen_before", "fen"))
-        .withColumn("candidate_uci", first("candidate_uci", "uci", "move"))
-        .withColumn("source", F.coalesce(_present(record, "source"), F.lit("policy_sample")))
-        .withColumn("candidate_rank_in_generator", rank)
-        .withColumn("generator_idea", _typed(record, "$.generator_idea", "STRING"))
-        .where(F.col("fen_before").isNotNull() & F.col("candidate_uci").isNotNull())
-        .drop(text, "_record")
+    first = lambda *aliases: F.coalesce(*[F.when(F.col(f"_{a}") != "", F.col(f"_{a}")) for a in aliases])
+    # Numbers written as numbers or as digits count; booleans and decimals do not.
+    rank = F.when(
+        F.schema_of_variant("_rank").isin("BIGINT", "STRING"), lenient_int(F.try_variant_get("_rank", "$", "string"))
     )
-
-
-def _present(record: Column, name: str) -> Column:
-    return F.nullif(_typed(record, f"$.{name}", "STRING"), F.lit(""))
+    combined = fields.select(
+        *kept, first("fen_before", "fen").alias("fen_before"), first("candidate_uci", "uci", "move").alias("candidate_uci"),
+        F.coalesce(first("source"), F.lit("policy_sample")).alias("source"),
+        rank.alias("candidate_rank_in_generator"), F.col("_generator_idea").alias("generator_idea"),
+    )
+    return combined.where(F.col("fen_before").isNotNull() & F.col("candidate_uci").isNotNull())
 
 
 def read_prediction_files(spark: SparkSession, paths: Sequence[str], schema: str) -> DataFrame:

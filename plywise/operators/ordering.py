@@ -79,8 +79,8 @@ def hash_order(seed: int | str, *keys: Column) -> Column:
 
 
 def unit_hash(seed: int | str, *keys: Column) -> Column:
-    """Deterministic number in [0, 1) per key."""
-    return F.pmod(F.xxhash64(F.lit(str(seed)), *keys), F.lit(1_000_000)) / F.lit(1_000_000.0)
+    """Deterministic number in [0, 1) per key: the first 32 bits of its sha256."""
+    return F.conv(F.substring(hash_order(seed, *keys), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
 
 
 def evenly_spaced(length: Column, limit: Column | int) -> Column:

@@ -6,7 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plywise.plans import board_queries, candidate_queries, game_queries, prediction_queries  # noqa: F401
+from plywise.plans import (  # noqa: F401
+    board_queries,
+    candidate_queries,
+    dataset_queries,
+    game_queries,
+    prediction_queries,
+    stream_queries,
+)
 from plywise.plans.registry import REGISTRY, runner
 
 

@@ -10,6 +10,9 @@ RAW_TABLES = (
     "embeddings", "pages", "benchmark", "labels", "conversations",
 )
 
+# Tables worth spreading when they come in a few splits; the others hold little.
+SPREAD_TABLES = ("orders", "lineitem", "documents", "pages")
+
 # How a move with r retries becomes r + 1 attempts, in each dialect.
 _ATTEMPTS = {
     "spark": "LATERAL VIEW explode(sequence(1, m.retries_used + 1)) k AS n",
@@ -176,8 +179,17 @@ class Fixtures:
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder.rstrip("/")
 
+    def _source(self, table: str) -> str:
+        """Scan of one table. A table too small to give every core a split is spread over them;
+        a scan that already has enough splits is left alone, so no shuffle is added at scale."""
+        path = f"parquet.`{self.folder}/{table}.parquet`"
+        cores = self.spark.sparkContext.defaultParallelism
+        splits = self.spark.read.parquet(f"{self.folder}/{table}.parquet").rdd.getNumPartitions()
+        hint = f"/*+ REPARTITION({cores}) */ " if table in SPREAD_TABLES and splits < cores else ""
+        return f"SELECT {hint}* FROM {path}"
+
     def raw(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{table}.parquet")
+        return self.spark.sql(self._source(table))
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in RAW_TABLES:
@@ -186,5 +198,5 @@ class Fixtures:
             raise AttributeError(name)
         text = with_views([name], f"SELECT * FROM {name}", "spark")
         used = [t for t in RAW_TABLES if f"FROM {t}" in text]
-        sources = ",\n".join(f"{t} AS (SELECT * FROM parquet.`{self.folder}/{t}.parquet`)" for t in used)
+        sources = ",\n".join(f"{t} AS ({self._source(t)})" for t in used)
         return self.spark.sql("WITH " + sources + ",\n" + text[len("WITH "):])

@@ -9,8 +9,13 @@ from pyspark.sql import SparkSession
 SHARED_DIR_KEY = "spark.checkpoint.dir"
 
 
-def build_session(app: str, master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
-    """A session with adaptive execution and UTC time; the cluster decides the rest."""
+def build_session(
+    app: str, master: str | None = None, shuffle_partitions: int | None = None, driver_memory: str | None = None
+) -> SparkSession:
+    """A session with adaptive execution and UTC time; the cluster decides the rest.
+
+    ``master``, ``shuffle_partitions`` and ``driver_memory`` are for local runs only.
+    """
     builder = (
         SparkSession.builder.appName(app)
         .config("spark.sql.adaptive.enabled", "true")
@@ -23,6 +28,8 @@ def build_session(app: str, master: str | None = None, shuffle_partitions: int |
         builder = builder.master(master).config("spark.ui.enabled", "false")
     if shuffle_partitions is not None:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if driver_memory is not None:
+        builder = builder.config("spark.driver.memory", driver_memory)
     return builder.getOrCreate()
 
 

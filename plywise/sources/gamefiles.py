@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plywise.functions.responses import evaluated_once
 from plywise.functions.text import ascii_escaped, strip
 from plywise.operators.ordering import dense_index_by
 
 RECORD_START = "[Event "
-_HEADER = r'(?m)^\[(\w+)\s+"(.*)"\]\s*$'
+_HEADER_BLOCK = r'\A((?:\s*\[\w+\s+"[^\n]*"\]\s*\n)*+)'
 
 
 def read_games(spark: SparkSession, path: str) -> DataFrame:
@@ -33,30 +34,42 @@ def read_games(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_games(df: DataFrame, record: str) -> DataFrame:
-    """Add ``headers`` (map) and ``moves`` (mainline tokens) from a record column."""
-    return df.withColumn("headers", headers(F.col(record))).withColumn("moves", mainline(F.col(record))).drop(record)
-
-
-def headers(record: Column) -> Column:
-    """Tag map of a record; a repeated tag keeps its last value."""
-    tags = F.regexp_extract_all(record, F.lit(_HEADER), F.lit(1))
-    values = F.regexp_extract_all(record, F.lit(_HEADER), F.lit(2))
-    pairs = F.arrays_zip(tags.alias("key"), values.alias("value"))
-    latest = lambda p, i: ~F.array_contains(F.slice(tags, i + 2, F.size(tags)), p["key"])
-    return F.map_from_entries(F.filter(pairs, latest))
+    """Add ``headers`` (tag map, the last value of a repeated tag) and ``moves`` (mainline
+    tokens without comments, numbers, annotations, results and side lines) from a record.
+
+    The text is cut in steps whose results are columns, so later filters and element-wise
+    functions read arrays instead of running the patterns again.
+    """
+    raw = F.col(record)
+    block = F.regexp_extract(raw, _HEADER_BLOCK, 1)
+    cut = evaluated_once(
+        df,
+        _lines=F.filter(F.split(block, r"\]\s*\n"), lambda x: F.contains(x, F.lit('"'))),
+        _tokens=_tokens(F.substr(raw, F.char_length(block) + 1)),
+    )
+    name = lambda x: F.trim(F.replace(F.substring_index(x, '"', 1), F.lit("["), F.lit("")))
+    inner = lambda x: F.substr(x, F.instr(x, '"') + 1, F.char_length(x) - F.instr(x, '"') - F.instr(F.reverse(x), '"'))
+    pairs = F.transform("_lines", lambda x: F.struct(name(x).alias("key"), inner(x).alias("value")))
+    count = lambda mark, i: F.size(F.filter(F.slice("_tokens", 1, i + 1), lambda t: t == mark))
+    top_level = F.filter("_tokens", lambda t, i: ~t.isin("(", ")") & (count("(", i) == count(")", i)))
+    split = evaluated_once(
+        cut, _pairs=pairs, _names=F.transform("_lines", name),
+        moves=F.when(F.array_contains("_tokens", "("), top_level).otherwise(F.col("_tokens")),
+    )
+    last = F.filter("_pairs", lambda p, i: ~F.array_contains(F.slice("_names", i + 2, F.size("_names")), p["key"]))
+    unique = F.size(F.array_distinct("_names")) == F.size("_names")
+    tags = F.map_from_entries(F.when(unique, F.col("_pairs")).otherwise(last))
+    return evaluated_once(split, headers=tags).drop(record, "_lines", "_tokens", "_pairs", "_names")
 
 
-def mainline(record: Column) -> Column:
-    """Move tokens without comments, numbers, annotations, results and side lines."""
-    text = F.regexp_replace(record, r'(?m)^\[\w+\s+".*"\]\s*$', "")
-    text = F.regexp_replace(text, r"(?s)\{.*?\}|(?m);[^\n]*$|(?m)^%[^\n]*$", " ")
+def _tokens(movetext: Column) -> Column:
+    """Movetext tokens, with parentheses as tokens of their own."""
+    text = F.regexp_replace(movetext, r"(?s)\{.*?\}|(?m);[^\n]*$|(?m)^%[^\n]*$", " ")
     text = F.regexp_replace(text, r"([()])", " $1 ")
-    text = F.regexp_replace(text, r"\$\d+|(?<![\w-])\d+\.+", " ")
-    tokens = F.filter(F.split(strip(text), r"\s+"), lambda t: ~t.isin("", "1-0", "0-1", "1/2-1/2", "*"))
-    opened = lambda i, mark: F.size(F.filter(F.slice(tokens, 1, i + 1), lambda t: t == mark))
-    outside = F.filter(tokens, lambda t, i: ~t.isin("(", ")") & (opened(i, "(") == opened(i, ")")))
-    moves = F.when(F.contains(text, F.lit("(")), outside).otherwise(tokens)
-    return F.transform(moves, lambda t: F.regexp_replace(t, r"[!?]+$", ""))
+    text = F.regexp_replace(text, r"\$\d+|[!?]+", " ")
+    text = F.when(movetext.rlike(r"[{;%()$!?]"), text).otherwise(movetext)
+    numbered = F.regexp_replace(text, r"(?<![\w-])\d+\.+", " ")
+    return F.filter(F.split(F.trim(numbered), r"\s+"), lambda t: ~t.isin("", "1-0", "0-1", "1/2-1/2", "*"))
 
 
 def tag(headers_: Column, name: str, default: str = "") -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plywise.functions import labels, prompts
@@ -152,20 +152,19 @@ def _levels(best: DataFrame) -> DataFrame:
 def pair_counts_by_position(best: DataFrame, min_gap: int) -> DataFrame:
     """Per position: safe and unsafe moves, pairs with a known gap that pass or fail the minimum,
     and pairs without a gap. Counted on loss levels, without forming the pairs."""
-    from pyspark.sql import Window
+    return _counts_of(_levels(best), min_gap)
 
-    levels = _levels(best)
+
+def _counts_of(levels: DataFrame, min_gap: int) -> DataFrame:
+    known = F.col("cpl").isNotNull()
+    # NULL losses form their own peer group, which the range frame of a number never reaches.
     near = Window.partitionBy("fen").orderBy("cpl").rangeBetween(-(min_gap - 1), min_gap - 1)
-    known = levels.where(F.col("cpl").isNotNull())
-    close = F.sum("n_unsafe").over(near) if min_gap > 0 else F.lit(0)
-    counted = known.withColumn("close_pairs", F.col("n_safe") * close)
-    both = counted.unionByName(levels.where(F.col("cpl").isNull()).withColumn("close_pairs", F.lit(0).cast("long")))
-    has = F.col("cpl").isNotNull()
-    return both.groupBy("fen").agg(
+    close = F.when(known, F.col("n_safe") * F.sum("n_unsafe").over(near)) if min_gap > 0 else F.lit(0)
+    has = lambda side: F.coalesce(F.sum(F.when(known, F.col(side))), F.lit(0))
+    return levels.withColumn("close_pairs", close).groupBy("fen").agg(
         F.sum("n_safe").alias("n_safe"), F.sum("n_unsafe").alias("n_unsafe"),
-        (F.coalesce(F.sum(F.when(has, F.col("n_safe"))), F.lit(0))
-         * F.coalesce(F.sum(F.when(has, F.col("n_unsafe"))), F.lit(0))).alias("known_pairs"),
-        F.sum("close_pairs").alias("small_gap_pairs"),
+        (has("n_safe") * has("n_unsafe")).alias("known_pairs"),
+        F.coalesce(F.sum("close_pairs"), F.lit(0)).alias("small_gap_pairs"),
     ).select(
         "fen", "n_safe", "n_unsafe", "small_gap_pairs",
         (F.col("known_pairs") - F.col("small_gap_pairs")).alias("gap_pairs"),
@@ -173,32 +172,32 @@ def pair_counts_by_position(best: DataFrame, min_gap: int) -> DataFrame:
     )
 
 
-def _extreme_levels(best: DataFrame, keep: int) -> DataFrame:
-    """Moves on the ``keep`` lowest or highest loss levels of their position and side.
+def _edge_levels(levels: DataFrame, min_gap: int, keep: int) -> DataFrame:
+    """Level pairs (fen, safe_cpl, unsafe_cpl) that can hold one of the ``keep`` widest pairs.
 
-    A pair outside these levels has at least ``keep`` pairs with a strictly larger gap, so it
-    cannot be among the ``keep`` widest.
+    A pair outside the ``keep`` lowest or highest levels of either side has at least ``keep``
+    pairs with a strictly larger gap, so only those levels are gathered (at most ``2 * keep``
+    per side), and of their combinations those with fewer than ``keep`` pairs above them stay.
     """
-    side = best.where(F.col("c.centipawn_loss").isNotNull()).withColumn("safe", labels.is_safe(F.col("c.risk")))
-    known = side.where(F.col("safe") | labels.is_unsafe(F.col("c.risk")))
-    levels = known.select("fen", "safe", F.col("c.centipawn_loss").alias("cpl")).distinct()
-    low = top_per_group(levels, ["fen", "safe"], [F.asc("cpl")], keep)
-    high = top_per_group(levels, ["fen", "safe"], [F.desc("cpl")], keep)
-    return low.unionByName(high).distinct()
-
-
-def _boundary(levels: DataFrame, counts: DataFrame, min_gap: int, keep: int) -> DataFrame:
-    """Level pairs (fen, safe_cpl, unsafe_cpl) that can hold one of the ``keep`` widest pairs:
-    those with fewer than ``keep`` pairs at strictly larger gaps. At most (2*keep)^2 per position."""
-    from pyspark.sql import Window
-
-    sized = levels.join(counts, ["fen", "cpl"])
-    safe = sized.where("safe").select("fen", F.col("cpl").alias("safe_cpl"), F.col("n_safe"))
-    unsafe = sized.where("NOT safe").select("fen", F.col("cpl").alias("unsafe_cpl"), F.col("n_unsafe"))
-    grid = safe.join(unsafe, "fen").withColumn("gap", _gap(F.col("safe_cpl"), F.col("unsafe_cpl")))
-    grid = grid.where(F.col("gap") >= min_gap)
+    side = F.inline(F.array(
+        F.struct(F.lit(True).alias("safe"), F.col("n_safe").alias("n")),
+        F.struct(F.lit(False).alias("safe"), F.col("n_unsafe").alias("n")),
+    ))
+    sides = levels.where(F.col("cpl").isNotNull()).select("fen", "cpl", side).where("n > 0")
+    rank = lambda order: F.row_number().over(Window.partitionBy("fen", "safe").orderBy(order))
+    outer = sides.withColumns({"low": rank(F.asc("cpl")), "high": rank(F.desc("cpl"))}).where(
+        (F.col("low") <= keep) | (F.col("high") <= keep)
+    )
+    level = F.struct("cpl", "n")
+    lists = outer.groupBy("fen").agg(
+        F.collect_list(F.when(F.col("safe"), level)).alias("s"), F.collect_list(F.when(~F.col("safe"), level)).alias("u")
+    ).where((F.size("s") > 0) & (F.size("u") > 0))
+    grid = lists.select("fen", F.explode("s").alias("s"), "u").select("fen", "s", F.explode("u").alias("u")).select(
+        "fen", F.col("s.cpl").alias("safe_cpl"), F.col("u.cpl").alias("unsafe_cpl"),
+        _gap(F.col("s.cpl"), F.col("u.cpl")).alias("gap"), (F.col("s.n") * F.col("u.n")).alias("pairs"),
+    ).where(F.col("gap") >= min_gap)
     wider = Window.partitionBy("fen").orderBy(F.desc("gap")).rangeBetween(Window.unboundedPreceding, -1)
-    above = F.coalesce(F.sum(F.col("n_safe") * F.col("n_unsafe")).over(wider), F.lit(0))
+    above = F.coalesce(F.sum("pairs").over(wider), F.lit(0))
     return grid.withColumn("above", above).where(F.col("above") < keep).select("fen", "safe_cpl", "unsafe_cpl")
 
 
@@ -209,10 +208,10 @@ def candidate_pairs(rows: DataFrame, pairs_per_position: int = 4, min_gap: int =
     of formed pairs depends on the cap and on ties at its edge, not on the square of the group.
     Pairs without a gap rank last and are formed only where the others do not fill the cap.
     """
-    best = best_candidates(rows, order)
-    counts = pair_counts_by_position(best, min_gap)
-    levels = _extreme_levels(best, pairs_per_position)
-    edge = _boundary(levels, _levels(best), min_gap, pairs_per_position)
+    best = best_candidates(rows, order).drop("first_seq")
+    levels = _levels(best)
+    counts = _counts_of(levels, min_gap)
+    edge = _edge_levels(levels, min_gap, pairs_per_position)
     safe = best.where(labels.is_safe(F.col("c.risk"))).select("fen", F.col("c").alias("s"))
     unsafe = best.where(labels.is_unsafe(F.col("c.risk"))).select("fen", F.col("c").alias("u"))
     s_key = safe.withColumn("safe_cpl", F.col("s.centipawn_loss"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -43,6 +44,9 @@ def shared_dir(spark: SparkSession) -> str:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"{SHARED_DIR_KEY} must name a folder shared by all executors")
-    root = tempfile.mkdtemp(prefix="plywise-")
-    spark.conf.set(SHARED_DIR_KEY, root)
-    return root
+    return _local_dir()
+
+
+@cache
+def _local_dir() -> str:
+    return tempfile.mkdtemp(prefix="plywise-")

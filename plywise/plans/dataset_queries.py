@@ -286,7 +286,7 @@ def error_stats(fx: Fixtures) -> DataFrame:
     return ops.error_stats(mined(fx))
 
 
-@query("error_stats_capped", _error_sql(_error_stats_sql("kept", "WHERE o <= (SELECT max(o) FROM kept)")))
+@query("error_stats_capped", _error_sql(_error_stats_sql("kept", "WHERE (SELECT count(*) FROM kept) < 2000 OR o <= (SELECT max(o) FROM kept)")))
 def error_stats_capped(fx: Fixtures) -> DataFrame:
     return ops.error_stats(mined(fx), max_examples=2000)
 

@@ -93,7 +93,7 @@ def reason_type(classification: Column, cpl: Column) -> Column:
     )
 
 
-def arena_source(classification: Column) -> Column:
+def played_source(classification: Column) -> Column:
     return F.when(classification.isin("blunder", "mate_missed"), "arena_blunder").otherwise("arena_move")
 
 

@@ -50,7 +50,7 @@ def accepted_specs(moves: DataFrame, games: DataFrame, evaluations: DataFrame, r
     return _spec(
         rows, "accepted", [c("run_id"), c("game_id"), c("ply")],
         fen_before=c("fen_before"), candidate_uci=c("accepted_uci"),
-        source=labels.arena_source(F.coalesce(c("classification"), F.lit(""))),
+        source=labels.played_source(F.coalesce(c("classification"), F.lit(""))),
         source_run_id=c("run_id"), source_game_id=c("game_id"), source_move_id=c("move_id"),
     )
 

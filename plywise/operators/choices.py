@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plywise.functions import labels, prompts
 from plywise.functions.stats import count_if
-from plywise.operators.ordering import hash_order, top_per_group
+from plywise.operators.ordering import counters, hash_order, top_per_group
 
 _FIELDS = ("uci", "san", "source", "risk", "score", "centipawn_loss", "candidate_rank_in_generator")
 CANDIDATE_TYPE = (
@@ -349,6 +349,38 @@ def hard_case_variants(cases: DataFrame, variants: int = 1, seed: int = 0, with_
     return _finish(out, prompts.choice_prompt if with_prompt else None, F.lit("hardcase_eval"))
 
 
+def hard_case_counts(cases: DataFrame, variants: int = 1) -> DataFrame:
+    """(metric, key, n) of the replay set: input, rows, drops by cause, categories, target risks."""
+    marked = cases.withColumn("dropped", hard_case_drop())
+    kept = marked.where(F.col("dropped").isNull())
+    one = marked.agg(
+        F.count(F.lit(1)).alias("input_hard_cases"),
+        (count_if(F.col("dropped").isNull()) * max(variants, 1)).alias("rows_written"),
+        count_if(F.col("dropped") == "too_few_candidates").alias("dropped_too_few_candidates"),
+        count_if(F.col("dropped") == "missing_target").alias("dropped_missing_target"),
+    )
+    named = kept.select(F.explode("categories").alias("category"))
+    return unpivot_counts(one).unionByName(counters(named, {"by_category": F.col("category")})).unionByName(
+        counters(kept, {"by_target_risk": F.col("target.risk")})
+    )
+
+
+def comparison_counts(choices: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(metric, key, n) of an expansion of all choice rows."""
+    usable = F.size("candidates") >= 2
+    one = choices.agg(
+        F.count(F.lit(1)).alias("choice_rows_seen"), count_if(usable).alias("choice_rows_written"),
+        count_if(~usable).alias("skipped_too_few_candidates"),
+    )
+    written = choices.where(usable)
+    rows = pairs.agg(F.count(F.lit(1)).alias("pair_rows_written"))
+    return (
+        unpivot_counts(one).unionByName(unpivot_counts(rows))
+        .unionByName(counters(written, {"by_split": F.col("split"), "by_choice_candidate_count": F.col("candidate_count")}))
+        .unionByName(counters(pairs, {"by_pair_target_prompt_index": F.col("target_prompt_index")}))
+    )
+
+
 def hard_case_drop() -> Column:
     """Why a hard case cannot be replayed, or NULL."""
     known = F.exists("candidates", lambda c: c["uci"] == F.col("target.uci"))

@@ -381,3 +381,19 @@ FROM (SELECT *, CASE WHEN hl <= hr THEN l ELSE r END AS a, CASE WHEN hl <= hr TH
 def pairwise_prompts(fx: Fixtures) -> DataFrame:
     return choices.comparison_rows(indexed_choices(fx)).select(
         "pair_source_choice_index", "pair_index", F.sha2("prompt", 256).alias("prompt_hash"))
+
+
+@query("comparison_counts", labelled_sql("""
+SELECT 'choice_rows_seen' AS metric, '' AS key, count(*) AS n FROM indexed
+UNION ALL SELECT 'choice_rows_written', '', count(*) FROM indexed
+UNION ALL SELECT 'skipped_too_few_candidates', '', 0
+UNION ALL SELECT 'pair_rows_written', '', count(*) FROM comparisons
+UNION ALL SELECT 'by_split', CASE CAST('0x' || substr(sha256(fen), 1, 2) AS INT) % 10 WHEN 0 THEN 'validation' WHEN 1 THEN 'test' ELSE 'train' END, count(*)
+  FROM indexed GROUP BY 2
+UNION ALL SELECT 'by_choice_candidate_count', candidate_count::VARCHAR, count(*) FROM indexed GROUP BY 2
+UNION ALL SELECT 'by_pair_target_prompt_index', CASE WHEN (hl <= hr) = ((l.k1, l.k2, l.k3) >= (r.k1, r.k2, r.k3)) THEN '1' ELSE '2' END, count(*) FROM (
+  SELECT *, sha256(choice_index || '|' || pair_index || '|' || l.uci) AS hl, sha256(choice_index || '|' || pair_index || '|' || r.uci) AS hr FROM comparisons) x
+  GROUP BY 2""", COMPARISON_CTES))
+def comparison_counts(fx: Fixtures) -> DataFrame:
+    rows = indexed_choices(fx)
+    return choices.comparison_counts(rows, choices.comparison_rows(rows, with_prompt=False))

@@ -11,7 +11,7 @@ from plywise.functions import text
 from plywise.operators import datasets as ops
 from plywise.operators import games as games_ops
 from plywise.operators import reuse
-from plywise.operators.ordering import counters, dense_index
+from plywise.operators.ordering import counters, dense_index, evenly_spaced
 from plywise.plans.board_queries import evaluations, summary
 from plywise.plans.candidate_queries import labelled, labelled_sql
 from plywise.plans.fixtures import Fixtures, with_views
@@ -149,8 +149,6 @@ def capped_samples(fx: Fixtures) -> DataFrame:
 SELECT game_id, array_to_string(list_sort({_PICKS}), ',') AS picks FROM (SELECT game_id, plies, 1 + game_id % 5 AS k FROM records WHERE plies > 0) a"""))
 def evenly_spaced_positions(fx: Fixtures) -> DataFrame:
     sizes = fx.moves.groupBy("game_id").agg(F.count("*").alias("plies"))
-    from plywise.operators.ordering import evenly_spaced
-
     picks = evenly_spaced(F.col("plies"), 1 + F.pmod("game_id", F.lit(5)))
     return sizes.select("game_id", F.array_join(picks.cast("array<string>"), ",").alias("picks"))
 

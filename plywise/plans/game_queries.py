@@ -315,3 +315,42 @@ FROM (SELECT fen, list(uci ORDER BY uci) AS moves, count(*) AS n FROM legal_move
 def legal_move_lists(fx: Fixtures) -> DataFrame:
     lists = fx.legal_moves.groupBy("fen").agg(F.collect_list("uci").alias("moves"))
     return lists.select("fen", text.listed(F.col("moves"), 4).alias("listed"))
+
+
+def _template_sql(lines: list[str], values: dict[str, str]) -> str:
+    """The template as an SQL concatenation, its placeholders replaced by expressions."""
+    text_ = chr(10).join(lines)
+    for name, expression in values.items():
+        text_ = text_.replace("{" + name + "}", "\x01" + expression + "\x01")
+    text_ = text_.replace("{{", "{").replace("}}", "}")
+    parts = text_.split("\x01")
+    return " || ".join(p if i % 2 else "'" + p.replace("'", "''") + "'" for i, p in enumerate(parts) if p)
+
+
+_DELIBERATION = {
+    "fen": "fen_before", "side_to_move": "color", "san_history": "CASE WHEN san_history = '' THEN '(none)' ELSE san_history END",
+    "legal_moves": "coalesce(legal, '')", "candidate_uci": "accepted_uci", "candidate_san": "accepted_san", "candidate_idea": "'none'",
+    "fen_after": "fen_before || '+'", "opponent_side": "CASE color WHEN 'white' THEN 'black' ELSE 'white' END",
+    "opponent_legal_replies": "coalesce(legal, '')", "n_candidates": "'5'", "candidate_moves": "accepted_uci", "candidate_table": "'{}'",
+}
+
+
+@query("deliberation_prompts", with_views(["moves", "legal_moves"], f"""
+SELECT move_id, sha256({_template_sql(prompts.candidate_template(board=False), _DELIBERATION)}) AS candidates,
+  sha256({_template_sql(prompts.REVISE, _DELIBERATION)}) AS revise, sha256({_template_sql(prompts.REFUTE, _DELIBERATION)}) AS refute,
+  sha256({_template_sql(prompts.FINAL, _DELIBERATION)}) AS final
+FROM moves JOIN history USING (game_id, ply) LEFT JOIN lists ON fen = fen_before""", extra={"history": _HISTORY, "lists": _LEGAL_LISTS}))
+def deliberation_prompts(fx: Fixtures) -> DataFrame:
+    legal = fx.legal_moves.groupBy(F.col("fen").alias("fen_before")).agg(F.collect_set("uci").alias("legal"))
+    rows = fx.moves.join(ops.full_history(_sans(fx)).drop("san", "uci"), ["game_id", "ply"]).join(legal, "fen_before", "left")
+    listed = text.listed(F.coalesce("legal", F.expr("CAST(array() AS ARRAY<STRING>)")))
+    values = {
+        "fen": F.col("fen_before"), "side_to_move": F.col("color"), "san_history": prompts.or_none(F.col("san_history")),
+        "legal_moves": listed, "opponent_legal_replies": listed, "candidate_uci": F.col("accepted_uci"), "candidate_san": F.col("accepted_san"),
+        "candidate_idea": F.lit("none"), "fen_after": F.concat("fen_before", F.lit("+")),
+        "opponent_side": F.when(F.col("color") == "white", "black").otherwise("white"), "n_candidates": F.lit(5),
+        "candidate_moves": F.col("accepted_uci"), "candidate_table": F.lit("{}"),
+    }
+    hashed = lambda lines, name: F.sha2(prompts.render(lines, values), 256).alias(name)
+    return rows.select("move_id", hashed(prompts.candidate_template(board=False), "candidates"), hashed(prompts.REVISE, "revise"),
+                       hashed(prompts.REFUTE, "refute"), hashed(prompts.FINAL, "final"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plywise.functions import labels, responses
 from plywise.functions.probability import expected_risk_score, predicted_label, softmax
-from plywise.functions.rewards import RewardRule, linear_reward, tactical_reward
+from plywise.functions.rewards import RewardRule, linear_reward, move_reward, tactical_reward
 from plywise.operators import choices
 from plywise.operators import evaluation as ops
 from plywise.operators.ordering import first_per_key
@@ -248,8 +248,6 @@ _REWARDED = f"SELECT *, {_reward_sql('linear')} AS reward, {_reward_sql('tactica
 
 
 def _reward(rule: RewardRule):
-    from plywise.functions.rewards import move_reward
-
     return move_reward(*[F.col(c) for c in ("parse_ok", "legal_ok", "centipawn_loss", "classification", "parsed_move", "best_move_uci")], rule=rule)
 
 
@@ -421,6 +419,18 @@ def hard_case_variants(fx: Fixtures) -> DataFrame:
         "target_prompt_index", F.array_join("candidates.uci", ",").alias("shown"), "split")
 
 
+@query("hard_case_counts", labelled_sql("""
+SELECT 'input_hard_cases' AS metric, '' AS key, count(*) AS n FROM cases
+UNION ALL SELECT 'rows_written', '', count(*) * 3 FROM cases
+UNION ALL SELECT 'dropped_too_few_candidates', '', 0
+UNION ALL SELECT 'dropped_missing_target', '', 0
+UNION ALL SELECT 'by_category', category, count(*) FROM (SELECT unnest(categories) AS category FROM cases) c GROUP BY 2
+UNION ALL SELECT 'by_target_risk', target_risk, count(*) FROM cases GROUP BY 2""",
+    {**_REPORT_CTES, "cases": "SELECT * FROM judged WHERE len(categories) > 0"}))
+def hard_case_counts(fx: Fixtures) -> DataFrame:
+    return choices.hard_case_counts(judged_choices(fx).where(F.size("categories") > 0), variants=3)
+
+
 # Votes --------------------------------------------------------------------------------
 
 _PAIR_PREDS = """

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from plywise.functions import labels, prompts
 from plywise.functions.responses import deliberations
 from plywise.functions.stats import count_if, mean2
-from plywise.functions.text import listed
 from plywise.operators.ordering import counters, first_per_key, hash_order, top_per_group
 
 SOURCE_ORDER = ("accepted", "metadata", "best", "external", "random")
@@ -150,13 +149,26 @@ def label_candidates(specs: DataFrame, evaluations: DataFrame) -> DataFrame:
     return rows.withColumn("target", target).withColumn("completion", F.col("target"))
 
 
-def with_risk_prompt(rows: DataFrame, max_replies: int = 40) -> DataFrame:
-    """Add the critic prompt; needs side, san, position after and the opponent's replies."""
+def move_list_texts(legal_moves: DataFrame, limit: int) -> DataFrame:
+    """Per position the first ``limit`` moves in order as text, the rest only counted.
+
+    The list is cut before it is gathered, so its length is bounded by the limit.
+    """
+    sizes = legal_moves.groupBy("fen").agg(F.count(F.lit(1)).alias("n"))
+    top = top_per_group(legal_moves.select("fen", "uci"), ["fen"], [F.asc("uci")], limit)
+    shown = F.array_join(F.array_sort(F.collect_list("uci")), ", ")
+    more = F.concat(F.col("shown"), F.lit(" ... ("), (F.col("n") - limit).cast("string"), F.lit(" more)"))
+    lists = top.groupBy("fen").agg(shown.alias("shown")).join(sizes, "fen")
+    return lists.select("fen", F.when(F.col("n") > limit, more).otherwise(F.col("shown")).alias("listed"))
+
+
+def with_risk_prompt(rows: DataFrame, replies: DataFrame) -> DataFrame:
+    """Add the critic prompt; needs side, san, the position after the move and the texts of
+    the opponent's replies (``move_list_texts`` of the positions after)."""
     names = ("fen_before", "side_to_move", "candidate_uci", "candidate_san", "fen_after")
-    replies = listed(F.col("opponent_replies"), max_replies)
-    return rows.withColumn(
-        "prompt", prompts.risk_prompt({**{n: F.col(n) for n in names}, "opponent_legal_replies": replies})
-    )
+    joined = rows.join(replies.select(F.col("fen").alias("fen_after"), F.col("listed").alias("_replies")), "fen_after", "left")
+    values = {**{n: F.col(n) for n in names}, "opponent_legal_replies": F.coalesce("_replies", F.lit(""))}
+    return joined.withColumn("prompt", prompts.risk_prompt(values)).drop("_replies")
 
 
 def build_counts(specs: DataFrame, legal_moves: DataFrame, rows: DataFrame, limit: int) -> DataFrame:

@@ -274,18 +274,24 @@ def error_stats(errors: DataFrame, max_examples: int | None = None) -> DataFrame
 
 def gate_triggers(predictions: DataFrame, dataset: DataFrame, min_cpl: int = 250, blunders: bool = True,
                   row_order: str = "row_index") -> DataFrame:
-    """Predictions on known positions that lost much or blundered, with their dataset row.
+    """First prediction per known position that lost much or blundered (in file, line order),
+    with its dataset row and ``n_triggers``, how many such predictions the position has.
 
-    The last dataset row of a position is the one that counts."""
+    Predictions are reduced to their position before the lookup, so a position that most of
+    them share is one row in the join. The last dataset row of a position is the one that counts."""
     known = last_per_key(dataset.select("fen", "prompt", "completion", "move", row_order), ["fen"], [row_order]).drop(row_order)
     high = F.coalesce(F.col("centipawn_loss") >= min_cpl, F.lit(False))
     bad = high | (F.lit(blunders) & F.coalesce(F.col("classification") == "blunder", F.lit(False)))
-    return predictions.where(bad).join(known, "fen")
+    fields = ("parsed_move", "centipawn_loss", "classification", "gate_source", "file_ord", "line_ord")
+    first = predictions.where(bad).groupBy("fen").agg(
+        F.min_by(F.struct(*fields), F.struct("file_ord", "line_ord")).alias("_first"), F.count(F.lit(1)).alias("n_triggers")
+    )
+    return first.select("fen", "n_triggers", "_first.*").join(known, "fen")
 
 
 def tactical_gate(triggers: DataFrame, max_examples: int | None = None) -> DataFrame:
     """First trigger of every position over the ordered files, up to the maximum."""
-    first = first_per_key(triggers, ["fen"], ["file_ord", "line_ord"])
+    first = triggers
     if max_examples is not None:
         first = first.orderBy("file_ord", "line_ord").limit(max_examples)
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
@@ -301,7 +307,7 @@ def gate_stats(predictions: DataFrame, triggers: DataFrame, gate: DataFrame) ->
     """(metric, key, n) of an uncapped gate."""
     one = with_one_row(
         with_one_row(predictions.agg(F.count(F.lit(1)).alias("prediction_rows")),
-                     triggers.agg(F.count(F.lit(1)).alias("_triggers"))),
+                     triggers.agg(F.coalesce(F.sum("n_triggers"), F.lit(0)).alias("_triggers"))),
         gate.agg(F.count(F.lit(1)).alias("selected_rows")),
     ).withColumn("dropped_duplicate_fen", F.col("_triggers") - F.col("selected_rows")).drop("_triggers")
     flat = one.select(F.inline(F.array(*[

@@ -45,9 +45,11 @@ def grown_cache(requests: DataFrame, cache: DataFrame, evaluations: DataFrame) -
     return misses.join(evaluations, ["fen", "uci"]).select("key", "fen", "uci", "evaluation")
 
 
-def evaluate_with(positions: DataFrame, make_evaluator: Callable[[], Callable[[str, str], Mapping]], schema: str) -> DataFrame:
+def evaluate_with(positions: DataFrame, make_evaluator: Callable[[], Callable[[str, str], Mapping]], schema: str,
+                  tasks: int | None = None) -> DataFrame:
     """Evaluate (fen, uci) rows with own code. The evaluator is made once per task (an engine
-    process, a model), rows arrive in Arrow batches. ``schema`` names the result fields."""
+    process, a model), rows arrive in Arrow batches. ``schema`` names the result fields;
+    ``tasks`` spreads few but expensive rows over that many tasks."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         evaluator = make_evaluator()
@@ -61,7 +63,9 @@ def evaluate_with(positions: DataFrame, make_evaluator: Callable[[], Callable[[s
             if close is not None:
                 close()
 
-    return positions.select("fen", "uci").mapInPandas(run, f"fen STRING, uci STRING, {schema}")
+    rows = positions.select("fen", "uci")
+    spread = rows if tasks is None else rows.repartition(tasks, "fen", "uci")
+    return spread.mapInPandas(run, f"fen STRING, uci STRING, {schema}")
 
 
 def score_with(candidates: DataFrame, scorer: Callable[[Column, Column], Column]) -> DataFrame:

@@ -168,17 +168,14 @@ def random_legal_specs(fx: Fixtures) -> DataFrame:
 @query("risk_prompts", with_views(["candidates", "legal_moves"], """
 SELECT seq, sha256('You are a chess move risk classifier.' || chr(10) || chr(10) || 'Position:' || chr(10) || 'FEN before: ' || fen_before ||
   chr(10) || 'Side to move: ' || side_to_move || chr(10) || 'Candidate move: ' || candidate_uci || ' (' || candidate_san || ')' || chr(10) ||
-  'FEN after candidate: ' || fen_before || '+' || candidate_uci || chr(10) || 'Opponent legal replies: ' || coalesce(CASE WHEN n > 3
+  'FEN after candidate: ' || fen_before || chr(10) || 'Opponent legal replies: ' || coalesce(CASE WHEN n > 3
      THEN array_to_string(m[1:3], ', ') || ' ... (' || (n - 3) || ' more)' ELSE array_to_string(m, ', ') END, '') || chr(10) || chr(10) ||
   'Classify whether the candidate is tactically safe.' || chr(10) || 'Return JSON only:' || chr(10) ||
   '{"risk":"blunder|mistake|playable|good","blunder":true,"score":0,"reason_type":"material_or_mate"}') AS prompt_hash
 FROM candidates LEFT JOIN (SELECT fen, list(uci ORDER BY uci) AS m, count(*) AS n FROM legal_moves GROUP BY 1) l ON fen = fen_before"""))
 def risk_prompts(fx: Fixtures) -> DataFrame:
-    replies = fx.legal_moves.groupBy(F.col("fen").alias("fen_before")).agg(F.collect_list("uci").alias("r"))
-    rows = fx.candidates.join(replies, "fen_before", "left").withColumns({
-        "opponent_replies": F.coalesce("r", F.expr("CAST(array() AS ARRAY<STRING>)")),
-        "fen_after": F.concat_ws("+", "fen_before", "candidate_uci")})
-    return ops.with_risk_prompt(rows, 3).select("seq", F.sha2("prompt", 256).alias("prompt_hash"))
+    rows = fx.candidates.withColumn("fen_after", F.col("fen_before"))
+    return ops.with_risk_prompt(rows, ops.move_list_texts(fx.legal_moves, 3)).select("seq", F.sha2("prompt", 256).alias("prompt_hash"))
 
 
 # Signal report ------------------------------------------------------------------------

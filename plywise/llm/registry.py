@@ -5,6 +5,7 @@ from __future__ import annotations
 from plywise.llm.common import Query
 from plywise.llm.mixing import op6_mixing
 from plywise.llm.packing import op8_packing
+from plywise.llm.parsing import op7_parsing
 from plywise.llm.quality import op2_quality
 from plywise.llm.sharding import op9_sharding
 from plywise.llm.simhash import op1_simhash
@@ -12,6 +13,6 @@ from plywise.llm.suffixes import op10_suffixes
 from plywise.llm.toxicity import op5_toxicity
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_simhash, op2_quality, op5_toxicity, op6_mixing, op8_packing, op9_sharding, op10_suffixes,
+    op1_simhash, op2_quality, op5_toxicity, op6_mixing, op7_parsing, op8_packing, op9_sharding, op10_suffixes,
 )}
 ORACLE_SQL: dict[str, str] = {}

@@ -55,16 +55,27 @@ def _tokens(column: pa.Array) -> tuple[np.ndarray, ...]:
     return offsets, starts, ends, firsts, (SpanHash(data)(starts, stems) % np.uint64(BUCKETS)).astype(np.int64)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros((2, BUCKETS), np.int64)
-    docs = np.zeros(2, np.int64)
+def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The token buckets of each text, each once."""
     for piece in pieces(batches, "text"):
-        toxic = piece.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)
         _, _, _, firsts, buckets = _tokens(piece.column("text"))
         of = np.repeat(np.arange(piece.num_rows), np.diff(firsts))
         once = np.unique(of * BUCKETS + buckets)
+        ends = np.searchsorted(once, np.arange(piece.num_rows + 1) * BUCKETS)
+        once = (once % BUCKETS).astype(np.int32)
+        bags = pa.array([once[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary())
+        yield pa.RecordBatch.from_arrays([piece.column("doc_id"), bags], names=["doc_id", "bag"])
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros((2, BUCKETS), np.int64)
+    docs = np.zeros(2, np.int64)
+    for piece in pieces(batches, "bag"):
+        toxic = piece.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)
+        offsets, data = raw(piece.column("bag"))
+        buckets, of = data.view(np.int32), np.repeat(np.arange(piece.num_rows), np.diff(offsets) // 4)
         for side in (0, 1):
-            counts[side] += np.bincount((once % BUCKETS)[toxic[once // BUCKETS] == side], minlength=BUCKETS)
+            counts[side] += np.bincount(buckets[toxic[of] == side], minlength=BUCKETS)
         docs += np.bincount(toxic, minlength=2)
     used = np.flatnonzero(counts.any(axis=0))
     yield blobs(used % _SLICES, _SLICES, at=used.astype(np.int32), clean=counts[0, used], toxic=counts[1, used])
@@ -201,7 +212,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from all labelled rows that are not held out. Without any, every text has the probability one half."""
     spark = docs.sparkSession
     known = stored(_labelled(labels))
-    train = docs.select("doc_id", "text").join(known, "doc_id").select("text", "toxic")
+    # Always a sort-merge join: only the texts' token numbers are exchanged, whatever the number of labels.
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    bags = docs.where(~held_out()).select("doc_id", "text").mapInArrow(_bags, f"doc_id {kind}, bag binary")
+    train = bags.join(known.hint("merge"), "doc_id").select("bag", "toxic")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     schema = "bucket int, at binary, clean binary, toxic binary"
     slices = train.mapInArrow(_count, schema).repartition(n, "bucket").mapInArrow(_total, schema).collect()

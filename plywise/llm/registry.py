@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from plywise.llm.common import Query
 from plywise.llm.extraction import op3_extraction
+from plywise.llm.linkgraph import op4_linkgraph
 from plywise.llm.mixing import op6_mixing
 from plywise.llm.packing import op8_packing
 from plywise.llm.parsing import op7_parsing
@@ -14,6 +15,6 @@ from plywise.llm.suffixes import op10_suffixes
 from plywise.llm.toxicity import op5_toxicity
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_simhash, op2_quality, op3_extraction, op5_toxicity, op6_mixing, op7_parsing, op8_packing, op9_sharding, op10_suffixes,
+    op1_simhash, op2_quality, op3_extraction, op4_linkgraph, op5_toxicity, op6_mixing, op7_parsing, op8_packing, op9_sharding, op10_suffixes,
 )}
 ORACLE_SQL: dict[str, str] = {}

@@ -376,7 +376,13 @@ def repeats(keyed: DataFrame, total_bytes: int) -> DataFrame:
 _KEPT = "n_bytes long, n_removed long, n_spans long, kept binary"
 
 
-def _without(batches: Iterator[pa.RecordBatch], columns: list[str], digest: bool) -> Iterator[pa.RecordBatch]:
+def _form(left: bytes, form: str) -> bytes:
+    if form == "sha256":
+        return hashlib.sha256(left).hexdigest().encode()
+    return left.decode("utf-8", "ignore").encode() if form == "text" else left
+
+
+def _without(batches: Iterator[pa.RecordBatch], columns: list[str], form: str) -> Iterator[pa.RecordBatch]:
     for piece in pieces(batches, "text"):
         texts = common.strings(piece.column("text"))
         rows: list[list] = [[], [], [], []]
@@ -387,7 +393,7 @@ def _without(batches: Iterator[pa.RecordBatch], columns: list[str], digest: bool
                 removed, spans, at = removed + stop - lo, spans + 1, stop
             kept.append(text[at:])
             left = b"".join(kept)
-            for k, v in enumerate((len(text), removed, spans, hashlib.sha256(left).hexdigest().encode() if digest else left)):
+            for k, v in enumerate((len(text), removed, spans, _form(left, form))):
                 rows[k].append(v)
         arrays = [pa.array(v, pa.int64()) for v in rows[:3]] + [pa.array(rows[3], pa.binary())]
         yield pa.RecordBatch.from_arrays([*(piece.column(k) for k in columns), *arrays], names=[*columns, *(x.split(" ")[0] for x in _KEPT.split(", "))])
@@ -404,8 +410,10 @@ def _merged(found: list[dict]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in runs]
 
 
-def deduplicated(docs: DataFrame, carried: list[str], digest: bool = False) -> DataFrame:
-    """``carried`` columns, n_bytes, n_removed, n_spans and ``kept``: the bytes left of the text, or their sha256 in hex.
+def deduplicated(docs: DataFrame, carried: list[str], form: str = "bytes") -> DataFrame:
+    """``carried`` columns, n_bytes, n_removed, n_spans and ``kept``: what is left of the text.
+
+    That is ``bytes``, their ``sha256`` in hex, or ``text``, where a character of which a byte is cut goes as a whole.
 
     Strings of ``LENGTH`` bytes that also start earlier are removed, wherever they overlap. Texts are ordered by doc_id,
     null last, then by hash of the text; of rows alike in both, one is the first and the others are its copies. Null
@@ -427,23 +435,23 @@ def deduplicated(docs: DataFrame, carried: list[str], digest: bool = False) -> D
     found = found.groupBy("o", "th").agg(F.collect_list(F.struct("lo", "n")).alias("found"))
     joined = keyed.join(found, ["o", "th"], "left").select("text", "carried", "rows", "found")
     schema = f"carried {keyed.schema['carried'].dataType.simpleString()}, rows long, {_KEPT}"
-    done = joined.mapInArrow(lambda it: _without(it, ["carried", "rows"], digest), schema)
+    done = joined.mapInArrow(lambda it: _without(it, ["carried", "rows"], form), schema)
     if not alone:
-        done = done.withColumn("copy", F.explode(F.expr("sequence(1L, rows)"))).withColumns(_of_copies(digest))
+        done = done.withColumn("copy", F.explode(F.expr("sequence(1L, rows)"))).withColumns(_of_copies(form))
     return done.select("carried.*", "n_bytes", "n_removed", "n_spans", "kept")
 
 
-def _of_copies(digest: bool) -> dict[str, Column]:
+def _of_copies(form: str) -> dict[str, Column]:
     """A row that repeats another in whole loses all its bytes, if a string fits in it; one that was cut itself, too."""
     gone = (F.col("copy") > 1) & (F.col("n_bytes") >= LENGTH)
-    empty = F.lit(hashlib.sha256(b"").hexdigest() if digest else "").cast("binary")
+    empty = F.lit(_form(b"", form).decode()).cast("binary")
     return {"n_removed": F.when(gone, F.col("n_bytes")).otherwise(F.col("n_removed")),
             "n_spans": F.when(gone, F.lit(1).cast("long")).otherwise(F.col("n_spans")),
             "kept": F.when(gone, empty).otherwise(F.col("kept"))}
 
 
 def op10_suffixes(spark: SparkSession, folder: str) -> DataFrame:
-    found = deduplicated(common.table(spark, folder, "documents", "doc_id", "text"), ["doc_id"], digest=True)
+    found = deduplicated(common.table(spark, folder, "documents", "doc_id", "text"), ["doc_id"], "sha256")
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept").cast("string").alias("kept_sha256"))
 
 

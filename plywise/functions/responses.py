@@ -5,8 +5,10 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -40,18 +42,22 @@ def balanced_object(text: str) -> str | None:
     return None
 
 
+def _no_number(name: str) -> None:
+    """NaN and the infinities, which only a lenient parser takes, become null, so the object stays JSON."""
+
+
 def _object_text(text: str | None) -> str | None:
     """'' = JSON of another kind, '!' = an object that is not JSON, NULL = no object."""
     if text is None:
         return None
     try:
-        value = json.loads(text)
+        value = json.loads(text, parse_constant=_no_number)
     except ValueError:
         part = balanced_object(text)
         if part is None:
             return None
         try:
-            value = json.loads(part)
+            value = json.loads(part, parse_constant=_no_number)
         except ValueError:
             return "!"
     return json.dumps(value) if isinstance(value, dict) else ""
@@ -221,3 +227,7 @@ def critic_summaries(df: DataFrame, raw: str = "raw_response") -> DataFrame:
         "blunder_suspected": _typed(value, "$.blunder_suspected", "BOOLEAN").try_cast("boolean"),
         "critic_reason": _typed(value, "$.reason", "STRING"),
     }).drop("_text", "_object", "_object_scan")
+
+
+# Helpers travel with the functions that use them, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

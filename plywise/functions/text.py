@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -141,3 +144,7 @@ def sorted_json(fields: dict[str, object]) -> Column:
 def _json_value(value: Column) -> Column:
     inner = F.to_json(F.array(value), {"ignoreNullFields": "false"})
     return F.regexp_replace(F.substr(inner, F.lit(2), F.char_length(inner) - 2), '","', '", "')
+
+
+# Helpers travel with the functions that use them, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

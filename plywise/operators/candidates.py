@@ -132,8 +132,8 @@ def choose_positions(unique: DataFrame, max_positions: int | None, shuffle_seed:
     return unique.join(seen.orderBy(order).limit(max_positions).select("fen_before"), "fen_before", "left_semi")
 
 
-def cap_candidates(unique: DataFrame, limit: int) -> DataFrame:
-    return top_per_group(unique, ["fen_before"], [F.col("spec_order")], limit)
+def cap_candidates(unique: DataFrame, limit: int | None) -> DataFrame:
+    return unique if limit is None else top_per_group(unique, ["fen_before"], [F.col("spec_order")], limit)
 
 
 def label_candidates(specs: DataFrame, evaluations: DataFrame) -> DataFrame:
@@ -171,7 +171,7 @@ def with_risk_prompt(rows: DataFrame, replies: DataFrame) -> DataFrame:
     return joined.withColumn("prompt", prompts.risk_prompt(values)).drop("_replies")
 
 
-def build_counts(specs: DataFrame, legal_moves: DataFrame, rows: DataFrame, limit: int) -> DataFrame:
+def build_counts(specs: DataFrame, legal_moves: DataFrame, rows: DataFrame, limit: int | None) -> DataFrame:
     """Counters of a build over all positions: (metric, key, n)."""
     legal = legal_specs(specs, legal_moves)
     per_position = unique_specs(legal).groupBy("fen_before").agg(F.count(F.lit(1)).alias("n"))
@@ -180,7 +180,7 @@ def build_counts(specs: DataFrame, legal_moves: DataFrame, rows: DataFrame, limi
     shape = per_position.agg(
         F.count(F.lit(1)).alias("positions_seen"),
         F.coalesce(F.sum("n"), F.lit(0)).alias("unique_specs"),
-        F.coalesce(F.sum(F.greatest(F.col("n") - limit, F.lit(0))), F.lit(0)).alias("over"),
+        F.coalesce(F.sum(F.lit(0).cast("long") if limit is None else F.greatest(F.col("n") - limit, F.lit(0))), F.lit(0)).alias("over"),
     )
     one = seen.select(F.lit(1).alias("_k"), "*").join(kept.select(F.lit(1).alias("_k"), "*"), "_k").join(
         shape.select(F.lit(1).alias("_k"), "*"), "_k"

@@ -64,7 +64,7 @@ def gate_positions(best: DataFrame, min_candidates: int, require_mixed: bool) ->
 def choice_rows(
     rows: DataFrame,
     min_candidates: int = 2,
-    max_candidates: int = 8,
+    max_candidates: int | None = None,
     require_mixed: bool = True,
     max_positions: int | None = None,
     order: str = "seq",
@@ -72,20 +72,22 @@ def choice_rows(
 ) -> DataFrame:
     """One multiple-choice row per position that passes the gate.
 
-    The list of a position is cut to ``max_candidates`` before it is gathered, so the gathered
-    group is bounded by that parameter.
+    With ``max_candidates`` the list of a position is cut to the best before it is gathered; without,
+    it holds all moves of the position.
     """
     best = best_candidates(rows, order)
     kept = gate_positions(best, min_candidates, require_mixed).where(F.col("dropped").isNull()).select("fen", "n")
     facts = position_facts(rows, order)
     rank = [F.desc("c.score"), labels.cpl_key(F.col("c.centipawn_loss")).desc(),
             labels.generator_rank_key(F.col("c.candidate_rank_in_generator")).desc(), F.asc("first_seq")]
-    top = top_per_group(best, ["fen"], rank, max_candidates, "place")
     shown = F.struct(F.sha2(F.concat_ws("|", "fen", "c.uci"), 256).alias("h"), "c")
-    lists = top.groupBy("fen").agg(
-        F.array_sort(F.collect_list(shown)).alias("shown"),
-        F.max(F.when(F.col("place") == 1, F.col("c"))).alias("target"),
-    )
+    if max_candidates is None:
+        better = F.struct(*[F.col("c.score").alias("k0"), labels.cpl_key(F.col("c.centipawn_loss")).alias("k1"),
+                            labels.generator_rank_key(F.col("c.candidate_rank_in_generator")).alias("k2"), (-F.col("first_seq")).alias("k3")])
+        top, target = best, F.max_by("c", better)
+    else:
+        top, target = top_per_group(best, ["fen"], rank, max_candidates, "place"), F.max(F.when(F.col("place") == 1, F.col("c")))
+    lists = top.groupBy("fen").agg(F.array_sort(F.collect_list(shown)).alias("shown"), target.alias("target"))
     out = (
         lists.join(kept, "fen").join(facts, "fen")
         .withColumn("candidates", F.transform("shown", lambda s: s["c"]))
@@ -112,10 +114,10 @@ def _finish(df: DataFrame, prompt, split: Column | None = None) -> DataFrame:
     return df.withColumns(extra).drop("target")
 
 
-def choice_drops(rows: DataFrame, min_candidates: int, max_candidates: int, require_mixed: bool, order: str = "seq") -> DataFrame:
+def choice_drops(rows: DataFrame, min_candidates: int, max_candidates: int | None, require_mixed: bool, order: str = "seq") -> DataFrame:
     """Counters of the gate and the cap: (metric, key, n)."""
     gate = gate_positions(best_candidates(rows, order), min_candidates, require_mixed)
-    surplus = F.greatest(F.col("n") - max_candidates, F.lit(0))
+    surplus = F.lit(0).cast("long") if max_candidates is None else F.greatest(F.col("n") - max_candidates, F.lit(0))
     one = gate.agg(
         F.count(F.lit(1)).alias("positions_seen"),
         count_if(F.col("dropped").isNull()).alias("positions_written"),
@@ -201,7 +203,7 @@ def _edge_levels(levels: DataFrame, min_gap: int, keep: int) -> DataFrame:
     return grid.withColumn("above", above).where(F.col("above") < keep).select("fen", "safe_cpl", "unsafe_cpl")
 
 
-def candidate_pairs(rows: DataFrame, pairs_per_position: int = 4, min_gap: int = 100, order: str = "seq") -> DataFrame:
+def candidate_pairs(rows: DataFrame, pairs_per_position: int, min_gap: int = 100, order: str = "seq") -> DataFrame:
     """The widest safe-against-unsafe pairs of every position, ranked.
 
     Only loss levels that can reach the top are joined: levels are counted first, so the number
@@ -238,7 +240,7 @@ def candidate_pairs(rows: DataFrame, pairs_per_position: int = 4, min_gap: int =
 
 def pair_rows(
     rows: DataFrame,
-    pairs_per_position: int = 4,
+    pairs_per_position: int,
     min_gap: int = 100,
     max_positions: int | None = None,
     max_examples: int | None = None,

@@ -116,10 +116,11 @@ def funnel_stats(games: DataFrame, split: str = "split", written: str = "written
     return flat.unionByName(counters(games, {"skipped_games": reason}))
 
 
-def example_rows(games: DataFrame, max_per_game: int) -> DataFrame:
+def example_rows(games: DataFrame, max_per_game: int | None = None) -> DataFrame:
     """Examples of games given as ordered move arrays (structs fen, san, uci): sampled moves
-    with the game's split. With ``max_per_game`` at least the length, every position is kept."""
-    picked = games.withColumn("i", F.explode(evenly_spaced(F.size("moves"), max_per_game)))
+    with the game's split. Without ``max_per_game`` every position is one."""
+    indices = evenly_spaced(F.size("moves"), F.size("moves") if max_per_game is None else max_per_game)
+    picked = games.withColumn("i", F.explode(indices))
     here = F.element_at("moves", F.col("i") + 1)
     return picked.select(
         *[c for c in games.columns if c != "moves"], (F.col("i") + 1).alias("ply"),

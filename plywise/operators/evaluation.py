@@ -393,7 +393,7 @@ def reward_batches(samples: DataFrame) -> DataFrame:
     return counts.select("*", *[rate(F.col(c), n).alias(f"{c}_fraction") for c in ("malformed", "illegal", "legal")])
 
 
-def reward_log(samples: DataFrame, stats: DataFrame, first: int = 5) -> DataFrame:
+def reward_log(samples: DataFrame, stats: DataFrame, first: int) -> DataFrame:
     """Batch statistics with the first samples of each batch as one JSON line."""
     head = top_per_group(samples, ["batch"], [F.asc("idx")], first)
     fields = ("reward", "parse_ok", "legal_ok", "parsed_move", "centipawn_loss", "best_move_uci", "classification")

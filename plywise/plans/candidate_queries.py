@@ -15,6 +15,7 @@ from plywise.plans.registry import query
 from plywise.plans.sqltext import judged_sql, mean2
 from plywise.sources.records import external_candidates
 
+# The capped variants keep so many candidates of a position; the others keep all.
 CAP = 3
 
 # Labels -----------------------------------------------------------------------------
@@ -99,7 +100,12 @@ def candidate_specs(fx: Fixtures) -> DataFrame:
 
 @query("unique_candidate_specs", judged_sql(_SPEC_VIEWS, f"SELECT {_SPEC_COLUMNS} FROM uniq", {"specs": _SPECS, "uniq": _UNIQUE}))
 def unique_candidate_specs(fx: Fixtures) -> DataFrame:
-    return ops.unique_specs(ops.legal_specs(all_specs(fx), fx.legal_moves)).drop("spec_order")
+    return unique_legal(fx).drop("spec_order")
+
+
+def unique_legal(fx: Fixtures) -> DataFrame:
+    """The first spec of every legal (position, move). Legality is a matter of that key alone, so repeats go first."""
+    return ops.legal_specs(ops.unique_specs(all_specs(fx)), fx.legal_moves)
 
 
 _CAPPED = f"""
@@ -107,19 +113,31 @@ SELECT * FROM (SELECT u.*, row_number() OVER (PARTITION BY fen_before ORDER BY s
 WHERE place <= {CAP}"""
 
 
-@query("candidate_rows", judged_sql(_SPEC_VIEWS, """
+_CANDIDATE_ROWS = """
 SELECT c.fen_before, c.candidate_uci, c.source, l.risk, l.score, l.reason_type, l.split,
   concat('{"risk":"', l.risk, '","blunder":', CASE WHEN l.risk = 'blunder' THEN 'true' ELSE 'false' END, ',"score":', l.score,
          ',"reason_type":"', l.reason_type, '"}') AS target
-FROM capped c JOIN labelled l USING (fen_before, candidate_uci)
-WHERE l.seq = (SELECT min(seq) FROM candidates k WHERE k.fen_before = l.fen_before AND k.candidate_uci = l.candidate_uci)""",
-    {"specs": _SPECS, "uniq": _UNIQUE, "capped": _CAPPED, "labelled": _LABELLED}))
-def candidate_rows(fx: Fixtures) -> DataFrame:
-    unique = ops.unique_specs(ops.legal_specs(all_specs(fx), fx.legal_moves))
+FROM {chosen} c JOIN labelled l USING (fen_before, candidate_uci)
+WHERE l.seq = (SELECT min(seq) FROM candidates k WHERE k.fen_before = l.fen_before AND k.candidate_uci = l.candidate_uci)"""
+_ROW_CTES = {"specs": _SPECS, "uniq": _UNIQUE, "capped": _CAPPED, "labelled": _LABELLED}
+
+
+def labelled_specs(fx: Fixtures, cap: int | None) -> DataFrame:
     known = ops.first_per_key(
         fx.candidates.select("fen_before", "candidate_uci", "centipawn_loss", "classification", "best_move_uci", "seq"),
         ["fen_before", "candidate_uci"], ["seq"])
-    return ops.label_candidates(ops.cap_candidates(unique, CAP), known.drop("seq")).select(
+    return ops.label_candidates(ops.cap_candidates(unique_legal(fx), cap), known.drop("seq"))
+
+
+@query("candidate_rows", judged_sql(_SPEC_VIEWS, _CANDIDATE_ROWS.replace("{chosen}", "uniq"), _ROW_CTES))
+def candidate_rows(fx: Fixtures) -> DataFrame:
+    return labelled_specs(fx, None).select(
+        "fen_before", "candidate_uci", "source", "risk", "score", "reason_type", "split", "target")
+
+
+@query("candidate_rows_capped", judged_sql(_SPEC_VIEWS, _CANDIDATE_ROWS.replace("{chosen}", "capped"), _ROW_CTES))
+def candidate_rows_capped(fx: Fixtures) -> DataFrame:
+    return labelled_specs(fx, CAP).select(
         "fen_before", "candidate_uci", "source", "risk", "score", "reason_type", "split", "target")
 
 
@@ -128,16 +146,14 @@ SELECT 'candidates_seen' AS metric, '' AS key, count(*) AS n FROM specs
 UNION ALL SELECT 'dropped_illegal_candidate', '', count(*) FILTER (fen IS NULL) FROM specs LEFT JOIN legal_moves ON fen = fen_before AND uci = candidate_uci
 UNION ALL SELECT 'dropped_duplicate_candidate', '', count(fen) - (SELECT count(*) FROM uniq) FROM specs LEFT JOIN legal_moves ON fen = fen_before AND uci = candidate_uci
 UNION ALL SELECT 'dropped_candidate_limit', '', (SELECT count(*) FROM uniq) - (SELECT count(*) FROM capped)
+UNION ALL SELECT 'by_risk', risk, count(*) FROM capped JOIN (SELECT fen_before, candidate_uci, arg_min(risk, seq) AS risk FROM labelled GROUP BY 1, 2) USING (fen_before, candidate_uci) GROUP BY 2
 UNION ALL SELECT 'positions_seen', '', count(DISTINCT fen_before) FROM uniq
 UNION ALL SELECT 'rows_written', '', count(*) FROM capped
 UNION ALL SELECT 'by_source', source, count(*) FROM capped GROUP BY 2
 UNION ALL SELECT 'by_split', CASE CAST('0x' || substr(sha256(fen_before), 1, 2) AS INT) % 10 WHEN 0 THEN 'validation' WHEN 1 THEN 'test' ELSE 'train' END, count(*) FROM capped GROUP BY 2""",
-    {"specs": _SPECS, "uniq": _UNIQUE, "capped": _CAPPED}))
+    _ROW_CTES))
 def candidate_build_counts(fx: Fixtures) -> DataFrame:
-    specs = all_specs(fx)
-    rows = ops.cap_candidates(ops.unique_specs(ops.legal_specs(specs, fx.legal_moves)), CAP).withColumns({
-        "split": labels.position_split(F.col("fen_before")), "risk": F.lit(None).cast("string")})
-    return ops.build_counts(specs, fx.legal_moves, rows, CAP)
+    return ops.build_counts(all_specs(fx), fx.legal_moves, labelled_specs(fx, CAP), CAP)
 
 
 @query("first_seen_positions", judged_sql(_SPEC_VIEWS, f"""
@@ -238,22 +254,23 @@ _GATE = """
 SELECT fen, count(*) AS n, CASE WHEN count(*) < 2 THEN 'too_few_candidates'
   WHEN NOT (bool_or(risk IN ('good', 'playable')) AND bool_or(risk IN ('mistake', 'blunder'))) THEN 'no_mixed_risk' END AS dropped
 FROM best GROUP BY 1"""
-_CHOICES = f"""
+_CHOICES = """
 SELECT fen, side_to_move, position_seq, CAST(count(*) AS INT) AS candidate_count, list(uci ORDER BY h) AS ucis,
-  list({{'uci': uci, 'san': san, 'risk': risk, 'score': score, 'cpl': cpl, 'k1': k1, 'k2': k2, 'k3': k3}} ORDER BY h) AS cands,
+  list({'uci': uci, 'san': san, 'risk': risk, 'score': score, 'cpl': cpl, 'k1': k1, 'k2': k2, 'k3': k3} ORDER BY h) AS cands,
   arg_min(uci, place) AS target_move, arg_min(risk, place) AS target_risk, arg_min(score, place) AS target_score,
   max(cpl) FILTER (place = 1) AS target_centipawn_loss
 FROM (SELECT b.*, sha256(fen || '|' || uci) AS h, row_number() OVER (PARTITION BY fen ORDER BY k1 DESC, k2 DESC, k3 DESC, first_seq) AS place
       FROM best b WHERE fen IN (SELECT fen FROM gate WHERE dropped IS NULL)) x JOIN facts USING (fen)
-WHERE place <= {CAP} GROUP BY 1, 2, 3"""
-CHOICE_CTES = {"best": _BEST, "facts": _FACTS, "gate": _GATE, "choices": _CHOICES}
+{cut} GROUP BY 1, 2, 3"""
+CHOICE_CTES = {"best": _BEST, "facts": _FACTS, "gate": _GATE, "choices": _CHOICES.replace("{cut}", "")}
+CAPPED_CTES = {**CHOICE_CTES, "choices": _CHOICES.replace("{cut}", f"WHERE place <= {CAP}")}
 
 
-def choice_set(fx: Fixtures, with_prompt: bool = False) -> DataFrame:
-    return choices.choice_rows(labelled(fx), max_candidates=CAP, with_prompt=with_prompt)
+def choice_set(fx: Fixtures, with_prompt: bool = False, cap: int | None = None) -> DataFrame:
+    return choices.choice_rows(labelled(fx), max_candidates=cap, with_prompt=with_prompt)
 
 
-@query("choice_rows", labelled_sql("""
+_CHOICE_ROWS = """
 SELECT fen, side_to_move, candidate_count, array_to_string(ucis, ',') AS shown, target_move, target_risk, target_score, target_centipawn_loss,
   CAST(list_position(ucis, target_move) AS INT) AS target_prompt_index,
   CASE CAST('0x' || substr(sha256(fen), 1, 2) AS INT) % 10 WHEN 0 THEN 'validation' WHEN 1 THEN 'test' ELSE 'train' END AS split,
@@ -261,13 +278,25 @@ SELECT fen, side_to_move, candidate_count, array_to_string(ucis, ',') AS shown,
     side_to_move || chr(10) || chr(10) || 'Candidate moves:' || chr(10) ||
     array_to_string([i || '. ' || cands[i].uci || ' (' || cands[i].san || ')' FOR i IN range(1, candidate_count + 1)], chr(10)) || chr(10) || chr(10) ||
     'Choose the best move from the candidate list.' || chr(10) || 'Return JSON only:' || chr(10) || '{"move":"<uci>"}') AS prompt_hash
-FROM choices""", CHOICE_CTES))
-def choice_rows(fx: Fixtures) -> DataFrame:
-    return choice_set(fx, with_prompt=True).select(
+FROM choices"""
+
+
+def _shown_choices(rows: DataFrame) -> DataFrame:
+    return rows.select(
         "fen", "side_to_move", "candidate_count", F.array_join("candidates.uci", ",").alias("shown"), "target_move", "target_risk",
         "target_score", "target_centipawn_loss", "target_prompt_index", "split", F.sha2("prompt", 256).alias("prompt_hash"))
 
 
+@query("choice_rows", labelled_sql(_CHOICE_ROWS, CHOICE_CTES))
+def choice_rows(fx: Fixtures) -> DataFrame:
+    return _shown_choices(choice_set(fx, with_prompt=True))
+
+
+@query("choice_rows_capped", labelled_sql(_CHOICE_ROWS, CAPPED_CTES))
+def choice_rows_capped(fx: Fixtures) -> DataFrame:
+    return _shown_choices(choice_set(fx, with_prompt=True, cap=CAP))
+
+
 @query("choice_counts", labelled_sql(f"""
 SELECT 'positions_seen' AS metric, '' AS key, count(*) AS n FROM gate
 UNION ALL SELECT 'positions_written', '', count(*) FROM choices
@@ -276,9 +305,9 @@ UNION ALL SELECT 'dropped_no_mixed_risk', '', count(*) FROM gate WHERE dropped =
 UNION ALL SELECT 'dropped_candidate_limit', '', CAST(sum(greatest(n - {CAP}, 0)) AS BIGINT) FROM gate WHERE dropped IS NULL
 UNION ALL SELECT 'by_target_risk', target_risk, count(*) FROM choices GROUP BY 2
 UNION ALL SELECT 'by_candidate_count', candidate_count::VARCHAR, count(*) FROM choices GROUP BY 2
-UNION ALL SELECT 'by_target_prompt_index', list_position(ucis, target_move)::VARCHAR, count(*) FROM choices GROUP BY 2""", CHOICE_CTES))
+UNION ALL SELECT 'by_target_prompt_index', list_position(ucis, target_move)::VARCHAR, count(*) FROM choices GROUP BY 2""", CAPPED_CTES))
 def choice_counts(fx: Fixtures) -> DataFrame:
-    written = counters(choice_set(fx), {
+    written = counters(choice_set(fx, cap=CAP), {
         "by_target_risk": F.col("target_risk"), "by_candidate_count": F.col("candidate_count"),
         "by_target_prompt_index": F.col("target_prompt_index")})
     return choices.choice_drops(labelled(fx), 2, CAP, True).unionByName(written)
@@ -304,7 +333,7 @@ SELECT fen, CAST(pair_index AS INT) AS pair_index, side_to_move, CASE WHEN {_SHO
   least(b.risk, w.risk) || '->' || greatest(b.risk, w.risk) AS pair_risks, CAST(gap AS INT) AS pair_cpl_gap
 FROM pairs JOIN facts USING (fen) WHERE pair_index < 4""", {"best": _BEST, "facts": _FACTS, "pairs": _PAIRS}))
 def pair_rows(fx: Fixtures) -> DataFrame:
-    return choices.pair_rows(labelled(fx), with_prompt=False).select(
+    return choices.pair_rows(labelled(fx), 4, with_prompt=False).select(
         "fen", "pair_index", "side_to_move", F.array_join("candidates.uci", ",").alias("shown"), "target_move", "target_risk",
         "target_score", "target_centipawn_loss", "target_prompt_index", "pair_risks", "pair_cpl_gap")
 
@@ -327,7 +356,7 @@ def pair_counts(fx: Fixtures) -> DataFrame:
 SELECT fen, CAST(pair_index AS INT) AS pair_index, b.uci AS target_move FROM pairs JOIN facts USING (fen) WHERE pair_index < 4
 ORDER BY position_seq, pair_index LIMIT 1000""", {"best": _BEST, "facts": _FACTS, "pairs": _PAIRS}))
 def first_pair_examples(fx: Fixtures) -> DataFrame:
-    return choices.pair_rows(labelled(fx), max_examples=1000, with_prompt=False).select("fen", "pair_index", "target_move")
+    return choices.pair_rows(labelled(fx), 4, max_examples=1000, with_prompt=False).select("fen", "pair_index", "target_move")
 
 
 # Comparisons --------------------------------------------------------------------------

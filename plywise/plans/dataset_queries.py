@@ -153,7 +153,7 @@ def evenly_spaced_positions(fx: Fixtures) -> DataFrame:
     return sizes.select("game_id", F.array_join(picks.cast("array<string>"), ",").alias("picks"))
 
 
-def examples(fx: Fixtures, max_per_game: int = 1_000_000) -> DataFrame:
+def examples(fx: Fixtures, max_per_game: int | None = None) -> DataFrame:
     arrays = fx.moves.groupBy("game_id").agg(F.transform(
         F.array_sort(F.collect_list(F.struct("ply", F.struct(F.col("fen_before").alias("fen"), F.col("accepted_san").alias("san"), F.col("accepted_uci").alias("uci")).alias("m")))),
         lambda x: x["m"]).alias("moves"))
@@ -542,10 +542,10 @@ def split_sink_round_trip(fx: Fixtures) -> DataFrame:
 
 @query("summary_store_replace", summary_sql("SELECT summary_id, run_id, games_played, wins, round(avg_cpl, 6) AS avg_cpl FROM summary"))
 def summary_store_replace(fx: Fixtures) -> DataFrame:
-    """Write all summaries, then replace one run's partition with the same rows."""
+    """Write all summaries, those of one run with a wrong number, then replace that run's partition."""
     path = _scratch(fx, "summaries")
     rows = summary(fx).select("summary_id", "run_id", "games_played", "wins", "avg_cpl")
-    records.replace_summaries(rows, path)
-    one_run = fx.spark.read.parquet(path).where("run_id = 10")
-    records.replace_summaries(one_run, path, run_id=10)
+    wrong = F.when(F.col("run_id") == 10, F.col("games_played") + 1).otherwise(F.col("games_played"))
+    records.replace_summaries(rows.withColumn("games_played", wrong), path)
+    records.replace_summaries(rows.where("run_id = 10"), path, only_given_runs=True)
     return rounded(fx.spark.read.parquet(path).select("summary_id", F.col("run_id").cast("long").alias("run_id"), "games_played", "wins", "avg_cpl"))

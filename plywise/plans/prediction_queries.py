@@ -198,13 +198,13 @@ SELECT a.attempt_id, a.game_id, a.ply, m.move_id, m.fen_before AS fen, m.accepte
   CASE WHEN a.parse_ok AND l.uci IS NOT NULL THEN e.centipawn_loss END AS centipawn_loss,
   CASE WHEN NOT a.parse_ok THEN 'malformed' WHEN l.uci IS NULL THEN 'illegal' ELSE coalesce(e.classification, 'unknown') END AS classification, e.best_move_uci
 FROM attempts a JOIN moves m USING (game_id, ply) LEFT JOIN legal_moves l ON l.fen = m.fen_before AND l.uci = a.parsed_move
-LEFT JOIN evaluations e ON e.move_id = m.move_id WHERE a.attempt_number = 1"""
+LEFT JOIN evaluations e ON e.move_id = m.move_id"""
 _PREDICTION_VIEWS = ["attempts", "moves", "legal_moves"]
 
 
 def predictions(fx: Fixtures) -> DataFrame:
-    """First attempts as predictions of the accepted move, with legality and engine labels."""
-    first = fx.attempts.where("attempt_number = 1").select("attempt_id", "game_id", "ply", "parsed_move", "parse_ok")
+    """All attempts as predictions of the accepted move, with legality and engine labels."""
+    first = fx.attempts.select("attempt_id", "game_id", "ply", "parsed_move", "parse_ok")
     moves = fx.moves.select("move_id", "game_id", "ply", F.col("fen_before").alias("fen"), F.col("accepted_uci").alias("target_move"),
                             ((F.col("l_linestatus") == "F") & (F.col("ply") == 7)).alias("service_error"))
     rows = ops.with_legality(first.join(moves, ["game_id", "ply"]), fx.legal_moves).withColumn("legal_ok", F.col("parse_ok") & F.col("legal_ok"))
@@ -335,7 +335,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY attempt_id) AS nt
 WHERE nth <= 5 GROUP BY 1, 2"""))
 def reward_log_heads(fx: Fixtures) -> DataFrame:
     samples = reward_samples(fx).withColumn("parsed_move", F.concat_ws(":", F.col("idx").cast("string"), F.coalesce("parsed_move", F.lit("-"))))
-    log = ops.reward_log(samples, ops.reward_batches(samples))
+    log = ops.reward_log(samples, ops.reward_batches(samples), 5)
     schema = "examples BIGINT, samples ARRAY<STRUCT<parsed_move: STRING, classification: STRING>>"
     parsed = log.select("batch", F.from_json("value", schema).alias("r"))
     line = F.transform("r.samples", lambda s: F.concat_ws(":", s["parsed_move"], s["classification"]))

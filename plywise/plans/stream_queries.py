@@ -36,7 +36,7 @@ def game_stream(fx: Fixtures) -> DataFrame:
 SELECT game_id, run_id, result FROM games ORDER BY started_at DESC, game_id DESC LIMIT 20"""))
 def live_newest_games(fx: Fixtures) -> DataFrame:
     table, progress = _folders(fx, "newest")
-    live.latest_games(game_stream(fx), table, progress)
+    live.latest_games(game_stream(fx), table, progress, 20)
     return live.read_latest(fx.spark, table).select("game_id", "run_id", "result")
 
 
@@ -58,7 +58,7 @@ def live_match_progress(fx: Fixtures) -> DataFrame:
     table, progress = _folders(fx, "progress")
     live.match_progress(game_stream(fx), table, progress)
     requested = fx.runs.select("run_id", (F.col("run_id") * 20).alias("games_requested"))
-    return live.progress_status(live.read_latest(fx.spark, table), requested)
+    return live.progress_status(live.progress_counts(live.read_latest(fx.spark, table)), requested)
 
 
 @query("live_summary_rebuild", summary_sql("""

@@ -89,14 +89,19 @@ def external_candidates(lines: DataFrame, text: str = "value") -> DataFrame:
 
 
 def read_prediction_files(spark: SparkSession, paths: Sequence[str], schema: str) -> DataFrame:
-    """Prediction files in the given order, each row labelled with its file stem."""
+    """Prediction files in the given order, each row labelled with its file stem.
+
+    Rows of a folder stand in the order of its files' names, blocks and rows (``line_ord``); Spark packs files into
+    tasks by size, so the place of a task says nothing.
+    """
     out: DataFrame | None = None
     for order, path in enumerate(paths):
         part = spark.read.schema(schema).json(path).select(
             "*",
             F.lit(PurePosixPath(path).stem).alias("gate_source"),
             F.lit(order).alias("file_ord"),
-            F.monotonically_increasing_id().alias("line_ord"),
+            F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+                     F.monotonically_increasing_id().alias("row")).alias("line_ord"),
         )
         out = part if out is None else out.unionByName(part)
     if out is None:
@@ -152,8 +157,8 @@ def write_sidecar(config: Mapping[str, object], stats: DataFrame, path: str, lab
     sidecar(config, stats, label).coalesce(1).write.mode("overwrite").text(path)
 
 
-def replace_summaries(summaries: DataFrame, path: str, run_id: int | None = None) -> None:
-    """Replace the stored summaries: all of them, or only the partitions of one run."""
+def replace_summaries(summaries: DataFrame, path: str, only_given_runs: bool = False) -> None:
+    """Replace the stored summaries: all of them, or only those of the runs that ``summaries`` holds."""
     writer = summaries.write.partitionBy("run_id").mode("overwrite")
-    scope = "static" if run_id is None else "dynamic"
+    scope = "dynamic" if only_given_runs else "static"
     writer.option("partitionOverwriteMode", scope).parquet(path)

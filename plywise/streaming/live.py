@@ -42,7 +42,7 @@ def latest_state(versions: DataFrame, key: str, version: str) -> DataFrame:
     return last_per_key(versions, [key], [version])
 
 
-def latest_games(stream: DataFrame, target: str, checkpoint: str, limit: int = 20) -> None:
+def latest_games(stream: DataFrame, target: str, checkpoint: str, limit: int) -> None:
     """Keep the newest games: each batch is merged with the stored top and cut again.
 
     A batch writes its own folder and later batches read the last complete one, so a repeated
@@ -70,20 +70,26 @@ def read_latest(spark: SparkSession, target: str) -> DataFrame:
 
 
 def match_progress(stream: DataFrame, target: str, checkpoint: str) -> None:
-    """Finished and started games per run, added up over batches."""
+    """Finished and started games per run: the latest state of every game is kept, then counted.
 
-    def add(batch: DataFrame, batch_id: int) -> None:
+    An update of a game is a second row of it, so the stored states are one row per game; a game that has
+    finished stays finished. Each batch writes the states it changes to the next table. ``stream(game_id, run_id, result)``.
+    """
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        counts = batch.groupBy("run_id").agg(
-            F.count(F.lit(1)).alias("games_started"),
-            F.count(F.when(F.col("result") != "*", 1)).alias("games_completed"),
-        )
+        rows = batch.select("game_id", "run_id", (F.col("result") != "*").alias("done"))
         if batch_id > 0:
-            counts = counts.unionByName(spark.read.schema(counts.schema).parquet(f"{target}/batch={batch_id - 1}"))
-        total = counts.groupBy("run_id").agg(F.sum("games_started").alias("games_started"), F.sum("games_completed").alias("games_completed"))
-        total.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+            rows = rows.unionByName(spark.read.schema(rows.schema).parquet(f"{target}/batch={batch_id - 1}"))
+        states = rows.groupBy("game_id").agg(F.max("run_id").alias("run_id"), F.coalesce(F.bool_or("done"), F.lit(False)).alias("done"))
+        states.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+
+    _run(stream, merge, checkpoint)
+
 
-    _run(stream, add, checkpoint)
+def progress_counts(states: DataFrame) -> DataFrame:
+    """Started and finished games of every run, from the latest states."""
+    return states.groupBy("run_id").agg(F.count(F.lit(1)).alias("games_started"), F.count_if("done").alias("games_completed"))
 
 
 def progress_status(progress: DataFrame, requested: DataFrame) -> DataFrame:
@@ -105,7 +111,7 @@ def rebuild_summaries(stream: DataFrame, summarize: Callable[[DataFrame], DataFr
 
     def rebuild(batch: DataFrame, batch_id: int) -> None:
         affected = batch.select("run_id").where(F.col("run_id").isNotNull()).distinct()
-        replace_summaries(summarize(affected), target, run_id=-1)
+        replace_summaries(summarize(affected), target, only_given_runs=True)
 
     _run(stream, rebuild, checkpoint)
 

@@ -73,7 +73,7 @@ def test_pairs_equal_brute_force_with_a_hot_position(spark):
 
 def test_comparisons_votes_and_report(spark):
     df = frame(spark, CHOICES[:3])
-    choice = choices.choice_rows(df).withColumn("choice_index", F.lit(0).cast("long"))
+    choice = choices.choice_rows(df, max_candidates=8).withColumn("choice_index", F.lit(0).cast("long"))
     pairs = choices.comparison_rows(choice)
     assert pairs.count() == 3
     preds = pairs.withColumns({"parsed_move": F.when(F.array_contains("pair_moves", "g1f3"), "g1f3").otherwise("zz"), "parse_ok": F.lit(True), "legal_ok": F.lit(True)})
@@ -85,7 +85,7 @@ def test_comparisons_votes_and_report(spark):
 
 
 def test_hard_cases(spark):
-    choice = choices.choice_rows(frame(spark, CHOICES[:3])).withColumn("example_index", F.lit(0).cast("long"))
+    choice = choices.choice_rows(frame(spark, CHOICES[:3]), max_candidates=8).withColumn("example_index", F.lit(0).cast("long"))
     preds = spark.createDataFrame([(0, "f2f3", True, True)], "example_index long, parsed_move string, parse_ok boolean, legal_ok boolean")
     judged = evaluation.judged(evaluation.zip_predictions(choice, preds), "parsed_move")
     case = evaluation.hard_cases(judged, 5).first()

@@ -51,3 +51,8 @@ def test_candidate_list_and_pair_decision(spark):
     pairs = spark.createDataFrame([(1, "a", "b", '{"move":"B"}'), (2, "a", "b", '{"move":"c"}'), (3, "a", "b", "?")], "i int, l string, r string, raw_response string")
     out = responses.pair_decisions(pairs, "l", "r").orderBy("i").select("selected_uci", "candidate_ok", "fallback_reason").collect()
     assert [tuple(r) for r in out] == [("b", True, None), ("a", False, "parsed_move_not_pair_candidate"), ("a", False, "malformed_json")]
+
+
+def test_object_with_a_number_that_is_none(spark):
+    df = spark.createDataFrame([('{"move":"e2e4","x":NaN}',), ('so {"move":"e2e4","x":[-Infinity]} it is',)], "raw_response string")
+    assert [(r.parse_ok, r.move) for r in responses.validated_moves(df).collect()] == [(True, "e2e4")] * 2

@@ -135,3 +135,12 @@ def test_mining_guards(spark):
         datasets.mined_errors(None, None, None, None, run_ids=None, blunders=False, mate_missed=False, high_mistakes=False)
     with pytest.raises(ValueError):
         datasets.mined_errors(None, None, None, None, run_ids=[])
+
+
+def test_prediction_folder_keeps_file_order(spark, tmp_path):
+    folder = tmp_path / "parts"
+    folder.mkdir()
+    (folder / "part-0.jsonl").write_text('{"fen":"a"}\n')
+    (folder / "part-1.jsonl").write_text("".join(f'{{"fen":"b{i:04d}"}}\n' for i in range(2000)))
+    df = records.read_prediction_files(spark, [str(folder)], "fen STRING")
+    assert [r.fen for r in df.orderBy("file_ord", "line_ord").collect()] == ["a", *(f"b{i:04d}" for i in range(2000))]

@@ -63,12 +63,12 @@ def test_streams_over_several_batches_equal_batch(spark, tmp_path):
     stream = lambda: live.stream_files(spark, folder, games.schema, per_batch=2)
     new = lambda: (str(tmp_path / uuid.uuid4().hex), str(tmp_path / uuid.uuid4().hex))
     table, progress = new()
-    live.latest_games(stream(), table, progress)
+    live.latest_games(stream(), table, progress, 20)
     expected = [r.game_id for r in summaries.newest_games(games, 20).collect()]
     assert sorted(r.game_id for r in live.read_latest(spark, table).collect()) == sorted(expected)
     table, progress = new()
     live.match_progress(stream(), table, progress)
-    counts = {r.run_id: (r.games_started, r.games_completed) for r in live.read_latest(spark, table).collect()}
+    counts = {r.run_id: (r.games_started, r.games_completed) for r in live.progress_counts(live.read_latest(spark, table)).collect()}
     batch = {r.run_id: (r.n, r.done) for r in games.groupBy("run_id").agg(F.count("*").alias("n"), F.count(F.when(F.col("result") != "*", 1)).alias("done")).collect()}
     assert counts == batch
     table, progress = new()
@@ -91,3 +91,13 @@ def test_cache_grows_over_batches(spark, tmp_path):
     live.grow_cache(live.stream_files(spark, folder, requests.schema, per_batch=1), seed, judged, table, progress)
     grown = spark.read.parquet(table)
     assert grown.count() == grown.select("key").distinct().count() == 29
+
+
+def test_updated_game_is_counted_once(spark, tmp_path):
+    rows = lambda result: spark.createDataFrame([(1, 7, result), (2, 7, "*")], "game_id long, run_id long, result string")
+    folder, table, progress = (str(tmp_path / n) for n in ("landed", "states", "progress"))
+    for result in ("*", "1-0"):
+        rows(result).coalesce(1).write.mode("append").parquet(folder)
+    live.match_progress(live.stream_files(spark, folder, rows("*").schema, per_batch=1), table, progress)
+    counts = live.progress_counts(live.read_latest(spark, table)).collect()
+    assert [(r.run_id, r.games_started, r.games_completed) for r in counts] == [(7, 2, 1)]

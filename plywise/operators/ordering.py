@@ -42,12 +42,13 @@ def with_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
 def running_total(df: DataFrame, order: str, value: str, name: str, width: int = 1 << 16) -> DataFrame:
     """Sum of ``value`` over all rows with a smaller ``order`` (a unique, non-negative long).
 
-    Two levels: totals per block of ``width`` order values, then a window inside each block.
-    Only the block totals (one row per block) meet in one task.
+    Three levels: rows in blocks of ``width`` order values, blocks in groups of ``width``, and the groups, of
+    which one task sees one row for each ``width`` squared order values.
     """
-    block = F.floor(F.col(order) / F.lit(width)).cast("long")
-    blocked = df.withColumn("_block", block)
-    return _prefix(blocked, ["_block"], [F.col(order)], F.col(value), name)
+    blocked = df.withColumn("_block", F.expr(f"{order} div {width}"))
+    totals = blocked.groupBy("_block").agg(F.sum(value).alias("_total")).withColumn("_group", F.expr(f"_block div {width}"))
+    grouped = _prefix(totals, ["_group"], [F.col("_block")], F.col("_total"), "_start").select("_block", F.col("_start").alias("_ahead"))
+    return _within(blocked, ["_block"], [F.col(order)], F.col(value), grouped, name).drop("_block")
 
 
 def dense_index(df: DataFrame, order: str, name: str, start: int = 0, width: int = 1 << 16) -> DataFrame:
@@ -63,14 +64,19 @@ def dense_index_by(df: DataFrame, blocks: Sequence[str], order: Sequence[Column]
 
 
 def _prefix(df: DataFrame, blocks: Sequence[str], order: Sequence[Column], value: Column, name: str) -> DataFrame:
-    totals = df.groupBy(*blocks).agg(F.sum(value).alias("_total"))
+    totals = df.groupBy(*blocks).agg(F.sum(value).alias("_sum"))
     before = Window.orderBy(*blocks).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*blocks, F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset"))
+    offsets = totals.select(*blocks, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_ahead"))
+    return _within(df, blocks, order, value, offsets, name)
+
+
+def _within(
+    df: DataFrame, blocks: Sequence[str], order: Sequence[Column], value: Column, offsets: DataFrame, name: str
+) -> DataFrame:
     inside = Window.partitionBy(*blocks).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     joined = df.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0))).join(offsets, list(blocks))
-    out = joined.withColumn(name, (F.col("_offset") + F.col("_inside")).cast("long"))
-    drop = ["_offset", "_inside"] + (["_block"] if list(blocks) == ["_block"] else [])
-    return out.drop(*drop)
+    out = joined.withColumn(name, (F.col("_ahead") + F.col("_inside")).cast("long"))
+    return out.drop("_ahead", "_inside")
 
 
 def hash_order(seed: int | str, *keys: Column) -> Column:

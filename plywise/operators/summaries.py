@@ -124,9 +124,13 @@ def participant_summary(
     attempts: DataFrame,
     token_usage: DataFrame,
     run_id: int | None = None,
+    few_games: bool = False,
 ) -> DataFrame:
     """One row per participant and colour.
 
+    With ``run_id``, or if ``games`` are few of all (``few_games``), facts of other games are left out by semi-joins
+    before they are evaluated, joined or summed.
+
     Moves and attempts are reduced to one row per game on their own, so no fact multiplies
     another; games, move facts and attempt facts then meet on game_id, and everything above
     the game is a partial aggregate on (participant, colour).
@@ -135,6 +139,11 @@ def participant_summary(
     scoped = scoped.join(runs.select("run_id"), "run_id", "left_semi").select(
         "game_id", "run_id", "white_participant_id", "black_participant_id", "result", "termination_reason"
     )
+    if run_id is not None or few_games:
+        own = scoped.select("game_id")
+        moves, attempts = (x.join(own, "game_id", "left_semi") for x in (moves, attempts))
+        evaluations = evaluations.join(moves.select("move_id"), "move_id", "left_semi")
+        token_usage = token_usage.join(attempts.select("attempt_id"), "attempt_id", "left_semi")
     facts = scoped.join(move_facts(moves, evaluations), "game_id", "left").join(
         attempt_facts(attempts, token_usage), "game_id", "left"
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from plywise.operators import summaries as ops
 from plywise.plans.fixtures import Fixtures, with_views
 from plywise.plans.registry import query, rounded
 from plywise.plans.sqltext import ROLLUP, judged_sql, rate, summary_sql
+from plywise.session import shared_dir
 
 
 def evaluations(fx: Fixtures) -> DataFrame:
@@ -26,6 +29,13 @@ def models(fx: Fixtures) -> DataFrame:
     return ops.model_comparison(summary(fx), fx.participants, fx.runs, fx.snapshots)
 
 
+def stored_models(fx: Fixtures) -> DataFrame:
+    """The comparison, a few rows for each model, written once for queries that read it several times."""
+    path = f"{shared_dir(fx.spark)}/models-{uuid4().hex}"
+    models(fx).write.parquet(path)
+    return fx.spark.read.parquet(path)
+
+
 # Latency means are exact ties at many digits (cents over a power of two); the nudge, far above
 # the error of a sum and far below the last digit, makes both engines round them alike.
 _NUDGE = 1e-9
@@ -45,6 +55,12 @@ def participant_summary(fx: Fixtures) -> DataFrame:
     return _round_summary(summary(fx))
 
 
+@query("one_run_summary", summary_sql(f"SELECT {_SUMMARY_COLUMNS} FROM summary WHERE run_id = 10"))
+def one_run_summary(fx: Fixtures) -> DataFrame:
+    return _round_summary(ops.participant_summary(
+        fx.games, fx.participants, fx.runs, fx.prompts, fx.moves, evaluations(fx), fx.attempts, fx.token_usage, run_id=10))
+
+
 @query("run_comparison", summary_sql(f"SELECT run_id, {ROLLUP} FROM summary GROUP BY run_id"))
 def run_comparison(fx: Fixtures) -> DataFrame:
     return _round_summary(ops.run_comparison(summary(fx)))
@@ -131,7 +147,7 @@ SELECT c.model_key, c.metric, c.direction, round(c.value, 6) AS value,
 FROM cells c JOIN (SELECT metric, count(value) AS known, max(value) AS top, min(value) AS bottom FROM cells GROUP BY 1) b USING (metric)""",
     {"models": _MODELS, "cells": _CELLS}))
 def matrix_best_cells(fx: Fixtures) -> DataFrame:
-    return rounded(ops.matrix_best(_round_summary(models(fx))))
+    return rounded(ops.matrix_best(_round_summary(stored_models(fx))))
 
 
 @query("model_headline_scores", summary_sql("""
@@ -164,7 +180,7 @@ SELECT f.model_key, f.label, f.model_snapshot_id, f.run_ids, concat_ws(' · ',
   CASE WHEN len(run_ids) > 1 THEN len(run_ids) || ' runs' END, o.own) AS meta
 FROM fielded f LEFT JOIN own o USING (model_key)"""}))
 def model_label_lines(fx: Fixtures) -> DataFrame:
-    return ops.model_labels(models(fx))
+    return ops.model_labels(stored_models(fx))
 
 
 @query("game_sides", with_views(["games", "participants"], """

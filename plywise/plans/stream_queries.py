@@ -69,7 +69,7 @@ def live_summary_rebuild(fx: Fixtures) -> DataFrame:
     def summarize(runs: DataFrame) -> DataFrame:
         games = fx.games.join(runs, "run_id", "left_semi")
         return summaries.participant_summary(
-            games, fx.participants, fx.runs, fx.prompts, fx.moves, evaluations(fx), fx.attempts, fx.token_usage)
+            games, fx.participants, fx.runs, fx.prompts, fx.moves, evaluations(fx), fx.attempts, fx.token_usage, few_games=True)
 
     live.rebuild_summaries(game_stream(fx), summarize, table, progress)
     back = fx.spark.read.parquet(table)

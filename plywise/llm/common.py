@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from plywise.session import shared_dir
 
 #: Bytes of text that a task looks at in one go; a longer text is a piece of its own.
-PIECE_BYTES = 2_000_000
+PIECE_BYTES = 1_000_000
 
 
 def shipped(*modules: str) -> None:

@@ -43,8 +43,8 @@ GRAM = 28
 #: Most contexts of an anchor in one collection; most that a task sends to the anchor's bucket; bytes in a collection.
 GROUP = 2_048
 LOCAL = 16
-COLLECTION_BYTES = 1_000_000
-_FLUSH = 1_000_000
+COLLECTION_BYTES = 500_000
+_FLUSH = 250_000
 _MIN_BUCKETS = 1024
 _HEAD, _REPEATED, _HOT, _ASKED = 0, 1, 2, 3
 _BLOB = {"g": np.uint64, "h": np.uint32, "o": np.int64, "th": np.int64, "lo": np.uint32, "n": np.uint32, "mode": np.uint8}

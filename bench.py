@@ -17,7 +17,7 @@ HEADLINE = (
     "strict_prompts", "response_validation", "prediction_metrics", "loss_metrics", "reward_batches", "candidate_labels",
     "unique_candidate_specs", "candidate_rows", "signal_report", "choice_rows", "pair_rows", "comparison_rows",
     "choice_report", "vote_report", "veto_selection", "quality_funnel", "capped_samples", "relabel_distill",
-    "relabel_stats", "error_stats", "tactical_gate", "position_page", "cache_stats",
+    "relabel_stats", "error_stats", "tactical_gate", "position_page", "cache_stats", "one_run_summary", "model_label_lines",
 )
 
 
@@ -30,6 +30,7 @@ def main() -> None:
 
     spark = build_session("plywise-bench", f"local[{cpus}]", shuffle_partitions=int(cpus), driver_memory="16g")
     spark.sparkContext.setLogLevel("OFF")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")  # small files over all threads
     queries = catalog.queries()
     spark.range(1_000_000).selectExpr("sum(id)").collect()
     seconds: dict[str, float] = {}

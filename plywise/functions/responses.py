@@ -1,5 +1,6 @@
 """Validation of raw model responses. Parsing stays on the JVM (VARIANT); a small Arrow
-helper sees only the rows whose JSON object is buried in other text."""
+helper looks for the JSON object of those rows that have one buried in other text. All rows pass
+through it, the others as NULL."""
 
 from __future__ import annotations
 

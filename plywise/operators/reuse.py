@@ -25,7 +25,8 @@ def cache_lookup(requests: DataFrame, cache: DataFrame) -> tuple[DataFrame, Data
     """Requests with a stored evaluation, and the distinct (fen, uci) still to be evaluated."""
     keyed = requests.withColumn("key", evaluation_key(F.col("fen"), F.col("uci")))
     hits = keyed.join(cache, "key")
-    misses = keyed.join(cache.select("key"), "key", "left_anti").select("key", "fen", "uci").distinct()
+    # A hot position is one row before the join.
+    misses = keyed.select("key", "fen", "uci").distinct().join(cache.select("key"), "key", "left_anti")
     return hits, misses
 
 

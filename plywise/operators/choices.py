@@ -75,27 +75,52 @@ def choice_rows(
     With ``max_candidates`` the list of a position is cut to the best before it is gathered; without,
     it holds all moves of the position.
     """
+    if max_candidates is None:
+        return _cut(_whole_lists(rows, min_candidates, require_mixed, order), max_positions, with_prompt)
     best = best_candidates(rows, order)
     kept = gate_positions(best, min_candidates, require_mixed).where(F.col("dropped").isNull()).select("fen", "n")
     facts = position_facts(rows, order)
     rank = [F.desc("c.score"), labels.cpl_key(F.col("c.centipawn_loss")).desc(),
             labels.generator_rank_key(F.col("c.candidate_rank_in_generator")).desc(), F.asc("first_seq")]
     shown = F.struct(F.sha2(F.concat_ws("|", "fen", "c.uci"), 256).alias("h"), "c")
-    if max_candidates is None:
-        better = F.struct(*[F.col("c.score").alias("k0"), labels.cpl_key(F.col("c.centipawn_loss")).alias("k1"),
-                            labels.generator_rank_key(F.col("c.candidate_rank_in_generator")).alias("k2"), (-F.col("first_seq")).alias("k3")])
-        top, target = best, F.max_by("c", better)
-    else:
-        top, target = top_per_group(best, ["fen"], rank, max_candidates, "place"), F.max(F.when(F.col("place") == 1, F.col("c")))
-    lists = top.groupBy("fen").agg(F.array_sort(F.collect_list(shown)).alias("shown"), target.alias("target"))
+    top = top_per_group(best, ["fen"], rank, max_candidates, "place")
+    lists = top.groupBy("fen").agg(
+        F.array_sort(F.collect_list(shown)).alias("shown"),
+        F.max(F.when(F.col("place") == 1, F.col("c"))).alias("target"),
+    )
     out = (
         lists.join(kept, "fen").join(facts, "fen")
         .withColumn("candidates", F.transform("shown", lambda s: s["c"]))
         .select("fen", "side_to_move", "position_seq", F.col("n").alias("distinct_candidates"), "candidates", "target")
     )
+    return _cut(out, max_positions, with_prompt)
+
+
+def _whole_lists(rows: DataFrame, min_candidates: int, require_mixed: bool, order: str) -> DataFrame:
+    """Uncut lists of the positions that pass the gate, from one read: moves, then positions."""
+    picked = rows.select(F.col("fen_before").alias("fen"), "candidate_uci", order, "side_to_move", candidate_struct().alias("c"))
+    moves = picked.groupBy("fen", "candidate_uci").agg(
+        F.max_by("c", F.struct(quality_key(F.col("c")).alias("q"), (-F.col(order)).alias("o"))).alias("c"),
+        F.min(order).alias("first_seq"), F.max(F.struct(order, "side_to_move")).alias("last"),
+    )
+    better = F.struct(quality_key(F.col("c")).alias("q"), (-F.col("first_seq")).alias("o"))
+    lists = moves.groupBy("fen").agg(
+        F.max("last")["side_to_move"].alias("side_to_move"), F.min("first_seq").alias("position_seq"),
+        F.count(F.lit(1)).alias("distinct_candidates"),
+        F.array_sort(F.collect_list(F.struct(F.sha2(F.concat_ws("|", "fen", "c.uci"), 256).alias("h"), "c"))).alias("shown"),
+        F.max_by("c", better).alias("target"),
+        F.bool_or(labels.is_safe(F.col("c.risk"))).alias("has_safe"), F.bool_or(labels.is_unsafe(F.col("c.risk"))).alias("has_unsafe"),
+    ).where(F.col("distinct_candidates") >= min_candidates)
+    if require_mixed:
+        lists = lists.where(F.col("has_safe") & F.col("has_unsafe"))
+    return lists.select("fen", "side_to_move", "position_seq", "distinct_candidates",
+                        F.transform("shown", lambda s: s["c"]).alias("candidates"), "target")
+
+
+def _cut(lists: DataFrame, max_positions: int | None, with_prompt: bool) -> DataFrame:
     if max_positions is not None:
-        out = out.orderBy("position_seq").limit(max_positions)
-    return _finish(out, prompts.choice_prompt if with_prompt else None)
+        lists = lists.orderBy("position_seq").limit(max_positions)
+    return _finish(lists, prompts.choice_prompt if with_prompt else None)
 
 
 def _finish(df: DataFrame, prompt, split: Column | None = None) -> DataFrame:

@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-from uuid import uuid4
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plywise.functions import labels, text
 from plywise.operators import summaries as ops
 from plywise.plans.fixtures import Fixtures, with_views
-from plywise.plans.registry import query, rounded
+from plywise.plans.registry import query, rounded, written
 from plywise.plans.sqltext import ROLLUP, judged_sql, rate, summary_sql
-from plywise.session import shared_dir
 
 
 def evaluations(fx: Fixtures) -> DataFrame:
@@ -31,9 +28,7 @@ def models(fx: Fixtures) -> DataFrame:
 
 def stored_models(fx: Fixtures) -> DataFrame:
     """The comparison, a few rows for each model, written once for queries that read it several times."""
-    path = f"{shared_dir(fx.spark)}/models-{uuid4().hex}"
-    models(fx).write.parquet(path)
-    return fx.spark.read.parquet(path)
+    return written(fx, models(fx), "models")
 
 
 # Latency means are exact ties at many digits (cents over a power of two); the nudge, far above

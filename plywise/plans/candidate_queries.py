@@ -11,7 +11,7 @@ from plywise.operators import choices
 from plywise.operators.ordering import counters, dense_index
 from plywise.plans.board_queries import evaluations
 from plywise.plans.fixtures import Fixtures, with_views
-from plywise.plans.registry import query
+from plywise.plans.registry import query, written
 from plywise.plans.sqltext import judged_sql, mean2
 from plywise.sources.records import external_candidates
 
@@ -370,8 +370,8 @@ COMPARISON_CTES = {**CHOICE_CTES, "indexed": _INDEXED, "comparisons": _COMPARISO
 
 
 def indexed_choices(fx: Fixtures) -> DataFrame:
-    """Choice rows numbered in input order."""
-    return dense_index(choice_set(fx), "position_seq", "choice_index")
+    """Choice rows numbered in input order; written once, as their users read them more than once."""
+    return written(fx, dense_index(written(fx, choice_set(fx), "choices"), "position_seq", "choice_index"), "indexed")
 
 
 @query("comparison_rows", labelled_sql("""

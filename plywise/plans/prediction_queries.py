@@ -451,8 +451,8 @@ _VOTED = _JUDGED.replace(
     "(SELECT *, list_position(ucis, vote_winner) AS picked FROM winners)")
 
 
-def pair_predictions(fx: Fixtures) -> DataFrame:
-    rows = choices.comparison_rows(indexed_choices(fx), with_prompt=False)
+def pair_predictions(fx: Fixtures, indexed: DataFrame | None = None) -> DataFrame:
+    rows = choices.comparison_rows(indexed_choices(fx) if indexed is None else indexed, with_prompt=False)
     pick = F.pmod(F.col("pair_source_choice_index") + F.col("pair_index"), F.lit(4))
     return rows.withColumns({
         "parsed_move": F.when(pick == 0, F.col("pair_moves")[0]).when(pick == 1, F.col("pair_moves")[1]).when(pick == 2, F.col("move")).otherwise("zz"),
@@ -478,12 +478,13 @@ def pair_metrics(fx: Fixtures) -> DataFrame:
 SELECT choice_index, vote_winner, CAST(margin AS BIGINT) AS vote_margin_to_first, vote_winner <> first_uci AND margin < 2 AS margin_fallback_applied,
   CASE WHEN margin < 2 THEN first_uci ELSE vote_winner END AS selected_move FROM winners""", _VOTE_CTES))
 def vote_winners(fx: Fixtures) -> DataFrame:
-    return ops.vote_winners(indexed_choices(fx), ops.pair_votes(pair_predictions(fx)), min_margin=2)
+    rows = indexed_choices(fx)
+    return ops.vote_winners(rows, ops.pair_votes(pair_predictions(fx, rows)), min_margin=2)
 
 
 def voted_choices(fx: Fixtures) -> DataFrame:
     rows = indexed_choices(fx)
-    winners = ops.vote_winners(rows, ops.pair_votes(pair_predictions(fx)))
+    winners = ops.vote_winners(rows, ops.pair_votes(pair_predictions(fx, rows)))
     return ops.judged(rows.join(winners, "choice_index"), "selected_move")
 
 

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plywise.plans.fixtures import Fixtures
+from plywise.session import shared_dir
 
 
 @dataclass(frozen=True)
@@ -40,6 +42,13 @@ def runner(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
+def written(fx: Fixtures, df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder, for queries that read it several times."""
+    path = f"{shared_dir(fx.spark)}/{name}-{uuid4().hex}"
+    df.write.parquet(path)
+    return fx.spark.read.schema(df.schema).parquet(path)
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles to a fixed number of digits, so that the order of additions does not show."""
     return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])

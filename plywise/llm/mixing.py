@@ -18,6 +18,8 @@ not, by the hash of the larger one. That permutes any range exactly, forwards, w
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,7 +34,6 @@ GRID = 65_536
 ROUNDS = 24
 WEIGHTS = (1, 2, 3)
 MOST = 3
-_CHUNK_ROWS = 20_000
 
 
 def words_of(text: str | Column = "text") -> Column:
@@ -76,10 +77,10 @@ def targets(sizes: DataFrame) -> DataFrame:
 def streams(docs: DataFrame, n_docs: int) -> DataFrame:
     """Adds ``at``, where a document's words begin in the stream of its source (columns key, source, size).
 
-    Running sums in two steps: within chunks of a source, and over the sums of its chunks, so that a source with most of
-    the rows is spread over many tasks.
+    Running sums in two steps: within chunks of a source, and over the sums of its chunks. Chunks are about as many as
+    the rows in each, so neither step sees more than the root of the number of rows at once, whatever a source's share.
     """
-    n_chunks = max(1, -(-n_docs // _CHUNK_ROWS)) * 4
+    n_chunks = math.isqrt(n_docs) + 1
     order = F.xxhash64("key", F.lit("order"))
     docs = docs.withColumn("chunk", F.pmod(F.xxhash64("key", F.lit("chunk")), F.lit(n_chunks)).cast("int"))
     before = W.partitionBy("source").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)

@@ -37,7 +37,6 @@ def corpus(rng):
 def small_blocks(monkeypatch):
     monkeypatch.setattr(mixing, "BLOCK", 64)
     monkeypatch.setattr(mixing, "SHARD", 512)
-    monkeypatch.setattr(mixing, "_CHUNK_ROWS", 100)
 
 
 @pytest.mark.parametrize("blocks", ["production", "small"])

@@ -22,12 +22,14 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from plywise.llm import common
 from plywise.llm.common import pieces, strings
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"<]*\"|'[^'<]*')*?)(/?)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(/?)(?:>|\Z)", re.S)
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*(?:>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"<]*\"|'[^'<]*')*?)(/?)(?:>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(/?)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"(?i)\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORD = re.compile(r"[A-Za-z]+")
 
@@ -54,6 +56,8 @@ _WORDS = frozenset(
     "signup login comment comments commentlist disqus respond reply replies related recommended share sharing social widget pagination pager toolbar "
     "skip copyright legal disclaimer paywall".split())
 _HEADINGS = frozenset(("header",))
+# Elements that are never a whole text.
+_PARTS = frozenset("p li ul ol b i em strong span blockquote table tbody tr td".split())
 
 
 #: Elements nested more deeply than this stand beside each other, as in browsers.
@@ -205,8 +209,10 @@ def _main(root: _Node) -> list[_Node]:
     core = max(inside, key=lambda n: (n.sum or (n.density if not any(isinstance(c, _Node) for c in n.children) else 0.0), n.chars))
     whole, up = core, core
     while up is not None and up is not body:
-        if up.tag in ("article", "main") or up.parent is not None and up.tag in ("p", "li", "ul", "ol", "b", "i", "em", "strong", "span", "blockquote", "table", "tbody", "tr", "td"):
-            whole = up.parent if up.tag not in ("article", "main") else up
+        if up.tag in ("article", "main"):
+            whole = up
+        elif up.tag in _PARTS:
+            whole = up.parent
         up = up.parent
     path, up = [], whole
     while up is not None and up is not body:

@@ -9,7 +9,7 @@ from plywise.functions import labels, text
 from plywise.operators import summaries as ops
 from plywise.plans.fixtures import Fixtures, with_views
 from plywise.plans.registry import query, rounded, written
-from plywise.plans.sqltext import ROLLUP, judged_sql, rate, summary_sql
+from plywise.plans.sqltext import ROLLUP, judged_sql, summary_sql
 
 
 def evaluations(fx: Fixtures) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from plywise.operators.ordering import last_per_key
 from plywise.operators.reuse import grown_cache
@@ -20,21 +21,22 @@ def stream_files(spark: SparkSession, folder: str, schema, pattern: str = "*.par
     return reader.parquet(folder)
 
 
-def _run(stream: DataFrame, on_batch: Callable[[DataFrame, int], None], checkpoint: str) -> None:
-    query = (
-        stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+def _started(writer: DataStreamWriter, checkpoint: str, trigger: Mapping | None) -> StreamingQuery:
+    """Without a trigger the query takes what has landed and ends; with one (as ``{"processingTime": "10 seconds"}``)
+    it goes on, and the caller stops it."""
+    query = writer.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    if trigger is None:
+        query.awaitTermination()
+    return query
+
 
+def _run(stream: DataFrame, on_batch: Callable[[DataFrame, int], None], checkpoint: str, trigger: Mapping | None) -> StreamingQuery:
+    return _started(stream.writeStream.foreachBatch(on_batch), checkpoint, trigger)
 
-def capture(stream: DataFrame, target: str, checkpoint: str) -> None:
+
+def capture(stream: DataFrame, target: str, checkpoint: str, trigger: Mapping | None = None) -> StreamingQuery:
     """Append every landed row once (exactly-once by the checkpointed file sink)."""
-    query = (
-        stream.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint)
-        .outputMode("append").trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+    return _started(stream.writeStream.format("parquet").option("path", target).outputMode("append"), checkpoint, trigger)
 
 
 def latest_state(versions: DataFrame, key: str, version: str) -> DataFrame:
@@ -42,7 +44,7 @@ def latest_state(versions: DataFrame, key: str, version: str) -> DataFrame:
     return last_per_key(versions, [key], [version])
 
 
-def latest_games(stream: DataFrame, target: str, checkpoint: str, limit: int) -> None:
+def latest_games(stream: DataFrame, target: str, checkpoint: str, limit: int, trigger: Mapping | None = None) -> StreamingQuery:
     """Keep the newest games: each batch is merged with the stored top and cut again.
 
     A batch writes its own folder and later batches read the last complete one, so a repeated
@@ -59,7 +61,7 @@ def latest_games(stream: DataFrame, target: str, checkpoint: str, limit: int) ->
         top = current.orderBy(F.desc("started_at"), F.desc("game_id")).limit(limit)
         top.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
-    _run(stream, merge, checkpoint)
+    return _run(stream, merge, checkpoint, trigger)
 
 
 def read_latest(spark: SparkSession, target: str) -> DataFrame:
@@ -69,7 +71,7 @@ def read_latest(spark: SparkSession, target: str) -> DataFrame:
     return batches.join(F.broadcast(newest), F.col("batch") == F.col("newest"), "left_semi").drop("batch")
 
 
-def match_progress(stream: DataFrame, target: str, checkpoint: str) -> None:
+def match_progress(stream: DataFrame, target: str, checkpoint: str, trigger: Mapping | None = None) -> StreamingQuery:
     """Finished and started games per run: the latest state of every game is kept, then counted.
 
     An update of a game is a second row of it, so the stored states are one row per game; a game that has
@@ -84,7 +86,7 @@ def match_progress(stream: DataFrame, target: str, checkpoint: str) -> None:
         states = rows.groupBy("game_id").agg(F.max("run_id").alias("run_id"), F.coalesce(F.bool_or("done"), F.lit(False)).alias("done"))
         states.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
-    _run(stream, merge, checkpoint)
+    return _run(stream, merge, checkpoint, trigger)
 
 
 def progress_counts(states: DataFrame) -> DataFrame:
@@ -102,7 +104,7 @@ def progress_status(progress: DataFrame, requested: DataFrame) -> DataFrame:
     )
 
 
-def rebuild_summaries(stream: DataFrame, summarize: Callable[[DataFrame], DataFrame], target: str, checkpoint: str) -> None:
+def rebuild_summaries(stream: DataFrame, summarize: Callable[[DataFrame], DataFrame], target: str, checkpoint: str, trigger: Mapping | None = None) -> StreamingQuery:
     """After each batch of games, recompute the runs it touched and replace their partitions.
 
     ``summarize`` takes the affected run ids (column ``run_id``) and returns summary rows; the
@@ -113,10 +115,10 @@ def rebuild_summaries(stream: DataFrame, summarize: Callable[[DataFrame], DataFr
         affected = batch.select("run_id").where(F.col("run_id").isNotNull()).distinct()
         replace_summaries(summarize(affected), target, only_given_runs=True)
 
-    _run(stream, rebuild, checkpoint)
+    return _run(stream, rebuild, checkpoint, trigger)
 
 
-def grow_cache(requests: DataFrame, seed: DataFrame, evaluations: DataFrame, target: str, checkpoint: str) -> None:
+def grow_cache(requests: DataFrame, seed: DataFrame, evaluations: DataFrame, target: str, checkpoint: str, trigger: Mapping | None = None) -> StreamingQuery:
     """Add the evaluations of new requests to the cache, batch by batch.
 
     A batch writes its own folder and looks up the seed and all earlier batches only.
@@ -130,7 +132,7 @@ def grow_cache(requests: DataFrame, seed: DataFrame, evaluations: DataFrame, tar
             known = seed.unionByName(earlier)
         grown_cache(batch, known, evaluations).select(*seed.columns).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
-    _run(requests, grow, checkpoint)
+    return _run(requests, grow, checkpoint, trigger)
 
 
 def _with_batch(seed: DataFrame):

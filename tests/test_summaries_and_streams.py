@@ -101,3 +101,21 @@ def test_updated_game_is_counted_once(spark, tmp_path):
     live.match_progress(live.stream_files(spark, folder, rows("*").schema, per_batch=1), table, progress)
     counts = live.progress_counts(live.read_latest(spark, table)).collect()
     assert [(r.run_id, r.games_started, r.games_completed) for r in counts] == [(7, 2, 1)]
+
+
+def test_view_goes_on_with_a_trigger(spark, tmp_path):
+    row = lambda i, result: spark.createDataFrame([(i, 7, result)], "game_id long, run_id long, result string").coalesce(1)
+    folder, table, progress = (str(tmp_path / n) for n in ("landed", "states", "progress"))
+    row(1, "*").write.parquet(folder)
+    stream = live.stream_files(spark, folder, row(1, "*").schema)
+    query = live.match_progress(stream, table, progress, {"processingTime": "200 milliseconds"})
+    try:
+        query.processAllAvailable()
+        row(1, "1-0").write.mode("append").parquet(folder)
+        row(2, "*").write.mode("append").parquet(folder)
+        query.processAllAvailable()
+        assert query.isActive
+    finally:
+        query.stop()
+    counts = live.progress_counts(live.read_latest(spark, table)).collect()
+    assert [(r.games_started, r.games_completed) for r in counts] == [(2, 1)]

@@ -25,7 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plywise.llm import common
-from plywise.llm.common import stored
+from plywise.llm.common import partitions, stored
 
 #: Words in a block, slots in an output shard, cells of the draw, rounds of the permutation.
 BLOCK = 512
@@ -121,7 +121,9 @@ def slots(sources: DataFrame) -> DataFrame:
     runs = counts.withColumn("stop", F.sum("n").over(upto)).withColumn("start", F.col("stop") - F.col("n"))
     drawn = runs.groupBy("rank").agg(F.max("stop").alias("drawn"))
     info = own.select("rank", "source", "source_size", "quota", "full_blocks", "blocks", "epochs", "rest", "n_slots")
-    kept = (runs.join(info, "rank").where("start < n_slots")
+    # A row for each source and shard grows to all its slots, so these few rows are spread first.
+    n = partitions(own.sparkSession, int(totals) * 64)
+    kept = (runs.join(info, "rank").where("start < n_slots").repartition(n, "rank", "shard")
             .select(*info.columns, F.col("shard"), F.explode(F.sequence("start", F.least("stop", "n_slots") - 1)).alias("number")))
     missed = (info.join(drawn, "rank", "left").where("coalesce(drawn, 0) < n_slots")
               .select(*info.columns, F.explode(F.sequence(F.coalesce("drawn", F.lit(0).cast("long")), F.col("n_slots") - 1)).alias("number"))

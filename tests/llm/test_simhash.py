@@ -143,3 +143,13 @@ def test_crowded_groups_equal_all_pairs():
         full = dict(zip(*simhash.common.small_components(i, j)))
         some = dict(zip(*simhash.common.small_components(np.concatenate([a, np.arange(n)]), np.concatenate([b, np.arange(n)]))))
         assert full == some and near[a, b].all()
+
+
+def test_texts_of_one_template_stay_apart(spark, make_docs):
+    rng = random.Random(18)
+    vocabulary = [f"v{i}" for i in range(5000)]
+    template = rng.choices(vocabulary, k=200)
+    rows = [(i, " ".join(template + rng.choices(vocabulary, k=rng.choice([30, 45, 70, 100])))) for i in range(1500)]
+    rows += [(5000 + i, t + " end") for i, t in rows[:20]]
+    got = {r.doc_id: r.component_id for r in simhash.similar(make_docs(rows)).collect()}
+    assert all(got[5000 + i] == i for i in range(20)) and all(got[i] == i for i in range(1500))

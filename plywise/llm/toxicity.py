@@ -1,6 +1,7 @@
 """Toxic passages by maximum-scoring segments.
 
-Every token has a score: the log-odds of the toxic against the other labelled documents, with a Dirichlet prior, less
+A token is a whole word in lower case (A-Z), whatever its length; of scripts that don't part words it is a pair of
+neighbouring characters. Every token has a score: the log-odds of the toxic against the other labelled documents, with a Dirichlet prior, less
 two standard deviations, so that a rare token never counts for toxic by chance. A linear scan finds all maximal segments
 of a text (Ruzzo and Tompa); only tokens that score above zero and the sums of the gaps between them enter it. A token
 that repeats the one before it scores no more than a gap, so one word said over and over is no passage. The score
@@ -34,8 +35,6 @@ PRIOR = 0.5
 DEVIATIONS = 2.0
 FLOOR = 0.05
 FOLDS = 5
-#: Bytes of a word that make its token, so that its inflected forms share one.
-STEM = 6
 #: A passage counts as significant if fewer than this many as good are expected in a text of its length.
 SIGNIFICANT = 0.01
 _STATS = "n_tokens long, best double, n_segments long, starts array<int>, ends array<int>, scores array<double>"
@@ -47,12 +46,39 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
     return F.coalesce(F.crc32(column.cast("string")) % FOLDS == 0, F.lit(True))
 
 
+def _unspaced(data: np.ndarray) -> np.ndarray:
+    """Where characters begin of scripts that don't part words: Chinese, Japanese, Thai, Lao, Khmer, Burmese."""
+    at = np.flatnonzero(data >= 0xE0)
+    lead, second = data[at], data[np.minimum(at + 1, len(data) - 1)]
+    han = (lead >= 0xE3) & (lead <= 0xE9) | (lead == 0xF0) & (second >= 0xA0) & (second <= 0xB3)
+    thai = (lead == 0xE0) & (second >= 0xB8) & (second <= 0xBB)
+    khmer = (lead == 0xE1) & ((second >= 0x80) & (second <= 0x82) | (second >= 0x9E) & (second <= 0x9F))
+    return at[han | thai | khmer]
+
+
+def _cut(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The runs, where those of scripts without spaces become their overlapping pairs of characters."""
+    single = _unspaced(data)
+    if not len(single):
+        return starts, ends, firsts
+    run = np.searchsorted(starts, single, side="right") - 1
+    after = single + np.where(data[single] == 0xF0, 4, 3)
+    cut = np.unique(np.concatenate([starts, single, after[after < ends[run]]]))
+    run = np.searchsorted(starts, cut, side="right") - 1
+    stops = np.minimum(np.append(cut[1:], len(data)), ends[run])
+    of = np.isin(cut, single, assume_unique=True)
+    pair = np.flatnonzero(of[:-1] & of[1:] & (run[:-1] == run[1:]))
+    ends = stops.copy()
+    ends[pair] = stops[pair + 1]
+    return cut, ends, np.searchsorted(cut, offsets)
+
+
 def _tokens(column: pa.Array) -> tuple[np.ndarray, ...]:
     offsets, data = raw(column)
     data = LOWER[data]
     starts, ends, firsts = spans(data, offsets, PUNCTUATION)
-    stems = np.minimum(ends, starts + STEM)
-    return offsets, starts, ends, firsts, (SpanHash(data)(starts, stems) % np.uint64(BUCKETS)).astype(np.int64)
+    starts, ends, firsts = _cut(data, offsets, starts, ends, firsts)
+    return offsets, starts, ends, firsts, (SpanHash(data)(starts, ends) % np.uint64(BUCKETS)).astype(np.int64)
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,6 +1,8 @@
 import random
 import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from plywise.llm import toxicity
@@ -76,3 +78,32 @@ def test_without_labels_or_documents(spark, make_docs, folder_of):
     got = toxicity.op5_toxicity(spark, folder_of(documents=make_docs(["a b c", None]), labels=none)).collect()
     assert [r.score for r in got] == [0.5, 0.5]
     assert toxicity.op5_toxicity(spark, folder_of(documents=make_docs([]), labels=none)).count() == 0
+
+
+def test_tokens_are_whole_words_and_pairs_of_characters():
+    def tokens(text):
+        _, starts, ends, _, buckets = toxicity._tokens(pa.array([text]))
+        return [text.encode()[a:b].decode() for a, b in zip(starts, ends)], buckets.tolist()
+
+    for a, b in (("überfahrt", "überfall"), ("международный", "междометие"), ("international", "internal"), ("éèàùx", "éèày")):
+        assert tokens(a)[0] == [a] and tokens(a)[1] != tokens(b)[1] and tokens(a.upper() if a.isascii() else a)[1] == tokens(a)[1]
+    assert tokens("你好吗 ok在x")[0] == ["你好", "好吗", "吗", "ok", "在", "x"]
+    assert tokens("今天很好坏人")[1][4] == tokens("他说坏人")[1][2]
+    assert tokens("")[0] == [] and tokens("𠀀𠀁")[0] == ["𠀀𠀁", "𠀁"]
+    firsts = toxicity._tokens(pa.array(["a 你好", None, "你", "b"]))[3]
+    assert firsts.tolist() == [0, 3, 3, 4, 5]
+
+
+def test_words_that_share_six_bytes_are_told_apart(spark, make_docs, folder_of):
+    rng = random.Random(8)
+    for bad, good in (("überfallen", "überfahrt"), ("междометие", "международный"), ("坏人", "好人")):
+        rows = []
+        for i in range(400):
+            words = [f"w{rng.randrange(60)}" for _ in range(30)]
+            for _ in range(3):
+                word = bad if i % 4 == 0 else good
+                words.insert(rng.randrange(30), f"今天我们{word}很多" if len(word) == 2 else word)
+            rows.append((i, " ".join(words)))
+        labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(400)], "doc_id long, quality int, toxic int")
+        got = {r.doc_id: r for r in toxicity.op5_toxicity(spark, folder_of(documents=make_docs(rows), labels=labels)).collect()}
+        assert all(got[i].predicted == int(i % 4 == 0) for i in got if got[i].held_out)

@@ -176,7 +176,10 @@ _TOP = 30.0
 def _stats(column: pa.Array, table: np.ndarray) -> pa.Array:
     offsets, starts, ends, firsts, buckets = _tokens(column)
     values = table[buckets]
-    values[1:][(buckets[1:] == buckets[:-1]) & (values[1:] > 0)] = -FLOOR
+    again = np.zeros(len(buckets), bool)
+    again[1:] = buckets[1:] == buckets[:-1]
+    again[firsts[:-1][np.diff(firsts) > 0]] = False  # a text's first token repeats none
+    values[again & (values > 0)] = -FLOOR
     total = np.concatenate([[0.0], np.cumsum(values)])
     plus = np.flatnonzero(values > 0)
     bounds = np.searchsorted(plus, firsts)

@@ -80,6 +80,19 @@ def test_without_labels_or_documents(spark, make_docs, folder_of):
     assert toxicity.op5_toxicity(spark, folder_of(documents=make_docs([]), labels=none)).count() == 0
 
 
+def test_scores_do_not_depend_on_the_rows_before():
+    texts = ["vile", "vile", None, "vile", "vile words vile", "vile words vile", "", "vile vile"]
+    table = np.full(toxicity.BUCKETS, -0.1)
+    table[toxicity._tokens(pa.array(["vile"]))[4]] = 2.0
+    alone = [toxicity._stats(pa.array([t], pa.string()), table)[0].as_py() for t in texts]
+    assert [r["best"] for r in alone[:2]] == [2.0, 2.0] and alone[-1]["best"] == 2.0
+    for size in range(1, len(texts) + 1):
+        got = [r for i in range(0, len(texts), size) for r in toxicity._stats(pa.array(texts[i : i + size], pa.string()), table).to_pylist()]
+        for g, w in zip(got, alone):
+            assert g["starts"] == w["starts"] and g["ends"] == w["ends"]
+            assert g["scores"] == pytest.approx(w["scores"]) and g["best"] == pytest.approx(w["best"])
+
+
 def test_tokens_are_whole_words_and_pairs_of_characters():
     def tokens(text):
         _, starts, ends, _, buckets = toxicity._tokens(pa.array([text]))

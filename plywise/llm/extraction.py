@@ -2,7 +2,8 @@
 
 A page is read into a tree (tags that end others implicitly, and void tags, as browsers do). What is never text (scripts,
 styles, forms and the like), and what says of itself that it is a menu, header, footer, sidebar, notice, advert or reader
-comment, by its tag, role or class, is left out. For every other node the characters per tag are computed, adjusted for
+comment, by its tag, role or class, is left out; by class only if it holds no more than half of the page's text outside links,
+and if all words of a class or id agree. For every other node the characters per tag are computed, adjusted for
 links:
 
     density = C / T * log_b((C / max(LC, 1)) * (T / max(LT, 1)))    with  b = e + C * LC / max(C - LC, 1) + LCb / Cb * C
@@ -30,8 +31,8 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"<]*\"|'[^'<]*')*?)(/?)(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(/?)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"(?i)\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_WORD = re.compile(r"[A-Za-z]+")
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>]+)))?")
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 # Fixed names of HTML.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -55,6 +56,15 @@ _WORDS = frozenset(
     "breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription "
     "signup login comment comments commentlist disqus respond reply replies related recommended share sharing social widget pagination pager toolbar "
     "skip copyright legal disclaimer paywall".split())
+# What a name of class or id may hold besides: parts of the layout. A name with any other word (no-sidebar, has-comments,
+# case-notice) says something else.
+_BESIDE = frozenset(
+    "wrapper wrap container holder box block bar area zone section region panel pane inner outer content list item items row col column group unit slot "
+    "main primary secondary site page global top bottom left right header head title link links button buttons icons icon form text image img "
+    "mobile desktop fixed sticky default small large x posts articles stories media policy message rail".split())
+# Listed words that with "text" or "content" beside them name what they hold, not what they are.
+_PLAIN = frozenset("text content title section articles stories".split())
+_SUBJECTS = frozenset("legal copyright notice notices alert disclaimer respond skip".split())
 _HEADINGS = frozenset(("header",))
 # Elements that are never a whole text.
 _PARTS = frozenset("p li ul ol b i em strong span blockquote table tbody tr td".split())
@@ -65,10 +75,11 @@ _DEPTH = 256
 
 
 class _Node:
-    __slots__ = ("tag", "depth", "parent", "children", "dropped", "chars", "tags", "link_chars", "link_tags", "density", "sum")
+    __slots__ = ("tag", "depth", "parent", "children", "dropped", "doubted", "chars", "tags", "link_chars", "link_tags", "density", "sum")
 
     def __init__(self, tag: str, parent: _Node | None, dropped: bool):
         self.tag, self.parent, self.children, self.dropped = tag, parent, [], dropped
+        self.doubted = False
         self.depth = 0 if parent is None else parent.depth + 1
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
@@ -79,13 +90,33 @@ def _drops(tag: str, attributes: str, parent: _Node) -> bool:
         return True
     if tag in _HEADINGS and not _inside(parent, ("article", "main")):
         return True
-    if attributes and tag not in ("html", "body", "article", "main"):
-        for name, a, b, c in _ATTRIBUTE.findall(attributes):
-            name, value = name.lower(), (a or b or c).lower()
+    for name, value in _pairs(attributes):
+        if tag not in ("html", "body", "article", "main"):
+            value = value.lower()
             if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in _ROLES:
                 return True
-            if name in ("class", "id") and not _WORDS.isdisjoint(_WORD.findall(value)):
-                return True
+    return False
+
+
+def _pairs(attributes: str) -> Iterator[tuple[str, str]]:
+    """Names, in lower case, and values of attributes, one after another."""
+    for name, a, b, c in _ATTRIBUTE.findall(attributes):
+        yield name.lower(), a or b or c
+
+
+def _doubted(tag: str, attributes: str) -> bool:
+    """Whether a class or id says that the element is no main text."""
+    if tag in ("html", "body", "article", "main"):
+        return False
+    return any(_says(x) for name, value in _pairs(attributes) if name in ("class", "id") for x in value.split())
+
+
+def _says(name: str) -> bool:
+    """Whether a name is a listed word, or a compound of listed words and parts of the layout."""
+    for words in ([w.lower() for w in _WORD.findall(name)], [w.lower() for w in _WORD.findall(name.lower())]):
+        listed = [w for w in words if w in _WORDS]
+        if listed and all(w in _WORDS or w in _BESIDE for w in words):
+            return not (_SUBJECTS.issuperset(listed) and not _PLAIN.isdisjoint(words))
     return False
 
 
@@ -124,6 +155,7 @@ def tree(page: str) -> _Node:
         attributes = m.group(3) or m.group(7) or ""
         node = _opened(node, tag)
         new = _Node(tag, node, node.dropped or _drops(tag, attributes, node))
+        new.doubted = not new.dropped and _doubted(tag, attributes)
         node.children.append(new)
         if tag in _RAW:
             end = re.compile(rf"</{tag}\s*/?>|</{tag}\Z", re.I).search(page, at)
@@ -175,6 +207,7 @@ def _measure(root: _Node) -> list[_Node]:
         order.append(node)
         waiting.extend(c for c in reversed(node.children) if isinstance(c, _Node) and not c.dropped)
     for node in reversed(order):
+        node.chars = node.tags = node.link_chars = node.link_tags = 0
         for c in node.children:
             if isinstance(c, str):
                 node.chars += sum(map(len, c.split()))
@@ -188,9 +221,21 @@ def _measure(root: _Node) -> list[_Node]:
     return order
 
 
+def _settle(order: list[_Node]) -> bool:
+    """Drops what class or id speak against, unless it holds most of the page's text outside links."""
+    most = (order[0].chars - order[0].link_chars) / 2
+    found = False
+    for node in order:
+        if node.doubted and node.chars - node.link_chars <= most:
+            node.dropped = found = True
+    return found
+
+
 def _main(root: _Node) -> list[_Node]:
     """The chosen subtrees, in page order."""
     order = _measure(root)
+    if _settle(order):
+        order = _measure(root)
     body = next((n for n in order if n.tag == "body"), root)
     if not body.chars:
         body = root

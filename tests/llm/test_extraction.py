@@ -54,3 +54,23 @@ def test_query_on_rows(spark, tmp_path):
         (1, "http://a.b/", WANT), (1, "http://a.b/", WANT), (2, None, ""), (None, "u", ""), (3, "u", "")])
     spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{tmp_path}/none/pages.parquet")
     assert extraction.op3_extraction(spark, f"{tmp_path}/none").count() == 0
+
+
+@pytest.mark.parametrize("attributes", [
+    'style="overflow:hidden"', 'title="hidden gems"', 'data-hidden="false"', "data-x='a hidden b'", 'class="content no-sidebar"', 'class="post has-comments"',
+    'class="case-notice"', 'id="legal-text"', 'class="related-work"', 'class="without-ads"', 'class="noSidebar"', 'aria-hidden="false"'])
+def test_attributes_that_drop_nothing(attributes):
+    assert extraction.extracted(f"<body>{NAV}<article><div {attributes}>{BODY}</div></article>{FOOT}</body>") == WANT
+    part = f"<div {attributes}><p>{LONG}</p></div>"
+    assert extraction.extracted(f"<body>{NAV}<article>{BODY}{part}</article></body>") == WANT + "\n" + " ".join(LONG.split())
+
+
+@pytest.mark.parametrize("attributes", [
+    "hidden", "HIDDEN=''", 'style="a" hidden', 'class="cookie-notice"', 'class="sidebar-left"', "id=comments-area", 'class="x navBar"', 'class="ad-300x250"',
+    'class="related-posts"', 'role="navigation"', 'aria-hidden="true"'])
+def test_attributes_that_drop(attributes):
+    assert extraction.extracted(f"<body><article>{BODY}<div {attributes}><p>{LONG}</p></div></article></body>") == WANT
+
+
+def test_class_never_drops_most_of_the_text():
+    assert extraction.extracted(f"<body>{NAV}<div class='content sidebar'>{BODY}</div><div class=ads>{LONG}</div></body>") == WANT

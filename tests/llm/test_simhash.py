@@ -145,6 +145,50 @@ def test_crowded_groups_equal_all_pairs():
         assert full == some and near[a, b].all()
 
 
+def shingle_sets(rows):
+    found = []
+    for _, t in rows:
+        words = t.split()
+        found.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))})
+    return found
+
+
+def exact_components(rows, similarity=0.8):
+    sets, root = shingle_sets(rows), list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            n = len(sets[i] & sets[j])
+            if n >= similarity * (len(sets[i]) + len(sets[j]) - n) - 1e-9:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return {rows[i][0]: rows[find(i)][0] for i in range(len(rows))}
+
+
+def test_similar_equals_brute_force_from_half_to_nine_tenths(spark, make_docs):
+    rng = random.Random(17)
+    vocabulary = [f"v{i}" for i in range(5000)]
+    rows = []
+    for g in range(150):  # pairs, so that no third text links them
+        words = rng.choices(vocabulary, k=rng.randint(60, 300))
+        target = 0.5 + 0.4 * g / 150
+        copy = list(words)
+        while True:
+            a, b = shingle_sets([(0, " ".join(words)), (1, " ".join(copy))])
+            if len(a & b) <= target * len(a | b):
+                break
+            copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
+        rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(copy))]
+    want = exact_components(rows)
+    assert 20 < sum(want[i] != i for i in want) < 60
+    assert {r.doc_id: r.component_id for r in simhash.similar(make_docs(rows)).collect()} == want
+
+
 def test_texts_of_one_template_stay_apart(spark, make_docs):
     rng = random.Random(18)
     vocabulary = [f"v{i}" for i in range(5000)]

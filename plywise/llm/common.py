@@ -40,6 +40,21 @@ def partitions(spark: SparkSession, total_bytes: int, each: int = 16_000_000) ->
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total_bytes) // each))
 
 
+def spread_join(big: DataFrame, small: DataFrame, key: str, rows: str = "rows") -> DataFrame:
+    """``big`` with the columns of ``small``, whose keys are unique and say in ``rows`` how many rows of ``big`` have them.
+
+    Keys of over a thousandth of all rows, so at most a thousand keys, go to the rows where these are; only the others
+    meet by an exchange, in which no key is hot. ``rows`` is left out of the result.
+    """
+    total = small.agg(F.sum(rows)).first()[0] or 0
+    hot = small.where(F.col(rows) > max(1000, total // 1000)).drop(rows)
+    small = small.drop(rows)
+    if hot.isEmpty():
+        return big.join(small, key)
+    rest = big.join(F.broadcast(hot.select(key)), key, "left_anti").join(small.join(F.broadcast(hot.select(key)), key, "left_anti"), key)
+    return big.join(F.broadcast(hot), key).unionByName(rest)
+
+
 def text_or_empty(column: str | Column = "text") -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 

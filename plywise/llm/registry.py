@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from plywise.llm.common import Query
 from plywise.llm.extraction import op3_extraction
+from plywise.llm.jaccard import OP11_SQL, op11_jaccard
 from plywise.llm.linkgraph import op4_linkgraph
 from plywise.llm.mixing import op6_mixing
 from plywise.llm.packing import op8_packing
@@ -18,6 +19,6 @@ from plywise.llm.trie import OP12_SQL, op12_trie
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_simhash, op2_quality, op3_extraction, op4_linkgraph, op5_toxicity, op6_mixing, op7_parsing, op8_packing, op9_sharding, op10_suffixes,
-    op12_trie, op13_spelling,
+    op11_jaccard, op12_trie, op13_spelling,
 )}
-ORACLE_SQL: dict[str, str] = {"op12_trie": OP12_SQL, "op13_spelling": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op11_jaccard": OP11_SQL, "op12_trie": OP12_SQL, "op13_spelling": OP13_SQL}

@@ -11,6 +11,8 @@ from plywise.functions import labels, prompts
 from plywise.functions.responses import deliberations
 from plywise.functions.stats import count_if, mean2
 from plywise.operators.ordering import counters, first_per_key, hash_order, top_per_group
+from plywise.operators.selection import first_rows
+from plywise.session import stored
 
 SOURCE_ORDER = ("accepted", "metadata", "best", "external", "random")
 _SPEC = (
@@ -129,7 +131,8 @@ def choose_positions(unique: DataFrame, max_positions: int | None, shuffle_seed:
         return unique
     seen = unique.groupBy("fen_before").agg(F.min("spec_order").alias("_seen"))
     order = F.col("_seen") if shuffle_seed is None else hash_order(shuffle_seed, F.col("fen_before"))
-    return unique.join(seen.orderBy(order).limit(max_positions).select("fen_before"), "fen_before", "left_semi")
+    kept = first_rows(stored(seen, "positions"), [order], max_positions)
+    return unique.join(kept.select("fen_before"), "fen_before", "left_semi")
 
 
 def cap_candidates(unique: DataFrame, limit: int | None) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plywise.functions import labels, prompts
 from plywise.functions.stats import count_if
 from plywise.operators.ordering import counters, hash_order, top_per_group
+from plywise.operators.selection import first_rows
 
 _FIELDS = ("uci", "san", "source", "risk", "score", "centipawn_loss", "candidate_rank_in_generator")
 CANDIDATE_TYPE = (
@@ -118,9 +119,7 @@ def _whole_lists(rows: DataFrame, min_candidates: int, require_mixed: bool, orde
 
 
 def _cut(lists: DataFrame, max_positions: int | None, with_prompt: bool) -> DataFrame:
-    if max_positions is not None:
-        lists = lists.orderBy("position_seq").limit(max_positions)
-    return _finish(lists, prompts.choice_prompt if with_prompt else None)
+    return _finish(first_rows(lists, ["position_seq"], max_positions), prompts.choice_prompt if with_prompt else None)
 
 
 def _finish(df: DataFrame, prompt, split: Column | None = None) -> DataFrame:
@@ -275,10 +274,9 @@ def pair_rows(
     """Two-candidate rows; the safer move of a pair is the target."""
     pairs = candidate_pairs(rows, pairs_per_position, min_gap, order).join(position_facts(rows, order), "fen")
     if max_positions is not None:
-        first = pairs.groupBy("fen").agg(F.min("position_seq").alias("_s")).orderBy("_s").limit(max_positions)
+        first = first_rows(pairs.groupBy("fen").agg(F.min("position_seq").alias("_s")), ["_s"], max_positions)
         pairs = pairs.join(first.select("fen"), "fen", "left_semi")
-    if max_examples is not None:
-        pairs = pairs.orderBy("position_seq", "pair_index").limit(max_examples)
+    pairs = first_rows(pairs, ["position_seq", "pair_index"], max_examples)
     shown = _shown_pair([F.col("fen"), F.col("pair_index")], F.col("better"), F.col("worse"))
     out = pairs.select(
         "fen", "side_to_move", "position_seq", "pair_index", shown.alias("candidates"), F.col("better").alias("target"),
@@ -324,7 +322,7 @@ def comparison_rows(
 
     A list holds at most the candidates shown in one prompt, so its pairs are few.
     """
-    source = choices.orderBy(index).limit(max_choice_rows) if max_choice_rows is not None else choices
+    source = first_rows(choices, [index], max_choice_rows)
     n = F.size("candidates")
     positions = F.sequence(F.lit(0), n - 1)
     later = lambda i: F.filter(positions, lambda j: j > i)
@@ -334,8 +332,7 @@ def comparison_rows(
         F.col("move").alias("source_choice_move"), F.col("candidate_count").alias("source_choice_candidate_count"),
         "candidates", F.posexplode(combos).alias("pair_index", "p"),
     )
-    if max_pair_rows is not None:
-        pairs = pairs.orderBy("pair_source_choice_index", "pair_index").limit(max_pair_rows)
+    pairs = first_rows(pairs, ["pair_source_choice_index", "pair_index"], max_pair_rows)
     item = lambda k: F.element_at("candidates", F.col(f"p.{k}") + 1)
     named = pairs.select("*", item("i").alias("l"), item("j").alias("r"))
     left_better = quality_key(F.col("l")) >= quality_key(F.col("r"))

@@ -20,6 +20,7 @@ from plywise.operators.ordering import (
     unit_hash,
     with_one_row,
 )
+from plywise.operators.selection import first_rows
 from plywise.sources.gamefiles import tag
 
 # Speed rule of the funnel and its reasons.
@@ -235,8 +236,7 @@ def error_examples(errors: DataFrame, max_examples: int | None = None) -> DataFr
     """First usable error of every position, most severe first, up to the maximum."""
     usable = errors.withColumn("_drop", _survives()).where(F.col("_drop").isNull()).drop("_drop")
     first = first_per_key(usable, ["fen"], ["error_order"])
-    if max_examples is not None:
-        first = first.orderBy("error_order").limit(max_examples)
+    first = first_rows(first, ["error_order"], max_examples)
     move = F.coalesce("best_move_uci", "accepted_uci")
     return first.select(
         "prompt", F.concat(F.lit('{"move":"'), move, F.lit('"}')).alias("completion"), move.alias("move"), "fen",
@@ -292,9 +292,7 @@ def gate_triggers(predictions: DataFrame, dataset: DataFrame, min_cpl: int = 250
 
 def tactical_gate(triggers: DataFrame, max_examples: int | None = None) -> DataFrame:
     """First trigger of every position over the ordered files, up to the maximum."""
-    first = triggers
-    if max_examples is not None:
-        first = first.orderBy("file_ord", "line_ord").limit(max_examples)
+    first = first_rows(triggers, ["file_ord", "line_ord"], max_examples)
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     return first.select(
         "prompt", "fen", text("completion").alias("completion"), text("move").alias("move"),
@@ -333,7 +331,7 @@ def normalized(rows: DataFrame, source: Column) -> DataFrame:
 
 def hash_sample(rows: DataFrame, n: int, seed: int, *keys: str) -> DataFrame:
     """Exactly min(n, rows) rows without replacement, chosen by hash order."""
-    return rows.orderBy(hash_order(seed, *[F.col(k) for k in keys]), *keys).limit(n)
+    return first_rows(rows, [hash_order(seed, *[F.col(k) for k in keys]), *keys], n)
 
 
 def mixed_rows(broad: DataFrame, tactical: DataFrame, n_broad: int, repeats: int, seed: int, key: str,
@@ -363,10 +361,7 @@ def page_positions(records: Sequence[DataFrame], offset: int = 0, max_positions:
     if out is None:
         raise ValueError("at least one source of positions is required")
     seen = first_per_key(out, ["fen"], ["source_ord", "seq"])
-    if offset == 0 and max_positions is None:
-        return seen
-    page = seen.orderBy("source_ord", "seq").offset(offset)
-    return page if max_positions is None else page.limit(max_positions)
+    return first_rows(seen, ["source_ord", "seq"], max_positions, offset)
 
 
 def split_audit(examples: DataFrame) -> DataFrame:

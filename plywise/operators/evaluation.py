@@ -9,6 +9,7 @@ from plywise.functions import labels
 from plywise.functions.rewards import RewardRule, move_reward
 from plywise.functions.stats import count_if, mean2, mean_or_null, rate, rate4
 from plywise.operators.ordering import counters, top_per_group
+from plywise.operators.selection import first_rows
 
 
 # Legality and plain metrics -------------------------------------------------------
@@ -233,7 +234,7 @@ def choice_report_counts(judged_rows: DataFrame) -> DataFrame:
 def hard_cases(judged_rows: DataFrame, limit: int, index: str = "example_index") -> DataFrame:
     """The most severe cases, earlier rows first among equals."""
     cases = judged_rows.where(F.size("categories") > 0)
-    return cases.orderBy(F.desc("severity"), F.asc(index)).limit(limit)
+    return first_rows(cases, [-F.col("severity"), index], limit)
 
 
 # Votes ----------------------------------------------------------------------------

@@ -18,6 +18,7 @@ from plywise.functions.stats import (
     wilson_high,
     wilson_low,
 )
+from plywise.operators.selection import first_rows
 
 # Defaults of a run without a prompt, low-sample bound, hidden aliases.
 DEFAULT_MODE, DEFAULT_LEGALITY = "strict", "open"
@@ -312,8 +313,8 @@ def leaderboard(summaries: DataFrame, participants: DataFrame, **filters: object
 
 
 def newest_games(games: DataFrame, limit: int | None = None) -> DataFrame:
-    ordered = games.orderBy(F.desc("started_at"), F.desc("game_id"))
-    return ordered if limit is None else ordered.limit(limit)
+    newest = first_rows(games, ["started_at", "game_id"], limit, descending=True)
+    return newest.orderBy(F.desc("started_at"), F.desc("game_id"))
 
 
 def run_ids_desc(games: DataFrame) -> DataFrame:

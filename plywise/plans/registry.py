@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plywise.plans.fixtures import Fixtures
-from plywise.session import shared_dir
+from plywise.session import stored
 
 
 @dataclass(frozen=True)
@@ -44,9 +43,7 @@ def runner(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 def written(fx: Fixtures, df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder, for queries that read it several times."""
-    path = f"{shared_dir(fx.spark)}/{name}-{uuid4().hex}"
-    df.write.parquet(path)
-    return fx.spark.read.schema(df.schema).parquet(path)
+    return stored(df, name)
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:

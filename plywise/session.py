@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 from functools import cache
+from uuid import uuid4
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SHARED_DIR_KEY = "spark.checkpoint.dir"
 
@@ -37,10 +38,14 @@ def build_session(
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, named by ``spark.checkpoint.dir``.
 
-    Where the setting is absent, as in tests and smoke runs, the session gets a folder of its own.
+    Where the setting is absent, a local session gets a folder of its own; a cluster has no folder that all see, so
+    there it is an error.
     """
     root = spark.conf.get(SHARED_DIR_KEY, None)
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"set {SHARED_DIR_KEY} to a folder that all executors share")
         root = _own_dir()
     return root.rstrip("/")
 
@@ -48,3 +53,10 @@ def shared_dir(spark: SparkSession) -> str:
 @cache
 def _own_dir() -> str:
     return "file:" + tempfile.mkdtemp(prefix="plywise-")
+
+
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """``df`` as a table in the shared folder: computed once, and read again after the loss of an executor."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

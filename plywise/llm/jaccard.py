@@ -91,7 +91,7 @@ def prefix_length(size: int, percent: int) -> int:
     return size - -(-percent * size // 100) + 1
 
 
-def _names(sets: list[np.ndarray]) -> list[bytes]:
+def names(sets: list[np.ndarray]) -> list[bytes]:
     return [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets]
 
 
@@ -105,7 +105,7 @@ def _owned(shingle: int):
         for piece in pieces(batches, "text"):
             sets = shingle_sets(strings(piece.column("text")), shingle)
             sizes = pa.array([len(x) for x in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(_names(sets), pa.binary()), sizes], names=["doc_id", "name", "size"])
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(names(sets), pa.binary()), sizes], names=["doc_id", "name", "size"])
 
     return run
 
@@ -173,7 +173,7 @@ def _postings(shingle: int, percent: int, heavy: np.ndarray, ranks: np.ndarray,
             texts = strings(piece.column("text"))
             rows: list[tuple[int, int, int, np.ndarray]] = []
             sets = shingle_sets(texts, shingle)
-            for x, name in zip(sets, _names(sets)):
+            for x, name in zip(sets, names(sets)):
                 node = _node(name, clashes)
                 if not len(x) or node in seen:
                     continue
@@ -234,7 +234,7 @@ def _held_texts(shingle: int, clashes: dict[bytes, int]):
         for piece in pieces(batches, "text"):
             sets = shingle_sets(strings(piece.column("text")), shingle)
             nodes, keep = [], []
-            for i, (x, name) in enumerate(zip(sets, _names(sets))):
+            for i, (x, name) in enumerate(zip(sets, names(sets))):
                 node = _node(name, clashes)
                 if len(x) and node not in seen:
                     if len(seen) >= 1_000_000:
@@ -313,8 +313,8 @@ def _hub_pairs(hubs: DataFrame, rooted: DataFrame) -> DataFrame:
     return pairs.select(F.col("node").alias("a"), "b").distinct()
 
 
-def _block_pairs(percent: int):
-    """Pairs of groups of a list's blocks that may be similar and are not of one class; (x, y) with x <= y."""
+def _block_pairs(percent: int, counted: bool = False):
+    """Pairs of groups of a list's blocks that may be similar and are not of one class, (x, y) with x <= y; or their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
@@ -324,6 +324,7 @@ def _block_pairs(percent: int):
         token, one, two, block, group, low, high, size, place = (table.column(k).to_numpy() for k in (
             "token", "one", "two", "block", "group", "low", "high", "size", "place"))
         new = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])]))
+        total = 0
         for at, to in zip(new.tolist(), [*new[1:].tolist(), len(token)]):
             left = at + np.flatnonzero(block[at:to] == one[at])
             right = at + np.flatnonzero(block[at:to] == two[at])
@@ -333,15 +334,18 @@ def _block_pairs(percent: int):
                 most = np.minimum(size[i] - place[i], size[j] - place[j]).astype(np.int64)
                 j = j[(100 + percent) * most >= percent * (size[i] + size[j].astype(np.int64))]
                 j = j[(j != i) | (low[i] != high[i])]
-                if len(j):
+                total += len(j)
+                if len(j) and not counted:
                     x, y = np.minimum(group[i], group[j]), np.maximum(group[i], group[j])
                     yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["x", "y"])
+        if counted:
+            yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64())], names=["n"])
 
     return run
 
 
-def _left_pairs(lists: DataFrame, rooted: DataFrame, percent: int) -> DataFrame:
-    """All pairs (a, b) of nodes of different classes whose groups meet in a list and may be similar; a list's groups in blocks."""
+def _blocks(lists: DataFrame) -> DataFrame:
+    """The groups of lists with several classes, in blocks, for each pair of blocks."""
     n = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     whole = lists.groupBy("token").agg(F.min("low").alias("lowest"), F.max("high").alias("highest"), F.count("*").alias("rows"))
     blocks = F.ceil(F.col("rows") / _BLOCK).cast("int").alias("blocks")
@@ -349,7 +353,12 @@ def _left_pairs(lists: DataFrame, rooted: DataFrame, percent: int) -> DataFrame:
     own = spread_join(lists, whole, "token").withColumn("block", F.pmod(F.xxhash64("group"), F.col("blocks")).cast("int"))
     own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     own = own.select("token", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "group", "low", "high", "size", "place")
-    found = own.repartition(n, "token", "one", "two").mapInArrow(_block_pairs(percent), "x long, y long").distinct()
+    return own.repartition(n, "token", "one", "two")
+
+
+def _left_pairs(blocks: DataFrame, rooted: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) of nodes of different classes whose groups meet in a list and may be similar."""
+    found = blocks.mapInArrow(_block_pairs(percent), "x long, y long").distinct()
     x = rooted.select(F.col("group").alias("x"), F.col("node").alias("a"), F.col("root").alias("a_root"))
     y = rooted.select(F.col("group").alias("y"), F.col("node").alias("b"), F.col("root").alias("b_root"))
     pairs = found.join(x, "x").join(y, "y").where("a_root <> b_root")
@@ -382,8 +391,8 @@ def classes(
     docs = docs.select("doc_id", common.text_or_empty("text").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     own = stored(docs.mapInArrow(_owned(shingle), f"doc_id {kind}, name binary, size long"))
-    names = own.where("size > 0").groupBy("name").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("rows"))
-    clashes = _clashes(names)
+    whole_sets = own.where("size > 0").groupBy("name").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("rows"))
+    clashes = _clashes(whole_sets)
     text_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     heavy, ranks = common_shingles(docs, shingle, text_bytes)
     n = partitions(spark, text_bytes)
@@ -408,9 +417,11 @@ def classes(
         total, left = _pairs_left(now)
         if not left:
             break
-        last = stuck or turn == _ROUNDS or left <= _FEW * total
+        blocks = _blocks(now) if turn or not _ROUNDS or left <= _FEW * total else None
+        last = blocks is not None and (stuck or turn == _ROUNDS or left <= _FEW * total or (
+            blocks.mapInArrow(_block_pairs(percent, counted=True), "n long").agg(F.sum("n")).first()[0] or 0) <= _FEW * total)
         if last:
-            pairs = _left_pairs(now, rooted, percent)
+            pairs = _left_pairs(blocks, rooted, percent)
         else:
             hubs = stored(_hubs(now, tried, turn, percent))
             tried = hubs if tried is None else tried.union(hubs)
@@ -421,7 +432,7 @@ def classes(
         roots = roots if stuck else components(edges)
         if last:
             break
-    placed = names.withColumn("node", _numbered(clashes))
+    placed = whole_sets.withColumn("node", _numbered(clashes))
     placed = stored(_rooted(placed, roots))
     whole = placed.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("nodes"))
     named = spread_join(placed.select("name", "rows", "root"), whole.withColumnRenamed("nodes", "rows_of"), "root", rows="rows_of")
@@ -431,9 +442,9 @@ def classes(
     return found.unionByName(alone)
 
 
-def _clashes(names: DataFrame) -> dict[bytes, int]:
+def _clashes(sets: DataFrame) -> dict[bytes, int]:
     """Names that agree in their first half, with the numbers they get instead: about n²/2^65 of n, so next to none."""
-    half = names.select("name", F.substring("name", 1, 8).alias("half"))
+    half = sets.select("name", F.substring("name", 1, 8).alias("half"))
     twice = half.groupBy("half").agg(F.count("*").alias("n"), F.collect_list("name").alias("names")).where("n > 1")
     return {bytes(x): int.from_bytes(x[8:], "little", signed=True) for r in twice.collect() for x in r["names"]}
 

@@ -11,26 +11,29 @@ from plywise.llm import common, mixing, packing, simhash, suffixes, toxicity
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that are more likely toxic than not."""
+    """Drops documents that are more likely toxic than not.
+
+    Where no labelled document can be learned from, or none of them is toxic, nothing is known to be toxic and all stay.
+    Null and empty texts are scored like others, copies alike. Columns of any name are kept.
+    """
     labels = common.table(spark, sf_dir, "labels", "doc_id", "toxic")
-    return toxicity.with_toxicity(docs, labels).where("toxicity < 0.5").select(docs.columns)
+    score = next(n for n in ("toxicity" + "_" * k for k in range(len(docs.columns) + 1)) if n not in docs.columns)
+    return toxicity.with_toxicity(docs, labels, score).where(F.coalesce(F.col(score) < 0.5, F.lit(True))).select(docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays (words by five, similarity 0.8): the one with the least doc_id.
 
-    A row without an id stays only where no other of its group has one. Of rows with the same least id one stays, that
-    with the least hash of the text, and of rows alike in that, too, the least row.
+    A row without an id stays only where no other of its group has one; of several rows with the same least id, or of
+    copies row by row, one stays. Texts without a word are copies of each other. Columns of any name and kind are kept.
     """
-    found = simhash.similar(docs, shingle=5, similarity=0.8)
-    counts = found.groupBy("component", "doc_id", "text_hash").agg(F.count("*").alias("n"))
-    least = counts.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "n")).alias("k"))
-    keys = least.select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash"), F.col("k.n").alias("_n"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
-    kept = docs.join(keys, same)
-    alone = kept.where("_n = 1").select(docs.columns)
-    several = kept.where("_n > 1").groupBy("_id", "_hash").agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*")
-    return alone.unionByName(several)
+    row = next(n for n in ("_row" + "_" * k for k in range(len(docs.columns) + 1)) if n not in docs.columns)
+    rows = common.stored(docs.withColumn(row, F.monotonically_increasing_id()))
+    found = simhash.similar(rows.select(F.col(row).alias("doc_id"), "text"), shingle=5, percent=80).withColumnRenamed("doc_id", row)
+    ids = found.join(rows.select(row, "doc_id"), row)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", row)
+    kept = ids.groupBy("component").agg(F.min(order)[row].alias(row))
+    return rows.join(kept.select(row), row, "left_semi").select(docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ Each link is verified by counting bits. Copies share a fingerprint and are one n
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,17 +24,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plywise.llm import common
-from plywise.llm.common import blobs, components, mixed, partitions, pieces, stored, strings, unpacked
+from plywise.llm import common, jaccard
+from plywise.llm.common import blobs, components, mixed, partitions, pieces, spread_join, stored, strings, unpacked
 
 RADIUS = 3
 SEED = 42
 _BLOCKS, _BLOCK_BITS, _REST = 4, 16, 48
 _MIN_BUCKETS = 1024
-#: Groups up to this size are compared pair by pair.
-_CROWD = 48
-#: Counters of shingles, and the slices in which they are summed; rounds of comparisons with one text of a shingle.
-_COUNTERS, _SLICES, _STARS = 1 << 20, 64, 2
 
 
 def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
@@ -187,277 +183,38 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return own.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def shingle_set(text: bytes, shingle: int) -> np.ndarray:
-    """The distinct shingle hashes of a text, in order."""
-    return np.unique(shingle_hashes(text, shingle))
+def _node_fingerprints(shingle: int, number: Callable[[bytes], int]):
+    """Nodes of ``jaccard.classes`` with the SimHash of their sets; a text without words has none."""
 
-
-def _tally(shingle: int):
-    """In how many texts each bucket of shingles stands, by slice; and, at -1, the number of all shingles."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(_COUNTERS, np.int64)
-        for piece in pieces(batches, "text"):
-            for t in strings(piece.column("text")):
-                np.add.at(counts, (shingle_set(t, shingle) % np.uint64(_COUNTERS)).astype(np.int64), 1)
-        used = np.flatnonzero(counts)
-        yield blobs(used % _SLICES, _SLICES, at=used.astype(np.int32), n=counts[used])
-        yield blobs(np.zeros(1, np.int64), 1, at=np.array([-1], np.int32), n=counts.sum(keepdims=True))
-
-    return run
-
-
-def _tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    x = unpacked(batches, at=np.int32, n=np.int64)
-    at, place = np.unique(x["at"], return_inverse=True)
-    yield blobs(np.zeros(len(at), np.int64), 1, at=at, n=np.bincount(place, x["n"], minlength=len(at)).astype(np.int64))
-
-
-def prefix(hashes: np.ndarray, rank: np.ndarray, similarity: float) -> np.ndarray:
-    """The rarest of a set's shingles, so many that sets of at least this similarity share one; in the order of rarity."""
-    keep = len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-9)) + 1
-    order = np.lexsort((hashes, rank[(hashes % np.uint64(len(rank))).astype(np.int64)]))
-    return hashes[order[: min(keep, len(hashes))]]
-
-
-def _postings(shingle: int, similarity: float, rank: np.ndarray, n_buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "text"):
-            nodes = piece.column("node").to_numpy(zero_copy_only=False)
-            sets = [shingle_set(t, shingle) for t in strings(piece.column("text"))]
-            found = [prefix(x, rank, similarity) for x in sets]
-            size = np.array([len(x) for x in found], np.int64)
-            if not size.sum():
-                continue
-            token = np.concatenate(found)
-            buckets = (mixed(token) % np.uint64(n_buckets)).astype(np.int64)
-            places = np.concatenate([np.arange(n, dtype=np.int32) for n in size])
-            yield blobs(buckets, n_buckets, token=token, node=np.repeat(nodes, size),
-                        size=np.repeat(np.array([len(x) for x in sets], np.int32), size), place=places)
+            sets = [x for x in jaccard.shingle_sets(strings(piece.column("text")), shingle) if len(x)]
+            nodes = pa.array([number(n) for n in jaccard.names(sets)], pa.int64())
+            fps = np.array([majority(x) for x in sets], np.uint64)
+            yield pa.RecordBatch.from_arrays([nodes, pa.array(fps.view(np.int64))], names=["node", "fp"])
 
     return run
 
 
-def _leads(size: np.ndarray, place: np.ndarray, similarity: float) -> np.ndarray:
-    """Whether a set can be the smaller one of a similar pair whose first common shingle stands at this place."""
-    return size - place >= 2 * similarity / (1 + similarity) * size - 1e-9
-
-
-def _may(size: np.ndarray, place: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
-    """Whether sets may be similar that share a shingle at these places and none before it."""
-    most = np.minimum(size[i] - place[i], size[j] - place[j])
-    return most >= similarity / (1 + similarity) * (size[i] + size[j]) - 1e-9
+def close_pairs(docs: DataFrame, shingle: int, number: Callable[[bytes], int]) -> DataFrame:
+    """Pairs (a, b) of nodes that connect all whose fingerprints are equal or linked; each is one comparison a node."""
+    own = stored(docs.select("text").mapInArrow(_node_fingerprints(shingle, number), "node long, fp long").distinct())
+    reps = stored(own.groupBy("fp").agg(F.min("node").alias("rep"), F.count("*").alias("rows")))
+    same = spread_join(own, reps, "fp").where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
+    far = links(reps, reps.count())
+    ends = reps.select("fp", "rep")
+    far = far.join(ends.withColumnRenamed("rep", "x"), F.col("a") == F.col("fp")).drop("fp").join(ends, F.col("b") == F.col("fp"))
+    return same.union(far.select(F.col("x").alias("a"), F.col("rep").alias("b")))
 
 
-def _ranges(low: np.ndarray, high: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (place in ``low``, number from low to high), in parts of bounded size where single ranges are."""
-    total = np.concatenate([[0], np.cumsum(np.maximum(high - low, 0))])
-    at = 0
-    while at < len(low):
-        to = max(at + 1, int(np.searchsorted(total, total[at] + 2_000_000, side="right")) - 1)
-        n = np.diff(total[at : to + 1])
-        of = np.repeat(np.arange(at, to), n)
-        yield of, low[of] + np.arange(len(of)) - np.repeat(total[at:to] - total[at], n)
-        at = to
+def similar(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """``jaccard.classes`` of ``docs``, with fingerprints first: near copies whose fingerprints are linked are compared
+    and become one class, in one comparison each; what is left of a crowd meets by prefixes, so that no link is lost.
 
-
-def star_pairs(token: np.ndarray, node: np.ndarray, root: np.ndarray, size: np.ndarray, place: np.ndarray,
-               similarity: float, turn: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of each row with one row of its shingle and range of sizes, where both are of different components."""
-    span = np.floor(np.log(size) / np.log(1.1)).astype(np.int64)
-    leads = _leads(size, place, similarity)
-    order = np.lexsort((mixed(node.view(np.uint64) + np.uint64(turn)), ~leads, span, token))
-    new = np.ones(len(order), bool)
-    new[1:] = (token[order][1:] != token[order][:-1]) | (span[order][1:] != span[order][:-1])
-    hub = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
-    keep = (root[order] != root[hub]) & _may(size, place, order, hub, similarity)
-    return node[order[keep]], node[hub[keep]]
-
-
-def all_pairs(token: np.ndarray, node: np.ndarray, root: np.ndarray, size: np.ndarray, place: np.ndarray,
-              similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of rows of a shingle that may be similar and are of different components; the greater node first.
-
-    The rows of a shingle's largest component are never paired with each other, so the work is bounded by the others.
+    Fingerprints alone can't say which texts have a similarity of four fifths: at that similarity two of 64 bits differ
+    in every thirteen, ten in all, and a ball of that radius holds nearly all fingerprints.
     """
-    order = np.lexsort((size, token))
-    token, node, root, size, place = token[order], node[order], root[order], size[order].astype(np.int64), place[order]
-    group = np.cumsum(np.concatenate([[0], token[1:] != token[:-1]])) if len(token) else token.astype(np.int64)
-    both, at, n = np.unique(np.stack([group, root], axis=1), axis=0, return_inverse=True, return_counts=True)
-    rank = np.lexsort((-n, both[:, 0]))
-    first = np.ones(len(rank), bool)
-    first[1:] = both[rank][1:, 0] != both[rank][:-1, 0]
-    largest = np.zeros(len(rank), bool)
-    largest[rank[first]] = True
-    other = ~largest[at.ravel()]
-    leads = np.flatnonzero(_leads(size, place, similarity))
-    key = group << 32 | size
-    found = [np.zeros((0, 2), np.int64)]
-
-    def take(rows: np.ndarray, among: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
-        low = np.searchsorted(key[among], group[rows] << 32 | low)
-        high = np.searchsorted(key[among], group[rows] << 32 | high, side="right")
-        for of, to in _ranges(low, high):
-            i, j = rows[of], among[to]
-            keep = (root[i] != root[j]) & _may(size, place, i, j, similarity)
-            a, b = node[i[keep]], node[j[keep]]
-            found.append(np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1), axis=0))
-
-    small, large = leads[other[leads]], np.flatnonzero(other)
-    take(small, np.arange(len(key)), size[small], np.ceil(size[small] / similarity).astype(np.int64))
-    take(large, leads, np.floor(size[large] * similarity).astype(np.int64), size[large])
-    pairs = np.unique(np.concatenate(found), axis=0)
-    return pairs[:, 0], pairs[:, 1]
-
-
-def _rows(x: dict[str, np.ndarray], similarity: float) -> np.ndarray:
-    """Rows of shingles that stand in several sets, one of which can lead."""
-    shingles, at, n = np.unique(x["token"], return_inverse=True, return_counts=True)
-    led = np.zeros(len(shingles), bool)
-    led[at[_leads(x["size"], x["place"], similarity)]] = True
-    return np.flatnonzero((n > 1)[at] & led[at])
-
-
-def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets of shingles have at least this Jaccard similarity.
-
-    A text goes once to each hub b that it is compared with. Hubs of many texts stand in several places.
-    """
-    spark = texts.sparkSession
-    several = pairs.groupBy("b").agg(F.ceil(F.count("*") / F.lit(200)).alias("places"))
-    dealt = pairs.join(several, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("places")).alias("salt"))
-    dealt = stored(dealt)
-    asked = dealt.union(dealt.select(F.col("b").alias("a"), "b", "salt").distinct())
-    held = asked.withColumnRenamed("a", "node").hint("merge").join(texts.select("node", "text"), "node")
-    size = held.select("b", "salt", F.col("node").alias("a"), (F.col("node") != F.col("b")).alias("later"), "text")
-    size = size.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "b", "salt").sortWithinPartitions("b", "salt", "later")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, own = None, np.zeros(0, np.uint64)
-        for batch in batches:
-            for piece in pieces(iter([batch]), "text"):
-                a, b = (piece.column(k).to_numpy(zero_copy_only=False) for k in ("a", "b"))
-                keep = np.zeros(len(a), bool)
-                for i, t in enumerate(strings(piece.column("text"))):
-                    x = shingle_set(t, shingle)
-                    if a[i] == b[i]:
-                        hub, own = b[i], x
-                        continue
-                    assert hub == b[i]
-                    common_ = len(np.intersect1d(x, own, assume_unique=True))
-                    keep[i] = common_ >= similarity * (len(x) + len(own) - common_) - 1e-9
-                yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
-
-    return size.mapInArrow(run, "a long, b long")
-
-
-def _bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
-
-
-def close_pairs(key: np.ndarray, words: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Verified links, by place, that connect all rows of equal keys that any pairs at most ``most`` bits apart connect."""
-    order = np.lexsort((words[:, 1], words[:, 0], key))
-    new = np.ones(len(order), bool)
-    new[1:] = (key[order][1:] != key[order][:-1])
-    first = np.flatnonzero(new)
-    size = np.diff(np.append(first, len(order)))
-    found = [(np.zeros(0, np.int64),) * 2]
-    small = np.repeat(size <= _CROWD, size) & np.repeat(size > 1, size)
-    left = order[small]
-    group = np.repeat(np.arange(len(size)), size)[small]
-    for step in range(1, min(_CROWD, int(size[size <= _CROWD].max(initial=1)))):
-        same = np.flatnonzero(group[step:] == group[:-step])
-        if not len(same):
-            break
-        a, b = left[same], left[same + step]
-        near = _bits(words[a], words[b]) <= most
-        found.append((a[near], b[near]))
-    for k in np.flatnonzero(size > _CROWD):
-        own = order[first[k] : first[k] + size[k]]
-        clusters = []
-        while len(own):  # those near the first are one cluster
-            near = _bits(words[own], words[own[:1]]) <= most
-            found.append((np.full(near.sum(), own[0]), own[near]))
-            clusters.append(own[near])
-            own = own[~near]
-        clusters.sort(key=len)
-        for i, a in enumerate(clusters):  # clusters whose members meet
-            rest = np.concatenate(clusters[i + 1 :]) if i + 1 < len(clusters) else own
-            for x in a.tolist():
-                near = _bits(words[rest], words[x][None, :]) <= most
-                found.append((np.full(near.sum(), x), rest[near]))
-    a, b = (np.concatenate(x) for x in zip(*found))
-    keep = a != b
-    return a[keep], b[keep]
-
-
-def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``doc_id``, ``text_hash`` and ``component_id``, the least doc_id among all that links of at least ``similarity``
-    reach; ``component`` is another name for the same group, never null.
-
-    A link is a pair of texts whose sets of word shingles have at least this Jaccard similarity: exactly, no pair more
-    and, hash collisions of 64 bits apart, none less. Candidates come from prefixes: in any order of all shingles, two
-    such sets have a shingle in common among the first (1 - similarity) n + 1 of each, and where it is the first in
-    common its places bound what follows. The order is from rare to common (by a table of counters of fixed size, which
-    decides about the work only), so a passage that many texts share makes no candidates of texts that differ
-    otherwise. Candidates are compared set by set: two rounds with one text of their shingle, at most one comparison a
-    text, and then all that are still in different components. Texts without words are one group; otherwise rows are
-    treated as in ``near_duplicates``.
-    """
-    spark = docs.sparkSession
-    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    words = F.trim(F.regexp_replace(F.translate(common.text_or_empty("text"), upper, upper.lower()), "[\\x09-\\x0d ]+", " "))
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words.alias("text")).withColumn("node", F.xxhash64("text"))
-    own = stored(rows.select("doc_id", "text_hash", "node"))
-    texts = stored(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("text").alias("text")))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    schema = "bucket int, at binary, n binary"
-    counts = np.zeros(_COUNTERS, np.int64)
-    total = 0
-    for r in texts.select("text").mapInArrow(_tally(shingle), schema).repartition(parts, "bucket").mapInArrow(_tallied, schema).collect():
-        at, n = np.frombuffer(r["at"], np.int32), np.frombuffer(r["n"], np.int64)
-        counts[at[at >= 0]] = n[at >= 0]
-        total += int(n[at < 0].sum())
-    rank = (8 * np.log2(counts + 1)).astype(np.uint8)
-    n = partitions(spark, int(total * (1 - similarity)) * 24)
-    n_buckets = max(_MIN_BUCKETS, 4 * n)
-
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x = unpacked(batches, token=np.uint64, node=np.int64, size=np.int32, place=np.int32)
-        keep = _rows(x, similarity)
-        columns = [x["token"][keep].view(np.int64), *(x[k][keep] for k in ("node", "size", "place"))]
-        for at in range(0, len(keep), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 100_000]) for c in columns], names=["token", "node", "size", "place"])
-
-    def candidates(turn: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-            if table is None:
-                return
-            x = [table.column(k).to_numpy() for k in ("token", "node", "root", "size", "place")]
-            a, b = star_pairs(*x, similarity, turn) if turn < _STARS else all_pairs(*x, similarity)
-            for at in range(0, len(a), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(a[at : at + 100_000]), pa.array(b[at : at + 100_000])], names=["a", "b"])
-
-        return run
-
-    dealt = texts.select("node", "text").mapInArrow(_postings(shingle, similarity, rank, n_buckets), "bucket int, token binary, node binary, size binary, place binary")
-    postings = stored(dealt.repartition(n, "bucket").drop("bucket").mapInArrow(first, "token long, node long, size int, place int"))
-    edges, roots = None, None
-    for turn in range(_STARS + 1):
-        named = postings.withColumn("root", F.col("node")) if roots is None else (
-            postings.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-        pairs = named.repartition(n, "token").mapInArrow(candidates(turn), "a long, b long")
-        if turn < _STARS:  # of a text's hubs the one with which it shares most
-            pairs = pairs.groupBy("a", "b").count().groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b"))
-        found = stored(verified(stored(pairs.distinct()), texts, shingle, similarity))
-        edges = found if edges is None else edges.union(found)
-        roots = components(edges)
-    placed = stored(texts.select("node", "first_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    least = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = stored(placed.join(least, "root").select("node", "component_id", F.col("root").alias("component")))
-    return own.join(named, "node").select("doc_id", "text_hash", "component_id", "component")
+    return jaccard.classes(docs, shingle, percent, lambda texts, number: close_pairs(texts, shingle, number))
 
 
 def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:

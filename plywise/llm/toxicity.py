@@ -149,6 +149,8 @@ class Model:
     log_k: float = 0.0
     slope: float = 1.0
     shift: float = 0.0
+    #: Whether toxic and other texts were learned from.
+    fitted: bool = False
 
     def stats(self, text: str | Column = "text") -> Column:
         """Number of tokens, best score, and every segment (bytes from, to; score) of a text."""
@@ -272,7 +274,8 @@ def calibrated(model: Model, scored: DataFrame, labels: DataFrame) -> Model:
     if not bins:
         return Model(model.scores, model.rate, log_k, 0.0, 0.0)
     slope, shift = _logistic(*(np.array([float(r[k]) for r in bins]) for k in ("x", "ones", "n")))
-    return Model(model.scores, model.rate, log_k, slope, shift)
+    ones, n = sum(r["ones"] for r in bins), sum(r["n"] for r in bins)
+    return Model(model.scores, model.rate, log_k, slope, shift, 0 < ones < n)
 
 
 def scored_texts(docs: DataFrame, model: Model) -> DataFrame:
@@ -280,12 +283,16 @@ def scored_texts(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", model.stats().alias("s")).select("doc_id", "s.*")
 
 
-def with_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """All columns of ``docs`` and ``toxicity``, the probability; texts stay in their task."""
+def with_toxicity(docs: DataFrame, labels: DataFrame, name: str = "toxicity") -> DataFrame:
+    """All columns of ``docs`` and the probability under ``name``; texts stay in their task.
+
+    It is null where there is nothing to learn from: no labelled text that may be used, or none of one label.
+    """
     model = fit(docs, labels)
     model = calibrated(model, stored(scored_texts(docs, model).select("doc_id", "n_tokens", "best")), labels)
-    return (docs.withColumn("_stats", model.stats())
-            .withColumn("toxicity", model.probability(F.col("_stats.n_tokens"), F.col("_stats.best"))).drop("_stats"))
+    stats = next(n for n in ("_stats" + "_" * k for k in range(len(docs.columns) + 2)) if n not in (*docs.columns, name))
+    chance = model.probability(F.col(f"{stats}.n_tokens"), F.col(f"{stats}.best")) if model.fitted else F.lit(None).cast("double")
+    return docs.withColumn(stats, model.stats()).withColumn(name, chance).drop(stats)
 
 
 def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:

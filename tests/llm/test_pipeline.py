@@ -89,3 +89,23 @@ def test_empty_documents(spark, make_docs, folder_of):
 
 def test_characters_cut_in_part_go_as_a_whole():
     assert suffixes._form("aé".encode()[:-1], "text") == b"a" and suffixes._form(b"a\xff", "bytes") == b"a\xff"
+
+
+def test_without_usable_labels_all_documents_stay(spark, make_docs, folder_of):
+    texts = ["a clean text", "another one", None, "", "words"]
+    docs = make_docs(texts).withColumnRenamed("lang", "toxicity").withColumnRenamed("source", "_stats")
+    schema = "doc_id long, quality int, toxic int"
+    for labels in ([], [(0, 1, None), (99, 1, 1)], [(i, 1, 0) for i in range(5)], [(None, 1, 1)]):
+        folder = folder_of(labels=spark.createDataFrame(labels, schema))
+        found = corpus_pipeline.toxic(spark, docs, folder)
+        assert found.dtypes == docs.dtypes and sorted(r.doc_id for r in found.collect()) == [0, 1, 2, 3, 4], labels
+
+
+def test_near_copies_keep_columns_of_any_name(spark, make_docs):
+    rng = random.Random(3)
+    base = prose(rng, 100, [f"w{i}" for i in range(500)])
+    docs = make_docs([(3, base), (2, base + " end"), (7, "alone"), (None, base.upper()), (8, None), (9, " ")])
+    docs = docs.selectExpr("*", "map('a', doc_id) AS _row", "1 AS component", "2 AS _id", "3 AS node", "4 AS rows", "5 AS none")
+    found = corpus_pipeline.near_copies(spark, docs, "")
+    assert found.dtypes == docs.dtypes
+    assert sorted((r.doc_id, r._row["a"]) for r in found.collect()) == [(2, 2), (7, 7), (8, 8)]

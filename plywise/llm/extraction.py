@@ -1,9 +1,10 @@
 """Main text of HTML by composite text density.
 
-A page is read into a tree (tags that end others implicitly, and void tags, as browsers do). What is never text (scripts,
-styles, forms and the like), and what says of itself that it is a menu, header, footer, sidebar, notice, advert or reader
-comment, by its tag, role or class, is left out; by class only if it holds no more than half of the page's text outside links,
-and if all words of a class or id agree. For every other node the characters per tag are computed, adjusted for
+A page is read into a tree (tags that end others implicitly, and void tags, as browsers do; elements below ``_DEPTH``
+others stand beside each other, with all their text). What is never text (scripts, styles, controls and the like), and
+what says of itself that it is a menu, header, footer, sidebar, notice, advert or reader comment, by its tag, role or
+class, is left out; by class, and forms, only if it holds no more than half of the page's text outside links, and if all
+words of a class or id agree. For every other node the characters per tag are computed, adjusted for
 links:
 
     density = C / T * log_b((C / max(LC, 1)) * (T / max(LT, 1)))    with  b = e + C * LC / max(C - LC, 1) + LCb / Cb * C
@@ -48,8 +49,10 @@ _SCOPES = {"li": ("ul", "ol", "menu"), "dd": ("dl",), "dt": ("dl",), "tr": ("tab
 
 # What is not main text: by tag, by role, by words of class and id.
 _DROPPED = frozenset(
-    "script style noscript template iframe svg math canvas object embed audio video map nav footer aside form button select option input textarea "
-    "label fieldset dialog menu head title noembed noframes xmp".split())
+    "script style noscript template iframe svg canvas object embed audio video map nav footer aside button select option input textarea "
+    "dialog head title noembed noframes xmp".split())
+# What is not main text unless it holds most of the page's.
+_DOUBTED = frozenset(("form", "menu"))
 _ROLES = frozenset("navigation banner complementary contentinfo search form menu menubar dialog alert alertdialog toolbar".split())
 _WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion banner sidebar aside nav navbar navigation menu "
@@ -105,9 +108,11 @@ def _pairs(attributes: str) -> Iterator[tuple[str, str]]:
 
 
 def _doubted(tag: str, attributes: str) -> bool:
-    """Whether a class or id says that the element is no main text."""
+    """Whether the tag, a class or an id says that the element is no main text."""
     if tag in ("html", "body", "article", "main"):
         return False
+    if tag in _DOUBTED:
+        return True
     return any(_says(x) for name, value in _pairs(attributes) if name in ("class", "id") for x in value.split())
 
 
@@ -132,6 +137,7 @@ def tree(page: str) -> _Node:
     """The page's elements, and strings for its text; dropped elements stay as nodes without children."""
     root = node = _Node("#root", None, False)
     at, size = 0, len(page)
+    unended: set[str] = set()
     while at < size:
         m = _TOKEN.search(page, at)
         stop = m.start() if m else size
@@ -158,7 +164,9 @@ def tree(page: str) -> _Node:
         new.doubted = not new.dropped and _doubted(tag, attributes)
         node.children.append(new)
         if tag in _RAW:
-            end = re.compile(rf"</{tag}\s*/?>|</{tag}\Z", re.I).search(page, at)
+            end = None if tag in unended else re.compile(rf"</{tag}\s*/?>|</{tag}\Z", re.I).search(page, at)
+            if end is None:
+                unended.add(tag)
             if end is None and tag in ("script", "style", "textarea", "title"):
                 at = size
             elif end is not None:
@@ -266,7 +274,7 @@ def _main(root: _Node) -> list[_Node]:
     threshold = min((n.density for n in [*path, body]), default=0.0)
     on_path = {id(n) for n in path}
     chosen = [whole]
-    if not _inside(whole, ("article", "main")):
+    if whole is not body and not _inside(whole, ("article", "main")):
         for n in [body, *path[1:]]:
             for c in n.children:
                 if isinstance(c, _Node) and not c.dropped and id(c) not in on_path and c.chars and c.density >= threshold and 3 * c.link_chars < c.chars:

@@ -74,3 +74,50 @@ def test_attributes_that_drop(attributes):
 
 def test_class_never_drops_most_of_the_text():
     assert extraction.extracted(f"<body>{NAV}<div class='content sidebar'>{BODY}</div><div class=ads>{LONG}</div></body>") == WANT
+
+
+def nested(page):
+    chosen = extraction._main(extraction.tree(page))
+    ids = {id(n) for n in chosen}
+    for n in chosen:
+        up = n.parent
+        while up is not None:
+            if id(up) in ids:
+                return True
+            up = up.parent
+    return False
+
+
+@pytest.mark.parametrize("inside", ["<p>{}</p>", "<article><p>{}</p></article>", "<div><p>{}</p></div>", "{}", "<p>{}<p>{}", "<div>{}</div><div>{}</div>", "<b>{}</b>"])
+def test_no_text_is_written_twice(inside):
+    words = " ".join(LONG.split())
+    page = f"<html><body>{inside.replace('{}', LONG)}</body></html>"
+    assert extraction.extracted(page).replace("\n", " ").count(words) == inside.count("{}")
+    assert not nested(page)
+
+
+def test_no_chosen_node_holds_another():
+    rng = random.Random(2)
+    parts = ["<p>", "</p>", "<div>", "</div>", "<b>", "</b>", "<article>", "</article>", "<ul><li>", "</ul>", LONG, "word ", "<a href=x>link</a>", "<form>", "</form>", "<table><tr><td>", "</table>"]
+    for _ in range(2000):
+        assert not nested("<body>" + "".join(rng.choices(parts, k=rng.randint(1, 40))))
+
+
+def test_a_form_around_the_page_keeps_its_text():
+    assert extraction.extracted(f"<body><form action=x>{NAV}<div>{BODY}</div><input name=q><button>Go</button></form>{FOOT}</body>") == WANT
+    assert extraction.extracted(f"<body>{NAV}<div>{BODY}<form><label>Name</label><input><p>{LONG}</p></form></div></body>") == WANT
+
+
+def test_formulas_and_labels_of_an_article_stay():
+    page = f"<article>{BODY}<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p><fieldset><legend>Box</legend>in a box</fieldset><p><label>a label</label></p></article>"
+    assert extraction.extracted(page) == WANT + "\nso x=2 holds\nBox\nin a box\na label"
+
+
+def test_raw_elements_without_an_end_are_read_once():
+    import time
+
+    for tag in ("iframe", "noscript", "xmp", "noembed"):
+        page = f"<article><p>{LONG}</p>" + f"<{tag}>" * (1_000_000 // (len(tag) + 2)) + "</article>"
+        started = time.perf_counter()
+        extraction.extracted(page)
+        assert time.perf_counter() - started < 5

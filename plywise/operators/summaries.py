@@ -19,6 +19,7 @@ from plywise.functions.stats import (
     wilson_low,
 )
 from plywise.operators.selection import first_rows
+from plywise.session import stored
 
 # Defaults of a run without a prompt, low-sample bound, hidden aliases.
 DEFAULT_MODE, DEFAULT_LEGALITY = "strict", "open"
@@ -91,7 +92,7 @@ def move_facts(moves: DataFrame, evaluations: DataFrame) -> DataFrame:
         count_if(kind == "mistake").alias("mistakes"),
         count_if(kind == "inaccuracy").alias("inaccuracies"),
     )
-    joined = moves.select("move_id", "game_id", "color", "retries_used", "latency_total_ms").join(
+    joined = moves.select(*MOVE_COLUMNS).join(
         per_move, "move_id", "left"
     )
     measures = {
@@ -103,7 +104,7 @@ def move_facts(moves: DataFrame, evaluations: DataFrame) -> DataFrame:
 
 def attempt_facts(attempts: DataFrame, token_usage: DataFrame) -> DataFrame:
     """Per game: attempts, rejected attempts and tokens of both sides (side by ply parity)."""
-    with_tokens = attempts.select("attempt_id", "game_id", "ply", "parse_ok", "legal_ok").join(
+    with_tokens = attempts.select(*ATTEMPT_COLUMNS).join(
         token_usage.select("attempt_id", "total_tokens"), "attempt_id", "left"
     )
     measures = {
@@ -129,49 +130,73 @@ def participant_summary(
 ) -> DataFrame:
     """One row per participant and colour.
 
-    With ``run_id``, or if ``games`` are few of all (``few_games``), facts of other games are left out by semi-joins
-    before they are evaluated, joined or summed.
+    With ``run_id``, or if ``games`` are few of all (``few_games``), the games, moves and attempts in question are written
+    first, and facts of others are left out before they are evaluated, joined or summed; each table is read once.
 
     Moves and attempts are reduced to one row per game on their own, so no fact multiplies
     another; games, move facts and attempt facts then meet on game_id, and everything above
     the game is a partial aggregate on (participant, colour).
     """
     scoped = games.where(F.col("run_id").isNotNull() if run_id is None else F.col("run_id") == run_id)
-    scoped = scoped.join(runs.select("run_id"), "run_id", "left_semi").select(
-        "game_id", "run_id", "white_participant_id", "black_participant_id", "result", "termination_reason"
-    )
+    scoped = scoped.join(runs.select("run_id"), "run_id", "left_semi").select(*GAME_COLUMNS)
     if run_id is not None or few_games:
-        own = scoped.select("game_id")
-        moves, attempts = (x.join(own, "game_id", "left_semi") for x in (moves, attempts))
+        scoped = stored(scoped, "games")
+        moves = stored(moves.select(*MOVE_COLUMNS).join(scoped.select("game_id"), "game_id", "left_semi"), "moves")
+        attempts = stored(attempts.select(*ATTEMPT_COLUMNS).join(scoped.select("game_id"), "game_id", "left_semi"), "attempts")
         evaluations = evaluations.join(moves.select("move_id"), "move_id", "left_semi")
         token_usage = token_usage.join(attempts.select("attempt_id"), "attempt_id", "left_semi")
-    facts = scoped.join(move_facts(moves, evaluations), "game_id", "left").join(
+    sides = side_measures(scoped, moves, evaluations, attempts, token_usage)
+    return finished_summary(total_measures(sides), participants, runs, prompts)
+
+
+MOVE_COLUMNS = ("move_id", "game_id", "color", "retries_used", "latency_total_ms")
+ATTEMPT_COLUMNS = ("attempt_id", "game_id", "ply", "parse_ok", "legal_ok")
+GAME_COLUMNS = ("game_id", "run_id", "white_participant_id", "black_participant_id", "result", "termination_reason")
+
+
+def side_measures(games: DataFrame, moves: DataFrame, evaluations: DataFrame, attempts: DataFrame, token_usage: DataFrame) -> DataFrame:
+    """One row for each game and known side: what it adds to the summary of its participant and colour."""
+    facts = games.select(*GAME_COLUMNS).join(move_facts(moves, evaluations), "game_id", "left").join(
         attempt_facts(attempts, token_usage), "game_id", "left"
     )
     measures = _MOVE_MEASURES + _ATTEMPT_MEASURES
     sides = facts.select(
         "game_id", "run_id", "result", "termination_reason", "plies", F.explode(_side_array(measures)).alias("s")
     ).select("game_id", "run_id", "result", "termination_reason", "plies", "s.*")
-    sides = sides.where(F.col("participant_id").isNotNull()).withColumn(
-        "outcome", labels.outcome(F.col("result"), F.col("color"))
-    )
-    won = lambda what: count_if(F.col("outcome") == what)
-    totals = sides.groupBy("participant_id", "color").agg(
-        F.min_by("run_id", "game_id").alias("first_run_id"),
-        F.count(F.lit(1)).alias("games_played"),
-        won("win").alias("wins"), won("draw").alias("draws"),
-        won("loss").alias("losses"), won("unfinished").alias("unfinished"),
-        count_if((F.col("termination_reason") == "forfeit_invalid") & (F.col("outcome") == "loss"))
-        .alias("forfeit_invalid_count"),
-        F.coalesce(F.sum("plies"), F.lit(0)).alias("plies"),
-        *[F.coalesce(F.sum(m), F.lit(0)).alias(m) for m in measures],
+    outcome = labels.outcome(F.col("result"), F.col("color"))
+    flag = lambda c: F.coalesce(c, F.lit(False)).cast("long")
+    forfeit = (F.col("termination_reason") == "forfeit_invalid") & (outcome == "loss")
+    return sides.where(F.col("participant_id").isNotNull()).select(
+        "participant_id", "color", "game_id", "run_id", F.lit(1).cast("long").alias("games_played"),
+        *[flag(outcome == what).alias(name) for name, what in OUTCOME_COUNTS.items()], flag(forfeit).alias("forfeit_invalid_count"),
+        *[F.coalesce(m, F.lit(0)).cast(LATENCY_TYPE if m == "latency" else "long").alias(m) for m in ("plies", *measures)],
     )
+
+
+#: Exact, so that what is added can be taken out again.
+LATENCY_TYPE = "decimal(28,6)"
+OUTCOME_COUNTS = {"wins": "win", "draws": "draw", "losses": "loss", "unfinished": "unfinished"}
+#: The sums of a summary; rows of them add up, and may be taken out again with the sign turned.
+MEASURES = ("games_played", *OUTCOME_COUNTS, "forfeit_invalid_count", "plies", *_MOVE_MEASURES, *_ATTEMPT_MEASURES)
+
+
+def total_measures(sides: DataFrame) -> DataFrame:
+    """Sums by participant and colour, and the run of the participant's first game."""
+    return sides.groupBy("participant_id", "color").agg(
+        F.min(F.when(F.col("games_played") > 0, F.struct("game_id", "run_id"))).alias("first"), *[F.sum(m).alias(m) for m in MEASURES])
+
+
+def merged_totals(totals: DataFrame) -> DataFrame:
+    """Totals of disjoint sets of games, or of changes, as one."""
+    return totals.groupBy("participant_id", "color").agg(F.min("first").alias("first"), *[F.sum(m).alias(m) for m in MEASURES])
+
+
+def finished_summary(totals: DataFrame, participants: DataFrame, runs: DataFrame, prompts: DataFrame) -> DataFrame:
+    """Rates, intervals and names of totals; participants and colours without a game are left out."""
+    own = totals.where("games_played > 0").withColumn("first_run_id", F.col("first.run_id")).drop("first")
     return _finish(
-        totals.join(
-            participants.select("participant_id", "run_id", "model_snapshot_id"), "participant_id"
-        ).join(
-            run_modes(runs, prompts).withColumnRenamed("run_id", "first_run_id"), "first_run_id"
-        )
+        own.join(participants.select("participant_id", "run_id", "model_snapshot_id"), "participant_id")
+        .join(run_modes(runs, prompts).withColumnRenamed("run_id", "first_run_id"), "first_run_id")
     )
 
 
@@ -195,7 +220,7 @@ def _finish(t: DataFrame) -> DataFrame:
         (n < LOW_SAMPLE_GAMES).alias("low_sample"),
         rate(c("retries"), c("moves")).alias("avg_retries"),
         "forfeit_invalid_count",
-        rate(c("latency"), c("moves")).alias("avg_latency_ms"),
+        rate(c("latency").cast("double"), c("moves")).alias("avg_latency_ms"),
         c("tokens").alias("total_tokens"),
     )
 

@@ -77,6 +77,43 @@ def live_summary_rebuild(fx: Fixtures) -> DataFrame:
                                "attempt_count", "total_tokens"))
 
 
+def _by_runs(fx: Fixtures, name: str, facts: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Facts in one folder for each run, as a store of many runs keeps them."""
+    path = f"{shared_dir(fx.spark)}/{name}-{uuid4().hex}"
+    facts.join(ids, key).repartition("run_id").write.partitionBy("run_id").parquet(path)
+    return fx.spark.read.parquet(path)
+
+
+@query("live_summary_growth", summary_sql("""
+SELECT summary_id, run_id, games_played, wins, losses, round(avg_cpl, 6) AS avg_cpl, blunders, attempt_count, illegal_attempts, total_tokens FROM summary"""))
+def live_summary_growth(fx: Fixtures) -> DataFrame:
+    """Every game lands twice, first as unfinished; facts lie in folders by run."""
+    table, progress = _folders(fx, "totals")
+    runs = fx.games.select("game_id", "run_id").where("run_id is not null")
+    moves = _by_runs(fx, "moves", fx.moves.select(*summaries.MOVE_COLUMNS), runs, "game_id")
+    attempts = _by_runs(fx, "attempts", fx.attempts.select(*summaries.ATTEMPT_COLUMNS), runs, "game_id")
+    judged = _by_runs(fx, "evaluations", evaluations(fx).select("move_id", "centipawn_loss", "classification"), moves.select("move_id", "run_id"), "move_id")
+    tokens = _by_runs(fx, "tokens", fx.token_usage.select("attempt_id", "total_tokens"), attempts.select("attempt_id", "run_id"), "attempt_id")
+    games = fx.games.join(fx.runs.select("run_id"), "run_id", "left_semi").select(*summaries.GAME_COLUMNS, "started_at")
+    landed = f"{shared_dir(fx.spark)}/landed-{uuid4().hex}"
+    early = games.withColumn("result", F.lit("*")).withColumn("ended_at", F.col("started_at"))
+    late = games.withColumn("ended_at", F.col("started_at") + F.expr("INTERVAL 1 HOUR"))
+    for part in (early, late):
+        part.coalesce(1).write.mode("append").parquet(landed)
+
+    def measure(batch: DataFrame) -> DataFrame:
+        touched = F.col("run_id").isin([r["run_id"] for r in batch.select("run_id").distinct().collect()])
+        own = lambda facts: facts.where(touched).drop("run_id")
+        played = batch.select("game_id")
+        return summaries.side_measures(
+            batch, own(moves).join(played, "game_id", "left_semi"), own(judged), own(attempts).join(played, "game_id", "left_semi"), own(tokens))
+
+    live.grow_summaries(live.stream_files(fx.spark, landed, late.schema, per_batch=1), measure, table, progress)
+    totals = live.read_summary_totals(fx.spark, table)
+    back = summaries.finished_summary(totals, fx.participants, fx.runs, fx.prompts)
+    return rounded(back.select("summary_id", "run_id", "games_played", "wins", "losses", "avg_cpl", "blunders", "attempt_count", "illegal_attempts", "total_tokens"))
+
+
 @query("live_cache_growth", """
 SELECT 'p' || l_partkey || '-' || l_linenumber AS fen, 's' || l_suppkey AS uci, max(l_quantity) AS evaluation FROM lineitem
 GROUP BY 1, 2 HAVING NOT bool_or(l_returnflag = 'A')""")
@@ -90,4 +127,4 @@ def live_cache_growth(fx: Fixtures) -> DataFrame:
         evaluation_key(F.col("fen"), F.col("uci")).alias("key"), "fen", "uci", "evaluation")
     stream = position(live.stream_files(fx.spark, fx.folder, fx.lineitem.schema, "lineitem*.parquet")).select("fen", "uci")
     live.grow_cache(stream, seed, judged, table, progress)
-    return fx.spark.read.parquet(table).select("fen", "uci", "evaluation")
+    return live.read_grown(fx.spark, table).select("fen", "uci", "evaluation")

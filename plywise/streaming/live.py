@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
+from plywise.functions.text import evaluation_key
+from plywise.operators import summaries
 from plywise.operators.ordering import last_per_key
-from plywise.operators.reuse import grown_cache
+from plywise.operators.selection import first_rows
+from plywise.session import stored
 from plywise.sources.records import replace_summaries
+from plywise.sources.versions import Versioned, latest
+
+#: Folders that a table's keys are dealt into.
+BUCKETS = 64
 
 
 def stream_files(spark: SparkSession, folder: str, schema, pattern: str = "*.parquet", per_batch: int | None = None) -> DataFrame:
@@ -44,54 +52,59 @@ def latest_state(versions: DataFrame, key: str, version: str) -> DataFrame:
     return last_per_key(versions, [key], [version])
 
 
-def latest_games(stream: DataFrame, target: str, checkpoint: str, limit: int, trigger: Mapping | None = None) -> StreamingQuery:
-    """Keep the newest games: each batch is merged with the stored top and cut again.
+def _numbered(batch: DataFrame, target: str, checkpoint: str, partition_by: tuple = (), notes: dict | None = None) -> Versioned:
+    """The table that this checkpoint's batches are written to; another checkpoint's batches are refused."""
+    identity = json.loads(batch.sparkSession.read.text(f"{checkpoint}/metadata").first()["value"])["id"]
+    return Versioned(batch.sparkSession, target, partition_by, identity, notes)
+
 
-    A batch writes its own folder and later batches read the last complete one, so a repeated
-    batch after a failure gives the same table. ``stream(game_id, started_at, ...)``.
+def latest_games(stream: DataFrame, target: str, checkpoint: str, limit: int, trigger: Mapping | None = None) -> StreamingQuery:
+    """Keep the newest games. The state store holds the current row of every game, the most recent update; a batch adds the
+    rows of the games that it changes, and merged parts keep the newest games only. ``stream(game_id, started_at, ...)``.
     """
+    version = "ended_at" if "ended_at" in stream.columns else "started_at"
+    others = [c for c in stream.columns if c != "game_id"]
+    current = stream.groupBy("game_id").agg(F.max_by(F.struct(*others), F.struct(version)).alias("row")).select("game_id", "row.*")
+
+    def newest(rows: DataFrame) -> DataFrame:
+        return first_rows(latest(rows, ["game_id"]), ["started_at", "game_id"], limit, descending=True)
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rows = batch
-        if batch_id > 0:
-            rows = rows.unionByName(spark.read.schema(batch.schema).parquet(f"{target}/batch={batch_id - 1}"))
-        # An updated game replaces its older version; the most recent update wins.
-        current = last_per_key(rows, ["game_id"], ["ended_at"]) if "ended_at" in rows.columns else rows.dropDuplicates(["game_id"])
-        top = current.orderBy(F.desc("started_at"), F.desc("game_id")).limit(limit)
-        top.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+    def write(batch: DataFrame, batch_id: int) -> None:
+        _numbered(batch, target, checkpoint, notes={"keys": ["game_id"], "newest": limit}).append(batch, batch_id, newest)
 
-    return _run(stream, merge, checkpoint, trigger)
+    return _started(current.writeStream.outputMode("update").foreachBatch(write), checkpoint, trigger)
 
 
 def read_latest(spark: SparkSession, target: str) -> DataFrame:
-    """Table of the last finished batch (partition column ``batch``)."""
-    batches = spark.read.parquet(target)
-    newest = batches.agg(F.max("batch").alias("newest"))
-    return batches.join(F.broadcast(newest), F.col("batch") == F.col("newest"), "left_semi").drop("batch")
+    """The view as of the last finished batch."""
+    table = Versioned(spark, target)
+    rows, notes = table.rows(), table.noted()
+    if rows is None:
+        raise ValueError(f"no batch was written to {target}")
+    if "keys" not in notes:
+        return rows.drop("part")
+    return first_rows(latest(rows, notes["keys"]), ["started_at", "game_id"], notes["newest"], descending=True)
 
 
 def match_progress(stream: DataFrame, target: str, checkpoint: str, trigger: Mapping | None = None) -> StreamingQuery:
-    """Finished and started games per run: the latest state of every game is kept, then counted.
-
-    An update of a game is a second row of it, so the stored states are one row per game; a game that has
-    finished stays finished. Each batch writes the states it changes to the next table. ``stream(game_id, run_id, result)``.
+    """Finished and started games per run. The state store remembers which games have started and finished, so an update
+    counts nothing twice, and a game that has finished stays finished; a batch adds the counts of the runs that it
+    changes. ``stream(game_id, run_id, result)``.
     """
+    reached = F.array_compact(F.array(F.lit("started"), F.when(F.col("result") != "*", "completed")))
+    once = stream.select("game_id", "run_id", F.explode(reached).alias("reached")).dropDuplicates(["game_id", "reached"])
+    count = lambda what: F.count_if(F.col("reached") == what).alias(f"games_{what}")
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.select("game_id", "run_id", (F.col("result") != "*").alias("done"))
-        if batch_id > 0:
-            rows = rows.unionByName(spark.read.schema(rows.schema).parquet(f"{target}/batch={batch_id - 1}"))
-        states = rows.groupBy("game_id").agg(F.max("run_id").alias("run_id"), F.coalesce(F.bool_or("done"), F.lit(False)).alias("done"))
-        states.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+    def write(batch: DataFrame, batch_id: int) -> None:
+        counts = batch.groupBy("run_id").agg(count("started"), count("completed"))
+        _numbered(batch, target, checkpoint).append(counts, batch_id, progress_counts)
 
-    return _run(stream, merge, checkpoint, trigger)
+    return _started(once.writeStream.outputMode("append").foreachBatch(write), checkpoint, trigger)
 
 
-def progress_counts(states: DataFrame) -> DataFrame:
-    """Started and finished games of every run, from the latest states."""
-    return states.groupBy("run_id").agg(F.count(F.lit(1)).alias("games_started"), F.count_if("done").alias("games_completed"))
+def progress_counts(changes: DataFrame) -> DataFrame:
+    """Started and finished games of every run, from the counts of the batches."""
+    return changes.groupBy("run_id").agg(*[F.sum(c).alias(c) for c in ("games_started", "games_completed")])
 
 
 def progress_status(progress: DataFrame, requested: DataFrame) -> DataFrame:
@@ -118,22 +131,75 @@ def rebuild_summaries(stream: DataFrame, summarize: Callable[[DataFrame], DataFr
     return _run(stream, rebuild, checkpoint, trigger)
 
 
+def grow_summaries(
+    stream: DataFrame, measure: Callable[[DataFrame], DataFrame], target: str, checkpoint: str, trigger: Mapping | None = None
+) -> StreamingQuery:
+    """Keep the totals of participants and colours by what each batch of games changes.
+
+    ``measure`` takes the batch's games, the latest row of each, and returns their sides (``side_measures``); nothing else
+    reads facts. A game's sides are stored; where it comes again, the old ones are taken out and the new ones added, and
+    only these changes are written to the totals, which add up. A repeated batch changes nothing.
+    """
+
+    def grow(batch: DataFrame, batch_id: int) -> None:
+        games = last_per_key(batch, ["game_id"], [c for c in ("ended_at", "started_at") if c in batch.columns] or ["run_id"])
+        games = stored(games, "games")
+        sides = F.collect_list(F.struct("participant_id", "color", "run_id", *summaries.MEASURES)).alias("sides")
+        measured = measure(games).groupBy("game_id").agg(sides)
+        new = stored(games.select("game_id").join(measured, "game_id", "left").withColumn("bucket", _bucket("game_id")), "sides")
+        known = _numbered(batch, f"{target}/games", checkpoint, ("bucket",))
+        touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]
+        before = known.rows(batch_id - 1, F.col("bucket").isin(touched)) if batch_id > 0 else None
+        changes = _unpacked(new, 1)
+        if before is not None:
+            old = latest(before.join(new.select("game_id"), "game_id", "left_semi"), ["game_id"])
+            changes = changes.unionByName(_unpacked(old, -1))
+        totals = _numbered(batch, f"{target}/totals", checkpoint)
+        totals.append(summaries.total_measures(changes), batch_id, summaries.merged_totals)
+        known.append(new, batch_id, lambda rows: latest(rows, ["game_id"]))
+
+    return _run(stream, grow, checkpoint, trigger)
+
+
+def read_summary_totals(spark: SparkSession, target: str) -> DataFrame:
+    """Totals by participant and colour as of the last finished batch."""
+    return summaries.merged_totals(Versioned(spark, f"{target}/totals").rows())
+
+
+def _unpacked(games: DataFrame, sign: int) -> DataFrame:
+    sides = games.select("game_id", F.inline("sides"))
+    if sign > 0:
+        return sides
+    return sides.select("game_id", "participant_id", "color", F.lit(None).cast("long").alias("run_id"), *[(-F.col(m)).cast(games.schema["sides"].dataType.elementType[m].dataType).alias(m) for m in summaries.MEASURES])
+
+
+def _bucket(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(BUCKETS)).cast("int")
+
+
 def grow_cache(requests: DataFrame, seed: DataFrame, evaluations: DataFrame, target: str, checkpoint: str, trigger: Mapping | None = None) -> StreamingQuery:
     """Add the evaluations of new requests to the cache, batch by batch.
 
-    A batch writes its own folder and looks up the seed and all earlier batches only.
+    Seed and cache are dealt into buckets by key; a batch opens the buckets of its keys only, and writes what it adds.
     """
 
     def grow(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        known = seed
-        if batch_id > 0:
-            earlier = spark.read.schema(_with_batch(seed)).parquet(target).where(F.col("batch") < batch_id).drop("batch")
-            known = seed.unionByName(earlier)
-        grown_cache(batch, known, evaluations).select(*seed.columns).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        keyed = batch.select("fen", "uci").distinct().withColumn("key", evaluation_key(F.col("fen"), F.col("uci")))
+        asked = stored(keyed.withColumn("bucket", _bucket("key")), "requests")
+        touched = F.col("bucket").isin([r["bucket"] for r in asked.select("bucket").distinct().collect()])
+        first = _numbered(batch, f"{target}/seed", checkpoint, ("bucket",))
+        first.append(seed.withColumn("bucket", _bucket("key")), 0)
+        table = _numbered(batch, f"{target}/grown", checkpoint, ("bucket",))
+        known = first.rows(where=touched).select("key")
+        earlier = table.rows(batch_id - 1, touched) if batch_id > 0 else None
+        if earlier is not None:
+            known = known.unionByName(earlier.select("key"))
+        misses = asked.join(known, "key", "left_anti").join(evaluations, ["fen", "uci"]).select(*seed.columns, "bucket")
+        table.append(misses, batch_id, lambda rows: latest(rows, ["key"]))
 
     return _run(requests, grow, checkpoint, trigger)
 
 
-def _with_batch(seed: DataFrame):
-    return seed.withColumn("batch", F.lit(0)).schema
+def read_grown(spark: SparkSession, target: str) -> DataFrame:
+    """What the batches have added to the seed; of a key that was written twice, the last one."""
+    return latest(Versioned(spark, f"{target}/grown").rows(), ["key"]).drop("bucket")

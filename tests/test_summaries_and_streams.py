@@ -89,7 +89,7 @@ def test_cache_grows_over_batches(spark, tmp_path):
     judged = requests.distinct().withColumn("evaluation", F.length("fen"))
     seed = judged.where("fen = 'f3'").select(evaluation_key(F.col("fen"), F.col("uci")).alias("key"), "fen", "uci", "evaluation")
     live.grow_cache(live.stream_files(spark, folder, requests.schema, per_batch=1), seed, judged, table, progress)
-    grown = spark.read.parquet(table)
+    grown = live.read_grown(spark, table)
     assert grown.count() == grown.select("key").distinct().count() == 29
 
 

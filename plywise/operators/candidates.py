@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plywise.functions import labels, prompts
@@ -125,6 +125,11 @@ def unique_specs(legal: DataFrame) -> DataFrame:
     return first_per_key(legal, ["fen_before", "candidate_uci"], ["spec_order"])
 
 
+def unique_legal_specs(specs: DataFrame, legal_moves: DataFrame) -> DataFrame:
+    """The same rows; legality is a matter of the key alone, so repeats go before the look-up."""
+    return legal_specs(unique_specs(specs), legal_moves)
+
+
 def choose_positions(unique: DataFrame, max_positions: int | None, shuffle_seed: int | None = None) -> DataFrame:
     """Positions in first-seen or hash order, up to the maximum."""
     if max_positions is None:
@@ -174,35 +179,34 @@ def with_risk_prompt(rows: DataFrame, replies: DataFrame) -> DataFrame:
     return joined.withColumn("prompt", prompts.risk_prompt(values)).drop("_replies")
 
 
-def build_counts(specs: DataFrame, legal_moves: DataFrame, rows: DataFrame, limit: int | None) -> DataFrame:
-    """Counters of a build over all positions: (metric, key, n)."""
-    legal = legal_specs(specs, legal_moves)
-    per_position = unique_specs(legal).groupBy("fen_before").agg(F.count(F.lit(1)).alias("n"))
-    seen = specs.agg(F.count(F.lit(1)).alias("candidates_seen"))
-    kept = legal.agg(F.count(F.lit(1)).alias("legal_specs"))
-    shape = per_position.agg(
-        F.count(F.lit(1)).alias("positions_seen"),
-        F.coalesce(F.sum("n"), F.lit(0)).alias("unique_specs"),
-        F.coalesce(F.sum(F.lit(0).cast("long") if limit is None else F.greatest(F.col("n") - limit, F.lit(0))), F.lit(0)).alias("over"),
-    )
-    one = seen.select(F.lit(1).alias("_k"), "*").join(kept.select(F.lit(1).alias("_k"), "*"), "_k").join(
-        shape.select(F.lit(1).alias("_k"), "*"), "_k"
-    )
-    c = F.col
+def build_counts(specs: DataFrame, legal_moves: DataFrame, evaluations: DataFrame, limit: int | None = None) -> DataFrame:
+    """Counters of a build over all positions: (metric, key, n).
+
+    One pass: specs become one row for each (position, move) with its number and first spec, legality, place and label
+    are looked up once for that row, and every row adds to all counters. Illegal moves have no place, so a position's
+    window holds its legal moves only.
+    """
+    keys = ["fen_before", "candidate_uci"]
+    seen = specs.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("seen"), F.min("spec_order").alias("first"), F.min_by("source", "spec_order").alias("source"))
+    legal = legal_moves.select(F.col("fen").alias("fen_before"), F.col("uci").alias("candidate_uci")).distinct().withColumn("legal", F.lit(True))
+    judged = evaluations.select(*keys, labels.risk(F.col("classification"), F.col("centipawn_loss")).alias("risk"), F.lit(True).alias("judged"))
+    rows = seen.join(legal, keys, "left").join(judged, keys, "left")
+    inside = Window.partitionBy("fen_before", F.when(F.col("legal").isNull(), F.col("candidate_uci"))).orderBy("first")
+    rows = rows.withColumn("place", F.when(F.col("legal"), F.row_number().over(inside)))
+    is_legal, place, one = F.col("legal").isNotNull(), F.col("place"), lambda c: F.coalesce(c, F.lit(False)).cast("long")
+    kept = is_legal if limit is None else is_legal & (place <= limit)
+    written = kept & F.col("judged").isNotNull()
     totals = {
-        "candidates_seen": c("candidates_seen"),
-        "dropped_illegal_candidate": c("candidates_seen") - c("legal_specs"),
-        "dropped_duplicate_candidate": c("legal_specs") - c("unique_specs"),
-        "dropped_candidate_limit": c("over"),
-        "positions_seen": c("positions_seen"),
-        "rows_written": c("unique_specs") - c("over"),
+        "candidates_seen": F.col("seen"), "dropped_illegal_candidate": F.when(is_legal, 0).otherwise(F.col("seen")),
+        "dropped_duplicate_candidate": F.when(is_legal, F.col("seen") - 1).otherwise(0), "dropped_candidate_limit": one(is_legal & ~kept),
+        "positions_seen": one(place == 1), "rows_written": one(kept),
     }
-    flat = one.select(F.inline(F.array(*[
-        F.struct(F.lit(k).alias("metric"), F.lit("").alias("key"), v.cast("long").alias("n")) for k, v in totals.items()
-    ])))
-    return flat.unionByName(
-        counters(rows, {"by_source": c("source"), "by_risk": c("risk"), "by_split": c("split")})
-    )
+    by = {"by_source": F.col("source"), "by_risk": F.col("risk"), "by_split": labels.position_split(F.col("fen_before"))}
+    count = lambda metric, key, n: F.struct(F.lit(metric).alias("metric"), key.cast("string").alias("key"), n.cast("long").alias("n"))
+    counts = rows.select(F.inline(F.array(*[count(m, F.lit(""), n) for m, n in totals.items()], *[count(m, F.when(written, k), F.lit(1)) for m, k in by.items()])))
+    none = specs.sparkSession.range(1).select(F.inline(F.array(*[count(m, F.lit(""), F.lit(0)) for m in totals])))
+    return counts.where("key IS NOT NULL").unionByName(none).groupBy("metric", "key").agg(F.sum("n").alias("n"))
 
 
 # Signal report --------------------------------------------------------------------

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from plywise.functions import labels
 from plywise.functions.rewards import RewardRule, move_reward
 from plywise.functions.stats import count_if, mean2, mean_or_null, rate, rate4
-from plywise.operators.ordering import counters, top_per_group
+from plywise.operators.ordering import counters, split_lookup, top_per_group
 from plywise.operators.selection import first_rows
+from plywise.session import stored
 
 
 # Legality and plain metrics -------------------------------------------------------
@@ -19,14 +20,14 @@ def with_legality(rows: DataFrame, legal_moves: DataFrame, fen: str = "fen", mov
                   normalize: bool = False) -> DataFrame:
     """Add ``legal_ok``: the move is in the legal-move relation of its position.
 
-    Captured play lower-cases and trims the move first; offline scoring takes it as written.
+    Captured play lower-cases and trims the move first; offline scoring takes it as written. A position that holds
+    most rows is split.
     """
     text = F.lower(F.trim(F.col(move))) if normalize else F.col(move)
-    known = legal_moves.select(F.col("fen").alias("_fen"), F.col("uci").alias("_uci")).distinct()
-    joined = rows.withColumn("_move", text).join(
-        known, (F.col(fen) == F.col("_fen")) & (F.col("_move") == F.col("_uci")), "left"
-    )
-    return joined.withColumn("legal_ok", F.col("_uci").isNotNull()).drop("_fen", "_uci", "_move")
+    known = legal_moves.select(F.col("fen").alias("_fen"), F.col("uci").alias("_move")).distinct().withColumn("_legal", F.lit(True))
+    keyed = rows.withColumns({"_fen": F.col(fen), "_move": text})
+    joined = split_lookup(keyed, known, ["_fen", "_move"])
+    return joined.withColumn("legal_ok", F.coalesce("_legal", F.lit(False))).drop("_fen", "_move", "_legal")
 
 
 def prediction_metrics(predictions: DataFrame) -> DataFrame:
@@ -352,16 +353,20 @@ def reward_samples(rows: DataFrame, cached: DataFrame, best_moves: DataFrame, ev
     to the known best move of its position counts as best, the rest goes to the evaluator.
 
     ``rows(batch, idx, fen, parsed_move, parse_ok, legal_ok)``; ``cached`` and ``evaluations``
-    have (fen, uci, centipawn_loss, classification, best_move_uci); ``best_moves(fen, best)``.
+    have (fen, uci, centipawn_loss, classification, best_move_uci); ``best_moves(fen, best)``. What is known is gathered for
+    the distinct proposals, so the rows themselves are joined once, with hot proposals split.
     """
     tagged = lambda df, p: df.select(
         F.col("fen"), F.col("uci").alias("parsed_move"),
         *[F.col(c).alias(f"{p}_{c}") for c in ("centipawn_loss", "classification", "best_move_uci")], F.lit(True).alias(f"{p}_hit")
     )
-    joined = (
-        rows.join(tagged(cached, "k"), ["fen", "parsed_move"], "left")
-        .join(best_moves, "fen", "left").join(tagged(evaluations, "e"), ["fen", "parsed_move"], "left")
+    named = rows.where(F.col("fen").isNotNull() & F.col("parsed_move").isNotNull())
+    proposals = stored(named.groupBy("fen", "parsed_move").agg(F.count(F.lit(1)).alias("_n")), "proposals")
+    facts = (
+        proposals.join(tagged(cached, "k"), ["fen", "parsed_move"], "left")
+        .join(tagged(evaluations, "e"), ["fen", "parsed_move"], "left").join(best_moves, "fen", "left")
     )
+    joined = split_lookup(rows, facts.drop("_n"), ["fen", "parsed_move"], proposals)
     legal = F.col("parse_ok") & F.col("legal_ok")
     known = legal & F.coalesce(F.col("k_hit"), F.lit(False))
     is_best = legal & ~known & F.coalesce(F.col("best") == F.col("parsed_move"), F.lit(False))

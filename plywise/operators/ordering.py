@@ -33,6 +33,25 @@ def top_per_group(
     return top if rank else top.drop(name)
 
 
+def split_lookup(
+    rows: DataFrame, table: DataFrame, keys: Sequence[str], counts: DataFrame | None = None, least: int = 10_000, parts: int = 64
+) -> DataFrame:
+    """``rows`` with the columns of ``table``, whose keys are unique; NULL where a key is not in it.
+
+    Keys are counted first. Those with more than a thousandth of the rows, so at most a thousand keys, are dealt over
+    ``parts`` places, to which their row of the table is copied; the others meet as in a plain join. Even tasks do not
+    depend on a hot key being noticed at run time. ``counts`` (keys, ``_n``) saves counting, where it is known.
+    """
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")) if counts is None else counts.select(*keys, "_n")
+    limit = F.greatest(F.lit(least), F.col("_total") / 1000)
+    heavy = with_one_row(counts, counts.agg(F.sum("_n").alias("_total"))).where(F.col("_n") > limit).select(*keys, F.lit(True).alias("_heavy"))
+    mine = rows.join(F.broadcast(heavy), list(keys), "left")
+    mine = mine.withColumn("_place", F.when(F.col("_heavy"), F.floor(F.rand(0) * parts)).otherwise(F.lit(0)).cast("int")).drop("_heavy")
+    last = F.when(F.col("_heavy"), F.lit(parts - 1)).otherwise(F.lit(0))
+    theirs = table.join(F.broadcast(heavy), list(keys), "left").withColumn("_place", F.explode(F.sequence(F.lit(0), last))).drop("_heavy")
+    return mine.join(theirs, [*keys, "_place"], "left").drop("_place")
+
+
 def with_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Attach a global aggregate (one row by construction) to every row."""
     keyed = one_row.withColumn("_all", F.lit(1))

@@ -314,7 +314,7 @@ def model_comparison(
         grouped.select("*", "first.*", F.size("run_ids").alias("run_count"),
                        F.lit(color or "all").alias("color"), *derived)
         .drop("first")
-        .orderBy(F.desc("win_rate"), F.coalesce("avg_cpl", F.lit(NO_CPL_ORDER)), "model_key")
+        .orderBy(*model_order())
     )
 
 
@@ -332,14 +332,24 @@ def filter_summaries(summaries: DataFrame, **equals: object) -> DataFrame:
 
 def leaderboard(summaries: DataFrame, participants: DataFrame, **filters: object) -> DataFrame:
     names = participants.select("participant_id", F.col("display_name").alias("participant"))
-    return filter_summaries(summaries, **filters).join(names, "participant_id").orderBy(
-        F.desc("run_id"), "legality_mode", "color", F.asc_nulls_last("avg_cpl"), "illegal_rate"
-    )
+    return filter_summaries(summaries, **filters).join(names, "participant_id").orderBy(*leaderboard_order())
+
+
+def leaderboard_order() -> list[Column]:
+    return [F.desc("run_id"), F.asc("legality_mode"), F.asc("color"), F.asc_nulls_last("avg_cpl"), F.asc("illegal_rate")]
+
+
+def model_order() -> list[Column]:
+    return [F.desc("win_rate"), F.coalesce("avg_cpl", F.lit(NO_CPL_ORDER)), F.col("model_key")]
+
+
+def newest_order() -> list[Column]:
+    return [F.desc("started_at"), F.desc("game_id")]
 
 
 def newest_games(games: DataFrame, limit: int | None = None) -> DataFrame:
     newest = first_rows(games, ["started_at", "game_id"], limit, descending=True)
-    return newest.orderBy(F.desc("started_at"), F.desc("game_id"))
+    return newest.orderBy(*newest_order())
 
 
 def run_ids_desc(games: DataFrame) -> DataFrame:

@@ -105,7 +105,7 @@ def unique_candidate_specs(fx: Fixtures) -> DataFrame:
 
 def unique_legal(fx: Fixtures) -> DataFrame:
     """The first spec of every legal (position, move). Legality is a matter of that key alone, so repeats go first."""
-    return ops.legal_specs(ops.unique_specs(all_specs(fx)), fx.legal_moves)
+    return ops.unique_legal_specs(all_specs(fx), fx.legal_moves)
 
 
 _CAPPED = f"""
@@ -123,10 +123,12 @@ _ROW_CTES = {"specs": _SPECS, "uniq": _UNIQUE, "capped": _CAPPED, "labelled": _L
 
 
 def labelled_specs(fx: Fixtures, cap: int | None) -> DataFrame:
-    known = ops.first_per_key(
-        fx.candidates.select("fen_before", "candidate_uci", "centipawn_loss", "classification", "best_move_uci", "seq"),
-        ["fen_before", "candidate_uci"], ["seq"])
-    return ops.label_candidates(ops.cap_candidates(unique_legal(fx), cap), known.drop("seq"))
+    return ops.label_candidates(ops.cap_candidates(unique_legal(fx), cap), first_evaluations(fx))
+
+
+def first_evaluations(fx: Fixtures) -> DataFrame:
+    names = ["fen_before", "candidate_uci", "centipawn_loss", "classification", "best_move_uci"]
+    return ops.first_per_key(fx.candidates.select(*names, "seq"), names[:2], ["seq"]).drop("seq")
 
 
 @query("candidate_rows", judged_sql(_SPEC_VIEWS, _CANDIDATE_ROWS.replace("{chosen}", "uniq"), _ROW_CTES))
@@ -141,7 +143,7 @@ def candidate_rows_capped(fx: Fixtures) -> DataFrame:
         "fen_before", "candidate_uci", "source", "risk", "score", "reason_type", "split", "target")
 
 
-@query("candidate_build_counts", judged_sql(_SPEC_VIEWS, f"""
+_BUILD_COUNTS = """
 SELECT 'candidates_seen' AS metric, '' AS key, count(*) AS n FROM specs
 UNION ALL SELECT 'dropped_illegal_candidate', '', count(*) FILTER (fen IS NULL) FROM specs LEFT JOIN legal_moves ON fen = fen_before AND uci = candidate_uci
 UNION ALL SELECT 'dropped_duplicate_candidate', '', count(fen) - (SELECT count(*) FROM uniq) FROM specs LEFT JOIN legal_moves ON fen = fen_before AND uci = candidate_uci
@@ -150,10 +152,17 @@ UNION ALL SELECT 'by_risk', risk, count(*) FROM capped JOIN (SELECT fen_before,
 UNION ALL SELECT 'positions_seen', '', count(DISTINCT fen_before) FROM uniq
 UNION ALL SELECT 'rows_written', '', count(*) FROM capped
 UNION ALL SELECT 'by_source', source, count(*) FROM capped GROUP BY 2
-UNION ALL SELECT 'by_split', CASE CAST('0x' || substr(sha256(fen_before), 1, 2) AS INT) % 10 WHEN 0 THEN 'validation' WHEN 1 THEN 'test' ELSE 'train' END, count(*) FROM capped GROUP BY 2""",
-    _ROW_CTES))
+UNION ALL SELECT 'by_split', CASE CAST('0x' || substr(sha256(fen_before), 1, 2) AS INT) % 10 WHEN 0 THEN 'validation' WHEN 1 THEN 'test' ELSE 'train' END, count(*) FROM capped GROUP BY 2"""
+
+
+@query("candidate_build_counts", judged_sql(_SPEC_VIEWS, _BUILD_COUNTS, _ROW_CTES))
 def candidate_build_counts(fx: Fixtures) -> DataFrame:
-    return ops.build_counts(all_specs(fx), fx.legal_moves, labelled_specs(fx, CAP), CAP)
+    return ops.build_counts(all_specs(fx), fx.legal_moves, first_evaluations(fx), CAP)
+
+
+@query("candidate_build_counts_whole", judged_sql(_SPEC_VIEWS, _BUILD_COUNTS, {**_ROW_CTES, "capped": "SELECT * FROM uniq"}))
+def candidate_build_counts_whole(fx: Fixtures) -> DataFrame:
+    return ops.build_counts(all_specs(fx), fx.legal_moves, first_evaluations(fx))
 
 
 @query("first_seen_positions", judged_sql(_SPEC_VIEWS, f"""
@@ -161,8 +170,7 @@ SELECT {_SPEC_COLUMNS} FROM uniq WHERE fen_before IN (
   SELECT fen_before FROM (SELECT fen_before, min((s, o0, o1, o2, o3, o4)) AS seen FROM uniq GROUP BY 1) x ORDER BY seen LIMIT 500)""",
     {"specs": _SPECS, "uniq": _UNIQUE}))
 def first_seen_positions(fx: Fixtures) -> DataFrame:
-    unique = ops.unique_specs(ops.legal_specs(all_specs(fx), fx.legal_moves))
-    return ops.choose_positions(unique, 500).drop("spec_order")
+    return ops.choose_positions(unique_legal(fx), 500).drop("spec_order")
 
 
 @query("shuffled_positions", with_views(["candidates"], """
@@ -297,20 +305,36 @@ def choice_rows_capped(fx: Fixtures) -> DataFrame:
     return _shown_choices(choice_set(fx, with_prompt=True, cap=CAP))
 
 
-@query("choice_counts", labelled_sql(f"""
+_CHOICE_COUNTS = """
 SELECT 'positions_seen' AS metric, '' AS key, count(*) AS n FROM gate
 UNION ALL SELECT 'positions_written', '', count(*) FROM choices
 UNION ALL SELECT 'dropped_too_few_candidates', '', count(*) FROM gate WHERE dropped = 'too_few_candidates'
 UNION ALL SELECT 'dropped_no_mixed_risk', '', count(*) FROM gate WHERE dropped = 'no_mixed_risk'
-UNION ALL SELECT 'dropped_candidate_limit', '', CAST(sum(greatest(n - {CAP}, 0)) AS BIGINT) FROM gate WHERE dropped IS NULL
+UNION ALL SELECT 'dropped_candidate_limit', '', CAST(sum(greatest(n - {most}, 0)) AS BIGINT) FROM gate WHERE dropped IS NULL
 UNION ALL SELECT 'by_target_risk', target_risk, count(*) FROM choices GROUP BY 2
 UNION ALL SELECT 'by_candidate_count', candidate_count::VARCHAR, count(*) FROM choices GROUP BY 2
-UNION ALL SELECT 'by_target_prompt_index', list_position(ucis, target_move)::VARCHAR, count(*) FROM choices GROUP BY 2""", CAPPED_CTES))
+UNION ALL SELECT 'by_target_prompt_index', list_position(ucis, target_move)::VARCHAR, count(*) FROM choices GROUP BY 2"""
+
+
+@query("choice_counts", labelled_sql(_CHOICE_COUNTS.replace("{most}", str(CAP)), CAPPED_CTES))
 def choice_counts(fx: Fixtures) -> DataFrame:
-    written = counters(choice_set(fx, cap=CAP), {
+    return _choice_counts(fx, CAP)
+
+
+@query("choice_counts_whole", labelled_sql(_CHOICE_COUNTS.replace("{most}", "n") + """
+UNION ALL SELECT 'input_rows', '', count(*) FROM labelled
+UNION ALL SELECT 'by_split', CASE CAST('0x' || substr(sha256(fen), 1, 2) AS INT) % 10 WHEN 0 THEN 'validation' WHEN 1 THEN 'test' ELSE 'train' END, count(*) FROM choices GROUP BY 2""", CHOICE_CTES))
+def choice_counts_whole(fx: Fixtures) -> DataFrame:
+    rows = labelled(fx)
+    return _choice_counts(fx, None).unionByName(choices.unpivot_counts(rows.agg(F.count("*").alias("input_rows")))).unionByName(
+        counters(choice_set(fx), {"by_split": F.col("split")}))
+
+
+def _choice_counts(fx: Fixtures, cap: int | None) -> DataFrame:
+    written = counters(choice_set(fx, cap=cap), {
         "by_target_risk": F.col("target_risk"), "by_candidate_count": F.col("candidate_count"),
         "by_target_prompt_index": F.col("target_prompt_index")})
-    return choices.choice_drops(labelled(fx), 2, CAP, True).unionByName(written)
+    return choices.choice_drops(labelled(fx), 2, cap, True).unionByName(written)
 
 
 # Pairs --------------------------------------------------------------------------------

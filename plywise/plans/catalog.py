@@ -11,6 +11,7 @@ from plywise.plans import (  # noqa: F401
     candidate_queries,
     dataset_queries,
     game_queries,
+    order_queries,
     prediction_queries,
     stream_queries,
 )

@@ -329,13 +329,19 @@ def reward_batches(fx: Fixtures) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in ("mean_reward", "mean_legal_cpl")})
 
 
-@query("reward_log_heads", _reuse_sql("""
+_REWARD_LOG = """
 SELECT batch, examples, string_agg(attempt_id || ':' || coalesce(parsed_move, '-') || ':' || classification, ',' ORDER BY attempt_id) AS samples
 FROM (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY attempt_id) AS nth, count(*) OVER (PARTITION BY batch) AS examples FROM scored) x
-WHERE nth <= 5 GROUP BY 1, 2"""))
+WHERE nth <= 5 GROUP BY 1, 2"""
+
+
+@query("reward_log_heads", _reuse_sql(_REWARD_LOG))
 def reward_log_heads(fx: Fixtures) -> DataFrame:
     samples = reward_samples(fx).withColumn("parsed_move", F.concat_ws(":", F.col("idx").cast("string"), F.coalesce("parsed_move", F.lit("-"))))
-    log = ops.reward_log(samples, ops.reward_batches(samples), 5)
+    return log_heads(ops.reward_log(samples, ops.reward_batches(samples), 5))
+
+
+def log_heads(log: DataFrame) -> DataFrame:
     schema = "examples BIGINT, samples ARRAY<STRUCT<parsed_move: STRING, classification: STRING>>"
     parsed = log.select("batch", F.from_json("value", schema).alias("r"))
     line = F.transform("r.samples", lambda s: F.concat_ws(":", s["parsed_move"], s["classification"]))

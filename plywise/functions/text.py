@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-import sys
-
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 # Prefixes and provider names of participant identities.
 RERANKED_PREFIX = "reranked:"
@@ -114,21 +109,23 @@ def assistant_text(messages: Column) -> Column:
     return F.array_join(F.transform(own, lambda m: m["content"]), "\n")
 
 
-@F.pandas_udf(StringType())
-def _escape(texts: pd.Series) -> pd.Series:
-    encode = lambda c: c if c < "\x80" else "".join(f"\\u{u:04x}" for u in _units(c))
-    return texts.map(lambda t: "".join(map(encode, t)), na_action="ignore")
+def _unit(number: Column) -> Column:
+    return F.concat(F.lit("\\u"), F.lower(F.lpad(F.hex(number), 4, "0")))
 
 
-def _units(char: str) -> list[int]:
-    raw = char.encode("utf-16-be")
-    return [int.from_bytes(raw[i : i + 2], "big") for i in range(0, len(raw), 2)]
+def _escaped(piece: Column) -> Column:
+    """A run of ASCII as it is; another character as its UTF-16 code units, two for those beyond 0xFFFF."""
+    code = F.ascii(piece).cast("long")
+    high = code - 0x10000
+    pair = F.concat(_unit(F.lit(0xD800) + F.shiftright(high, 10)), _unit(F.lit(0xDC00) + high.bitwiseAND(F.lit(0x3FF))))
+    return F.when(code < 0x80, piece).when(code < 0x10000, _unit(code)).otherwise(pair)
 
 
 def ascii_escaped(json_text: Column) -> Column:
     """JSON text with non-ASCII characters as code units; only rows that have any are touched."""
     foreign = json_text.rlike(r"[^\x00-\x7F]")
-    return F.when(foreign, _escape(F.when(foreign, json_text))).otherwise(json_text)
+    pieces = F.regexp_extract_all(json_text, F.lit(r"[\x00-\x7F]+|[^\x00-\x7F]"), F.lit(0))
+    return F.when(foreign, F.array_join(F.transform(pieces, _escaped), "")).otherwise(json_text)
 
 
 def sorted_json(fields: dict[str, object]) -> Column:
@@ -144,7 +141,3 @@ def sorted_json(fields: dict[str, object]) -> Column:
 def _json_value(value: Column) -> Column:
     inner = F.to_json(F.array(value), {"ignoreNullFields": "false"})
     return F.regexp_replace(F.substr(inner, F.lit(2), F.char_length(inner) - 2), '","', '", "')
-
-
-# Helpers travel with the functions that use them, so executors need no copy of the package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -257,7 +257,28 @@ def vote_winners(choices: DataFrame, votes: DataFrame, min_margin: int = 0, inde
     listed = choices.join(votes.select(index).distinct(), index, "left_semi").select(
         index, F.posexplode(F.transform("candidates", lambda c: c["uci"])).alias("pos", "uci")
     )
-    counted = listed.join(votes, [index, "uci"], "left").withColumn("votes", F.coalesce("votes", F.lit(0)))
+    return _elected(listed.join(votes, [index, "uci"], "left"), min_margin, index)
+
+
+def runtime_votes(choices: DataFrame, decisions: DataFrame, min_margin: int = 0, index: str = "choice_index") -> DataFrame:
+    """What a pairwise selector plays: every pair adds a vote, an answer that names neither move one for the left move.
+
+    ``decisions(<index>, pair_moves, parsed_move)``. A choice of one candidate has no pair and is that candidate's. Adds
+    the winner, its margin, the fallback, the move played, and the numbers of decisions and of invalid answers.
+    """
+    named = F.coalesce(F.array_contains("pair_moves", F.col("parsed_move")), F.lit(False))
+    cast = decisions.select(index, F.when(named, F.col("parsed_move")).otherwise(F.col("pair_moves")[0]).alias("uci"), named.alias("named"))
+    votes = cast.groupBy(index, "uci").agg(F.count(F.lit(1)).alias("votes"), count_if(~F.col("named")).alias("_invalid"))
+    listed = choices.select(index, F.posexplode(F.transform("candidates", lambda c: c["uci"])).alias("pos", "uci"))
+    counted = listed.join(votes, [index, "uci"], "left")
+    totals = votes.groupBy(index).agg(F.sum("votes").alias("decisions"), F.sum("_invalid").alias("invalid_count"))
+    won = _elected(counted.drop("_invalid"), min_margin, index).join(totals, index, "left")
+    return won.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("decisions", "invalid_count")})
+
+
+def _elected(counted: DataFrame, min_margin: int, index: str) -> DataFrame:
+    """Winner, margin and fallback of every choice from its candidates (pos, uci) with their votes, NULL for none."""
+    counted = counted.withColumn("votes", F.coalesce("votes", F.lit(0)))
     out = counted.groupBy(index).agg(
         F.max_by("uci", F.struct("votes", (-F.col("pos")).alias("p"))).alias("vote_winner"),
         F.max("votes").alias("_top"), F.min_by("uci", "pos").alias("_first"), F.min_by("votes", "pos").alias("_first_votes"),
@@ -323,6 +344,25 @@ def veto_selection(scored: DataFrame) -> DataFrame:
     )
 
 
+def rerank_records(requests: DataFrame, scored: DataFrame, configured: int, scorer: str, threshold: int) -> DataFrame:
+    """The stored record of every request, one without a legal candidate included: what was configured, generated, legal,
+    vetoed and chosen, and the scored candidates in the order in which they came.
+
+    ``requests(request_id, n_candidates_generated)``; ``scored`` as for ``veto_selection``. A request's candidates are the
+    distinct moves of its few samples.
+    """
+    fields = ("uci", "multiplicity", "centipawn_loss", "classification", "vetoed", "ranking_score")
+    listed = scored.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("first_index", F.struct(*fields).alias("c")))).alias("_listed"))
+    found = requests.join(veto_selection(scored), "request_id", "left").join(listed, "request_id", "left")
+    none = {"n_legal": 0, "n_distinct_legal": 0, "n_vetoed": 0, "veto_changed_move": False, "all_vetoed": False}
+    kind = f"ARRAY<{scored.select(F.struct(*fields).alias('c')).schema['c'].dataType.simpleString()}>"
+    return found.select(
+        "request_id", F.lit(scorer).alias("scorer"), F.lit(configured).alias("n_candidates_configured"), F.lit(threshold).alias("veto_cpl_threshold"),
+        "n_candidates_generated", *[F.coalesce(c, F.lit(v)).alias(c) for c, v in none.items()], "chosen_multiplicity", "chosen_uci", "first_legal_uci",
+        F.coalesce(F.transform("_listed", lambda x: x["c"]), F.array().cast(kind)).alias("candidates"),
+    )
+
+
 TELEMETRY = (
     "n_candidates_configured INT, n_candidates_generated INT, n_legal INT, n_distinct_legal INT, n_vetoed INT, "
     "veto_changed_move BOOLEAN, all_vetoed BOOLEAN, chosen_multiplicity INT"

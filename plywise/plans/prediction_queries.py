@@ -504,6 +504,40 @@ def vote_report_counts(fx: Fixtures) -> DataFrame:
     return ops.choice_report_counts(voted_choices(fx))
 
 
+@query("vote_hard_cases", labelled_sql("""
+SELECT choice_index, CAST(severity AS INT) AS severity, array_to_string(categories, ',') AS categories, CAST(regret AS INT) AS regret, tally
+FROM judged JOIN (SELECT choice_index, string_agg(uci || '=' || votes, ',' ORDER BY uci) AS tally FROM votes GROUP BY 1) t USING (choice_index)
+WHERE len(categories) > 0 ORDER BY severity DESC, choice_index LIMIT 50""", {**_VOTE_CTES, "judged": _VOTED}))
+def vote_hard_cases(fx: Fixtures) -> DataFrame:
+    rows = indexed_choices(fx)
+    votes = ops.pair_votes(pair_predictions(fx, rows))
+    cases = ops.hard_cases(ops.judged(rows.join(ops.vote_winners(rows, votes), "choice_index"), "selected_move"), 50, "choice_index")
+    line = F.concat_ws("=", "uci", F.col("votes").cast("string"))
+    tally = votes.join(cases.select("choice_index"), "choice_index", "left_semi").groupBy("choice_index").agg(
+        F.array_join(F.array_sort(F.collect_list(line)), ",").alias("tally"))
+    return cases.join(tally, "choice_index").select("choice_index", "severity", F.array_join("categories", ",").alias("categories"), "regret", "tally")
+
+
+@query("runtime_votes", labelled_sql("""
+SELECT choice_index, vote_winner, CAST(margin AS BIGINT) AS vote_margin_to_first, vote_winner <> first_uci AND margin < 2 AS margin_fallback_applied,
+  CASE WHEN margin < 2 THEN first_uci ELSE vote_winner END AS selected_move, decisions, invalid_count
+FROM (SELECT w.choice_index, w.vote_winner, w.margin, w.first_uci, CAST(count(p.choice_index) AS BIGINT) AS decisions,
+    CAST(count(*) FILTER (p.parsed_move = 'zz') AS BIGINT) AS invalid_count
+  FROM winners w LEFT JOIN pair_preds p USING (choice_index) GROUP BY 1, 2, 3, 4) x
+UNION ALL SELECT choice_index, ucis[1], 0, false, ucis[1], 0, 0 FROM single""", {
+    **_VOTE_CTES, "single": "SELECT -1 - choice_index AS choice_index, ucis[1:1] AS ucis FROM indexed WHERE choice_index % 6 = 0",
+    "votes": """
+SELECT choice_index, uci, CAST(sum(vote) AS BIGINT) AS votes FROM (
+  SELECT choice_index, l.uci AS uci, (parsed_move IN (l.uci, 'zz'))::INT AS vote FROM pair_preds UNION ALL
+  SELECT choice_index, r.uci, (parsed_move = r.uci)::INT FROM pair_preds) x GROUP BY 1, 2"""}))
+def runtime_votes(fx: Fixtures) -> DataFrame:
+    """All pairs of every choice; some choices are also shown with their first candidate alone."""
+    rows = indexed_choices(fx)
+    asked = pair_predictions(fx, rows).select(F.col("pair_source_choice_index").alias("choice_index"), "pair_moves", "parsed_move")
+    alone = rows.where("choice_index % 6 = 0").select((-1 - F.col("choice_index")).alias("choice_index"), F.slice("candidates", 1, 1).alias("candidates"))
+    return ops.runtime_votes(rows.select("choice_index", "candidates").unionByName(alone), asked, min_margin=2)
+
+
 # Reranking ----------------------------------------------------------------------------
 
 _COLLAPSED = """
@@ -538,6 +572,30 @@ FROM (SELECT request_id, arg_min({'u': uci, 'm': multiplicity}, (-multiplicity,
         CAST(sum(multiplicity) AS BIGINT) AS n_legal, count(*) AS n_distinct_legal, count(*) FILTER (vetoed) AS n_vetoed FROM scores GROUP BY 1) x""",
     extra={"collapsed": _COLLAPSED, "scores": _SCORES}))
 def veto_selection(fx: Fixtures) -> DataFrame:
+    return ops.veto_selection(scored_samples(fx))
+
+
+@query("rerank_records", with_views(["moves"], """
+SELECT request_id, 'engine' AS scorer, 5 AS n_candidates_configured, 300 AS veto_cpl_threshold, n_candidates_generated, coalesce(n_legal, 0) AS n_legal,
+  coalesce(n_distinct, 0) AS n_distinct_legal, coalesce(n_vetoed, 0) AS n_vetoed, coalesce(chosen.u <> first_uci, false) AS veto_changed_move,
+  coalesce(safe IS NULL, false) AND n_legal IS NOT NULL AS all_vetoed, chosen.m AS chosen_multiplicity, chosen.u AS chosen_uci, first_uci AS first_legal_uci,
+  coalesce(listed, '') AS candidates
+FROM (SELECT game_id AS request_id, count(*) AS n_candidates_generated FROM moves GROUP BY 1) g LEFT JOIN (
+  SELECT *, coalesce(safe, bad) AS chosen FROM (
+    SELECT request_id, arg_min({'u': uci, 'm': multiplicity}, (-multiplicity, loss, first_index)) FILTER (NOT vetoed) AS safe,
+      arg_min({'u': uci, 'm': multiplicity}, (loss, first_index)) AS bad, arg_min(uci, first_index) AS first_uci,
+      CAST(sum(multiplicity) AS BIGINT) AS n_legal, count(*) AS n_distinct, count(*) FILTER (vetoed) AS n_vetoed,
+      string_agg(concat_ws(':', uci, multiplicity::VARCHAR, cpl::VARCHAR, class, vetoed::VARCHAR), ' ' ORDER BY first_index) AS listed
+    FROM scores WHERE request_id % 11 <> 0 GROUP BY 1) a) b USING (request_id)""", extra={"collapsed": _COLLAPSED, "scores": _SCORES}))
+def rerank_records(fx: Fixtures) -> DataFrame:
+    """No sample of every eleventh request is legal."""
+    requests = fx.moves.groupBy(F.col("game_id").alias("request_id")).agg(F.count("*").alias("n_candidates_generated"))
+    records = ops.rerank_records(requests, scored_samples(fx).where("request_id % 11 <> 0"), 5, "engine", 300)
+    line = lambda c: F.concat_ws(":", c["uci"], c["multiplicity"].cast("string"), c["centipawn_loss"].cast("string"), c["classification"], c["vetoed"].cast("string"))
+    return records.withColumn("candidates", F.array_join(F.transform("candidates", line), " "))
+
+
+def scored_samples(fx: Fixtures) -> DataFrame:
     k = F.substring("uci", 2, 5).cast("long")
     r = F.col("request_id")
     scored = collapsed(fx).withColumns({
@@ -545,7 +603,7 @@ def veto_selection(fx: Fixtures) -> DataFrame:
         "ranking_score": F.when(F.pmod(r + k, F.lit(8)) == 0, F.pmod(r * 3 + k, F.lit(30)) / 10.0),
         "classification": F.when(F.pmod(r * 5 + k, F.lit(6)) == 0, "mate_missed").otherwise("good"),
     })
-    return ops.veto_selection(scored.withColumn("vetoed", labels.vetoed(F.col("classification"), F.col("centipawn_loss"), 300)))
+    return scored.withColumn("vetoed", labels.vetoed(F.col("classification"), F.col("centipawn_loss"), 300))
 
 
 @query("rerank_telemetry", with_views(["moves"], """

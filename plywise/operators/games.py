@@ -18,18 +18,9 @@ from plywise.functions.text import base_identity, compact
 from plywise.operators.ordering import evenly_spaced
 from plywise.sources.gamefiles import player_tag
 
-# Annotation personas, label of a move without evaluation, model footprints (GB).
+# Annotation personas, label of a move without evaluation.
 PERSONAS = ("aggressive", "positional", "defensive", "risk-taking", "technician")
 NOT_EVALUATED = "not evaluated"
-MODEL_FOOTPRINTS_GB = {
-    "qwen3.5:9b": 6.6,
-    "gemma3n:e4b": 5.0,
-    "qwen3-vl:8b": 6.1,
-    "nanbeige4.1:3b": 4.2,
-    "qwen3.5-27b-ud": 17.0,
-    "qwen3.5:35b-a3b": 23.0,
-    "nemotron-3-nano": 24.0,
-}
 
 
 def timeline(moves: DataFrame, evaluations: DataFrame, annotations: DataFrame, attempts: DataFrame,

@@ -354,3 +354,87 @@ def deliberation_prompts(fx: Fixtures) -> DataFrame:
     hashed = lambda lines, name: F.sha2(prompts.render(lines, values), 256).alias(name)
     return rows.select("move_id", hashed(prompts.candidate_template(board=False), "candidates"), hashed(prompts.REVISE, "revise"),
                        hashed(prompts.REFUTE, "refute"), hashed(prompts.FINAL, "final"))
+
+
+# The whole wording of the prompt with memory, repetition and feedback, written out once more for the check.
+_RETRY_WORDING = """You are playing a competitive chess game and your goal is to win.
+Win by checkmating the opponent's king; if a win is out of reach, play for a draw rather than a loss.
+Among the legal moves, choose the strongest one: develop your pieces, fight for the center, keep your own king safe, and never give away material for free.
+Before committing, look for checks, captures and threats — both your own tactical chances and the opponent's threats against you.
+Return only strict JSON in this exact shape: {{"move":"e2e4","rationale":"short reason","strategy_update":{{"objective":"short updated plan"}}}}.
+The move value must be UCI coordinate notation, e.g. e2e4, g1f3, e1g1, e7e8q. Do not use SAN moves like e4, Nf3, O-O, or Qxc4.
+Side to move: {side}.
+Current FEN: {fen}
+SAN history: {san_history}
+Your prior moves: {own_moves}
+Last opponent move: {last_opponent_move}
+ASCII board:
+{ascii_board}
+Your private strategic memory:
+- Objective: {objective}
+- Opponent threats: {opponent_threats}
+- Pieces to improve: {pieces_to_improve}
+- Avoid: {avoid}
+- Last own move rationale: {last_rationale}
+Update this memory after choosing a move. Keep each field short and concrete.
+Repetition warning: {repetition_warning}
+Choose exactly one move from this legal move list.
+Your move must exactly match one listed UCI move.
+If strategic memory conflicts with the legal move list, ignore the memory.
+Legal moves (UCI): {legal_moves}
+Your previous response was invalid.
+Do not repeat this attempted move: {attempted_move}.
+Choose a different move that exactly appears in the legal move list.
+Previous attempt feedback: {feedback}"""
+_PLACEMENT = "'r' || (ply % 6 + 1) || 'k/' || (move_id % 7 + 1) || 'pP/8'"
+_RETRY = {
+    "side": "color", "fen": f"{_PLACEMENT} || CASE color WHEN 'white' THEN ' w - - 0 1' ELSE ' b - - 0 1' END",
+    "san_history": "CASE WHEN san_history = '' THEN '(start position)' ELSE san_history END",
+    "own_moves": "CASE WHEN own_moves = '' THEN '(none)' ELSE own_moves END", "last_opponent_move": "coalesce(last_opponent_move, '(none)')",
+    "ascii_board": "replace(array_to_string(string_split(list_reduce(range(1, 9), lambda t, k: replace(t, k::VARCHAR, repeat('.', k)), "
+                   + _PLACEMENT + "), ''), ' '), ' / ', chr(10))",
+    "objective": "'plan ' || ply", "opponent_threats": "accepted_san", "pieces_to_improve": "'knight'", "avoid": "'(none)'",
+    "last_rationale": "coalesce(last_opponent_move, '-')", "repetition_warning": "'seen ' || ply % 3 || ' times'", "legal_moves": "coalesce(legal, '')",
+    "attempted_move": "CASE WHEN ply % 4 = 0 THEN '(none)' ELSE accepted_uci END",
+    "feedback": "concat('{', chr(39), 'error', chr(39), ': ', chr(39), 'illegal_move', chr(39), ', ', chr(39), 'attempted_move', chr(39), ': ', "
+                "CASE WHEN ply % 4 = 0 THEN 'None' ELSE concat(chr(39), accepted_uci, chr(39)) END, ', ', chr(39), 'reason', chr(39), ': ', chr(34), 'it', chr(39), 's not legal', "
+                "chr(34), ', ', chr(39), 'legal_moves', chr(39), ': [', coalesce(quoted, ''), '], ', chr(39), 'remaining_retries', chr(39), ': ', ply % 3, '}')",
+}
+
+
+def _retry_sql() -> str:
+    text_, parts = _RETRY_WORDING, []
+    while "{" in text_.replace("{{", "  "):
+        at = text_.replace("{{", "  ").index("{")
+        end = text_.index("}", at)
+        parts += [text_[:at], _RETRY[text_[at + 1 : end]]]
+        text_ = text_[end + 1 :]
+    parts.append(text_)
+    literal = lambda t: "'" + t.replace("{{", "{").replace("}}", "}").replace("'", "''") + "'"
+    return " || ".join(f"({p})" if i % 2 else literal(p) for i, p in enumerate(parts))
+
+
+@query("retry_prompts", with_views(["moves", "legal_moves"], f"""
+SELECT move_id, sha256({_retry_sql()}) AS prompt_hash, sha256('{_RETRY_WORDING.replace("{{", "{").replace("}}", "}").replace("'", "''")}') AS template_hash
+FROM moves JOIN history USING (game_id, ply) LEFT JOIN lists ON fen = fen_before""",
+    extra={"history": _HISTORY, "lists": """
+SELECT fen, string_agg(uci, ', ' ORDER BY uci) AS legal, string_agg(chr(39) || uci || chr(39), ', ' ORDER BY uci) AS quoted FROM legal_moves GROUP BY 1"""}))
+def retry_prompts(fx: Fixtures) -> DataFrame:
+    """The prompt after a rejected answer, with board, memory and a repetition warning, and the hash of its template."""
+    legal = fx.legal_moves.groupBy(F.col("fen").alias("fen_before")).agg(F.collect_set("uci").alias("legal"))
+    rows = fx.moves.join(ops.full_history(_sans(fx)).drop("san", "uci"), ["game_id", "ply"]).join(legal, "fen_before", "left")
+    rows = rows.withColumn("legal", F.coalesce("legal", F.expr("CAST(array() AS ARRAY<STRING>)")))
+    ply = F.col("ply")
+    digit = lambda c: c.cast("string")
+    placement = F.concat(F.lit("r"), digit(ply % 6 + 1), F.lit("k/"), digit(F.col("move_id") % 7 + 1), F.lit("pP/8"))
+    attempted = F.when(ply % 4 != 0, F.col("accepted_uci"))
+    values = {c: F.col(c) for c in ("san_history", "own_moves", "last_opponent_move")} | {
+        "side": F.col("color"), "fen": F.concat(placement, F.when(F.col("color") == "white", " w - - 0 1").otherwise(" b - - 0 1")),
+        "objective": F.concat(F.lit("plan "), digit(ply)), "opponent_threats": F.col("accepted_san"), "pieces_to_improve": F.lit("knight"), "avoid": F.lit("(none)"),
+        "last_rationale": F.coalesce("last_opponent_move", F.lit("-")), "repetition_warning": F.concat(F.lit("seen "), digit(ply % 3), F.lit(" times")),
+        "legal_moves": F.col("legal"), "attempted_move": attempted,
+        "feedback": prompts.feedback_text(F.lit("illegal_move"), attempted, F.lit("it's not legal"), F.col("legal"), ply % 3),
+    }
+    options = {"constrained": False, "feedback": True, "memory": True, "repetition": True}
+    return rows.select("move_id", F.sha2(prompts.strict_prompt(values, **options), 256).alias("prompt_hash"),
+                       F.lit(prompts.skeleton_hash(prompts.strict_template(**options))).alias("template_hash"))

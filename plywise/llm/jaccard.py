@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -309,7 +310,8 @@ def _hubs(lists: DataFrame, tried: DataFrame | None, turn: int, percent: int) ->
 def _hub_pairs(hubs: DataFrame, rooted: DataFrame) -> DataFrame:
     """Pairs (a, b) of the groups' members with their hubs, where both are of different classes."""
     root = rooted.select(F.col("node").alias("b"), F.col("root").alias("hub_root"))
-    pairs = rooted.join(hubs, "group").join(root, "b").where("root <> hub_root")
+    named = hubs.groupBy("b").agg(F.count("*").alias("rows")).join(root, "b")
+    pairs = spread_join(rooted.join(hubs, "group"), named, "b").where("root <> hub_root")
     return pairs.select(F.col("node").alias("a"), "b").distinct()
 
 
@@ -320,30 +322,46 @@ def _block_pairs(percent: int, counted: bool = False):
         held = [b for b in batches if b.num_rows]
         if not held:
             return
-        table = pa.Table.from_batches(held).sort_by([("token", "ascending"), ("one", "ascending"), ("two", "ascending")])
-        token, one, two, block, group, low, high, size, place = (table.column(k).to_numpy() for k in (
-            "token", "one", "two", "block", "group", "low", "high", "size", "place"))
-        new = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])]))
+        names = ("token", "one", "two", "block", "group", "low", "high", "size", "place")
+        table = pa.Table.from_batches(held).sort_by([(k, "ascending") for k in names[:4]])
+        token, one, two, block, group, low, high, size, place = (table.column(k).to_numpy().astype(np.int64) for k in names)
+        first = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])]))
+        ends = np.append(first[1:], len(token))
+        sizes = ends - first
+        left = np.add.reduceat((block == one).astype(np.int64), first)
+        # A row's partners are the later rows of its block, or all rows of the other block.
+        start = np.where(one == two, np.arange(len(token)) + 1, np.repeat(first + left, sizes))
+        stop = np.where((one == two) | (block == one), np.repeat(ends, sizes), start)
         total = 0
-        for at, to in zip(new.tolist(), [*new[1:].tolist(), len(token)]):
-            left = at + np.flatnonzero(block[at:to] == one[at])
-            right = at + np.flatnonzero(block[at:to] == two[at])
-            for i in left.tolist():
-                j = right if one[at] != two[at] else right[right >= i]
-                j = j[(low[j] != low[i]) | (high[j] != high[i]) | (low[j] != high[j])]
-                most = np.minimum(size[i] - place[i], size[j] - place[j]).astype(np.int64)
-                j = j[(100 + percent) * most >= percent * (size[i] + size[j].astype(np.int64))]
-                j = j[(j != i) | (low[i] != high[i])]
-                total += len(j)
-                if len(j) and not counted:
-                    x, y = np.minimum(group[i], group[j]), np.maximum(group[i], group[j])
-                    yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["x", "y"])
+        alone = np.flatnonzero((one == two) & (low != high))
+        for i, j in chain([(alone, alone)], ranges(start, stop)):
+            apart = (low[i] != low[j]) | (high[i] != high[j]) | (low[i] != high[i])
+            i, j = i[apart], j[apart]
+            most = np.minimum(size[i] - place[i], size[j] - place[j])
+            may = (100 + percent) * most >= percent * (size[i] + size[j])
+            i, j = i[may], j[may]
+            total += len(i)
+            if len(i) and not counted:
+                both = np.unique(np.stack([np.minimum(group[i], group[j]), np.maximum(group[i], group[j])], axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["x", "y"])
         if counted:
             yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64())], names=["n"])
 
     return run
 
 
+def ranges(start: np.ndarray, stop: np.ndarray, most: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (place in ``start``, number from start to stop), in parts of about ``most`` where single ranges are shorter."""
+    total = np.concatenate([[0], np.cumsum(stop - start)])
+    at = 0
+    while at < len(start):
+        to = max(at + 1, int(np.searchsorted(total, total[at] + most, side="right")) - 1)
+        n = np.diff(total[at : to + 1])
+        of = np.repeat(np.arange(at, to), n)
+        yield of, start[of] + np.arange(len(of)) - np.repeat(total[at:to] - total[at], n)
+        at = to
+
+
 def _blocks(lists: DataFrame) -> DataFrame:
     """The groups of lists with several classes, in blocks, for each pair of blocks."""
     n = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))

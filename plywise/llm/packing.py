@@ -10,6 +10,7 @@ end of a range fills sequences of falling powers of two, so nothing at all is pa
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -32,17 +33,19 @@ _SPREAD = 4.0
 
 
 class Tokenizer:
-    """Byte-level BPE from a file of ranks (token in base 64, id), at any path; texts have no special tokens."""
+    """Byte-level BPE from a file of ranks (token in base 64, id) at any path, and the added tokens of the description
+    beside it; none is added to a text, but those that a text spells out are found in it, as they are by default."""
 
-    def __init__(self, ranks: str, pattern: str):
+    def __init__(self, ranks: str, description: str, pattern: str):
         with open(ranks, "rb") as file:
             pairs = [line.split() for line in file if line.strip()]
-        self._encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks={base64.b64decode(a): int(b) for a, b in pairs},
-                                           special_tokens={})
-        self.size = max(int(b) for _, b in pairs) + 1
+        with open(description, encoding="utf-8") as file:
+            added = {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
+        self._encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks={base64.b64decode(a): int(b) for a, b in pairs}, special_tokens=added)
+        self.size = max(*(int(b) for _, b in pairs), *added.values()) + 1
 
     def __call__(self, text: str) -> list[int]:
-        return self._encoding.encode_ordinary(text)
+        return self._encoding.encode(text, allowed_special="all")
 
 
 def hilbert(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -76,12 +79,13 @@ def _signs(size: int) -> np.ndarray:
     return np.where(bits & np.uint64(1), 1, -1).astype(np.int8)
 
 
-def tokenized(docs: DataFrame, ranks: str | None = None, pattern: str | None = None) -> DataFrame:
+def tokenized(docs: DataFrame, ranks: str | None = None, description: str | None = None, pattern: str | None = None) -> DataFrame:
     """``doc_id``, ``tie``, ``key`` and ``ids`` (packed numbers, the end token last) of every row; a null text is empty."""
-    path, pattern = ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN
+    paths = ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"), description or public_tokenizers.path("byte_bpe_50k.json")
+    pattern = pattern or public_tokenizers.PATTERN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokenizer(path, pattern)
+        tokens = Tokenizer(*paths, pattern)
         signs, kind = _signs(max(tokens.size, END + 1)), _kind(tokens.size)
         for piece in pieces(batches, "text"):
             ids = [np.array([*tokens(t.decode("utf-8", "replace")), END], kind) for t in strings(piece.column("text"))]
@@ -142,14 +146,14 @@ class _Packer:
 _PIECE = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def packed(docs: DataFrame, ranks: str | None = None, pattern: str | None = None) -> DataFrame:
+def packed(docs: DataFrame, ranks: str | None = None, description: str | None = None, pattern: str | None = None) -> DataFrame:
     """The pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id and offset.
 
     Every row is a document of its own, whatever its doc_id; a null or empty text has the end token alone; an empty
     table gives an empty result; further columns are ignored.
     """
     spark = docs.sparkSession
-    rows = stored(tokenized(docs, ranks, pattern))
+    rows = stored(tokenized(docs, ranks, description, pattern))
     total = rows.agg(F.sum(F.octet_length("ids") + 32)).first()[0] or 0
     order = ["key", "tie", "doc_id"]
     dealt = rows.repartitionByRange(partitions(spark, total), *order).sortWithinPartitions(*order)

@@ -7,10 +7,10 @@ Phrases begin at the labels' local maxima, so they have 2 to 11 symbols, and whe
 around it only. A phrase's name is a hash of its symbols, and names are the next level's symbols. Equal substrings thus
 share all names but those near their ends, at whatever offset they stand.
 
-The fingerprint has ``BINS`` bytes: the names of the levels ``FIRST_LEVEL`` and above (of a short text also the levels
-below, down to the first with ``ENOUGH`` names) are dealt into bins, and each bin keeps a byte of its least name's hash;
-an empty bin borrows from the next that has a name. The likeness of two fingerprints estimates the Jaccard similarity
-of the sets of names: the share of equal bytes, less what would be equal by chance.
+The fingerprint has ``BINS`` bytes, of texts of any length alike: the names of a level are dealt into the level's bins
+(``SHARES``), and each bin keeps a byte of its least name's hash; an empty bin borrows from the next that has a name. The
+likeness of two fingerprints estimates the Jaccard similarity of the sets of names, level by level: the share of equal
+bytes, less what would be equal by chance.
 """
 
 from __future__ import annotations
@@ -29,8 +29,8 @@ from plywise.llm.textbytes import _powers_to
 
 BINS = 128
 LEVELS = 7
-FIRST_LEVEL = 3
-ENOUGH = 8
+#: Levels, first bin and number of bins: short texts tell themselves apart by phrases of a few bytes, long ones by long ones.
+SHARES = ((range(1, 2), 0, 16), (range(2, 3), 16, 48), (range(3, LEVELS + 1), 64, 64))
 _TOSSES = 4
 _STEP_BYTES = 1_000_000
 
@@ -86,22 +86,14 @@ def fingerprints(texts: list[bytes]) -> np.ndarray:
     levels = [(symbols, firsts)]
     for _ in range(LEVELS):
         levels.append(parse(*levels[-1]))
-    seen = np.zeros(n, np.int64)  # names taken from the levels at FIRST_LEVEL and above, then from those below
-    docs, values = [], []
-    for level in [*range(LEVELS, FIRST_LEVEL - 1, -1), *range(FIRST_LEVEL - 1, -1, -1)]:
-        names, at = levels[level]
-        count = np.diff(at)
-        use = np.ones(n, bool) if level >= FIRST_LEVEL else seen < ENOUGH
-        of = np.repeat(np.arange(n), count)
-        own = use[of]
-        docs.append(of[own])
-        values.append(mixed(names[own] + np.uint64(level + 1) * np.uint64(0x9E3779B97F4A7C15)))
-        if level == FIRST_LEVEL:
-            seen = count.copy()
-        elif level < FIRST_LEVEL:
-            seen += np.where(use, count, 0)
-    doc, value = np.concatenate(docs), np.concatenate(values)
-    slot = doc * BINS + (value % np.uint64(BINS)).astype(np.int64)
+    slots, values = [], []
+    for own, start, bins in SHARES:
+        for level in own:
+            names, at = levels[level]
+            value = mixed(names + np.uint64(level + 1) * np.uint64(0x9E3779B97F4A7C15))
+            slots.append(np.repeat(np.arange(n) * BINS + start, np.diff(at)) + (value % np.uint64(bins)).astype(np.int64))
+            values.append(value)
+    slot, value = np.concatenate(slots), np.concatenate(values)
     least = np.full(n * BINS, np.iinfo(np.uint64).max)
     np.minimum.at(least, slot, value)
     least = least.reshape(n, BINS)

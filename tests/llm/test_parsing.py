@@ -42,19 +42,14 @@ def slow_fingerprint(text):
     levels = [list(text.encode())]
     for _ in range(parsing.LEVELS):
         levels.append(slow_parse(levels[-1]))
-    names = [(k, x) for k in range(3, parsing.LEVELS + 1) for x in levels[k]]
-    seen = len(levels[3])
-    for k in (2, 1, 0):
-        if seen >= 8:
-            break
-        names += [(k, x) for x in levels[k]]
-        seen += len(levels[k])
+    names = [(k, x) for k in range(1, parsing.LEVELS + 1) for x in levels[k]]
     if not names:
         return bytes(parsing.BINS).hex()
     least = {}
     for k, x in names:
         v = mix(x + (k + 1) * 0x9E3779B97F4A7C15)
-        least[v % parsing.BINS] = min(v, least.get(v % parsing.BINS, M))
+        b = v % 16 if k == 1 else 16 + v % 48 if k == 2 else 64 + v % 64
+        least[b] = min(v, least.get(b, M))
     found = []
     for b in range(parsing.BINS):
         far = next(d for d in range(parsing.BINS) if (b + d) % parsing.BINS in least)
@@ -123,3 +118,19 @@ def test_edited_texts_are_nearer_than_others(spark, make_docs, folder_of):
     got = parsing.op7_parsing(spark, folder_of(documents=make_docs(rows))).collect()
     assert min(r.near_edited for r in got) > max(r.near_next for r in got)
     assert 0.2 < sum(r.near_edited for r in got) / len(got) < 0.45
+
+
+def test_likeness_has_no_step_at_a_length():
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(500)]
+    found = []
+    for n in range(10, 130):
+        likes = []
+        for _ in range(12):
+            text = " ".join(rng.choices(words, k=n))
+            half = text[: len(text) // 2]
+            a, b = (bytes.fromhex(slow_fingerprint(t)) for t in (text, half + " ".join(rng.choices(words, k=n))[: len(half) // 2]))
+            likes.append(sum(x == y for x, y in zip(a, b)) / len(a))
+        found.append(sum(likes) / len(likes))
+    smooth = [sum(found[i : i + 15]) / 15 for i in range(len(found) - 15)]
+    assert max(abs(a - b) for a, b in zip(smooth, smooth[10:])) < 0.1

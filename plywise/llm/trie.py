@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plywise.llm import common, radix
-from plywise.llm.common import partitions, raw, stored
+from plywise.llm.common import partitions, raw, spread_join, stored
 
 WIDTH = 16
 ROOT = bytes(WIDTH)
@@ -255,8 +255,8 @@ def prefix_trie(conversations: DataFrame) -> DataFrame:
         F.slice("turns", F.lit(1), (F.col("depth") - 1).cast("int")).alias("turns"), "saved", "leaves")
     below = hung.mapInArrow(_summed, "node binary, saved long, leaves long").groupBy("node").agg(
         F.sum("saved").alias("saved_below"), F.sum("leaves").alias("leaves_below"))
-    over = nodes.select(F.col("node").alias("parent"), F.col("least").alias("parent_least"))
-    parents = tops.select("node", "parent").join(over, "parent").select("node", "parent_least")
+    over = owned.where("n_children > 0").select(F.col("node").alias("parent"), F.col("least").alias("parent_least"), F.col("n_children").alias("rows"))
+    parents = spread_join(tops.select("node", "parent"), over, "parent").select("node", "parent_least")
     found = owned.join(below, "node", "left").join(parents, "node", "left").join(_ends(paths, paths.count()), "node", "left")
     inner = F.when(~F.col("top"), F.col("least")).otherwise(F.col("parent_least"))
     return found.select(

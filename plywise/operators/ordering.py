@@ -7,6 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plywise.operators.selection import first_rows
+from plywise.session import stored
+
+#: Keys of a look-up that are split, at most; they and their rows of the table go to every task.
+HEAVY = 1000
+
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """First row of every key. An aggregate, so a hot key is reduced before the shuffle."""
@@ -38,13 +44,14 @@ def split_lookup(
 ) -> DataFrame:
     """``rows`` with the columns of ``table``, whose keys are unique; NULL where a key is not in it.
 
-    Keys are counted first. Those with more than a thousandth of the rows, so at most a thousand keys, are dealt over
-    ``parts`` places, to which their row of the table is copied; the others meet as in a plain join. Even tasks do not
-    depend on a hot key being noticed at run time. ``counts`` (keys, ``_n``) saves counting, where it is known.
+    Keys are counted first, when called. Those with more than ``least`` rows, the ``HEAVY`` most frequent of them at most,
+    are dealt over ``parts`` places, to which their row of the table is copied; the others meet as in a plain join. Even
+    tasks do not depend on a hot key being noticed at run time. ``counts`` (keys, ``_n``) saves counting, where it is known.
     """
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")) if counts is None else counts.select(*keys, "_n")
-    limit = F.greatest(F.lit(least), F.col("_total") / 1000)
-    heavy = with_one_row(counts, counts.agg(F.sum("_n").alias("_total"))).where(F.col("_n") > limit).select(*keys, F.lit(True).alias("_heavy"))
+    heavy = first_rows(stored(counts.where(F.col("_n") > least), "heavy"), [-F.col("_n"), *keys], HEAVY).select(*keys, F.lit(True).alias("_heavy"))
+    if heavy.isEmpty():
+        return rows.join(table, list(keys), "left")
     mine = rows.join(F.broadcast(heavy), list(keys), "left")
     mine = mine.withColumn("_place", F.when(F.col("_heavy"), F.floor(F.rand(0) * parts)).otherwise(F.lit(0)).cast("int")).drop("_heavy")
     last = F.when(F.col("_heavy"), F.lit(parts - 1)).otherwise(F.lit(0))

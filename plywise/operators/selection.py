@@ -18,7 +18,7 @@ from pyspark.sql.types import DataType, StructType
 from plywise.session import stored
 
 #: Keys that part a range, and keys that are looked at one by one.
-PIVOTS, FEW = 64, 4096
+PIVOTS, FEW = 64, 16_384
 
 
 class Place(NamedTuple):

@@ -251,6 +251,13 @@ def pair_votes(pairs: DataFrame) -> DataFrame:
     return exploded.groupBy("choice_index", "uci").agg(F.sum("vote").alias("votes"))
 
 
+def vote_tallies(votes: DataFrame, index: str = "choice_index") -> DataFrame:
+    """The votes of every choice as one text ``move=votes,...`` in the order of its moves."""
+    line = lambda v: F.concat_ws("=", v["uci"], v["votes"].cast("string"))
+    listed = F.array_sort(F.collect_list(F.struct("uci", "votes")))
+    return votes.groupBy(index).agg(F.array_join(F.transform(listed, line), ",").alias("tally"))
+
+
 def vote_winners(choices: DataFrame, votes: DataFrame, min_margin: int = 0, index: str = "choice_index") -> DataFrame:
     """Winner of every voted choice: most votes, then the earliest candidate. With a margin, a
     winner that does not lead the first candidate by that much gives way to it."""

@@ -512,9 +512,7 @@ def vote_hard_cases(fx: Fixtures) -> DataFrame:
     rows = indexed_choices(fx)
     votes = ops.pair_votes(pair_predictions(fx, rows))
     cases = ops.hard_cases(ops.judged(rows.join(ops.vote_winners(rows, votes), "choice_index"), "selected_move"), 50, "choice_index")
-    line = F.concat_ws("=", "uci", F.col("votes").cast("string"))
-    tally = votes.join(cases.select("choice_index"), "choice_index", "left_semi").groupBy("choice_index").agg(
-        F.array_join(F.array_sort(F.collect_list(line)), ",").alias("tally"))
+    tally = ops.vote_tallies(votes.join(cases.select("choice_index"), "choice_index", "left_semi"))
     return cases.join(tally, "choice_index").select("choice_index", "severity", F.array_join("categories", ",").alias("categories"), "regret", "tally")
 
 

@@ -23,3 +23,9 @@ def test_records_of_requests_without_a_legal_candidate(spark):
     assert [tuple(c)[:2] for c in found[1]["candidates"]] == [("a", 2), ("b", 1)]
     assert found[3]["all_vetoed"] and found[3]["chosen_uci"] == "c" and not found[3]["veto_changed_move"]
     assert [found[2][c] for c in ("n_candidates_generated", "n_legal", "n_vetoed", "veto_changed_move", "all_vetoed", "chosen_uci", "candidates")] == [4, 0, 0, False, False, None, []]
+
+
+def test_tallies_stand_in_the_order_of_moves(spark):
+    votes = spark.createDataFrame([(1, "s16", 1), (1, "s1", 3), (1, "s1a", 0), (2, "b", 2), (2, "a", 0)], "choice_index int, uci string, votes long")
+    found = {r["choice_index"]: r["tally"] for r in evaluation.vote_tallies(votes).collect()}
+    assert found == {1: "s1=3,s16=1,s1a=0", 2: "a=0,b=2"}

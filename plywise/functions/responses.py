@@ -102,8 +102,13 @@ def with_object(df: DataFrame, text: str, out: str) -> DataFrame:
     Each step is its own projection: an expensive expression that is used several times stays
     a column, so every response is parsed once.
     """
-    direct = F.when(F.startswith(F.col(text), F.lit("{")), F.try_parse_json(F.col(text)))
-    staged = df.withColumn("_direct", direct)
+    t = F.col(text)
+    # From the first to the last brace; where that parses, it is the first balanced object. A text that has a brace and is
+    # JSON of another kind starts with a quote or a bracket.
+    start, end = F.instr(t, "{"), F.char_length(t) - F.instr(F.reverse(t), "}") + 1
+    outer = F.when((start > 0) & ~t.rlike(r'^[\s"\[]') & F.contains(t, F.lit("}")) & (end > start), F.substr(t, start, end - start + 1))
+    whole = F.startswith(t, F.lit("{")) & F.endswith(t, F.lit("}"))
+    staged = df.withColumn("_outer", F.when(whole, t).otherwise(outer)).withColumn("_direct", F.try_parse_json("_outer")).drop("_outer")
     needs_scan = F.col("_direct").isNull() & F.contains(F.col(text), F.lit("{"))
     scanned = staged.withColumn(f"{out}_scan", _buried_object(F.when(needs_scan, F.col(text))))
     found = F.when(~F.col(f"{out}_scan").isin("", "!"), F.col(f"{out}_scan"))
@@ -173,7 +178,8 @@ def listed_candidates(df: DataFrame, raw: str = "raw_response", out: str = "item
             _typed(item, "$.idea", "STRING").alias("idea"),
         ),
     )
-    return staged.withColumn(out, F.filter(parsed, lambda c: c["move"].isNotNull())).drop("_text", "_object", "_object_scan")
+    listed = evaluated_once(staged, **{out: F.filter(parsed, lambda c: c["move"].isNotNull())})
+    return listed.drop("_text", "_object", "_object_scan")
 
 
 def deliberations(df: DataFrame, metadata: str = "reranker_metadata") -> DataFrame:

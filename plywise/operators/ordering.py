@@ -12,6 +12,8 @@ from plywise.session import stored
 
 #: Keys of a look-up that are split, at most; they and their rows of the table go to every task.
 HEAVY = 1000
+#: Buckets in which keys are counted before they are counted one by one.
+BUCKETS = 1 << 18
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -44,11 +46,14 @@ def split_lookup(
 ) -> DataFrame:
     """``rows`` with the columns of ``table``, whose keys are unique; NULL where a key is not in it.
 
-    Keys are counted first, when called. Those with more than ``least`` rows, the ``HEAVY`` most frequent of them at most,
+    Keys are counted first, when called; as this reads the rows, too, they are written once. Those with more than ``least`` rows, the ``HEAVY`` most frequent of them at most,
     are dealt over ``parts`` places, to which their row of the table is copied; the others meet as in a plain join. Even
     tasks do not depend on a hot key being noticed at run time. ``counts`` (keys, ``_n``) saves counting, where it is known.
     """
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")) if counts is None else counts.select(*keys, "_n")
+    if counts is None:
+        rows = stored(rows, "rows")
+        counts = _frequent(rows, keys, least)
+    counts = counts.select(*keys, "_n")
     heavy = first_rows(stored(counts.where(F.col("_n") > least), "heavy"), [-F.col("_n"), *keys], HEAVY).select(*keys, F.lit(True).alias("_heavy"))
     if heavy.isEmpty():
         return rows.join(table, list(keys), "left")
@@ -59,6 +64,16 @@ def split_lookup(
     return mine.join(theirs, [*keys, "_place"], "left").drop("_place")
 
 
+def _frequent(rows: DataFrame, keys: Sequence[str], least: int) -> DataFrame:
+    """All keys of more than ``least`` rows, and others, with their number of rows as ``_n``.
+
+    Rows are counted by bucket of a hash, which shrinks in each task; only the keys of full buckets are counted themselves.
+    """
+    bucket, n = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)), F.count(F.lit(1))
+    full = rows.groupBy(bucket.alias("_bucket")).agg(n.alias("_n")).where(F.col("_n") > least).select("_bucket")
+    return rows.withColumn("_bucket", bucket).join(F.broadcast(full), "_bucket", "left_semi").groupBy(*keys).agg(n.alias("_n"))
+
+
 def with_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Attach a global aggregate (one row by construction) to every row."""
     keyed = one_row.withColumn("_all", F.lit(1))

@@ -3,6 +3,8 @@ import json
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from plywise.functions import responses
 
 
@@ -56,3 +58,14 @@ def test_candidate_list_and_pair_decision(spark):
 def test_object_with_a_number_that_is_none(spark):
     df = spark.createDataFrame([('{"move":"e2e4","x":NaN}',), ('so {"move":"e2e4","x":[-Infinity]} it is',)], "raw_response string")
     assert [(r.parse_ok, r.move) for r in responses.validated_moves(df).collect()] == [(True, "e2e4")] * 2
+
+
+def test_lists_are_scanned_once(spark):
+    """Whatever reads the list's rows, and before they are made; an object in other text needs no scan if its braces are the outermost."""
+    texts = ['so {"candidates":[{"move":" E2E4 ","idea":"x"},{"move":7},{"move":"a1"}]} ok', '["a {"]', '{"candidates":[{"move":"b2"}]} or {"candidates":[]}',
+             'a } b', '"{}"', "x {} {", '{"candidates":[{"move":"c3","n":NaN}]}', None, "{'a': {\"candidates\":[]}}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, raw_response string")
+    rows = responses.listed_candidates(df).select("i", F.inline("items"))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("_buried_object(") == 1
+    assert sorted((r["i"], r["pos"], r["move"], r["idea"]) for r in rows.collect()) == [
+        (0, 0, "e2e4", "x"), (0, 2, "a1", None), (2, 0, "b2", None), (6, 0, "c3", None)]

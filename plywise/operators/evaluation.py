@@ -401,28 +401,33 @@ def reward_samples(rows: DataFrame, cached: DataFrame, best_moves: DataFrame, ev
 
     ``rows(batch, idx, fen, parsed_move, parse_ok, legal_ok)``; ``cached`` and ``evaluations``
     have (fen, uci, centipawn_loss, classification, best_move_uci); ``best_moves(fen, best)``. What is known is gathered for
-    the distinct proposals, so the rows themselves are joined once, with hot proposals split.
+    the distinct proposals, so the rows, which are written once, are joined once, with hot proposals split.
     """
+    rows = stored(rows, "rows")
     tagged = lambda df, p: df.select(
         F.col("fen"), F.col("uci").alias("parsed_move"),
         *[F.col(c).alias(f"{p}_{c}") for c in ("centipawn_loss", "classification", "best_move_uci")], F.lit(True).alias(f"{p}_hit")
     )
     named = rows.where(F.col("fen").isNotNull() & F.col("parsed_move").isNotNull())
     proposals = stored(named.groupBy("fen", "parsed_move").agg(F.count(F.lit(1)).alias("_n")), "proposals")
-    facts = (
-        proposals.join(tagged(cached, "k"), ["fen", "parsed_move"], "left")
-        .join(tagged(evaluations, "e"), ["fen", "parsed_move"], "left").join(best_moves, "fen", "left")
+    gathered = (
+        proposals.drop("_n").join(best_moves, "fen", "left").join(tagged(cached, "k"), ["fen", "parsed_move"], "left")
+        .join(tagged(evaluations, "e"), ["fen", "parsed_move"], "left")
     )
-    joined = split_lookup(rows, facts.drop("_n"), ["fen", "parsed_move"], proposals)
+    hit, equal = F.coalesce("k_hit", F.lit(False)), F.coalesce(F.col("best") == F.col("parsed_move"), F.lit(False))
+    pick = lambda name, best: F.when(hit, F.col(f"k_{name}")).when(equal, best).otherwise(F.col(f"e_{name}")).alias(f"_{name}")
+    facts = gathered.select(
+        "fen", "parsed_move", hit.alias("_hit"), equal.alias("_equal"), pick("centipawn_loss", F.lit(0)),
+        pick("best_move_uci", F.col("best")), pick("classification", F.lit("best")))
+    joined = split_lookup(rows, facts, ["fen", "parsed_move"], proposals)
     legal = F.col("parse_ok") & F.col("legal_ok")
-    known = legal & F.coalesce(F.col("k_hit"), F.lit(False))
-    is_best = legal & ~known & F.coalesce(F.col("best") == F.col("parsed_move"), F.lit(False))
-    pick = lambda name, best: F.when(known, F.col(f"k_{name}")).when(is_best, best).when(legal, F.col(f"e_{name}"))
+    known = legal & F.coalesce("_hit", F.lit(False))
+    is_best = legal & ~known & F.coalesce("_equal", F.lit(False))
     scored = joined.withColumns({
-        "centipawn_loss": pick("centipawn_loss", F.lit(0)),
-        "best_move_uci": pick("best_move_uci", F.col("best")),
+        "centipawn_loss": F.when(legal, F.col("_centipawn_loss")),
+        "best_move_uci": F.when(legal, F.col("_best_move_uci")),
         "classification": F.when(~F.col("parse_ok"), "malformed").when(~F.col("legal_ok"), "illegal")
-        .otherwise(pick("classification", F.lit("best"))),
+        .when(legal, F.col("_classification")),
         "cache_hit": known | is_best,
         "evaluated": legal & ~known & ~is_best,
     })
@@ -447,7 +452,8 @@ def reward_batches(samples: DataFrame) -> DataFrame:
 
 
 def reward_log(samples: DataFrame, stats: DataFrame, first: int) -> DataFrame:
-    """Batch statistics with the first samples of each batch as one JSON line."""
+    """Batch statistics with the first samples of each batch as one JSON line. ``samples`` and ``stats``, which is made of
+    them, are both read, so they should be a written table."""
     head = top_per_group(samples, ["batch"], [F.asc("idx")], first)
     fields = ("reward", "parse_ok", "legal_ok", "parsed_move", "centipawn_loss", "best_move_uci", "classification")
     lists = head.groupBy("batch").agg(

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plywise.operators import candidates, choices, datasets
-from plywise.operators import evaluation as scoring
 from plywise.operators import summaries as ops
 from plywise.operators.ordering import hash_order
 from plywise.operators.selection import ranked
@@ -16,8 +15,8 @@ from plywise.plans.board_queries import _MODELS, models, summary
 from plywise.plans.candidate_queries import CHOICE_CTES, labelled, labelled_sql
 from plywise.plans.dataset_queries import _MIXED, mixed
 from plywise.plans.fixtures import Fixtures, with_views
-from plywise.plans.prediction_queries import _REWARD_LOG, _reuse_sql, log_heads, reward_samples
-from plywise.plans.registry import query, rounded
+from plywise.plans.prediction_queries import _REWARD_LOG, _reuse_sql, log_heads, reward_log
+from plywise.plans.registry import query, rounded, written
 from plywise.plans.sqltext import summary_sql
 from plywise.session import shared_dir
 from plywise.sources import records
@@ -160,8 +159,7 @@ def summary_table_replace(fx: Fixtures) -> DataFrame:
 @query("reward_log_append", _reuse_sql(_REWARD_LOG))
 def reward_log_append(fx: Fixtures) -> DataFrame:
     """The log of two jobs, the first of which is repeated after it had been written."""
-    samples = reward_samples(fx).withColumn("parsed_move", F.concat_ws(":", F.col("idx").cast("string"), F.coalesce("parsed_move", F.lit("-"))))
-    log = scoring.reward_log(samples, scoring.reward_batches(samples), 5)
+    log = written(fx, reward_log(fx), "log")
     table = Versioned(fx.spark, _folder(fx, "rewards"))
     for number, part in ((0, 0), (1, 1), (0, 0), (1, 1)):
         table.append(log.where(F.pmod(F.xxhash64("batch"), F.lit(2)) == part), number)

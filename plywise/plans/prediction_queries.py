@@ -14,7 +14,7 @@ from plywise.operators.ordering import first_per_key
 from plywise.plans.board_queries import evaluations
 from plywise.plans.candidate_queries import COMPARISON_CTES, indexed_choices, labelled, labelled_sql
 from plywise.plans.fixtures import Fixtures, with_views
-from plywise.plans.registry import query, rounded
+from plywise.plans.registry import query, rounded, written
 from plywise.plans.sqltext import judged_sql, mean2, rate, rate4
 
 # Responses --------------------------------------------------------------------------
@@ -202,15 +202,19 @@ LEFT JOIN evaluations e ON e.move_id = m.move_id"""
 _PREDICTION_VIEWS = ["attempts", "moves", "legal_moves"]
 
 
-def predictions(fx: Fixtures) -> DataFrame:
-    """All attempts as predictions of the accepted move, with legality and engine labels."""
+def checked_predictions(fx: Fixtures) -> DataFrame:
+    """All attempts as predictions of the accepted move, with legality."""
     first = fx.attempts.select("attempt_id", "game_id", "ply", "parsed_move", "parse_ok")
     moves = fx.moves.select("move_id", "game_id", "ply", F.col("fen_before").alias("fen"), F.col("accepted_uci").alias("target_move"),
                             ((F.col("l_linestatus") == "F") & (F.col("ply") == 7)).alias("service_error"))
     rows = ops.with_legality(first.join(moves, ["game_id", "ply"]), fx.legal_moves).withColumn("legal_ok", F.col("parse_ok") & F.col("legal_ok"))
-    judged = rows.join(evaluations(fx).select("move_id", "centipawn_loss", "classification", "best_move_uci"), "move_id", "left")
+    return rows.withColumn("top1_match", F.coalesce(F.col("parsed_move") == F.col("target_move"), F.lit(False)))
+
+
+def predictions(fx: Fixtures) -> DataFrame:
+    """Checked predictions with engine labels."""
+    judged = checked_predictions(fx).join(evaluations(fx).select("move_id", "centipawn_loss", "classification", "best_move_uci"), "move_id", "left")
     return judged.withColumns({
-        "top1_match": F.coalesce(F.col("parsed_move") == F.col("target_move"), F.lit(False)),
         "centipawn_loss": F.when(F.col("legal_ok"), F.col("centipawn_loss")),
         "classification": F.when(~F.col("parse_ok"), "malformed").when(~F.col("legal_ok"), "illegal")
         .otherwise(F.coalesce("classification", F.lit("unknown"))),
@@ -223,7 +227,7 @@ def _prediction_sql(body: str, extra: dict[str, str] | None = None) -> str:
 
 @query("legality_check", _prediction_sql("SELECT attempt_id, legal_ok FROM predictions"))
 def legality_check(fx: Fixtures) -> DataFrame:
-    return predictions(fx).select("attempt_id", "legal_ok")
+    return checked_predictions(fx).select("attempt_id", "legal_ok")
 
 
 @query("prediction_metrics", _prediction_sql(f"""
@@ -232,7 +236,7 @@ SELECT *, {rate('json_parse_ok', 'examples')} AS json_parse_rate, {rate('legal_m
   SELECT count(*) AS examples, count(*) FILTER (parse_ok) AS json_parse_ok, count(*) FILTER (legal_ok) AS legal_move_ok,
     count(*) FILTER (top1_match) AS top1_match, count(*) FILTER (service_error) AS service_errors FROM predictions) x"""))
 def prediction_metrics(fx: Fixtures) -> DataFrame:
-    return ops.prediction_metrics(predictions(fx))
+    return ops.prediction_metrics(checked_predictions(fx))
 
 
 def _reward_sql(mode: str) -> str:
@@ -303,7 +307,10 @@ def reward_samples(fx: Fixtures) -> DataFrame:
         fx.candidates.select(F.col("fen_before").alias("fen"), F.col("candidate_uci").alias("uci"), "centipawn_loss", "classification",
                              "best_move_uci", "source", "seq"), ["fen", "uci"], ["seq"])
     best = engine.where("source = 'arena_move'").groupBy("fen").agg(F.min("best_move_uci").alias("best"))
-    rows = predictions(fx).select(F.pmod("game_id", F.lit(64)).alias("batch"), F.col("attempt_id").alias("idx"), "fen", "parsed_move", "parse_ok", "legal_ok")
+    first = fx.attempts.select("attempt_id", "game_id", "ply", "parsed_move", "parse_ok")
+    moves = fx.moves.select("game_id", "ply", F.col("fen_before").alias("fen"))
+    checked = ops.with_legality(first.join(moves, ["game_id", "ply"]), fx.legal_moves).withColumn("legal_ok", F.col("parse_ok") & F.col("legal_ok"))
+    rows = checked.select(F.pmod("game_id", F.lit(64)).alias("batch"), F.col("attempt_id").alias("idx"), "fen", "parsed_move", "parse_ok", "legal_ok")
     return ops.reward_samples(rows, engine.where("source <> 'random_legal'"), best, engine)
 
 
@@ -337,8 +344,14 @@ WHERE nth <= 5 GROUP BY 1, 2"""
 
 @query("reward_log_heads", _reuse_sql(_REWARD_LOG))
 def reward_log_heads(fx: Fixtures) -> DataFrame:
-    samples = reward_samples(fx).withColumn("parsed_move", F.concat_ws(":", F.col("idx").cast("string"), F.coalesce("parsed_move", F.lit("-"))))
-    return log_heads(ops.reward_log(samples, ops.reward_batches(samples), 5))
+    return log_heads(reward_log(fx))
+
+
+def reward_log(fx: Fixtures) -> DataFrame:
+    """The log of all batches from samples that are scored once and written."""
+    samples = written(fx, reward_samples(fx).drop("fen"), "samples")
+    named = samples.withColumn("parsed_move", F.concat_ws(":", F.col("idx").cast("string"), F.coalesce("parsed_move", F.lit("-"))))
+    return ops.reward_log(named, ops.reward_batches(samples), 5)
 
 
 def log_heads(log: DataFrame) -> DataFrame:

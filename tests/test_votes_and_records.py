@@ -1,4 +1,5 @@
 from plywise.operators import evaluation
+from plywise.plans import catalog
 
 
 def test_runtime_votes(spark):
@@ -29,3 +30,10 @@ def test_tallies_stand_in_the_order_of_moves(spark):
     votes = spark.createDataFrame([(1, "s16", 1), (1, "s1", 3), (1, "s1a", 0), (2, "b", 2), (2, "a", 0)], "choice_index int, uci string, votes long")
     found = {r["choice_index"]: r["tally"] for r in evaluation.vote_tallies(votes).collect()}
     assert found == {1: "s1=3,s16=1,s1a=0", 2: "a=0,b=2"}
+
+
+def test_a_log_reads_written_samples_only(spark):
+    """Scores are made once, not for the statistics and again for the first samples."""
+    for name in ("reward_log_heads", "reward_log_append"):
+        log = catalog.queries()[name](spark, "/root/testdata/sf0.001")
+        assert not any("lineitem" in f for f in log.inputFiles()), name

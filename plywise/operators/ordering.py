@@ -18,16 +18,21 @@ BUCKETS = 1 << 18
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """First row of every key. An aggregate, so a hot key is reduced before the shuffle."""
-    return _pick(df, keys, F.min_by, F.struct(*order))
+    return _pick(df, keys, F.min, F.min_by, order)
 
 
 def last_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    return _pick(df, keys, F.max_by, F.struct(*order))
+    return _pick(df, keys, F.max, F.max_by, order)
 
 
-def _pick(df: DataFrame, keys: Sequence[str], picker, key: Column) -> DataFrame:
-    others = [c for c in df.columns if c not in keys]
-    picked = df.groupBy(*keys).agg(picker(F.struct(*others), key).alias("_row"))
+def _pick(df: DataFrame, keys: Sequence[str], extreme, extreme_by, order: Sequence[str]) -> DataFrame:
+    """The order stands in front of the other columns, so a row is exchanged with its order once, not twice; rows with maps
+    or variants, which have no order, go beside it."""
+    leading = [c for c in order if c not in keys]
+    others = leading + [c for c in df.columns if c not in keys and c not in leading]
+    row = F.struct(*others)
+    ordered = not any(kind in df.schema[c].dataType.simpleString() for c in others for kind in ("map<", "variant"))
+    picked = df.groupBy(*keys).agg((extreme(row) if ordered else extreme_by(row, F.struct(*order))).alias("_row"))
     return picked.select(*keys, *[F.col("_row")[c].alias(c) for c in others]).select(*df.columns)
 
 

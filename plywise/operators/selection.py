@@ -116,8 +116,10 @@ def ranked(df: DataFrame, order: Sequence[Column], name: str = "rank", rows_each
     """All rows with their place (from 1) in a global order.
 
     Rows are dealt by ranges of the order, counted by range, and numbered inside their range, so a task sees one range
-    and one task the ranges' counts. The ranges are drawn from a sample, so rows are written once before they are counted.
+    and one task the ranges' counts. The rows are counted, sampled for the ranges and dealt, so they are written before; the
+    ranges are drawn from a sample, so they are written, too, before they are counted.
     """
+    df = stored(df, "rows")
     total = df.count()
     n = max(1, -(-total // rows_each))
     placed = stored(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()), "ranges")

@@ -17,6 +17,7 @@ def evaluations(fx: Fixtures) -> DataFrame:
 
 
 def summary(fx: Fixtures) -> DataFrame:
+    fx.number_lines()
     return ops.participant_summary(
         fx.games, fx.participants, fx.runs, fx.prompts, fx.moves, evaluations(fx), fx.attempts, fx.token_usage
     )

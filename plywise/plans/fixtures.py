@@ -4,8 +4,12 @@ rows out, so that look-ups also miss."""
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 
+from plywise.session import shared_dir
+
 RAW_TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
     "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -175,7 +179,15 @@ class Fixtures:
     """The projections as Spark DataFrames over the Parquet tables of one folder."""
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark, self.folder = spark, folder.rstrip("/")
+        self.spark, self.folder, self.numbered = spark, folder.rstrip("/"), None
+
+    def number_lines(self) -> Fixtures:
+        """Numbers the lines of all games once and writes them, for queries that read several of their projections."""
+        if self.numbered is None:
+            path = f"{shared_dir(self.spark)}/lines-{uuid4().hex}"
+            self.lines.drop("l_shipdate").write.parquet(path)
+            self.numbered = path
+        return self
 
     def _source(self, table: str) -> str:
         return f"SELECT * FROM parquet.`{self.folder}/{table}.parquet`"
@@ -189,6 +201,8 @@ class Fixtures:
         if name not in VIEWS:
             raise AttributeError(name)
         text = with_views([name], f"SELECT * FROM {name}", "spark")
+        if self.numbered is not None:
+            text = text.replace(VIEWS["lines"][1].strip(), f"SELECT * FROM parquet.`{self.numbered}`")
         used = [t for t in RAW_TABLES if f"FROM {t}" in text]
-        sources = ",\n".join(f"{t} AS ({self._source(t)})" for t in used)
-        return self.spark.sql("WITH " + sources + ",\n" + text[len("WITH "):])
+        sources = "".join(f"{t} AS ({self._source(t)}),\n" for t in used)
+        return self.spark.sql("WITH " + sources + text[len("WITH "):])

@@ -27,6 +27,10 @@ def of_runs(df: DataFrame, run_ids: Sequence[int]) -> DataFrame:
 
 
 def _spec(df: DataFrame, kind: str, order: Sequence[Column], **columns: Column) -> DataFrame:
+    return df.select(*_spec_columns(kind, order, **columns))
+
+
+def _spec_columns(kind: str, order: Sequence[Column], **columns: Column) -> list[Column]:
     """Spec columns plus ``spec_order``, an orderable struct (source, then up to five keys)."""
     keys = list(order) + [F.lit(0)] * (5 - len(order))
     position = F.struct(
@@ -35,9 +39,7 @@ def _spec(df: DataFrame, kind: str, order: Sequence[Column], **columns: Column)
     )
     types = {"candidate_rank_in_generator": "int", "fen_before": "string", "candidate_uci": "string",
              "source": "string", "generator_idea": "string"}
-    return df.select(
-        *[columns.get(c, F.lit(None)).cast(types.get(c, "long")).alias(c) for c in _SPEC], position.alias("spec_order")
-    )
+    return [*[columns.get(c, F.lit(None)).cast(types.get(c, "long")).alias(c) for c in _SPEC], position.alias("spec_order")]
 
 
 def accepted_specs(moves: DataFrame, games: DataFrame, evaluations: DataFrame, run_ids: Sequence[int] = ()) -> DataFrame:
@@ -91,6 +93,44 @@ def best_specs(moves: DataFrame, games: DataFrame, evaluations: DataFrame, run_i
     )
 
 
+def game_specs(moves: DataFrame, games: DataFrame, evaluations: DataFrame, attempts: DataFrame, run_ids: Sequence[int] = ()) -> DataFrame:
+    """The specs of ``accepted_specs``, ``metadata_specs`` and ``best_specs`` together: moves meet their game, evaluations and
+    attempts once, and every move gives all its specs.
+
+    Records are parsed first, so only deliberating attempts are exchanged; an attempt belongs to the game of its move.
+    """
+    c, of_move = F.col, Window.partitionBy("move_id").orderBy("best_move_uci", "classification")
+    played = moves.select("move_id", "game_id", "ply", "fen_before", "accepted_uci").join(
+        of_runs(games.select("game_id", "run_id"), run_ids), "game_id")
+    judged = evaluations.select("move_id", "classification", "best_move_uci").where("move_id IS NOT NULL").repartition("move_id").withColumns({
+        "_nth": F.row_number().over(of_move),
+        "_new": c("best_move_uci").isNotNull() & ~c("best_move_uci").eqNullSafe(F.lag("best_move_uci").over(of_move)),
+    })
+    parsed = deliberations(attempts.where("reranker_metadata IS NOT NULL AND move_id IS NOT NULL").select(
+        "attempt_id", "move_id", "ply", "attempt_number", "reranker_metadata"))
+    talks = parsed.where(F.size("items") > 0).groupBy("move_id").agg(
+        F.collect_list(F.struct("attempt_id", "ply", "attempt_number", "items", "ideas")).alias("_talks"))
+    rows = played.join(judged, "move_id", "left").join(talks, "move_id", "left")
+    source = {"source_run_id": c("run_id"), "source_game_id": c("game_id"), "source_move_id": c("move_id"), "fen_before": c("fen_before")}
+    accepted = F.struct(*_spec_columns(
+        "accepted", [c("run_id"), c("game_id"), c("ply")], **source, candidate_uci=c("accepted_uci"),
+        source=labels.played_source(F.coalesce(c("classification"), F.lit("")))))
+    best = F.struct(*_spec_columns(
+        "best", [c("run_id"), c("game_id"), c("ply")], **source, candidate_uci=c("best_move_uci"), source=F.lit("stockfish_good")))
+
+    def listed(talk: Column) -> Column:
+        idea = lambda item: F.try_element_at(F.filter(talk["ideas"], lambda i: i["move"] == item["uci"]), F.lit(-1))["idea"]
+        return F.transform(talk["items"], lambda item: F.struct(*_spec_columns(
+            "metadata", [c("run_id"), c("game_id"), talk["ply"], talk["attempt_number"], item["pos"]], **source,
+            candidate_uci=item["uci"], source=labels.metadata_source(item["mode"]), candidate_rank_in_generator=item["pos"],
+            generator_idea=idea(item), source_attempt_id=talk["attempt_id"])))
+
+    once = F.coalesce(c("_nth"), F.lit(1)) == 1  # of several evaluations of a move
+    parts = [F.array(accepted), F.when(c("_new"), F.array(best)),
+             F.when(once & c("fen_before").isNotNull(), F.flatten(F.transform("_talks", listed)))]
+    return rows.select(F.inline(F.flatten(F.array_compact(F.array(*parts)))))
+
+
 def external_specs(rows: DataFrame, order: str = "line_index") -> DataFrame:
     names = ("fen_before", "candidate_uci", "source", "candidate_rank_in_generator", "generator_idea")
     return _spec(rows, "external", [F.col(order)], **{n: F.col(n) for n in names})
@@ -131,9 +171,11 @@ def unique_legal_specs(specs: DataFrame, legal_moves: DataFrame) -> DataFrame:
 
 
 def choose_positions(unique: DataFrame, max_positions: int | None, shuffle_seed: int | None = None) -> DataFrame:
-    """Positions in first-seen or hash order, up to the maximum."""
+    """Positions in first-seen or hash order, up to the maximum. The specs are read for the order and for the rows, so they
+    are written once."""
     if max_positions is None:
         return unique
+    unique = stored(unique, "unique")
     seen = unique.groupBy("fen_before").agg(F.min("spec_order").alias("_seen"))
     order = F.col("_seen") if shuffle_seed is None else hash_order(shuffle_seed, F.col("fen_before"))
     kept = first_rows(stored(seen, "positions"), [order], max_positions)

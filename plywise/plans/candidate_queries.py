@@ -72,7 +72,7 @@ SELECT 3, seq, 0, 0, 0, 0, fen_before, candidate_uci, CASE WHEN source = 'random
 
 
 def all_specs(fx: Fixtures) -> DataFrame:
-    judged = evaluations(fx)
+    fx.number_lines()
     fields = F.struct(
         F.col("fen_before").alias("fen"), F.lit("").alias("candidate_uci"), F.col("candidate_uci").alias("uci"),
         F.when(F.col("source") != "random_legal", F.col("source")).alias("source"),
@@ -80,9 +80,7 @@ def all_specs(fx: Fixtures) -> DataFrame:
     )
     foreign = external_candidates(fx.candidates.select("seq", F.to_json(fields).alias("value")))
     return ops.union_specs(
-        ops.accepted_specs(fx.moves, fx.games, judged), ops.metadata_specs(fx.attempts, fx.games, fx.moves),
-        ops.best_specs(fx.moves, fx.games, judged), ops.external_specs(foreign, "seq"),
-    )
+        ops.game_specs(fx.moves, fx.games, evaluations(fx), fx.attempts), ops.external_specs(foreign, "seq"))
 
 
 _SPEC_VIEWS = ["moves", "games", "attempts", "candidates", "legal_moves"]

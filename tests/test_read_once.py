@@ -38,3 +38,30 @@ def test_picked_rows_are_exchanged_with_their_order_once(spark):
     assert "min_by" not in first_per_key(df, ["k"], ["o"])._jdf.queryExecution().optimizedPlan().toString()
     with_map = df.withColumn("m", F.create_map("v", "o"))
     assert {r.k: r.m for r in first_per_key(with_map, ["k"], ["o"]).collect()} == {"a": {"x": 1}, "b": {"z": None}}
+
+
+def test_chosen_positions_compute_their_specs_once(spark, counted):
+    count, seen = counted
+    specs = spark.range(600).select(F.concat(F.lit("f"), (F.col("id") % 200).cast("string")).alias("fen_before"), F.col("id").alias("seq"))
+    specs = count(specs, "seq").withColumn("spec_order", F.struct("seq"))
+    assert sorted(r.seq for r in candidates.choose_positions(specs, 3).collect()) == [0, 1, 2, 200, 201, 202, 400, 401, 402]
+    assert seen.value == 600
+
+
+def test_game_specs_equal_the_three_sources(spark):
+    make = spark.createDataFrame
+    moves = make([(10 * g + p, g, p, f"f{g}-{p}", f"m{p}") for g in (1, 2) for p in (1, 2, 3)] + [(99, 7, 1, "f7", "m1")],
+                 "move_id long, game_id long, ply long, fen_before string, accepted_uci string")
+    games = make([(1, 4), (2, 5)], "game_id long, run_id long")
+    evaluations = make([(11, "blunder", "b1"), (11, "best", "b1"), (12, "good", None), (21, None, "b2"), (21, "good", "b3")],
+                       "move_id long, classification string, best_move_uci string")
+    talk = ('{"regime":"llm_deliberative","mode":"candidate_pairwise","candidate_legal_moves":["x","y"],'
+            '"candidate_raw_response":"{\\"candidates\\":[{\\"move\\":\\"x\\",\\"idea\\":\\"plan\\"}]}"}')
+    attempts = make([(1, 1, 11, 1, 1, talk), (2, 1, 11, 1, 2, talk), (3, 2, 22, 2, 1, '{"scorer":"s"}'), (4, 2, None, 2, 1, talk), (5, 2, 21, 1, 1, talk)],
+                    "attempt_id long, game_id long, move_id long, ply long, attempt_number int, reranker_metadata string")
+    for runs in ((), (5,)):
+        apart = candidates.union_specs(candidates.accepted_specs(moves, games, evaluations, runs), candidates.metadata_specs(attempts, games, moves, runs),
+                                       candidates.best_specs(moves, games, evaluations, runs))
+        together = candidates.game_specs(moves, games, evaluations, attempts, runs)
+        assert together.columns == apart.columns
+        assert sorted(map(str, together.collect())) == sorted(map(str, apart.collect()))

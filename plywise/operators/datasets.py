@@ -21,6 +21,7 @@ from plywise.operators.ordering import (
     with_one_row,
 )
 from plywise.operators.selection import first_rows
+from plywise.session import stored
 from plywise.sources.gamefiles import tag
 
 # Speed rule of the funnel and its reasons.
@@ -86,9 +87,10 @@ def capped_samples(
 ) -> DataFrame:
     """Sampled move indices per kept game, in game order, up to a total number of examples.
 
-    The game on the boundary is sampled again with what is left; later games are not seen.
+    The game on the boundary is sampled again with what is left; later games are not seen. A running total reads its rows
+    twice, so the games are written once.
     """
-    want = games.withColumn("_k", F.least(F.col(plies), F.lit(max_per_game)).cast("long"))
+    want = stored(games.withColumn("_k", F.least(F.col(plies), F.lit(max_per_game)).cast("long")), "games")
     before = running_total(want, index, "_k", "_before")
     left = F.lit(max_examples) - F.col("_before")
     budget = F.least(F.lit(max_per_game).cast("long"), left).cast("int")
@@ -273,6 +275,12 @@ def error_stats(errors: DataFrame, max_examples: int | None = None) -> DataFrame
     )
 
 
+def is_trigger(min_cpl: int = 250, blunders: bool = True) -> Column:
+    """The prediction lost much or blundered."""
+    high = F.coalesce(F.col("centipawn_loss") >= min_cpl, F.lit(False))
+    return high | (F.lit(blunders) & F.coalesce(F.col("classification") == "blunder", F.lit(False)))
+
+
 def gate_triggers(predictions: DataFrame, dataset: DataFrame, min_cpl: int = 250, blunders: bool = True,
                   row_order: str = "row_index") -> DataFrame:
     """First prediction per known position that lost much or blundered (in file, line order),
@@ -281,17 +289,15 @@ def gate_triggers(predictions: DataFrame, dataset: DataFrame, min_cpl: int = 250
     Predictions are reduced to their position before the lookup, so a position that most of
     them share is one row in the join. The last dataset row of a position is the one that counts."""
     known = last_per_key(dataset.select("fen", "prompt", "completion", "move", row_order), ["fen"], [row_order]).drop(row_order)
-    high = F.coalesce(F.col("centipawn_loss") >= min_cpl, F.lit(False))
-    bad = high | (F.lit(blunders) & F.coalesce(F.col("classification") == "blunder", F.lit(False)))
-    fields = ("parsed_move", "centipawn_loss", "classification", "gate_source", "file_ord", "line_ord")
-    first = predictions.where(bad).groupBy("fen").agg(
-        F.min_by(F.struct(*fields), F.struct("file_ord", "line_ord")).alias("_first"), F.count(F.lit(1)).alias("n_triggers")
-    )
+    fields = ("file_ord", "line_ord", "parsed_move", "centipawn_loss", "classification", "gate_source")
+    first = predictions.where(is_trigger(min_cpl, blunders)).groupBy("fen").agg(F.min(F.struct(*fields)).alias("_first"), F.count(F.lit(1)).alias("n_triggers"))
     return first.select("fen", "n_triggers", "_first.*").join(known, "fen")
 
 
 def tactical_gate(triggers: DataFrame, max_examples: int | None = None) -> DataFrame:
-    """First trigger of every position over the ordered files, up to the maximum."""
+    """First trigger of every position over the ordered files, up to the maximum; the order and the rows are two reads, so
+    triggers are written once where there is one."""
+    triggers = triggers if max_examples is None else stored(triggers, "triggers")
     first = first_rows(triggers, ["file_ord", "line_ord"], max_examples)
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     return first.select(

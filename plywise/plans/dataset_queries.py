@@ -11,12 +11,13 @@ from plywise.functions import text
 from plywise.operators import datasets as ops
 from plywise.operators import games as games_ops
 from plywise.operators import reuse
+from plywise.operators.evaluation import with_legality
 from plywise.operators.ordering import counters, dense_index, evenly_spaced
 from plywise.plans.board_queries import evaluations, summary
 from plywise.plans.candidate_queries import labelled, labelled_sql
 from plywise.plans.fixtures import Fixtures, with_views
 from plywise.plans.prediction_queries import _PREDICTIONS, predictions
-from plywise.plans.registry import query, rounded
+from plywise.plans.registry import query, rounded, written
 from plywise.plans.sqltext import judged_sql, summary_sql
 from plywise.schemas import ENGINE_RECORD
 from plywise.session import shared_dir
@@ -306,15 +307,24 @@ def _gate_sql(body: str) -> str:
 
 
 def gate_inputs(fx: Fixtures) -> tuple[DataFrame, DataFrame]:
-    """Predictions in two ordered 'files', and the dataset rows they are looked up in."""
-    status = fx.moves.select("move_id", (F.col("l_linestatus") == "O").alias("open"))
-    preds = predictions(fx).join(status, "move_id").select(
+    """Predictions in two ordered 'files', and the first triggers, with the dataset rows they are looked up in.
+
+    Only a legal move has an engine label, so a trigger is one of the moves with such a label; the others are left out
+    before legality is looked up.
+    """
+    fx.number_lines()
+    is_open = F.col("l_linestatus") == "O"
+    moves = fx.moves.select("game_id", "ply", F.col("move_id").alias("line_ord"), F.col("fen_before").alias("fen"), is_open.alias("open"))
+    attempts = fx.attempts.select("game_id", "ply", "parsed_move", "parse_ok")
+    judged = evaluations(fx).select(F.col("move_id").alias("line_ord"), "centipawn_loss", "classification").where(ops.is_trigger())
+    lost = attempts.where("parse_ok").join(moves.join(judged, "line_ord"), ["game_id", "ply"]).select(
         "fen", "parsed_move", "centipawn_loss", "classification", F.when(F.col("open"), 0).otherwise(1).alias("file_ord"),
-        F.when(F.col("open"), "open_file").otherwise("closed_file").alias("gate_source"), F.col("move_id").alias("line_ord"))
+        F.when(F.col("open"), "open_file").otherwise("closed_file").alias("gate_source"), "line_ord")
+    preds = attempts.join(moves, ["game_id", "ply"])
     rows = fx.moves.where("l_returnflag <> 'R'").select(
         F.col("fen_before").alias("fen"), F.concat_ws(" ", F.lit("play"), "fen_before", F.col("ply").cast("string")).alias("prompt"),
         F.concat(F.lit('{"move":"'), "accepted_uci", F.lit('"}')).alias("completion"), F.col("accepted_uci").alias("move"), F.col("move_id").alias("row_index"))
-    return preds, ops.gate_triggers(preds, rows)
+    return preds, ops.gate_triggers(with_legality(lost, fx.legal_moves).where("legal_ok"), rows)
 
 
 @query("tactical_gate", _gate_sql("""
@@ -338,6 +348,7 @@ UNION ALL SELECT 'by_source', gate_source, count(*) FROM gated GROUP BY 2
 UNION ALL SELECT 'by_classification', classification, count(*) FROM gated GROUP BY 2"""))
 def tactical_gate_stats(fx: Fixtures) -> DataFrame:
     preds, triggers = gate_inputs(fx)
+    triggers = written(fx, triggers, "triggers")
     return ops.gate_stats(preds, triggers, ops.tactical_gate(triggers))
 
 

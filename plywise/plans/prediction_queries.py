@@ -213,6 +213,7 @@ def checked_predictions(fx: Fixtures) -> DataFrame:
 
 def predictions(fx: Fixtures) -> DataFrame:
     """Checked predictions with engine labels."""
+    fx.number_lines()
     judged = checked_predictions(fx).join(evaluations(fx).select("move_id", "centipawn_loss", "classification", "best_move_uci"), "move_id", "left")
     return judged.withColumns({
         "centipawn_loss": F.when(F.col("legal_ok"), F.col("centipawn_loss")),

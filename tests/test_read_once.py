@@ -65,3 +65,18 @@ def test_game_specs_equal_the_three_sources(spark):
         together = candidates.game_specs(moves, games, evaluations, attempts, runs)
         assert together.columns == apart.columns
         assert sorted(map(str, together.collect())) == sorted(map(str, apart.collect()))
+
+
+def test_capped_samples_compute_their_games_once(spark, counted):
+    count, seen = counted
+    games = spark.range(1, 301).select(F.col("id").alias("source_game_index"), F.lit(9).cast("long").alias("plies"))
+    assert datasets.capped_samples(count(games, "plies"), 4, 41).count() == 11 and seen.value == 300
+
+
+def test_tactical_gate_computes_its_triggers_once(spark, counted):
+    count, seen = counted
+    triggers = spark.range(500).select(
+        F.lit(0).alias("file_ord"), F.col("id").alias("line_ord"), *[F.lit("x").alias(c) for c in (
+            "prompt", "fen", "completion", "move", "gate_source", "parsed_move", "classification")], F.lit(300).alias("centipawn_loss"))
+    first = datasets.tactical_gate(count(triggers, "line_ord"), 7).collect()
+    assert sorted(r.line_ord for r in first) == list(range(7)) and seen.value == 500

@@ -9,6 +9,7 @@ from plywise.functions import labels, prompts
 from plywise.functions.stats import count_if
 from plywise.operators.ordering import counters, hash_order, top_per_group
 from plywise.operators.selection import first_rows
+from plywise.session import stored
 
 _FIELDS = ("uci", "san", "source", "risk", "score", "centipawn_loss", "candidate_rank_in_generator")
 CANDIDATE_TYPE = (
@@ -276,6 +277,8 @@ def pair_rows(
     if max_positions is not None:
         first = first_rows(pairs.groupBy("fen").agg(F.min("position_seq").alias("_s")), ["_s"], max_positions)
         pairs = pairs.join(first.select("fen"), "fen", "left_semi")
+    if max_examples is not None:
+        pairs = stored(pairs, "pairs")
     pairs = first_rows(pairs, ["position_seq", "pair_index"], max_examples)
     shown = _shown_pair([F.col("fen"), F.col("pair_index")], F.col("better"), F.col("worse"))
     out = pairs.select(

@@ -260,11 +260,14 @@ def vote_tallies(votes: DataFrame, index: str = "choice_index") -> DataFrame:
 
 def vote_winners(choices: DataFrame, votes: DataFrame, min_margin: int = 0, index: str = "choice_index") -> DataFrame:
     """Winner of every voted choice: most votes, then the earliest candidate. With a margin, a
-    winner that does not lead the first candidate by that much gives way to it."""
-    listed = choices.join(votes.select(index).distinct(), index, "left_semi").select(
-        index, F.posexplode(F.transform("candidates", lambda c: c["uci"])).alias("pos", "uci")
-    )
-    return _elected(listed.join(votes, [index, "uci"], "left"), min_margin, index)
+    winner that does not lead the first candidate by that much gives way to it.
+
+    Candidates and votes are dealt by choice once; there they meet by move, and then all of a choice.
+    """
+    listed = choices.select(index, F.posexplode(F.transform("candidates", lambda c: c["uci"])).alias("pos", "uci"))
+    both = listed.unionByName(votes.select(index, "uci", "votes"), allowMissingColumns=True).repartition(index)
+    counted = both.groupBy(index, "uci").agg(F.min("pos").alias("pos"), F.max("votes").alias("votes"))
+    return _elected(counted, min_margin, index, voted=True)
 
 
 def runtime_votes(choices: DataFrame, decisions: DataFrame, min_margin: int = 0, index: str = "choice_index") -> DataFrame:
@@ -283,13 +286,17 @@ def runtime_votes(choices: DataFrame, decisions: DataFrame, min_margin: int = 0,
     return won.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("decisions", "invalid_count")})
 
 
-def _elected(counted: DataFrame, min_margin: int, index: str) -> DataFrame:
-    """Winner, margin and fallback of every choice from its candidates (pos, uci) with their votes, NULL for none."""
-    counted = counted.withColumn("votes", F.coalesce("votes", F.lit(0)))
+def _elected(counted: DataFrame, min_margin: int, index: str, voted: bool = False) -> DataFrame:
+    """Winner, margin and fallback of every choice from its candidates (pos, uci) with their votes, NULL for none.
+
+    A move without ``pos`` is no candidate; with ``voted``, it still makes its choice one that has votes, and only these stay.
+    """
+    votes, listed = F.coalesce("votes", F.lit(0)), F.col("pos").isNotNull()
     out = counted.groupBy(index).agg(
-        F.max_by("uci", F.struct("votes", (-F.col("pos")).alias("p"))).alias("vote_winner"),
-        F.max("votes").alias("_top"), F.min_by("uci", "pos").alias("_first"), F.min_by("votes", "pos").alias("_first_votes"),
-    )
+        F.max_by("uci", F.when(listed, F.struct(votes.alias("v"), (-F.col("pos")).alias("p")))).alias("vote_winner"),
+        F.max(F.when(listed, votes)).alias("_top"), F.min_by("uci", "pos").alias("_first"), F.min_by(votes, "pos").alias("_first_votes"),
+        F.count("votes").alias("_voted"),
+    ).where(F.col("_first").isNotNull() & ((F.col("_voted") > 0) | F.lit(not voted)))
     margin = F.col("_top") - F.col("_first_votes")
     fallback = (F.col("vote_winner") != F.col("_first")) & (margin < min_margin)
     return out.select(

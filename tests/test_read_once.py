@@ -80,3 +80,14 @@ def test_tactical_gate_computes_its_triggers_once(spark, counted):
             "prompt", "fen", "completion", "move", "gate_source", "parsed_move", "classification")], F.lit(300).alias("centipawn_loss"))
     first = datasets.tactical_gate(count(triggers, "line_ord"), 7).collect()
     assert sorted(r.line_ord for r in first) == list(range(7)) and seen.value == 500
+
+
+def test_winners_of_choices_with_foreign_votes_and_margins(spark):
+    lists = [(0, ["a", "b"]), (1, ["a", "b"]), (2, ["a"]), (3, ["a", "b"])]
+    rows = spark.createDataFrame([(i, [(u,) for u in us]) for i, us in lists], "choice_index long, candidates array<struct<uci string>>")
+    votes = spark.createDataFrame([(0, "b", 2), (0, "a", 1), (1, "zz", 9), (3, "a", 0), (3, "b", 0)], "choice_index long, uci string, votes long")
+    found = {r.choice_index: (r.vote_winner, r.vote_margin_to_first, r.margin_fallback_applied, r.selected_move)
+             for r in evaluation.vote_winners(rows, votes, 2).collect()}
+    assert found == {0: ("b", 1, True, "a"), 1: ("a", 0, False, "a"), 3: ("a", 0, False, "a")}
+    winners = evaluation.vote_winners(rows, votes)
+    assert winners._jdf.queryExecution().executedPlan().toString().count("Join") == 0

@@ -84,15 +84,13 @@ def choice_rows(
     facts = position_facts(rows, order)
     rank = [F.desc("c.score"), labels.cpl_key(F.col("c.centipawn_loss")).desc(),
             labels.generator_rank_key(F.col("c.candidate_rank_in_generator")).desc(), F.asc("first_seq")]
-    shown = F.struct(F.sha2(F.concat_ws("|", "fen", "c.uci"), 256).alias("h"), "c")
     top = top_per_group(best, ["fen"], rank, max_candidates, "place")
     lists = top.groupBy("fen").agg(
-        F.array_sort(F.collect_list(shown)).alias("shown"),
-        F.max(F.when(F.col("place") == 1, F.col("c"))).alias("target"),
+        F.collect_list("c").alias("listed"), F.max(F.when(F.col("place") == 1, F.col("c"))).alias("target"),
     )
     out = (
         lists.join(kept, "fen").join(facts, "fen")
-        .withColumn("candidates", F.transform("shown", lambda s: s["c"]))
+        .withColumn("candidates", _in_hash_order("fen", "listed"))
         .select("fen", "side_to_move", "position_seq", F.col("n").alias("distinct_candidates"), "candidates", "target")
     )
     return _cut(out, max_positions, with_prompt)
@@ -109,14 +107,20 @@ def _whole_lists(rows: DataFrame, min_candidates: int, require_mixed: bool, orde
     lists = moves.groupBy("fen").agg(
         F.max("last")["side_to_move"].alias("side_to_move"), F.min("first_seq").alias("position_seq"),
         F.count(F.lit(1)).alias("distinct_candidates"),
-        F.array_sort(F.collect_list(F.struct(F.sha2(F.concat_ws("|", "fen", "c.uci"), 256).alias("h"), "c"))).alias("shown"),
+        F.collect_list("c").alias("listed"),
         F.max_by("c", better).alias("target"),
         F.bool_or(labels.is_safe(F.col("c.risk"))).alias("has_safe"), F.bool_or(labels.is_unsafe(F.col("c.risk"))).alias("has_unsafe"),
     ).where(F.col("distinct_candidates") >= min_candidates)
     if require_mixed:
         lists = lists.where(F.col("has_safe") & F.col("has_unsafe"))
     return lists.select("fen", "side_to_move", "position_seq", "distinct_candidates",
-                        F.transform("shown", lambda s: s["c"]).alias("candidates"), "target")
+                        _in_hash_order("fen", "listed").alias("candidates"), "target")
+
+
+def _in_hash_order(fen: str, listed: str) -> Column:
+    """The candidates of a gathered list in the order of their hashes, which are made here, not exchanged."""
+    hashed = F.transform(listed, lambda c: F.struct(F.sha2(F.concat_ws("|", F.col(fen), c["uci"]), 256).alias("h"), c.alias("c")))
+    return F.transform(F.array_sort(hashed), lambda s: s["c"])
 
 
 def _cut(lists: DataFrame, max_positions: int | None, with_prompt: bool) -> DataFrame:
@@ -272,7 +276,14 @@ def pair_rows(
     order: str = "seq",
     with_prompt: bool = True,
 ) -> DataFrame:
-    """Two-candidate rows; the safer move of a pair is the target."""
+    """Two-candidate rows; the safer move of a pair is the target.
+
+    The first examples stand in as many positions with pairs at most, which are found by counting, before pairs are formed.
+    """
+    if max_examples is not None:
+        counts = pair_counts_by_position(best_candidates(rows, order), min_gap).where("gap_pairs + null_pairs > 0")
+        seen = stored(counts.join(position_facts(rows, order), "fen").select("fen", "position_seq"), "positions")
+        rows = rows.join(first_rows(seen, ["position_seq"], max_examples).select(F.col("fen").alias("fen_before")), "fen_before", "left_semi")
     pairs = candidate_pairs(rows, pairs_per_position, min_gap, order).join(position_facts(rows, order), "fen")
     if max_positions is not None:
         first = first_rows(pairs.groupBy("fen").agg(F.min("position_seq").alias("_s")), ["_s"], max_positions)

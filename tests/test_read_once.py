@@ -91,3 +91,19 @@ def test_winners_of_choices_with_foreign_votes_and_margins(spark):
     assert found == {0: ("b", 1, True, "a"), 1: ("a", 0, False, "a"), 3: ("a", 0, False, "a")}
     winners = evaluation.vote_winners(rows, votes)
     assert winners._jdf.queryExecution().executedPlan().toString().count("Join") == 0
+
+
+def test_lists_exchange_no_hashes_and_first_pairs_equal_all_pairs(spark):
+    rows = spark.range(900).select(
+        F.concat(F.lit("f"), (F.col("id") % 60).cast("string")).alias("fen_before"), F.concat(F.lit("m"), (F.col("id") % 77).cast("string")).alias("candidate_uci"),
+        F.lit("white").alias("side_to_move"), F.lit("S").alias("candidate_san"), F.lit("s").alias("source"),
+        F.when(F.col("id") % 7 < 2, "good").otherwise("blunder").alias("risk"), (F.col("id") % 100).cast("int").alias("score"),
+        ((F.col("id") * 37) % 700).cast("int").alias("centipawn_loss"), F.lit(None).cast("int").alias("candidate_rank_in_generator"), F.col("id").alias("seq"))
+    for cap in (None, 2):
+        plan = choices.choice_rows(rows, max_candidates=cap)._jdf.queryExecution().optimizedPlan().toString()
+        assert "collect_list(c#" in plan and "collect_list(struct" not in plan
+    key = lambda r: (r.position_seq, r.pair_index, r.target_move, r.pair_cpl_gap)
+    every = sorted(map(key, choices.pair_rows(rows, 4).collect()))
+    for n in (1, 7, len(every), len(every) + 5):
+        assert sorted(map(key, choices.pair_rows(rows, 4, max_examples=n).collect())) == every[:n]
+    assert len(every) > 40

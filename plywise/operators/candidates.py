@@ -14,6 +14,8 @@ from plywise.operators.ordering import counters, first_per_key, hash_order, top_
 from plywise.operators.selection import first_rows
 from plywise.session import stored
 
+#: Buckets over which rows are dealt that belong to no window.
+BUCKETS = 4096
 SOURCE_ORDER = ("accepted", "metadata", "best", "external", "random")
 _SPEC = (
     "fen_before", "candidate_uci", "source", "candidate_rank_in_generator", "generator_idea",
@@ -186,10 +188,10 @@ def cap_candidates(unique: DataFrame, limit: int | None) -> DataFrame:
     return unique if limit is None else top_per_group(unique, ["fen_before"], [F.col("spec_order")], limit)
 
 
-def label_candidates(specs: DataFrame, evaluations: DataFrame) -> DataFrame:
-    """Join engine results on (fen_before, candidate_uci) and derive the training labels."""
+def label_candidates(specs: DataFrame, evaluations: DataFrame | None = None) -> DataFrame:
+    """Join engine results on (fen_before, candidate_uci), unless the specs have them, and derive the training labels."""
     kind, cpl = F.col("classification"), F.col("centipawn_loss")
-    rows = specs.join(evaluations, ["fen_before", "candidate_uci"]).withColumns({
+    rows = (specs if evaluations is None else specs.join(evaluations, ["fen_before", "candidate_uci"])).withColumns({
         "risk": labels.risk(kind, cpl),
         "score": labels.score(kind, cpl),
         "reason_type": labels.reason_type(kind, cpl),
@@ -226,15 +228,18 @@ def build_counts(specs: DataFrame, legal_moves: DataFrame, evaluations: DataFram
 
     One pass: specs become one row for each (position, move) with its number and first spec, legality, place and label
     are looked up once for that row, and every row adds to all counters. Illegal moves have no place, so a position's
-    window holds its legal moves only.
+    window holds its legal moves only; of the others only their number is exchanged for it, dealt over ``BUCKETS``.
     """
     keys = ["fen_before", "candidate_uci"]
     seen = specs.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("seen"), F.min("spec_order").alias("first"), F.min_by("source", "spec_order").alias("source"))
+        F.count(F.lit(1)).alias("seen"), F.min(F.struct(F.col("spec_order").alias("first"), "source")).alias("_first")).select(*keys, "seen", "_first.*")
     legal = legal_moves.select(F.col("fen").alias("fen_before"), F.col("uci").alias("candidate_uci")).distinct().withColumn("legal", F.lit(True))
     judged = evaluations.select(*keys, labels.risk(F.col("classification"), F.col("centipawn_loss")).alias("risk"), F.lit(True).alias("judged"))
     rows = seen.join(legal, keys, "left").join(judged, keys, "left")
-    inside = Window.partitionBy("fen_before", F.when(F.col("legal").isNull(), F.col("candidate_uci"))).orderBy("first")
+    rows = rows.select(
+        "seen", "legal", "judged", *[F.when(F.col("legal"), F.col(c)).alias(c) for c in ("fen_before", "first", "source", "risk")],
+        F.when(F.col("legal").isNull(), F.pmod(F.xxhash64(*keys), F.lit(BUCKETS))).alias("_bucket"))
+    inside = Window.partitionBy("fen_before", "_bucket").orderBy("first")
     rows = rows.withColumn("place", F.when(F.col("legal"), F.row_number().over(inside)))
     is_legal, place, one = F.col("legal").isNotNull(), F.col("place"), lambda c: F.coalesce(c, F.lit(False)).cast("long")
     kept = is_legal if limit is None else is_legal & (place <= limit)

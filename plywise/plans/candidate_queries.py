@@ -101,9 +101,11 @@ def unique_candidate_specs(fx: Fixtures) -> DataFrame:
     return unique_legal(fx).drop("spec_order")
 
 
-def unique_legal(fx: Fixtures) -> DataFrame:
-    """The first spec of every legal (position, move). Legality is a matter of that key alone, so repeats go first."""
-    return ops.unique_legal_specs(all_specs(fx), fx.legal_moves)
+def unique_legal(fx: Fixtures, *columns: str) -> DataFrame:
+    """The first spec of every legal (position, move). Legality is a matter of that key alone, so repeats go first; so do
+    columns that nobody asks for, as a spec is exchanged whole."""
+    specs = all_specs(fx)
+    return ops.unique_legal_specs(specs.select("fen_before", "candidate_uci", *columns, "spec_order") if columns else specs, fx.legal_moves)
 
 
 _CAPPED = f"""
@@ -121,11 +123,14 @@ _ROW_CTES = {"specs": _SPECS, "uniq": _UNIQUE, "capped": _CAPPED, "labelled": _L
 
 
 def labelled_specs(fx: Fixtures, cap: int | None) -> DataFrame:
-    return ops.label_candidates(ops.cap_candidates(unique_legal(fx), cap), first_evaluations(fx))
+    names = ["fen_before", "candidate_uci"]
+    judged = unique_legal(fx, "source").join(first_evaluations(fx).withColumn("_judged", F.lit(True)), names, "left")
+    capped = ops.cap_candidates(judged, cap).where("_judged").drop("_judged")
+    return ops.label_candidates(capped)
 
 
 def first_evaluations(fx: Fixtures) -> DataFrame:
-    names = ["fen_before", "candidate_uci", "centipawn_loss", "classification", "best_move_uci"]
+    names = ["fen_before", "candidate_uci", "centipawn_loss", "classification"]
     return ops.first_per_key(fx.candidates.select(*names, "seq"), names[:2], ["seq"]).drop("seq")
 
 
@@ -378,6 +383,7 @@ def pair_counts(fx: Fixtures) -> DataFrame:
 SELECT fen, CAST(pair_index AS INT) AS pair_index, b.uci AS target_move FROM pairs JOIN facts USING (fen) WHERE pair_index < 4
 ORDER BY position_seq, pair_index LIMIT 1000""", {"best": _BEST, "facts": _FACTS, "pairs": _PAIRS}))
 def first_pair_examples(fx: Fixtures) -> DataFrame:
+    fx.number_lines()
     return choices.pair_rows(labelled(fx), 4, max_examples=1000, with_prompt=False).select("fen", "pair_index", "target_move")
 
 

@@ -107,3 +107,15 @@ def test_lists_exchange_no_hashes_and_first_pairs_equal_all_pairs(spark):
     for n in (1, 7, len(every), len(every) + 5):
         assert sorted(map(key, choices.pair_rows(rows, 4, max_examples=n).collect())) == every[:n]
     assert len(every) > 40
+
+
+def test_counters_exchange_only_numbers_of_illegal_moves(spark):
+    specs = spark.createDataFrame([("f", "a", "s", 1), ("f", "a", "t", 2), ("f", "b", "s", 3), ("f", "x", "s", 4), ("g", "x", "s", 5), ("g", "y", "s", 6)],
+                                  "fen_before string, candidate_uci string, source string, o long").withColumn("spec_order", F.struct("o"))
+    legal = spark.createDataFrame([("f", "a"), ("f", "b"), ("g", "y")], "fen string, uci string")
+    judged = spark.createDataFrame([("f", "a", 10, "best"), ("g", "y", 400, "blunder")], "fen_before string, candidate_uci string, centipawn_loss int, classification string")
+    counts = candidates.build_counts(specs, legal, judged, 1)
+    assert "hashpartitioning(fen_before#" in (plan := counts._jdf.queryExecution().executedPlan().toString()) and "_bucket#" in plan
+    found = {(r.metric, r.key): r.n for r in counts.collect() if r.metric != "by_split"}
+    assert found == {("candidates_seen", ""): 6, ("dropped_illegal_candidate", ""): 2, ("dropped_duplicate_candidate", ""): 1, ("dropped_candidate_limit", ""): 1,
+                     ("positions_seen", ""): 2, ("rows_written", ""): 2, ("by_source", "s"): 2, ("by_risk", "good"): 1, ("by_risk", "blunder"): 1}

@@ -26,18 +26,18 @@ def cache_lookup(requests: DataFrame, cache: DataFrame) -> tuple[DataFrame, Data
     keyed = requests.withColumn("key", evaluation_key(F.col("fen"), F.col("uci")))
     hits = keyed.join(cache, "key")
     # A hot position is one row before the join.
-    misses = keyed.select("key", "fen", "uci").distinct().join(cache.select("key"), "key", "left_anti")
+    distinct = requests.select("fen", "uci").distinct().select(evaluation_key(F.col("fen"), F.col("uci")).alias("key"), "fen", "uci")
+    misses = distinct.join(cache.select("key"), "key", "left_anti")
     return hits, misses
 
 
 def cache_stats(requests: DataFrame, cache: DataFrame) -> DataFrame:
     """Hits and misses of a job that stores every new evaluation at once: a repeated new
-    request misses once."""
-    _, misses = cache_lookup(requests, cache)
-    total = requests.agg(F.count(F.lit(1)).alias("requests"))
-    return with_one_row(total, misses.agg(F.count(F.lit(1)).alias("cache_misses"))).withColumn(
-        "cache_hits", F.col("requests") - F.col("cache_misses")
-    )
+    request misses once. Requests are read once: they become one row a move with their number, which is looked up."""
+    asked = requests.groupBy("fen", "uci").agg(F.count(F.lit(1)).alias("n")).select(evaluation_key(F.col("fen"), F.col("uci")).alias("key"), "n")
+    found = asked.join(cache.select("key").distinct().withColumn("known", F.lit(True)), "key", "left")
+    total = found.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("requests"), F.count_if(F.col("known").isNull()).alias("cache_misses"))
+    return total.withColumn("cache_hits", F.col("requests") - F.col("cache_misses"))
 
 
 def grown_cache(requests: DataFrame, cache: DataFrame, evaluations: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from plywise.operators.ordering import counters, dense_index, evenly_spaced
 from plywise.plans.board_queries import evaluations, summary
 from plywise.plans.candidate_queries import labelled, labelled_sql
 from plywise.plans.fixtures import Fixtures, with_views
-from plywise.plans.prediction_queries import _PREDICTIONS, predictions
+from plywise.plans.prediction_queries import _PREDICTIONS, checked_predictions
 from plywise.plans.registry import query, rounded, written
 from plywise.plans.sqltext import judged_sql, summary_sql
 from plywise.schemas import ENGINE_RECORD
@@ -424,7 +424,9 @@ def stored_cache(fx: Fixtures) -> DataFrame:
 
 
 def cache_requests(fx: Fixtures) -> DataFrame:
-    return predictions(fx).where("legal_ok").select("attempt_id", "fen", F.col("parsed_move").alias("uci"))
+    """Legal moves of predictions; their labels are not asked for."""
+    fx.number_lines()
+    return checked_predictions(fx).where("legal_ok").select("attempt_id", "fen", F.col("parsed_move").alias("uci"))
 
 
 @query("evaluation_cache", _cache_sql("SELECT sha256(fen || '|' || uci) AS key, classification, nullif(cpl, -1) AS centipawn_loss FROM stored"))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from plywise.operators import candidates, choices, datasets, evaluation
+from plywise.operators import candidates, choices, datasets, evaluation, reuse
 from plywise.operators.ordering import first_per_key, last_per_key
 from plywise.operators.selection import ranked
 
@@ -119,3 +119,13 @@ def test_counters_exchange_only_numbers_of_illegal_moves(spark):
     found = {(r.metric, r.key): r.n for r in counts.collect() if r.metric != "by_split"}
     assert found == {("candidates_seen", ""): 6, ("dropped_illegal_candidate", ""): 2, ("dropped_duplicate_candidate", ""): 1, ("dropped_candidate_limit", ""): 1,
                      ("positions_seen", ""): 2, ("rows_written", ""): 2, ("by_source", "s"): 2, ("by_risk", "good"): 1, ("by_risk", "blunder"): 1}
+
+
+def test_cache_stats_compute_requests_once(spark, counted):
+    count, seen = counted
+    requests = count(spark.range(300).select("id", (F.col("id") % 40).cast("string").alias("fen"), F.lit("u").alias("uci")), "id").where("id >= 0")
+    cache = spark.range(10).select(reuse.evaluation_key(F.col("id").cast("string"), F.lit("u")).alias("key"))
+    assert reuse.cache_stats(requests, cache).collect() == [(300, 30, 270)] and seen.value == 300
+    assert reuse.cache_stats(requests.limit(0), cache).collect() == [(0, 0, 0)]
+    hits, misses = reuse.cache_lookup(requests, cache)
+    assert misses.columns == ["key", "fen", "uci"] and (hits.count(), misses.count()) == (80, 30)

@@ -98,8 +98,9 @@ def live_summary_growth(fx: Fixtures) -> DataFrame:
     landed = f"{shared_dir(fx.spark)}/landed-{uuid4().hex}"
     early = games.withColumn("result", F.lit("*")).withColumn("ended_at", F.col("started_at"))
     late = games.withColumn("ended_at", F.col("started_at") + F.expr("INTERVAL 1 HOUR"))
+    files = 16  # of a part; games lie in the same file of both, so a batch of so many files is one part
     for part in (early, late):
-        part.coalesce(1).write.mode("append").parquet(landed)
+        part.repartition(files, "game_id").write.mode("append").parquet(landed)
 
     def measure(batch: DataFrame) -> DataFrame:
         touched = F.col("run_id").isin([r["run_id"] for r in batch.select("run_id").distinct().collect()])
@@ -108,7 +109,7 @@ def live_summary_growth(fx: Fixtures) -> DataFrame:
         return summaries.side_measures(
             batch, own(moves).join(played, "game_id", "left_semi"), own(judged), own(attempts).join(played, "game_id", "left_semi"), own(tokens))
 
-    live.grow_summaries(live.stream_files(fx.spark, landed, late.schema, per_batch=1), measure, table, progress)
+    live.grow_summaries(live.stream_files(fx.spark, landed, late.schema, per_batch=files), measure, table, progress)
     totals = live.read_summary_totals(fx.spark, table)
     back = summaries.finished_summary(totals, fx.participants, fx.runs, fx.prompts)
     return rounded(back.select("summary_id", "run_id", "games_played", "wins", "losses", "avg_cpl", "blunders", "attempt_count", "illegal_attempts", "total_tokens"))

@@ -2,7 +2,8 @@
 
 In any order of all shingles, two sets with a Jaccard similarity of at least t have a shingle in common among the first
 n - ceil(t n) + 1 of each, and where it is the first in common its places bound what follows. The order is from rare to
-common: shingles of many texts, counted exactly, come last, so a passage that many texts share makes no candidates.
+common: shingles are counted in the place of their hash, and every piece of texts gets the counts of its own shingles back.
+Shingles of one text come first and need no list, so texts that share only common words and passages make no candidates.
 Texts with the same set are one node, and nodes with the same prefix and size are one group: lists of a shingle hold
 groups, pairs of groups are filtered by sizes and places, and only those left are expanded to members, which are
 compared set by set.
@@ -28,18 +29,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plywise.llm import common
-from plywise.llm.common import blobs, components, mixed, partitions, pieces, spread_join, stored, strings, unpacked
+from plywise.llm.common import blobs, components, mixed, partitions, pieces, raw, spread_join, stored, strings, unpacked
 
 SHINGLE, PERCENT = 5, 80
-#: Shingles whose counts are known to every task, at most; the others count as rare and are ordered by hash alone.
+#: Shingles, copies included, that ask for their counts at a time, about.
 HEAVY = 1 << 20
-#: A shingle is common from so many texts on.
+#: Counts up to this one are told apart in the order, higher ones by the fourth of a power of two.
 _COMMON = 16
 #: Rounds with hubs, pairs a row from which on no further round is made, and groups of a block.
 _ROUNDS, _FEW, _BLOCK = 5, 2, 512
 _MIN_BUCKETS = 1024
-#: Bytes of a text whose words are held as objects at a time, and shingles that are counted at a time.
-_CUT, _MANY = 2_000_000, 2_000_000
+#: Nodes that are sent to all tasks, at most.
+_SENT = 1_000_000
+#: Bytes of a text whose words are held as objects at a time, and bytes of the texts that get their counts together, about.
+_CUT, _PIECE = 2_000_000, 4_000_000
 _SPACE = b" \t\n\x0b\x0c\r"
 
 
@@ -102,104 +105,193 @@ def _node(name: bytes, clashes: dict[bytes, int]) -> int:
 
 
 def _owned(shingle: int):
+    """Rows with the name and size of their sets, and the text where its set is new to the task, numbered by pieces and in all."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        part = held = place = 0
         for piece in pieces(batches, "text"):
-            sets = shingle_sets(strings(piece.column("text")), shingle)
-            sizes = pa.array([len(x) for x in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(names(sets), pa.binary()), sizes], names=["doc_id", "name", "size"])
+            column = piece.column("text")
+            texts = strings(column)
+            sets = shingle_sets(texts, shingle)
+            found, new, parts = names(sets), [], []
+            for text, x, name in zip(texts, sets, found):
+                new.append(len(x) > 0 and name not in seen)
+                parts.append(part)
+                if new[-1]:
+                    if len(seen) >= 1_000_000:
+                        seen.clear()
+                    seen.add(name)
+                    held += len(text)
+                    if held >= _PIECE:
+                        part, held = part + 1, 0
+            n = len(texts)
+            yield pa.RecordBatch.from_arrays(
+                [piece.column("doc_id"), pa.array(found, pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array(parts, pa.int32()),
+                 pa.array(np.arange(place, place + n)), column.take(pa.array(np.arange(n), mask=~np.array(new, bool)))],
+                names=["doc_id", "name", "size", "part", "place", "text"])
+            place += n
 
     return run
 
 
-def _tokens(shingle: int, n_buckets: int):
-    """The shingles of a task's texts with the number of texts, by bucket, packed."""
+def _asked(shingle: int, n_buckets: int):
+    """The shingles of consecutive texts of a piece by bucket, packed: half of each hash, and the number of texts.
+
+    ``place`` is that of the first of these texts; the next request of the piece begins where this one ends.
+    """
 
-    def packed(sets: list[np.ndarray]) -> pa.RecordBatch:
+    def packed(piece: int, place: int, sets: list[np.ndarray]) -> pa.RecordBatch:
         token, n = np.unique(np.concatenate(sets), return_counts=True)
-        rows = (n + 254) // 255
-        last = np.cumsum(rows) - 1
-        parts = np.full(rows.sum(), 255, np.uint8)
-        parts[last] = n - 255 * (rows - 1)
-        token = np.repeat(token, rows)
-        return blobs((mixed(token) % np.uint64(n_buckets)).astype(np.int64), n_buckets, token=token, n=parts)
+        found = blobs(_buckets(token, n_buckets), n_buckets, token=_half(token), n=_level(n))
+        rows = found.num_rows
+        return pa.RecordBatch.from_arrays([*found.columns, pa.array(np.full(rows, piece)), pa.array(np.full(rows, place))], names=[*found.schema.names, "piece", "place"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, many = [], 0
-        for piece in pieces(batches, "text"):
-            sets = shingle_sets(strings(piece.column("text")), shingle)
-            held += sets
-            many += sum(len(x) for x in sets)
-            if many >= _MANY:
-                yield packed(held)
-                held, many = [], 0
-        if many:
-            yield packed(held)
+        held: list[np.ndarray] = []
+        now = first = last = many = 0
+        for batch in pieces(batches, "text"):
+            of, places = (batch.column(k).to_pylist() for k in ("piece", "place"))
+            for piece, place, x in zip(of, places, shingle_sets(strings(batch.column("text")), shingle)):
+                if held and (piece != now or place <= last or many >= HEAVY):
+                    yield packed(now, first, held)
+                    held, many = [], 0
+                if not held:
+                    now, first = piece, place
+                held.append(x)
+                last, many = place, many + len(x)
+        if held:
+            yield packed(now, first, held)
 
     return run
 
 
-def _common_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    x = unpacked(batches, token=np.uint64, n=np.uint8)
-    token, at = np.unique(x["token"], return_inverse=True)
-    n = np.bincount(at, x["n"], minlength=len(token)).astype(np.int64)
-    keep = n >= _COMMON
-    yield pa.RecordBatch.from_arrays([pa.array(token[keep].view(np.int64)), pa.array(n[keep])], names=["token", "n"])
-
-
-def common_shingles(docs: DataFrame, shingle: int, text_bytes: int) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles of most texts (sorted) and their ranks: at most ``HEAVY``, all from some power of two texts on."""
-    n = partitions(docs.sparkSession, 2 * text_bytes)
-    n_buckets = max(_MIN_BUCKETS, 4 * n)
-    dealt = docs.select("text").mapInArrow(_tokens(shingle, n_buckets), "bucket int, token binary, n binary")
-    found = stored(dealt.repartition(n, "bucket").drop("bucket").mapInArrow(_common_tokens, "token long, n long"))
-    levels = {r["bit"]: r["rows"] for r in found.groupBy(F.floor(F.log2("n")).alias("bit")).agg(F.count("*").alias("rows")).collect()}
-    least, total = 64, 0
-    for bit in sorted(levels, reverse=True):
-        total += levels[bit]
-        if total > HEAVY:
-            break
-        least = bit
-    table = found.where(F.floor(F.log2("n")) >= least).toArrow()
-    token = table.column("token").to_numpy().view(np.uint64)
-    order = np.argsort(token)
-    return token[order], (4 * np.log2(table.column("n").to_numpy()[order])).astype(np.uint8)
-
-
-def _postings(shingle: int, percent: int, heavy: np.ndarray, ranks: np.ndarray, clashes: dict[bytes, int], n_buckets: int):
-    """The prefixes of a task's sets, by bucket of the shingle, packed: shingle, node, group, size and place in the order."""
+def _buckets(token: np.ndarray, n_buckets: int) -> np.ndarray:
+    return (mixed(token) % np.uint64(n_buckets)).astype(np.int64)
+
+
+def _half(token: np.ndarray) -> np.ndarray:
+    return (token >> np.uint64(32)).astype(np.uint32)
+
+
+def _level(n: np.ndarray) -> np.ndarray:
+    """Counts as bytes that grow with them: exact up to ``_COMMON``, then by the fourth of a power of two."""
+    above = np.floor(4 * np.log2(np.maximum(n, _COMMON) / _COMMON))
+    return np.where(n <= _COMMON, n, _COMMON + above).clip(0, 255).astype(np.uint8)
+
+
+def _count(level: np.ndarray) -> np.ndarray:
+    return np.where(level <= _COMMON, level, np.ceil(_COMMON * 2.0 ** ((level.astype(np.float64) - _COMMON) / 4)))
+
+
+def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """To every request the levels of its shingles' counts in all texts, in its order. Halves that agree count together."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    sizes = np.concatenate([np.diff(raw(b.column("n"))[0]) for b in held])
+    x = unpacked(iter(held), token=np.uint32, n=np.uint8)
+    bucket = np.concatenate([b.column("bucket").to_numpy() for b in held]).astype(np.uint64)
+    token, at = np.unique(np.repeat(bucket, sizes) << np.uint64(32) | x["token"], return_inverse=True)
+    level = _level(np.bincount(at, _count(x["n"]), minlength=len(token)))[at]
+    ends = np.cumsum(sizes)
+    done = 0
+    for b in held:
+        stops = ends[done : done + b.num_rows]
+        begin = int(stops[0] - sizes[done])
+        offsets = np.concatenate([[0], stops - begin]).astype(np.int32)
+        levels = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer(offsets), pa.py_buffer(level[begin : stops[-1]].tobytes())])
+        yield pa.RecordBatch.from_arrays([b.column("piece"), b.column("place"), b.column("bucket"), levels], names=["piece", "place", "bucket", "levels"])
+        done += b.num_rows
+
+
+def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """The rows that follow each other with one key."""
+    held: list[pa.RecordBatch] = []
+    now = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(key).to_numpy()
+        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+        for start, stop in zip(cuts, cuts[1:]):
+            if held and keys[start] != now:
+                yield pa.Table.from_batches(held)
+                held = []
+            now = keys[start]
+            held.append(batch.slice(start, stop - start))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _levels(sets: list[np.ndarray], answers: list[tuple[int, bytes]], n_buckets: int) -> np.ndarray:
+    """The levels of the sets' shingles, one set after the other, from the answers to their request, by bucket."""
+    token, at = np.unique(np.concatenate(sets), return_inverse=True)
+    got = np.frombuffer(b"".join(levels for _, levels in sorted(answers)), np.uint8)
+    if len(got) != len(token):
+        raise RuntimeError(f"{len(got)} counts for {len(token)} shingles")
+    level = np.empty(len(token), np.uint8)
+    level[np.argsort(_buckets(token, n_buckets), kind="stable")] = got
+    return level[at]
+
+
+def _postings(shingle: int, percent: int, clashes: dict[bytes, int], n_buckets: int):
+    """What others may share of the sets' prefixes, by bucket of the shingle, packed: shingle, node, group, size and place
+    in the order. The rows are pieces of texts (bucket -1), each followed by the counts that it asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for piece in pieces(batches, "text"):
-            texts = strings(piece.column("text"))
-            rows: list[tuple[int, int, int, np.ndarray]] = []
-            sets = shingle_sets(texts, shingle)
-            for x, name in zip(sets, names(sets)):
-                node = _node(name, clashes)
-                if not len(x) or node in seen:
-                    continue
-                if len(seen) >= 1_000_000:
-                    seen.clear()
-                seen.add(node)
-                rank = np.zeros(len(x), np.uint8)
-                if len(heavy):
-                    at = np.minimum(np.searchsorted(heavy, x), len(heavy) - 1)
-                    rank = np.where(heavy[at] == x, ranks[at], np.uint8(0))
-                first = x[np.argsort(rank, kind="stable")[: prefix_length(len(x), percent)]]
-                group = hashlib.blake2b(first.tobytes() + len(x).to_bytes(8, "little"), digest_size=8).digest()
-                rows.append((node, int.from_bytes(group, "little", signed=True), len(x), first))
+        for table in _runs(batches, "piece"):
+            table = table.combine_chunks()
+            bucket = table.column("bucket").to_numpy()
+            n = int((bucket < 0).sum())
+            place = table.column("place").to_numpy()
+            sets = shingle_sets([t.encode() for t in table.column("text")[:n].to_pylist()], shingle)
+            name = table.column("name")[:n].to_pylist()
+            answers: dict[int, list[tuple[int, bytes]]] = {}
+            for p, b, levels in zip(place[n:].tolist(), bucket[n:].tolist(), table.column("levels")[n:].to_pylist()):
+                answers.setdefault(p, []).append((b, levels))
+            starts = np.searchsorted(place[:n], sorted(answers)).tolist()
+            rows: list[tuple[int, int, int, np.ndarray, np.ndarray]] = []
+            for p, start, stop in zip(sorted(answers), starts, [*starts[1:], n]):
+                level = _levels(sets[start:stop], answers[p], n_buckets)
+                end = 0
+                for x, own in zip(sets[start:stop], name[start:stop]):
+                    ranks = level[end : end + len(x)]
+                    end += len(x)
+                    order = np.argsort(ranks, kind="stable")[: prefix_length(len(x), percent)]
+                    places = np.flatnonzero(ranks[order] > 1)
+                    if len(places):
+                        first = x[order]
+                        group = hashlib.blake2b(first.tobytes() + len(x).to_bytes(8, "little"), digest_size=8).digest()
+                        rows.append((_node(own, clashes), int.from_bytes(group, "little", signed=True), len(x), first[places], places))
             if not rows:
                 continue
-            node, group, size, first = zip(*rows)
-            n = np.array([len(x) for x in first])
+            node, group, size, first, places = zip(*rows)
+            many = np.array([len(x) for x in first])
             token = np.concatenate(first)
-            yield blobs((mixed(token) % np.uint64(n_buckets)).astype(np.int64), n_buckets, token=token,
-                        node=np.repeat(np.array(node, np.int64), n), group=np.repeat(np.array(group, np.int64), n),
-                        size=np.repeat(np.array(size, np.int32), n), place=np.concatenate([np.arange(k, dtype=np.int32) for k in n]))
+            yield blobs(_buckets(token, n_buckets), n_buckets, token=token,
+                        node=np.repeat(np.array(node, np.int64), many), group=np.repeat(np.array(group, np.int64), many),
+                        size=np.repeat(np.array(size, np.int32), many), place=np.concatenate(places).astype(np.int32))
 
     return run
 
 
+def _prefixes(texts: DataFrame, shingle: int, percent: int, clashes: dict[bytes, int], text_bytes: int) -> DataFrame:
+    """The prefixes of the sets of ``texts`` (piece, place, name, text), as ``_postings`` has them.
+
+    A text is exchanged once, by its piece; the counts cost five bytes a shingle of a piece and one for the answer.
+    """
+    n = partitions(texts.sparkSession, text_bytes)
+    n_pieces = partitions(texts.sparkSession, text_bytes, 2 * _PIECE)  # a few pieces a task, as chance deals them
+    n_buckets = max(_MIN_BUCKETS, 2 * n)
+    asked = texts.select("piece", "place", "text").mapInArrow(_asked(shingle, n_buckets), "bucket int, token binary, n binary, piece long, place long")
+    answered = asked.repartition(n, "bucket").mapInArrow(_answered, "piece long, place long, bucket int, levels binary")
+    both = texts.withColumns({"bucket": F.lit(-1), "levels": F.lit(None).cast("binary")}).unionByName(answered, allowMissingColumns=True)
+    dealt = both.repartition(n_pieces, "piece").sortWithinPartitions("piece", "bucket", "place").mapInArrow(
+        _postings(shingle, percent, clashes, n_buckets), "bucket int, token binary, node binary, group binary, size binary, place binary")
+    return dealt.repartition(n, "bucket").drop("bucket")
+
+
 def _shared(percent: int):
     """Rows of shingles that stand in the prefixes of several nodes."""
 
@@ -227,25 +319,11 @@ def _may(size: Column, place: Column, other_size: Column, other_place: Column, p
     return (100 + percent) * most >= percent * (size + other_size)
 
 
-def _held_texts(shingle: int, clashes: dict[bytes, int]):
-    """Texts with their nodes; copies within a task once."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for piece in pieces(batches, "text"):
-            sets = shingle_sets(strings(piece.column("text")), shingle)
-            nodes, keep = [], []
-            for i, (x, name) in enumerate(zip(sets, names(sets))):
-                node = _node(name, clashes)
-                if len(x) and node not in seen:
-                    if len(seen) >= 1_000_000:
-                        seen.clear()
-                    seen.add(node)
-                    nodes.append(node)
-                    keep.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), piece.column("text").take(pa.array(keep, pa.int32()))], names=["node", "text"])
-
-    return run
+def _compared(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """One text of each of ``nodes``. Up to ``_SENT`` nodes are sent to the texts, so that the others are not exchanged."""
+    few = nodes.count() <= _SENT
+    found = texts.join(F.broadcast(nodes) if few else nodes, "node", "left_semi")
+    return found.groupBy("node").agg(F.first("text").alias("text"))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -408,22 +486,20 @@ def classes(
     spark = docs.sparkSession
     docs = docs.select("doc_id", common.text_or_empty("text").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    own = stored(docs.mapInArrow(_owned(shingle), f"doc_id {kind}, name binary, size long"))
+    own = docs.mapInArrow(_owned(shingle), f"doc_id {kind}, name binary, size long, part int, place long, text string")
+    own = stored(own.withColumn("piece", F.shiftleft(F.spark_partition_id().cast("long"), 32) + F.col("part")).drop("part"))
+    held = own.where("text IS NOT NULL").select("piece", "place", "name", "text")
+    own = own.select("doc_id", "name", "size")
     whole_sets = own.where("size > 0").groupBy("name").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("rows"))
     clashes = _clashes(whole_sets)
-    text_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    heavy, ranks = common_shingles(docs, shingle, text_bytes)
-    n = partitions(spark, text_bytes)
-    n_buckets = max(_MIN_BUCKETS, 4 * n)
-    dealt = docs.select("text").mapInArrow(_postings(shingle, percent, heavy, ranks, clashes, n_buckets),
-                                           "bucket int, token binary, node binary, group binary, size binary, place binary")
-    rows = stored(dealt.repartition(n, "bucket").drop("bucket").mapInArrow(_shared(percent), "token long, node long, group long, size int, place int"))
+    text_bytes = held.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rows = _prefixes(held, shingle, percent, clashes, text_bytes)
+    rows = stored(rows.mapInArrow(_shared(percent), "token long, node long, group long, size int, place int"))
     lists = stored(rows.select("token", "group", "size", "place").distinct())
     members = stored(rows.select("group", "node").distinct())
-    texts = docs.select("text").mapInArrow(_held_texts(shingle, clashes), "node long, text string")
-    extra = None if first is None else stored(first(docs, lambda name: _node(name, clashes)))
+    extra = None if first is None else stored(first(held, lambda name: _node(name, clashes)))
     live = members.select("node") if extra is None else members.select("node").union(extra.select("a")).union(extra.select("b"))
-    texts = stored(texts.join(live.distinct(), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
+    texts = stored(_compared(held.select(_numbered(clashes).alias("node"), "text"), stored(live.distinct())))
 
     edges = stored(verified(extra, texts, shingle, percent)) if extra is not None else None
     roots = components(edges) if edges is not None else None

@@ -115,6 +115,58 @@ def test_a_crowd_costs_a_few_comparisons_a_member(make_docs, monkeypatch):
     assert sum(compared) < 5 * len(texts), compared
 
 
+def test_texts_that_share_less_make_no_lists(make_docs, monkeypatch):
+    rng = random.Random(11)
+    passages = [prose(rng, 40, 10**6) for _ in range(12)]
+    texts = [" ".join([*passages[i % 12], *prose(rng, 60, 10**6), *passages[(i + 5) % 12]]) for i in range(60)]
+    rows = []
+    plain = jaccard._pairs_left
+
+    def counted(lists):
+        rows.append(plain(lists))
+        return rows[-1]
+
+    monkeypatch.setattr(jaccard, "_pairs_left", counted)
+    found = got(make_docs(texts))
+    assert found == slow(list(enumerate(texts))) and len({r[2] for r in found}) == len(texts)
+    assert rows == [(0, 0)]
+
+
+@pytest.mark.parametrize("piece, asked", [(1, 1 << 20), (3000, 300), (3000, 0), (1 << 30, 700)])
+def test_counts_come_back_to_pieces_of_any_size(make_docs, monkeypatch, piece, asked):
+    monkeypatch.setattr(jaccard, "_PIECE", piece)
+    monkeypatch.setattr(jaccard, "HEAVY", asked)
+    texts = some_texts(3)[:150]
+    docs = make_docs(texts, parts=2)
+    monkeypatch.setattr(jaccard, "partitions", lambda *_: 3)
+    assert got(docs) == slow(list(enumerate(texts)))
+
+
+def test_levels_of_counts():
+    n = np.concatenate([np.arange(1, 3000), 10 ** np.arange(4, 15)])
+    level = jaccard._level(n)
+    assert np.array_equal(level[:16], n[:16]) and (np.diff(level.astype(int)) >= 0).all()
+    assert np.array_equal(jaccard._level(jaccard._count(level)), level)
+    assert (jaccard._count(level) <= n).all() or (np.abs(jaccard._count(level) / n - 1) < 0.2).all()
+
+
+def test_only_compared_texts_are_exchanged(spark, monkeypatch):
+    texts = spark.createDataFrame([(i % 50, f"text {i % 50}") for i in range(100)], "node long, text string")
+    nodes = spark.createDataFrame([(3,), (7,), (99,)], "node long")
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    was = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")
+    try:
+        few = jaccard._compared(texts, nodes)
+        assert "BroadcastHashJoin" in few._jdf.queryExecution().executedPlan().toString()
+        monkeypatch.setattr(jaccard, "_SENT", 2)
+        many = jaccard._compared(texts, nodes)
+        assert "BroadcastHashJoin" not in many._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect())) == [(3, "text 3"), (7, "text 7")]
+    finally:
+        spark.conf.set(threshold, was)
+
+
 def test_numbers_of_names(spark):
     names = [bytes(range(16)), b"\xff" * 16, bytes(16), b"\x00" * 7 + b"\x80" + b"\x01" * 8]
     frame = spark.createDataFrame([(n,) for n in names], "name binary")

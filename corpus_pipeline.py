@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plywise.llm import common, mixing, packing, simhash, suffixes, toxicity
+from plywise.session import released
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +27,13 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A row without an id stays only where no other of its group has one; of several rows with the same least id, or of
     copies row by row, one stays. Texts without a word are copies of each other. Columns of any name and kind are kept.
+    Where ids name the rows, as they usually do, the documents themselves are read again; else a copy of them with numbers.
     """
+    facts = docs.agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("ids")).first()
+    if facts["n"] == facts["ids"]:
+        found = simhash.similar(docs, shingle=5, percent=80)
+        least = found.groupBy("component").agg(F.min("doc_id").alias("doc_id"))
+        return docs.join(least.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
     row = next(n for n in ("_row" + "_" * k for k in range(len(docs.columns) + 1)) if n not in docs.columns)
     rows = common.stored(docs.withColumn(row, F.monotonically_increasing_id()))
     found = simhash.similar(rows.select(F.col(row).alias("doc_id"), "text"), shingle=5, percent=80).withColumnRenamed("doc_id", row)
@@ -75,8 +82,13 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ORACLE_SQL = None
 
 
+@released
+def prepared(docs: DataFrame, spark: SparkSession, sf_dir: str, stages: int) -> DataFrame:
+    """``docs`` after so many stages. What a stage stored is dropped once it is done, and its result once the next one is."""
+    before = prepared(docs, spark, sf_dir, stages - 1) if stages > 1 else docs
+    return STAGES[stages - 1][1](spark, before, sf_dir)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        docs = common.stored(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    return STAGES[-1][1](spark, prepared(docs, spark, sf_dir, len(STAGES) - 1), sf_dir)

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from plywise.llm import common
 from plywise.llm.common import blobs, components, mixed, partitions, pieces, raw, spread_join, stored, strings, unpacked
+from plywise.session import released
 
 SHINGLE, PERCENT = 5, 80
 #: Shingles, copies included, that ask for their counts at a time, about.
@@ -470,6 +471,7 @@ def _pairs_left(lists: DataFrame) -> tuple[int, int]:
     return rows or 0, pairs or 0
 
 
+@released
 def classes(
     docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, first: Callable[[DataFrame, Callable[[bytes], int]], DataFrame] | None = None
 ) -> DataFrame:
@@ -481,7 +483,7 @@ def classes(
     with nothing, so its component_id is its own doc_id and its component is null. Rows alike in doc_id, text or both each get a row; a
     null doc_id names a class only if no member has another; an empty table gives an empty result; further columns are
     ignored. ``first`` may name pairs of nodes (a, b) that are compared before the others; it gets the texts and the rule
-    that numbers a set by its name.
+    that numbers a set by its name. The result is stored, and no table with texts outlives the call.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", common.text_or_empty("text").alias("text"))

@@ -1,7 +1,11 @@
 import random
 from collections import Counter
+from pathlib import Path
+
+import pytest
 
 import corpus_pipeline
+from plywise import session
 from plywise.llm import suffixes
 
 
@@ -109,3 +113,45 @@ def test_near_copies_keep_columns_of_any_name(spark, make_docs):
     found = corpus_pipeline.near_copies(spark, docs, "")
     assert found.dtypes == docs.dtypes
     assert sorted((r.doc_id, r._row["a"]) for r in found.collect()) == [(2, 2), (7, 7), (8, 8)]
+
+
+def tables(spark):
+    return set(Path(session.shared_dir(spark).removeprefix("file:")).iterdir())
+
+
+def test_stages_leave_no_copy_of_the_texts(spark, make_docs, folder_of):
+    rng = random.Random(4)
+    rows = [(i, prose(rng, 80, [f"w{i}" for i in range(900)]), "src0") for i in range(60)]
+    rows += [(100 + i, f"{t} end", s) for i, t, s in rows[:20]]
+    folder = folder_of(documents=make_docs(rows), labels=spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int"))
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    was = tables(spark)
+    found = corpus_pipeline.near_copies(spark, docs, folder)
+    left = tables(spark) - was
+    assert [spark.read.parquet(str(p)).columns for p in left] == [["doc_id", "n_shingles", "component", "component_id"]]
+    assert sorted(r.doc_id for r in found.collect()) == list(range(60))
+    was = tables(spark)
+    prepared = corpus_pipeline.prepared(docs, spark, folder, 4)
+    assert len(tables(spark) - was) == 1 and prepared.dtypes == docs.dtypes and prepared.count() > 0
+
+
+def test_tables_of_a_job_go_after_an_error(spark):
+    @session.released
+    def broken(df):
+        session.stored(session.released(lambda x: session.stored(x))(df))
+        raise ValueError("broken")
+
+    was = tables(spark)
+    with pytest.raises(ValueError, match="broken"):
+        broken(spark.range(3))
+    assert tables(spark) == was
+
+
+def test_near_copies_by_ids_and_by_rows_agree(spark, make_docs):
+    rng = random.Random(6)
+    base = [prose(rng, 90, [f"w{i}" for i in range(700)]) for _ in range(30)]
+    rows = [(i, t) for i, t in enumerate(base)] + [(200 - i, f"{t} end") for i, t in enumerate(base[:12])] + [(300, None), (301, " "), (302, "alone")]
+    by_ids = corpus_pipeline.near_copies(spark, make_docs(rows), "")
+    by_rows = corpus_pipeline.near_copies(spark, make_docs([*rows, (302, "alone")]), "")  # an id twice
+    assert sorted(map(tuple, by_ids.collect())) == sorted(map(tuple, by_rows.collect()))
+    assert sorted(r.doc_id for r in by_ids.collect()) == [*range(30), 300, 302]

@@ -2,25 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plywise.functions import labels, prompts
 from plywise.functions.stats import count_if
-from plywise.operators.ordering import counters, hash_order, top_per_group
+from plywise.operators.ordering import by_key, counters, hash_order, top_per_group
 from plywise.operators.selection import first_rows
 from plywise.session import stored
 
 _FIELDS = ("uci", "san", "source", "risk", "score", "centipawn_loss", "candidate_rank_in_generator")
-CANDIDATE_TYPE = (
-    "STRUCT<uci: STRING, san: STRING, source: STRING, risk: STRING, score: INT, centipawn_loss: INT, "
-    "candidate_rank_in_generator: INT>"
-)
+_NUMBERS = ("score", "centipawn_loss", "candidate_rank_in_generator")
 
 
-def candidate_struct() -> Column:
+def candidate_struct(fields: Sequence[str] = _FIELDS) -> Column:
     names = {"uci": "candidate_uci", "san": "candidate_san"}
-    return F.struct(*[F.col(names.get(f, f)).alias(f) for f in _FIELDS]).cast(CANDIDATE_TYPE)
+    return F.struct(*[F.col(names.get(f, f)).cast("int" if f in _NUMBERS else "string").alias(f) for f in fields])
 
 
 def quality_key(c: Column) -> Column:
@@ -31,12 +30,12 @@ def quality_key(c: Column) -> Column:
     )
 
 
-def best_candidates(rows: DataFrame, order: str = "seq") -> DataFrame:
+def best_candidates(rows: DataFrame, order: str = "seq", fields: Sequence[str] = _FIELDS) -> DataFrame:
     """Best row of every (position, move): columns fen, c (candidate struct), first_seq.
 
     Ties keep the earliest row. An aggregate, so repeated positions shrink before the shuffle.
     """
-    picked = rows.select(F.col("fen_before").alias("fen"), "candidate_uci", order, candidate_struct().alias("c"))
+    picked = rows.select(F.col("fen_before").alias("fen"), "candidate_uci", order, candidate_struct(fields).alias("c"))
     return picked.groupBy("fen", "candidate_uci").agg(
         F.max_by("c", F.struct(quality_key(F.col("c")).alias("q"), (-F.col(order)).alias("o"))).alias("c"),
         F.min(order).alias("first_seq"),
@@ -57,10 +56,12 @@ def gate_positions(best: DataFrame, min_candidates: int, require_mixed: bool) ->
         F.count(F.lit(1)).alias("n"),
         F.bool_or(labels.is_safe(risk)).alias("has_safe"), F.bool_or(labels.is_unsafe(risk)).alias("has_unsafe"),
     )
-    drop = F.when(F.col("n") < min_candidates, "too_few_candidates")
-    if require_mixed:
-        drop = drop.when(~(F.col("has_safe") & F.col("has_unsafe")), "no_mixed_risk")
-    return shape.withColumn("dropped", drop)
+    return shape.withColumn("dropped", _gate(F.col("n"), min_candidates, require_mixed))
+
+
+def _gate(n: Column, min_candidates: int, require_mixed: bool) -> Column:
+    drop = F.when(n < min_candidates, "too_few_candidates")
+    return drop.when(~(F.col("has_safe") & F.col("has_unsafe")), "no_mixed_risk") if require_mixed else drop
 
 
 def choice_rows(
@@ -71,50 +72,84 @@ def choice_rows(
     max_positions: int | None = None,
     order: str = "seq",
     with_prompt: bool = True,
+    fields: Sequence[str] = _FIELDS,
 ) -> DataFrame:
     """One multiple-choice row per position that passes the gate.
 
     With ``max_candidates`` the list of a position is cut to the best before it is gathered; without,
-    it holds all moves of the position.
+    it holds all moves of the position. ``fields`` names those of a candidate that are asked for.
+    """
+    lists = position_lists(rows, max_candidates, order, fields)
+    return choices_of(lists, min_candidates, require_mixed, max_positions, with_prompt)
+
+
+def position_lists(rows: DataFrame, max_candidates: int | None = None, order: str = "seq", fields: Sequence[str] = _FIELDS) -> DataFrame:
+    """The list of every position, the number of its moves, whether some are safe or unsafe, and its target; no gate.
+
+    Rows are dealt by position once; there they become moves and lists. ``fields`` leaves others out of the candidates; those
+    of the quality key, the move and the risk must be among them.
     """
     if max_candidates is None:
-        return _cut(_whole_lists(rows, min_candidates, require_mixed, order), max_positions, with_prompt)
-    best = best_candidates(rows, order)
-    kept = gate_positions(best, min_candidates, require_mixed).where(F.col("dropped").isNull()).select("fen", "n")
-    facts = position_facts(rows, order)
-    rank = [F.desc("c.score"), labels.cpl_key(F.col("c.centipawn_loss")).desc(),
-            labels.generator_rank_key(F.col("c.candidate_rank_in_generator")).desc(), F.asc("first_seq")]
-    top = top_per_group(best, ["fen"], rank, max_candidates, "place")
-    lists = top.groupBy("fen").agg(
-        F.collect_list("c").alias("listed"), F.max(F.when(F.col("place") == 1, F.col("c"))).alias("target"),
-    )
-    out = (
-        lists.join(kept, "fen").join(facts, "fen")
-        .withColumn("candidates", _in_hash_order("fen", "listed"))
-        .select("fen", "side_to_move", "position_seq", F.col("n").alias("distinct_candidates"), "candidates", "target")
-    )
-    return _cut(out, max_positions, with_prompt)
+        return by_key(rows, "fen_before", lambda own: _whole_lists(own, order, fields))
+    return by_key(rows, "fen_before", lambda own: _cut_lists(own, max_candidates, order, fields),
+                  apart=lambda own: _cut_lists_apart(own, max_candidates, order, fields))
+
 
+def choices_of(lists: DataFrame, min_candidates: int = 2, require_mixed: bool = True, max_positions: int | None = None, with_prompt: bool = True) -> DataFrame:
+    """Choice rows of the lists (``position_lists``) that pass the gate."""
+    kept = lists.where(_gate(F.col("distinct_candidates"), min_candidates, require_mixed).isNull())
+    return _cut(kept.select("fen", "side_to_move", "position_seq", "distinct_candidates",
+                            _in_hash_order("fen", "listed").alias("candidates"), "target"), max_positions, with_prompt)
 
-def _whole_lists(rows: DataFrame, min_candidates: int, require_mixed: bool, order: str) -> DataFrame:
-    """Uncut lists of the positions that pass the gate, from one read: moves, then positions."""
-    picked = rows.select(F.col("fen_before").alias("fen"), "candidate_uci", order, "side_to_move", candidate_struct().alias("c"))
-    moves = picked.groupBy("fen", "candidate_uci").agg(
+
+def _moves(rows: DataFrame, order: str, fields: Sequence[str], last: Column) -> DataFrame:
+    """Best row of every (position, move), when it was first seen, and ``last``, the largest of its rows."""
+    picked = rows.select(F.col("fen_before").alias("fen"), "candidate_uci", order, "side_to_move", candidate_struct(fields).alias("c"))
+    return picked.groupBy("fen", "candidate_uci").agg(
         F.max_by("c", F.struct(quality_key(F.col("c")).alias("q"), (-F.col(order)).alias("o"))).alias("c"),
-        F.min(order).alias("first_seq"), F.max(F.struct(order, "side_to_move")).alias("last"),
+        F.min(order).alias("first_seq"), F.max(last).alias("last"),
     )
-    better = F.struct(quality_key(F.col("c")).alias("q"), (-F.col("first_seq")).alias("o"))
-    lists = moves.groupBy("fen").agg(
+
+
+def _shape() -> list[Column]:
+    return [
         F.max("last")["side_to_move"].alias("side_to_move"), F.min("first_seq").alias("position_seq"),
         F.count(F.lit(1)).alias("distinct_candidates"),
-        F.collect_list("c").alias("listed"),
-        F.max_by("c", better).alias("target"),
-        F.bool_or(labels.is_safe(F.col("c.risk"))).alias("has_safe"), F.bool_or(labels.is_unsafe(F.col("c.risk"))).alias("has_unsafe"),
-    ).where(F.col("distinct_candidates") >= min_candidates)
-    if require_mixed:
-        lists = lists.where(F.col("has_safe") & F.col("has_unsafe"))
-    return lists.select("fen", "side_to_move", "position_seq", "distinct_candidates",
-                        _in_hash_order("fen", "listed").alias("candidates"), "target")
+        F.bool_or(labels.is_safe(F.col("risk"))).alias("has_safe"), F.bool_or(labels.is_unsafe(F.col("risk"))).alias("has_unsafe"),
+    ]
+
+
+def _whole_lists(rows: DataFrame, order: str, fields: Sequence[str]) -> DataFrame:
+    """Uncut lists of all positions, from one read: moves, then positions."""
+    better = F.struct(quality_key(F.col("c")).alias("q"), (-F.col("first_seq")).alias("o"))
+    moves = _moves(rows, order, fields, F.struct(order, "side_to_move")).withColumn("risk", F.col("c.risk"))
+    lists = moves.groupBy("fen").agg(*_shape(), F.collect_list("c").alias("listed"), F.max_by("c", better).alias("target"))
+    return lists.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("has_safe", "has_unsafe")})
+
+
+def _rank() -> list[Column]:
+    return [F.desc("c.score"), labels.cpl_key(F.col("c.centipawn_loss")).desc(),
+            labels.generator_rank_key(F.col("c.candidate_rank_in_generator")).desc(), F.asc("first_seq")]
+
+
+def _cut_lists(rows: DataFrame, max_candidates: int, order: str, fields: Sequence[str]) -> DataFrame:
+    """Lists cut to the best, of positions whose moves lie in one place."""
+    last = F.when(F.col(order).isNotNull(), F.struct(order, "side_to_move"))
+    placed = _moves(rows, order, fields, last).withColumn("place", F.row_number().over(Window.partitionBy("fen").orderBy(*_rank())))
+    first, kept = F.when(F.col("place") == 1, F.col("c")), F.when(F.col("place") <= max_candidates, F.col("c"))
+    cut = placed.select("fen", "first_seq", "last", F.col("c.risk").alias("risk"), first.alias("best"), kept.alias("c"))
+    return cut.groupBy("fen").agg(*_shape(), F.collect_list("c").alias("listed"), F.max("best").alias("target"))
+
+
+def _cut_lists_apart(rows: DataFrame, max_candidates: int, order: str, fields: Sequence[str]) -> DataFrame:
+    """The same lists, cut in each task before the best moves of a position meet."""
+    best = best_candidates(rows, order, fields)
+    shape = gate_positions(best, 0, False).withColumnRenamed("n", "distinct_candidates").drop("dropped")
+    top = top_per_group(best, ["fen"], _rank(), max_candidates, "place")
+    lists = top.groupBy("fen").agg(
+        F.collect_list("c").alias("listed"), F.max(F.when(F.col("place") == 1, F.col("c"))).alias("target"),
+    )
+    return lists.join(shape, "fen").join(position_facts(rows, order), "fen")
 
 
 def _in_hash_order(fen: str, listed: str) -> Column:
@@ -145,7 +180,17 @@ def _finish(df: DataFrame, prompt, split: Column | None = None) -> DataFrame:
 
 def choice_drops(rows: DataFrame, min_candidates: int, max_candidates: int | None, require_mixed: bool, order: str = "seq") -> DataFrame:
     """Counters of the gate and the cap: (metric, key, n)."""
-    gate = gate_positions(best_candidates(rows, order), min_candidates, require_mixed)
+    gate = by_key(rows, "fen_before", lambda own: gate_positions(best_candidates(own, order), min_candidates, require_mixed))
+    return _drops(gate, max_candidates)
+
+
+def drops_of(lists: DataFrame, min_candidates: int, max_candidates: int | None, require_mixed: bool) -> DataFrame:
+    """The same counters from lists (``position_lists``) that are at hand."""
+    gate = lists.select(F.col("distinct_candidates").alias("n"), _gate(F.col("distinct_candidates"), min_candidates, require_mixed).alias("dropped"))
+    return _drops(gate, max_candidates)
+
+
+def _drops(gate: DataFrame, max_candidates: int | None) -> DataFrame:
     surplus = F.lit(0).cast("long") if max_candidates is None else F.greatest(F.col("n") - max_candidates, F.lit(0))
     one = gate.agg(
         F.count(F.lit(1)).alias("positions_seen"),
@@ -233,12 +278,16 @@ def _edge_levels(levels: DataFrame, min_gap: int, keep: int) -> DataFrame:
 
 
 def candidate_pairs(rows: DataFrame, pairs_per_position: int, min_gap: int = 100, order: str = "seq") -> DataFrame:
-    """The widest safe-against-unsafe pairs of every position, ranked.
+    """The widest safe-against-unsafe pairs of every position, ranked; rows are dealt by position once.
 
     Only loss levels that can reach the top are joined: levels are counted first, so the number
     of formed pairs depends on the cap and on ties at its edge, not on the square of the group.
     Pairs without a gap rank last and are formed only where the others do not fill the cap.
     """
+    return by_key(rows, "fen_before", lambda own: _candidate_pairs(own, pairs_per_position, min_gap, order))
+
+
+def _candidate_pairs(rows: DataFrame, pairs_per_position: int, min_gap: int, order: str) -> DataFrame:
     best = best_candidates(rows, order).drop("first_seq")
     levels = _levels(best)
     counts = _counts_of(levels, min_gap)

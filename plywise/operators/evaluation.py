@@ -221,20 +221,18 @@ def choice_report(judged_rows: DataFrame, chosen: str, with_flags: bool = True)
 
 
 def choice_report_counts(judged_rows: DataFrame) -> DataFrame:
-    """Histograms behind the report: (metric, key, n)."""
+    """Histograms behind the report: (metric, key, n), in one pass."""
     s, t = F.col("selected.risk"), F.col("target.risk")
     plain = counters(judged_rows, {
         "selected_risk": s, "target_risk": t, "first_prompt_risk": F.col("first.risk"),
         "selected_prompt_index": F.col("selected_index"), "target_prompt_index": F.col("target_prompt_index"),
         "risk_transition": F.concat(t, F.lit("->"), s),
-    })
-    hard = counters(judged_rows.select(F.explode("categories").alias("category")), {"hard_case": F.col("category")})
-    return plain.unionByName(hard)
+    }, {"hard_case": F.col("categories")})
 
 
 def hard_cases(judged_rows: DataFrame, limit: int, index: str = "example_index") -> DataFrame:
-    """The most severe cases, earlier rows first among equals."""
-    cases = judged_rows.where(F.size("categories") > 0)
+    """The most severe cases, earlier rows first among equals. The order and the rows are two reads, so cases are written once."""
+    cases = stored(judged_rows.where(F.size("categories") > 0), "cases")
     return first_rows(cases, [-F.col("severity"), index], limit)
 
 

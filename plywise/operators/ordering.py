@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,26 +47,52 @@ def top_per_group(
 
 
 def split_lookup(
-    rows: DataFrame, table: DataFrame, keys: Sequence[str], counts: DataFrame | None = None, least: int = 10_000, parts: int = 64
+    rows: DataFrame, table: DataFrame | Sequence[DataFrame], keys: Sequence[str], counts: DataFrame | None = None, least: int = 10_000, parts: int = 64
 ) -> DataFrame:
-    """``rows`` with the columns of ``table``, whose keys are unique; NULL where a key is not in it.
+    """``rows`` with the columns of ``table`` (or of several), whose keys are unique; NULL where a key is not in it.
 
     Keys are counted first, when called; as this reads the rows, too, they are written once. Those with more than ``least`` rows, the ``HEAVY`` most frequent of them at most,
     are dealt over ``parts`` places, to which their row of the table is copied; the others meet as in a plain join. Even
     tasks do not depend on a hot key being noticed at run time. ``counts`` (keys, ``_n``) saves counting, where it is known.
     """
+    tables = [table] if isinstance(table, DataFrame) else table
     if counts is None:
         rows = stored(rows, "rows")
-        counts = _frequent(rows, keys, least)
+        counts = frequent(rows, keys, least)
     counts = counts.select(*keys, "_n")
     heavy = first_rows(stored(counts.where(F.col("_n") > least), "heavy"), [-F.col("_n"), *keys], HEAVY).select(*keys, F.lit(True).alias("_heavy"))
     if heavy.isEmpty():
-        return rows.join(table, list(keys), "left")
+        for one in tables:
+            rows = rows.join(one, list(keys), "left")
+        return rows
     mine = rows.join(F.broadcast(heavy), list(keys), "left")
     mine = mine.withColumn("_place", F.when(F.col("_heavy"), F.floor(F.rand(0) * parts)).otherwise(F.lit(0)).cast("int")).drop("_heavy")
     last = F.when(F.col("_heavy"), F.lit(parts - 1)).otherwise(F.lit(0))
-    theirs = table.join(F.broadcast(heavy), list(keys), "left").withColumn("_place", F.explode(F.sequence(F.lit(0), last))).drop("_heavy")
-    return mine.join(theirs, [*keys, "_place"], "left").drop("_place")
+    for one in tables:
+        theirs = one.join(F.broadcast(heavy), list(keys), "left").withColumn("_place", F.explode(F.sequence(F.lit(0), last))).drop("_heavy")
+        mine = mine.join(theirs, [*keys, "_place"], "left")
+    return mine.drop("_place")
+
+
+def frequent(rows: DataFrame, keys: Sequence[str], least: int = 10_000) -> DataFrame:
+    """The keys of more than ``least`` rows with their number as ``_n``, written. Counts when called; reads only the keys."""
+    return stored(_frequent(rows, keys, least).where(F.col("_n") > least), "frequent")
+
+
+def by_key(
+    rows: DataFrame, key: str, run: Callable[[DataFrame], DataFrame], least: int = 10_000, apart: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
+    """``run(rows)``, where what it makes of a key depends on the rows of that key alone, with rows exchanged once.
+
+    Rows are dealt by their key, where all steps by this key, or by it and others, find them in place. Keys of more than
+    ``least`` rows are counted first, when called; theirs are left to the steps, which reduce them in each task and exchange
+    them by all their keys (``apart`` names other steps for them).
+    """
+    heavy = first_rows(frequent(rows, [key], least), [-F.col("_n"), key], HEAVY).select(key)
+    if heavy.isEmpty():
+        return run(rows.repartition(key))
+    few = F.broadcast(heavy)
+    return run(rows.join(few, key, "left_anti").repartition(key)).unionByName((apart or run)(rows.join(few, key, "left_semi")))
 
 
 def _frequent(rows: DataFrame, keys: Sequence[str], least: int) -> DataFrame:
@@ -154,8 +180,10 @@ def evenly_spaced(length: Column, limit: Column | int) -> Column:
     )
 
 
-def counters(df: DataFrame, dimensions: dict[str, Column]) -> DataFrame:
-    """Long counts (metric, key, n) of several dimensions in one pass; NULL keys are left out."""
-    pairs = F.array(*[F.struct(F.lit(m).alias("metric"), k.cast("string").alias("key")) for m, k in dimensions.items()])
-    exploded = df.select(F.inline(pairs)).where(F.col("key").isNotNull())
+def counters(df: DataFrame, dimensions: dict[str, Column], lists: dict[str, Column] | None = None) -> DataFrame:
+    """Long counts (metric, key, n) of several dimensions in one pass, and of ``lists`` of keys; NULL keys are left out."""
+    pair = lambda metric: lambda key: F.struct(F.lit(metric).alias("metric"), key.cast("string").alias("key"))
+    pairs = [F.array(*[pair(m)(k) for m, k in dimensions.items()])]
+    pairs += [F.transform(F.coalesce(keys, F.array().cast("array<string>")), pair(m)) for m, keys in (lists or {}).items()]
+    exploded = df.select(F.inline(F.concat(*pairs) if lists else pairs[0])).where(F.col("key").isNotNull())
     return exploded.groupBy("metric", "key").agg(F.count(F.lit(1)).alias("n"))

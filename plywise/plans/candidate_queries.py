@@ -278,7 +278,7 @@ CAPPED_CTES = {**CHOICE_CTES, "choices": _CHOICES.replace("{cut}", f"WHERE place
 
 
 def choice_set(fx: Fixtures, with_prompt: bool = False, cap: int | None = None) -> DataFrame:
-    return choices.choice_rows(labelled(fx), max_candidates=cap, with_prompt=with_prompt)
+    return choices.choice_rows(labelled(fx), max_candidates=cap, with_prompt=with_prompt, fields=_SHOWN)
 
 
 _CHOICE_ROWS = """
@@ -312,6 +312,10 @@ _CHOICE_COUNTS = """
 SELECT 'positions_seen' AS metric, '' AS key, count(*) AS n FROM gate
 UNION ALL SELECT 'positions_written', '', count(*) FROM choices
 UNION ALL SELECT 'dropped_too_few_candidates', '', count(*) FROM gate WHERE dropped = 'too_few_candidates'
+# Fields of candidates that rows, reports and comparisons ask for.
+_SHOWN = ("uci", "san", "risk", "score", "centipawn_loss", "candidate_rank_in_generator")
+
+
 UNION ALL SELECT 'dropped_no_mixed_risk', '', count(*) FROM gate WHERE dropped = 'no_mixed_risk'
 UNION ALL SELECT 'dropped_candidate_limit', '', CAST(sum(greatest(n - {most}, 0)) AS BIGINT) FROM gate WHERE dropped IS NULL
 UNION ALL SELECT 'by_target_risk', target_risk, count(*) FROM choices GROUP BY 2
@@ -334,10 +338,12 @@ def choice_counts_whole(fx: Fixtures) -> DataFrame:
 
 
 def _choice_counts(fx: Fixtures, cap: int | None) -> DataFrame:
-    written = counters(choice_set(fx, cap=cap), {
+    """Lists are made once and written, as the drops and the rows both read them."""
+    lists = written(fx, choices.position_lists(labelled(fx), cap, fields=_SHOWN), "lists")
+    rows = counters(choices.choices_of(lists, with_prompt=False), {
         "by_target_risk": F.col("target_risk"), "by_candidate_count": F.col("candidate_count"),
         "by_target_prompt_index": F.col("target_prompt_index")})
-    return choices.choice_drops(labelled(fx), 2, cap, True).unionByName(written)
+    return choices.drops_of(lists, 2, cap, True).unionByName(rows)
 
 
 # Pairs --------------------------------------------------------------------------------
@@ -398,8 +404,12 @@ COMPARISON_CTES = {**CHOICE_CTES, "indexed": _INDEXED, "comparisons": _COMPARISO
 
 
 def indexed_choices(fx: Fixtures) -> DataFrame:
-    """Choice rows numbered in input order; written once, as their users read them more than once."""
-    return written(fx, dense_index(written(fx, choice_set(fx), "choices"), "position_seq", "choice_index"), "indexed")
+    """Choice rows numbered in input order; written once, as their users read them more than once. What follows from the
+    position and its list is not exchanged and written with them."""
+    rows = choice_set(fx).select("fen", "side_to_move", "position_seq", "candidates", "move", "target_prompt_index")
+    indexed = written(fx, dense_index(written(fx, rows, "choices"), "position_seq", "choice_index"), "indexed")
+    return indexed.withColumns({
+        "fen_before": F.col("fen"), "split": labels.position_split(F.col("fen")), "candidate_count": F.size("candidates")})
 
 
 @query("comparison_rows", labelled_sql("""

@@ -421,7 +421,8 @@ def choice_report_counts(fx: Fixtures) -> DataFrame:
 SELECT choice_index AS example_index, CAST(severity AS INT) AS severity, array_to_string(categories, ',') AS categories, CAST(regret AS INT) AS regret
 FROM judged WHERE len(categories) > 0 ORDER BY severity DESC, choice_index LIMIT 50""", _REPORT_CTES))
 def choice_hard_cases(fx: Fixtures) -> DataFrame:
-    return ops.hard_cases(judged_choices(fx), 50).select("example_index", "severity", F.array_join("categories", ",").alias("categories"), "regret")
+    judged = judged_choices(fx).select("example_index", "severity", "categories", "regret")
+    return ops.hard_cases(judged, 50).select("example_index", "severity", F.array_join("categories", ",").alias("categories"), "regret")
 
 
 @query("hard_case_variants", labelled_sql("""
@@ -524,8 +525,9 @@ FROM judged JOIN (SELECT choice_index, string_agg(uci || '=' || votes, ',' ORDER
 WHERE len(categories) > 0 ORDER BY severity DESC, choice_index LIMIT 50""", {**_VOTE_CTES, "judged": _VOTED}))
 def vote_hard_cases(fx: Fixtures) -> DataFrame:
     rows = indexed_choices(fx)
-    votes = ops.pair_votes(pair_predictions(fx, rows))
-    cases = ops.hard_cases(ops.judged(rows.join(ops.vote_winners(rows, votes), "choice_index"), "selected_move"), 50, "choice_index")
+    votes = written(fx, ops.pair_votes(pair_predictions(fx, rows)), "votes")
+    judged = ops.judged(rows.join(ops.vote_winners(rows, votes), "choice_index"), "selected_move")
+    cases = ops.hard_cases(judged.select("choice_index", "severity", "categories", "regret"), 50, "choice_index")
     tally = ops.vote_tallies(votes.join(cases.select("choice_index"), "choice_index", "left_semi"))
     return cases.join(tally, "choice_index").select("choice_index", "severity", F.array_join("categories", ",").alias("categories"), "regret", "tally")
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plywise.plans.fixtures import Fixtures
-from plywise.session import stored
+from plywise.session import JOIN_IN_PLACE, stored
 
 
 @dataclass(frozen=True)
@@ -36,6 +36,7 @@ def query(name: str, sql: str | None = None):
 def runner(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+        spark.conf.set(JOIN_IN_PLACE, "false")
         return REGISTRY[name].build(Fixtures(spark, folder))
 
     return run
@@ -43,7 +44,7 @@ def runner(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 def written(fx: Fixtures, df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder, for queries that read it several times."""
-    return stored(df, name)
+    return stored(df, name, "zstd")
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from plywise.functions import labels
 from plywise.functions.rewards import RewardRule, move_reward
 from plywise.functions.stats import count_if, mean2, mean_or_null, rate, rate4
-from plywise.operators.ordering import counters, split_lookup, top_per_group
+from plywise.operators.ordering import counters, frequent, split_lookup, top_per_group
 from plywise.operators.selection import first_rows
 from plywise.session import stored
 
@@ -17,17 +17,18 @@ from plywise.session import stored
 
 
 def with_legality(rows: DataFrame, legal_moves: DataFrame, fen: str = "fen", move: str = "parsed_move",
-                  normalize: bool = False) -> DataFrame:
+                  normalize: bool = False, counts: DataFrame | None = None) -> DataFrame:
     """Add ``legal_ok``: the move is in the legal-move relation of its position.
 
     Captured play lower-cases and trims the move first; offline scoring takes it as written. A position that holds
-    most rows is split.
+    most rows is split; ``counts`` (``frequent`` of position and move) saves counting, where it is known.
     """
-    text = F.lower(F.trim(F.col(move))) if normalize else F.col(move)
-    known = legal_moves.select(F.col("fen").alias("_fen"), F.col("uci").alias("_move")).distinct().withColumn("_legal", F.lit(True))
-    keyed = rows.withColumns({"_fen": F.col(fen), "_move": text})
-    joined = split_lookup(keyed, known, ["_fen", "_move"])
-    return joined.withColumn("legal_ok", F.coalesce("_legal", F.lit(False))).drop("_fen", "_move", "_legal")
+    text = "_move" if normalize else move
+    known = legal_moves.select(F.col("fen").alias(fen), F.col("uci").alias(text)).distinct().withColumn("_legal", F.lit(True))
+    keyed = rows.withColumn("_move", F.lower(F.trim(F.col(move)))) if normalize else rows
+    joined = split_lookup(keyed, known, [fen, text], counts)
+    return joined.withColumn("legal_ok", F.coalesce("_legal", F.lit(False))).drop("_legal", *(["_move"] if normalize else [])).select(
+        *[c for c in rows.columns if c != "legal_ok"], "legal_ok")
 
 
 def prediction_metrics(predictions: DataFrame) -> DataFrame:
@@ -223,7 +224,7 @@ def choice_report(judged_rows: DataFrame, chosen: str, with_flags: bool = True)
 def choice_report_counts(judged_rows: DataFrame) -> DataFrame:
     """Histograms behind the report: (metric, key, n), in one pass."""
     s, t = F.col("selected.risk"), F.col("target.risk")
-    plain = counters(judged_rows, {
+    return counters(judged_rows, {
         "selected_risk": s, "target_risk": t, "first_prompt_risk": F.col("first.risk"),
         "selected_prompt_index": F.col("selected_index"), "target_prompt_index": F.col("target_prompt_index"),
         "risk_transition": F.concat(t, F.lit("->"), s),
@@ -400,39 +401,35 @@ def telemetry_report(attempts: DataFrame) -> DataFrame:
 
 
 def reward_samples(rows: DataFrame, cached: DataFrame, best_moves: DataFrame, evaluations: DataFrame,
-                   rule: RewardRule = RewardRule()) -> DataFrame:
+                   rule: RewardRule = RewardRule(), counts: DataFrame | None = None) -> DataFrame:
     """Score proposals with reuse: a known (fen, move) takes its stored evaluation, a move equal
     to the known best move of its position counts as best, the rest goes to the evaluator.
 
     ``rows(batch, idx, fen, parsed_move, parse_ok, legal_ok)``; ``cached`` and ``evaluations``
-    have (fen, uci, centipawn_loss, classification, best_move_uci); ``best_moves(fen, best)``. What is known is gathered for
-    the distinct proposals, so the rows, which are written once, are joined once, with hot proposals split.
+    have (fen, uci, centipawn_loss, classification, best_move_uci), one row of each (fen, uci); ``best_moves(fen, best)``. A
+    proposal is the best move where (fen, best) is the proposal, so all that is known is looked up by position and move, for
+    which rows are exchanged once, with hot proposals split. ``counts`` (``frequent`` of them) saves writing the rows to count.
     """
-    rows = stored(rows, "rows")
+    keys = ["fen", "parsed_move"]
+    if counts is None:
+        rows = stored(rows, "rows")
+        counts = frequent(rows, keys)
     tagged = lambda df, p: df.select(
         F.col("fen"), F.col("uci").alias("parsed_move"),
         *[F.col(c).alias(f"{p}_{c}") for c in ("centipawn_loss", "classification", "best_move_uci")], F.lit(True).alias(f"{p}_hit")
     )
-    named = rows.where(F.col("fen").isNotNull() & F.col("parsed_move").isNotNull())
-    proposals = stored(named.groupBy("fen", "parsed_move").agg(F.count(F.lit(1)).alias("_n")), "proposals")
-    gathered = (
-        proposals.drop("_n").join(best_moves, "fen", "left").join(tagged(cached, "k"), ["fen", "parsed_move"], "left")
-        .join(tagged(evaluations, "e"), ["fen", "parsed_move"], "left")
-    )
-    hit, equal = F.coalesce("k_hit", F.lit(False)), F.coalesce(F.col("best") == F.col("parsed_move"), F.lit(False))
-    pick = lambda name, best: F.when(hit, F.col(f"k_{name}")).when(equal, best).otherwise(F.col(f"e_{name}")).alias(f"_{name}")
-    facts = gathered.select(
-        "fen", "parsed_move", hit.alias("_hit"), equal.alias("_equal"), pick("centipawn_loss", F.lit(0)),
-        pick("best_move_uci", F.col("best")), pick("classification", F.lit("best")))
-    joined = split_lookup(rows, facts, ["fen", "parsed_move"], proposals)
+    best = best_moves.select("fen", F.col("best").alias("parsed_move")).where("parsed_move IS NOT NULL").distinct().withColumn("_equal", F.lit(True))
+    joined = split_lookup(rows, [tagged(cached, "k"), tagged(evaluations, "e"), best], keys, counts)
+    hit, equal = F.coalesce("k_hit", F.lit(False)), F.coalesce("_equal", F.lit(False))
+    pick = lambda name, best: F.when(hit, F.col(f"k_{name}")).when(equal, best).otherwise(F.col(f"e_{name}"))
     legal = F.col("parse_ok") & F.col("legal_ok")
-    known = legal & F.coalesce("_hit", F.lit(False))
-    is_best = legal & ~known & F.coalesce("_equal", F.lit(False))
+    known = legal & hit
+    is_best = legal & ~known & equal
     scored = joined.withColumns({
-        "centipawn_loss": F.when(legal, F.col("_centipawn_loss")),
-        "best_move_uci": F.when(legal, F.col("_best_move_uci")),
+        "centipawn_loss": F.when(legal, pick("centipawn_loss", F.lit(0))),
+        "best_move_uci": F.when(legal, pick("best_move_uci", F.col("parsed_move"))),
         "classification": F.when(~F.col("parse_ok"), "malformed").when(~F.col("legal_ok"), "illegal")
-        .when(legal, F.col("_classification")),
+        .when(legal, pick("classification", F.lit("best"))),
         "cache_hit": known | is_best,
         "evaluated": legal & ~known & ~is_best,
     })
@@ -458,8 +455,12 @@ def reward_batches(samples: DataFrame) -> DataFrame:
 
 def reward_log(samples: DataFrame, stats: DataFrame, first: int) -> DataFrame:
     """Batch statistics with the first samples of each batch as one JSON line. ``samples`` and ``stats``, which is made of
-    them, are both read, so they should be a written table."""
-    head = top_per_group(samples, ["batch"], [F.asc("idx")], first)
+    them, are both read, so they should be a written table. The first are found by their numbers alone, so whole samples
+    are not sorted."""
+    least = stored(top_per_group(samples.select("batch", "idx"), ["batch"], [F.asc("idx")], first).select(
+        F.col("batch").alias("_batch"), F.col("idx").alias("_idx")), "least")
+    same = F.col("batch").eqNullSafe(F.col("_batch")) & F.col("idx").eqNullSafe(F.col("_idx"))
+    head = top_per_group(samples.join(least, same, "left_semi"), ["batch"], [F.asc("idx")], first)
     fields = ("reward", "parse_ok", "legal_ok", "parsed_move", "centipawn_loss", "best_move_uci", "classification")
     lists = head.groupBy("batch").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("idx", F.struct(*fields).alias("s")))), lambda x: x["s"]).alias("samples")

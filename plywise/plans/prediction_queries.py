@@ -10,7 +10,7 @@ from plywise.functions.probability import expected_risk_score, predicted_label,
 from plywise.functions.rewards import RewardRule, linear_reward, move_reward, tactical_reward
 from plywise.operators import choices
 from plywise.operators import evaluation as ops
-from plywise.operators.ordering import first_per_key
+from plywise.operators.ordering import first_per_key, frequent
 from plywise.plans.board_queries import evaluations
 from plywise.plans.candidate_queries import COMPARISON_CTES, indexed_choices, labelled, labelled_sql
 from plywise.plans.fixtures import Fixtures, with_views
@@ -307,12 +307,17 @@ def reward_samples(fx: Fixtures) -> DataFrame:
     engine = first_per_key(
         fx.candidates.select(F.col("fen_before").alias("fen"), F.col("candidate_uci").alias("uci"), "centipawn_loss", "classification",
                              "best_move_uci", "source", "seq"), ["fen", "uci"], ["seq"])
-    best = engine.where("source = 'arena_move'").groupBy("fen").agg(F.min("best_move_uci").alias("best"))
+    # Look-ups leave out moves that are NULL; read apart, these keep the best moves on the look-ups' exchange.
+    known = engine.where("uci IS NOT NULL").unionByName(engine.where("uci IS NULL"))
+    best = known.where("source = 'arena_move'").groupBy("fen").agg(F.min("best_move_uci").alias("best"))
     first = fx.attempts.select("attempt_id", "game_id", "ply", "parsed_move", "parse_ok")
     moves = fx.moves.select("game_id", "ply", F.col("fen_before").alias("fen"))
-    checked = ops.with_legality(first.join(moves, ["game_id", "ply"]), fx.legal_moves).withColumn("legal_ok", F.col("parse_ok") & F.col("legal_ok"))
-    rows = checked.select(F.pmod("game_id", F.lit(64)).alias("batch"), F.col("attempt_id").alias("idx"), "fen", "parsed_move", "parse_ok", "legal_ok")
-    return ops.reward_samples(rows, engine.where("source <> 'random_legal'"), best, engine)
+    rows = first.join(moves, ["game_id", "ply"]).select(
+        F.pmod("game_id", F.lit(64)).alias("batch"), F.col("attempt_id").alias("idx"), "fen", "parsed_move", "parse_ok")
+    rows = written(fx, rows, "proposals")
+    counts = frequent(rows, ["fen", "parsed_move"])
+    checked = ops.with_legality(rows, fx.legal_moves, counts=counts).withColumn("legal_ok", F.col("parse_ok") & F.col("legal_ok"))
+    return ops.reward_samples(checked, engine.where("source <> 'random_legal'"), best, engine, counts=counts)
 
 
 def _reuse_sql(body: str) -> str:

@@ -252,7 +252,10 @@ def error_examples(errors: DataFrame, max_examples: int | None = None) -> DataFr
 
 def error_stats(errors: DataFrame, max_examples: int | None = None) -> DataFrame:
     """(metric, key, n) of the mining. With a maximum, only rows up to the last written one count,
-    as a reader that stops there would see."""
+    as a reader that stops there would see. Errors are read for the order, the examples and the counts, so they are written
+    once, with a mark in place of their prompt."""
+    mark = F.when(F.coalesce("prompt", F.lit("")) != "", F.lit("x"))
+    errors = stored(errors.withColumn("prompt", mark), "errors")
     written = error_examples(errors, max_examples)
     seen = errors.withColumn("_drop", _survives())
     if max_examples is not None:

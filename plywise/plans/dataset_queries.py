@@ -255,6 +255,7 @@ _ERROR_CTES = {"errors": _ERRORS, "first_errors": _FIRST_ERRORS, "kept": _KEPT_E
 
 
 def mined(fx: Fixtures) -> DataFrame:
+    fx.number_lines()
     return ops.mined_errors(fx.moves, fx.games, evaluations(fx), games_ops.first_prompts(fx.attempts), run_ids=None)
 
 

@@ -94,7 +94,7 @@ class Versioned:
 
     def _write(self, rows: DataFrame) -> str:
         folder = uuid4().hex
-        rows.write.partitionBy(*self.partition_by).parquet(f"{self.root}/data/{folder}")
+        rows.write.option("compression", "zstd").partitionBy(*self.partition_by).parquet(f"{self.root}/data/{folder}")
         return folder
 
     def append(self, rows: DataFrame, number: int, merge: Merge | None = None) -> bool:

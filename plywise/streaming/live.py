@@ -19,6 +19,8 @@ from plywise.sources.versions import Versioned, latest
 
 #: Folders that a table's keys are dealt into.
 BUCKETS = 64
+#: Hashes of keys that are sent to every task, at most.
+FEW = 1_000_000
 
 
 def stream_files(spark: SparkSession, folder: str, schema, pattern: str = "*.parquet", per_batch: int | None = None) -> DataFrame:
@@ -173,33 +175,46 @@ def _unpacked(games: DataFrame, sign: int) -> DataFrame:
     return sides.select("game_id", "participant_id", "color", F.lit(None).cast("long").alias("run_id"), *[(-F.col(m)).cast(games.schema["sides"].dataType.elementType[m].dataType).alias(m) for m in summaries.MEASURES])
 
 
-def _bucket(column: str) -> Column:
+def _bucket(column: Column | str) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(BUCKETS)).cast("int")
 
 
 def grow_cache(requests: DataFrame, seed: DataFrame, evaluations: DataFrame, target: str, checkpoint: str, trigger: Mapping | None = None) -> StreamingQuery:
     """Add the evaluations of new requests to the cache, batch by batch.
 
-    Seed and cache are dealt into buckets by key; a batch opens the buckets of its keys only, and writes what it adds.
+    Seed and cache are dealt into buckets by key; a batch opens the buckets of its keys only, and writes what it adds. Keys are
+    as long as their hash, so they are made of position and move where they are compared, and not written or exchanged.
     """
 
     def grow(batch: DataFrame, batch_id: int) -> None:
-        keyed = batch.select("fen", "uci").distinct().withColumn("key", evaluation_key(F.col("fen"), F.col("uci")))
-        asked = stored(keyed.withColumn("bucket", _bucket("key")), "requests")
+        key = evaluation_key(F.col("fen"), F.col("uci"))
+        asked = stored(batch.select("fen", "uci").distinct().withColumn("bucket", _bucket(key)), "requests")
         touched = F.col("bucket").isin([r["bucket"] for r in asked.select("bucket").distinct().collect()])
         first = _numbered(batch, f"{target}/seed", checkpoint, ("bucket",))
         first.append(seed.withColumn("bucket", _bucket("key")), 0)
         table = _numbered(batch, f"{target}/grown", checkpoint, ("bucket",))
-        known = first.rows(where=touched).select("key")
+        known = first.rows(where=touched).select(F.col("key").alias("known"))
         earlier = table.rows(batch_id - 1, touched) if batch_id > 0 else None
         if earlier is not None:
-            known = known.unionByName(earlier.select("key"))
-        misses = asked.join(known, "key", "left_anti").join(evaluations, ["fen", "uci"]).select(*seed.columns, "bucket")
+            known = known.unionByName(earlier.select(F.col("key").alias("known")))
+        misses = asked.join(known, key == F.col("known"), "left_anti").join(evaluations, ["fen", "uci"])
+        misses = misses.withColumn("key", key).select(*seed.columns, "bucket")
         table.append(misses, batch_id, lambda rows: latest(rows, ["key"]))
 
     return _run(requests, grow, checkpoint, trigger)
 
 
 def read_grown(spark: SparkSession, target: str) -> DataFrame:
-    """What the batches have added to the seed; of a key that was written twice, the last one."""
-    return latest(Versioned(spark, f"{target}/grown").rows(), ["key"]).drop("bucket")
+    """What the batches have added to the seed; of a key that was written twice, the last one.
+
+    Hashes of keys are counted first, so rows whose key was written once are read as they are.
+    """
+    rows, hashed = Versioned(spark, f"{target}/grown").rows().drop("bucket"), F.xxhash64("key")
+    twice = stored(rows.groupBy(hashed.alias("_hash")).count().where("count > 1").select("_hash"), "twice")
+    n = twice.count()
+    if n == 0:
+        return rows.drop("part")
+    if n > FEW:
+        return latest(rows, ["key"])
+    few = lambda how: rows.withColumn("_hash", hashed).join(F.broadcast(twice), "_hash", how).drop("_hash")
+    return few("left_anti").drop("part").unionByName(latest(few("left_semi"), ["key"]))

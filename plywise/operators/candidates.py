@@ -95,11 +95,14 @@ def best_specs(moves: DataFrame, games: DataFrame, evaluations: DataFrame, run_i
     )
 
 
-def game_specs(moves: DataFrame, games: DataFrame, evaluations: DataFrame, attempts: DataFrame, run_ids: Sequence[int] = ()) -> DataFrame:
+def game_specs(moves: DataFrame, games: DataFrame, evaluations: DataFrame, attempts: DataFrame, run_ids: Sequence[int] = (),
+               by_position: bool = False, columns: Sequence[str] = _SPEC) -> DataFrame:
     """The specs of ``accepted_specs``, ``metadata_specs`` and ``best_specs`` together: moves meet their game, evaluations and
     attempts once, and every move gives all its specs.
 
-    Records are parsed first, so only deliberating attempts are exchanged; an attempt belongs to the game of its move.
+    Records are parsed first, so only deliberating attempts are exchanged; an attempt belongs to the game of its move. With
+    ``by_position``, a move goes to the place of its position before it gives its specs, which then lie by position; that is
+    for positions of which none has many moves. ``columns`` leaves other columns of the specs out.
     """
     c, of_move = F.col, Window.partitionBy("move_id").orderBy("best_move_uci", "classification")
     played = moves.select("move_id", "game_id", "ply", "fen_before", "accepted_uci").join(
@@ -110,27 +113,37 @@ def game_specs(moves: DataFrame, games: DataFrame, evaluations: DataFrame, attem
     })
     parsed = deliberations(attempts.where("reranker_metadata IS NOT NULL AND move_id IS NOT NULL").select(
         "attempt_id", "move_id", "ply", "attempt_number", "reranker_metadata"))
-    talks = parsed.where(F.size("items") > 0).groupBy("move_id").agg(
-        F.collect_list(F.struct("attempt_id", "ply", "attempt_number", "items", "ideas")).alias("_talks"))
+    asked = {"attempt_id": "source_attempt_id", "ideas": "generator_idea"}
+    talk = [f for f in ("attempt_id", "ply", "attempt_number", "items", "ideas") if asked.get(f) is None or asked[f] in columns]
+    talks = parsed.where(F.size("items") > 0).groupBy("move_id").agg(F.collect_list(F.struct(*talk)).alias("_talks"))
     rows = played.join(judged, "move_id", "left").join(talks, "move_id", "left")
-    source = {"source_run_id": c("run_id"), "source_game_id": c("game_id"), "source_move_id": c("move_id"), "fen_before": c("fen_before")}
-    accepted = F.struct(*_spec_columns(
+    if by_position:
+        rows = rows.repartition("fen_before")
+    source = {"source_run_id": c("run_id"), "source_game_id": c("game_id"), "source_move_id": c("move_id")}
+    named = [c for c in _SPEC if c in columns and c != "fen_before"]  # the position stays beside, where it lies
+
+    def spec(kind: str, order: Sequence[Column], **values: Column) -> Column:
+        every = dict(zip((*_SPEC, "spec_order"), _spec_columns(kind, order, **values)))
+        return F.struct(*[every[c] for c in (*named, "spec_order")])
+
+    accepted = spec(
         "accepted", [c("run_id"), c("game_id"), c("ply")], **source, candidate_uci=c("accepted_uci"),
-        source=labels.played_source(F.coalesce(c("classification"), F.lit("")))))
-    best = F.struct(*_spec_columns(
-        "best", [c("run_id"), c("game_id"), c("ply")], **source, candidate_uci=c("best_move_uci"), source=F.lit("stockfish_good")))
+        source=labels.played_source(F.coalesce(c("classification"), F.lit(""))))
+    best = spec(
+        "best", [c("run_id"), c("game_id"), c("ply")], **source, candidate_uci=c("best_move_uci"), source=F.lit("stockfish_good"))
 
     def listed(talk: Column) -> Column:
         idea = lambda item: F.try_element_at(F.filter(talk["ideas"], lambda i: i["move"] == item["uci"]), F.lit(-1))["idea"]
-        return F.transform(talk["items"], lambda item: F.struct(*_spec_columns(
+        return F.transform(talk["items"], lambda item: spec(
             "metadata", [c("run_id"), c("game_id"), talk["ply"], talk["attempt_number"], item["pos"]], **source,
             candidate_uci=item["uci"], source=labels.metadata_source(item["mode"]), candidate_rank_in_generator=item["pos"],
-            generator_idea=idea(item), source_attempt_id=talk["attempt_id"])))
+            **({"generator_idea": idea(item)} if "generator_idea" in columns else {}),
+            **({"source_attempt_id": talk["attempt_id"]} if "source_attempt_id" in columns else {})))
 
     once = F.coalesce(c("_nth"), F.lit(1)) == 1  # of several evaluations of a move
     parts = [F.array(accepted), F.when(c("_new"), F.array(best)),
              F.when(once & c("fen_before").isNotNull(), F.flatten(F.transform("_talks", listed)))]
-    return rows.select(F.inline(F.flatten(F.array_compact(F.array(*parts)))))
+    return rows.select(F.col("fen_before").cast("string").alias("fen_before"), F.inline(F.flatten(F.array_compact(F.array(*parts)))))
 
 
 def external_specs(rows: DataFrame, order: str = "line_index") -> DataFrame:
@@ -180,8 +193,8 @@ def choose_positions(unique: DataFrame, max_positions: int | None, shuffle_seed:
     unique = stored(unique, "unique")
     seen = unique.groupBy("fen_before").agg(F.min("spec_order").alias("_seen"))
     order = F.col("_seen") if shuffle_seed is None else hash_order(shuffle_seed, F.col("fen_before"))
-    kept = first_rows(stored(seen, "positions"), [order], max_positions)
-    return unique.join(kept.select("fen_before"), "fen_before", "left_semi")
+    kept = stored(first_rows(stored(seen, "positions"), [order], max_positions).select("fen_before"), "kept")
+    return unique.join(kept, "fen_before", "left_semi")
 
 
 def cap_candidates(unique: DataFrame, limit: int | None) -> DataFrame:
@@ -223,12 +236,13 @@ def with_risk_prompt(rows: DataFrame, replies: DataFrame) -> DataFrame:
     return joined.withColumn("prompt", prompts.risk_prompt(values)).drop("_replies")
 
 
-def build_counts(specs: DataFrame, legal_moves: DataFrame, evaluations: DataFrame, limit: int | None = None) -> DataFrame:
+def build_counts(specs: DataFrame, legal_moves: DataFrame, evaluations: DataFrame, limit: int | None = None, lie_by_position: bool = False) -> DataFrame:
     """Counters of a build over all positions: (metric, key, n).
 
     One pass: specs become one row for each (position, move) with its number and first spec, legality, place and label
     are looked up once for that row, and every row adds to all counters. Illegal moves have no place, so a position's
-    window holds its legal moves only; of the others only their number is exchanged for it, dealt over ``BUCKETS``.
+    window holds its legal moves only; of the others only their number is exchanged for it, dealt over ``BUCKETS``. Where
+    ``lie_by_position``, as all three tables are dealt, nothing is exchanged, and a position's illegal moves follow its legal ones.
     """
     keys = ["fen_before", "candidate_uci"]
     seen = specs.groupBy(*keys).agg(
@@ -236,10 +250,13 @@ def build_counts(specs: DataFrame, legal_moves: DataFrame, evaluations: DataFram
     legal = legal_moves.select(F.col("fen").alias("fen_before"), F.col("uci").alias("candidate_uci")).distinct().withColumn("legal", F.lit(True))
     judged = evaluations.select(*keys, labels.risk(F.col("classification"), F.col("centipawn_loss")).alias("risk"), F.lit(True).alias("judged"))
     rows = seen.join(legal, keys, "left").join(judged, keys, "left")
-    rows = rows.select(
-        "seen", "legal", "judged", *[F.when(F.col("legal"), F.col(c)).alias(c) for c in ("fen_before", "first", "source", "risk")],
-        F.when(F.col("legal").isNull(), F.pmod(F.xxhash64(*keys), F.lit(BUCKETS))).alias("_bucket"))
-    inside = Window.partitionBy("fen_before", "_bucket").orderBy("first")
+    if lie_by_position:
+        inside = Window.partitionBy("fen_before").orderBy(F.desc_nulls_last("legal"), "first")
+    else:
+        rows = rows.select(
+            "seen", "legal", "judged", *[F.when(F.col("legal"), F.col(c)).alias(c) for c in ("fen_before", "first", "source", "risk")],
+            F.when(F.col("legal").isNull(), F.pmod(F.xxhash64(*keys), F.lit(BUCKETS))).alias("_bucket"))
+        inside = Window.partitionBy("fen_before", "_bucket").orderBy("first")
     rows = rows.withColumn("place", F.when(F.col("legal"), F.row_number().over(inside)))
     is_legal, place, one = F.col("legal").isNotNull(), F.col("place"), lambda c: F.coalesce(c, F.lit(False)).cast("long")
     kept = is_legal if limit is None else is_legal & (place <= limit)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plywise.functions import labels
 from plywise.operators import candidates as ops
 from plywise.operators import choices
-from plywise.operators.ordering import counters, dense_index
+from plywise.operators.ordering import HEAVY, counters, dense_index, frequent
+from plywise.operators.selection import first_rows
 from plywise.plans.board_queries import evaluations
 from plywise.plans.fixtures import Fixtures, with_views
 from plywise.plans.registry import query, written
@@ -73,14 +76,38 @@ SELECT 3, seq, 0, 0, 0, 0, fen_before, candidate_uci, CASE WHEN source = 'random
 
 def all_specs(fx: Fixtures) -> DataFrame:
     fx.number_lines()
+    return _specs_of(fx, fx.moves, fx.candidates)
+
+
+def _specs_of(fx: Fixtures, moves: DataFrame, candidates: DataFrame, by_position: bool = False, columns: Sequence[str] = ()) -> DataFrame:
+    """All specs, or those of their columns that are asked for."""
     fields = F.struct(
         F.col("fen_before").alias("fen"), F.lit("").alias("candidate_uci"), F.col("candidate_uci").alias("uci"),
         F.when(F.col("source") != "random_legal", F.col("source")).alias("source"),
         F.col("candidate_rank_in_generator").cast("string").alias("candidate_rank_in_generator"),
     )
-    foreign = external_candidates(fx.candidates.select("seq", F.to_json(fields).alias("value")))
+    foreign = ops.external_specs(external_candidates(candidates.select("seq", F.to_json(fields).alias("value"))), "seq")
+    kept = {"columns": ("fen_before", "candidate_uci", *columns)} if columns else {}
+    foreign = foreign.select(*kept["columns"], "spec_order") if kept else foreign
     return ops.union_specs(
-        ops.game_specs(fx.moves, fx.games, evaluations(fx), fx.attempts), ops.external_specs(foreign, "seq"))
+        ops.game_specs(moves, fx.games, evaluations(fx), fx.attempts, by_position=by_position, **kept),
+        foreign.repartition("fen_before") if by_position else foreign)
+
+
+def of_positions(fx: Fixtures, run: Callable[[DataFrame, DataFrame, DataFrame, bool], DataFrame], columns: Sequence[str] = ()) -> DataFrame:
+    """``run(specs, legal moves, candidates, by position)`` of all positions: those of few moves with all three dealt by position, so that
+    what meets by position, or by position and move, does so in place; those of many moves, which are counted first, apart."""
+    fx.number_lines()
+    both = fx.moves.select("fen_before").unionAll(fx.candidates.select("fen_before"))
+    heavy = first_rows(frequent(both, ["fen_before"]), [-F.col("_n"), "fen_before"], HEAVY).select("fen_before")
+    dealt = lambda keep: run(_specs_of(fx, keep(fx.moves), keep(fx.candidates), True, columns), fx.legal_moves.repartition("fen"),
+                             keep(fx.candidates).repartition("fen_before"), True)
+    if heavy.isEmpty():
+        return dealt(lambda df: df)
+    few = F.broadcast(heavy)
+    apart = lambda df: df.join(few, "fen_before", "left_semi")
+    return dealt(lambda df: df.join(few, "fen_before", "left_anti")).unionByName(
+        run(_specs_of(fx, apart(fx.moves), apart(fx.candidates), False, columns), fx.legal_moves, apart(fx.candidates), False))
 
 
 _SPEC_VIEWS = ["moves", "games", "attempts", "candidates", "legal_moves"]
@@ -104,8 +131,7 @@ def unique_candidate_specs(fx: Fixtures) -> DataFrame:
 def unique_legal(fx: Fixtures, *columns: str) -> DataFrame:
     """The first spec of every legal (position, move). Legality is a matter of that key alone, so repeats go first; so do
     columns that nobody asks for, as a spec is exchanged whole."""
-    specs = all_specs(fx)
-    return ops.unique_legal_specs(specs.select("fen_before", "candidate_uci", *columns, "spec_order") if columns else specs, fx.legal_moves)
+    return of_positions(fx, lambda specs, legal, rows, by_position: ops.unique_legal_specs(specs, legal), columns)
 
 
 _CAPPED = f"""
@@ -124,14 +150,17 @@ _ROW_CTES = {"specs": _SPECS, "uniq": _UNIQUE, "capped": _CAPPED, "labelled": _L
 
 def labelled_specs(fx: Fixtures, cap: int | None) -> DataFrame:
     names = ["fen_before", "candidate_uci"]
-    judged = unique_legal(fx, "source").join(first_evaluations(fx).withColumn("_judged", F.lit(True)), names, "left")
-    capped = ops.cap_candidates(judged, cap).where("_judged").drop("_judged")
-    return ops.label_candidates(capped)
 
+    def chosen(specs: DataFrame, legal: DataFrame, rows: DataFrame, by_position: bool) -> DataFrame:
+        judged = ops.unique_legal_specs(specs, legal).join(first_evaluations(rows).withColumn("_judged", F.lit(True)), names, "left")
+        return ops.cap_candidates(judged, cap).where("_judged").drop("_judged")
+
+    return ops.label_candidates(of_positions(fx, chosen, ["source"]))
 
-def first_evaluations(fx: Fixtures) -> DataFrame:
+
+def first_evaluations(rows: DataFrame) -> DataFrame:
     names = ["fen_before", "candidate_uci", "centipawn_loss", "classification"]
-    return ops.first_per_key(fx.candidates.select(*names, "seq"), names[:2], ["seq"]).drop("seq")
+    return ops.first_per_key(rows.select(*names, "seq"), names[:2], ["seq"]).drop("seq")
 
 
 @query("candidate_rows", judged_sql(_SPEC_VIEWS, _CANDIDATE_ROWS.replace("{chosen}", "uniq"), _ROW_CTES))
@@ -160,12 +189,18 @@ UNION ALL SELECT 'by_split', CASE CAST('0x' || substr(sha256(fen_before), 1, 2)
 
 @query("candidate_build_counts", judged_sql(_SPEC_VIEWS, _BUILD_COUNTS, _ROW_CTES))
 def candidate_build_counts(fx: Fixtures) -> DataFrame:
-    return ops.build_counts(all_specs(fx), fx.legal_moves, first_evaluations(fx), CAP)
+    return _build_counts(fx, CAP)
+
+
+def _build_counts(fx: Fixtures, cap: int | None) -> DataFrame:
+    run = lambda specs, legal, rows, by_position: ops.build_counts(specs, legal, first_evaluations(rows), cap, by_position)
+    counts = of_positions(fx, run, ["source"])
+    return counts.groupBy("metric", "key").agg(F.sum("n").alias("n"))
 
 
 @query("candidate_build_counts_whole", judged_sql(_SPEC_VIEWS, _BUILD_COUNTS, {**_ROW_CTES, "capped": "SELECT * FROM uniq"}))
 def candidate_build_counts_whole(fx: Fixtures) -> DataFrame:
-    return ops.build_counts(all_specs(fx), fx.legal_moves, first_evaluations(fx))
+    return _build_counts(fx, None)
 
 
 @query("first_seen_positions", judged_sql(_SPEC_VIEWS, f"""
@@ -277,6 +312,10 @@ CHOICE_CTES = {"best": _BEST, "facts": _FACTS, "gate": _GATE, "choices": _CHOICE
 CAPPED_CTES = {**CHOICE_CTES, "choices": _CHOICES.replace("{cut}", f"WHERE place <= {CAP}")}
 
 
+# Fields of candidates that rows, reports and comparisons ask for.
+_SHOWN = ("uci", "san", "risk", "score", "centipawn_loss", "candidate_rank_in_generator")
+
+
 def choice_set(fx: Fixtures, with_prompt: bool = False, cap: int | None = None) -> DataFrame:
     return choices.choice_rows(labelled(fx), max_candidates=cap, with_prompt=with_prompt, fields=_SHOWN)
 
@@ -312,10 +351,6 @@ _CHOICE_COUNTS = """
 SELECT 'positions_seen' AS metric, '' AS key, count(*) AS n FROM gate
 UNION ALL SELECT 'positions_written', '', count(*) FROM choices
 UNION ALL SELECT 'dropped_too_few_candidates', '', count(*) FROM gate WHERE dropped = 'too_few_candidates'
-# Fields of candidates that rows, reports and comparisons ask for.
-_SHOWN = ("uci", "san", "risk", "score", "centipawn_loss", "candidate_rank_in_generator")
-
-
 UNION ALL SELECT 'dropped_no_mixed_risk', '', count(*) FROM gate WHERE dropped = 'no_mixed_risk'
 UNION ALL SELECT 'dropped_candidate_limit', '', CAST(sum(greatest(n - {most}, 0)) AS BIGINT) FROM gate WHERE dropped IS NULL
 UNION ALL SELECT 'by_target_risk', target_risk, count(*) FROM choices GROUP BY 2

@@ -182,11 +182,15 @@ class Fixtures:
         self.spark, self.folder, self.numbered = spark, folder.rstrip("/"), None
 
     def number_lines(self) -> Fixtures:
-        """Numbers the lines of all games once and writes them, for queries that read several of their projections."""
+        """Numbers the lines of all games once and writes them, for queries that read several of their projections.
+
+        They are numbered by game and written as they lie, in buckets by game, so what meets by game need not move."""
         if self.numbered is None:
-            path = f"{shared_dir(self.spark)}/lines-{uuid4().hex}"
-            self.lines.drop("l_shipdate").write.parquet(path)
-            self.numbered = path
+            name = f"lines_{uuid4().hex}"
+            buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            lines = self.lines.drop("l_shipdate").write.bucketBy(buckets, "l_orderkey")
+            lines.option("compression", "zstd").option("path", f"{shared_dir(self.spark)}/{name}").saveAsTable(name)
+            self.numbered = name
         return self
 
     def _source(self, table: str) -> str:
@@ -202,7 +206,7 @@ class Fixtures:
             raise AttributeError(name)
         text = with_views([name], f"SELECT * FROM {name}", "spark")
         if self.numbered is not None:
-            text = text.replace(VIEWS["lines"][1].strip(), f"SELECT * FROM parquet.`{self.numbered}`")
+            text = text.replace(VIEWS["lines"][1].strip(), f"SELECT * FROM {self.numbered}")
         used = [t for t in RAW_TABLES if f"FROM {t}" in text]
         sources = "".join(f"{t} AS ({self._source(t)}),\n" for t in used)
         return self.spark.sql("WITH " + sources + text[len("WITH "):])

@@ -17,6 +17,10 @@ from plywise.session import shared_dir
 from plywise.streaming import live
 
 
+#: Games of a batch that are sent to every task, at most.
+FEW_GAMES = 100_000
+
+
 def _folders(fx: Fixtures, name: str) -> tuple[str, str]:
     root = f"{shared_dir(fx.spark)}/{name}-{uuid4().hex}"
     return f"{root}/table", f"{root}/progress"
@@ -88,6 +92,7 @@ def _by_runs(fx: Fixtures, name: str, facts: DataFrame, ids: DataFrame, key: str
 SELECT summary_id, run_id, games_played, wins, losses, round(avg_cpl, 6) AS avg_cpl, blunders, attempt_count, illegal_attempts, total_tokens FROM summary"""))
 def live_summary_growth(fx: Fixtures) -> DataFrame:
     """Every game lands twice, first as unfinished; facts lie in folders by run."""
+    fx.number_lines()
     table, progress = _folders(fx, "totals")
     runs = fx.games.select("game_id", "run_id").where("run_id is not null")
     moves = _by_runs(fx, "moves", fx.moves.select(*summaries.MOVE_COLUMNS), runs, "game_id")
@@ -104,9 +109,10 @@ def live_summary_growth(fx: Fixtures) -> DataFrame:
     def measure(batch: DataFrame) -> DataFrame:
         touched = F.col("run_id").isin([r["run_id"] for r in batch.select("run_id").distinct().collect()])
         own = lambda facts: facts.where(touched).drop("run_id")
-        played = batch.select("game_id")
-        return summaries.side_measures(
-            batch, own(moves).join(played, "game_id", "left_semi"), own(judged), own(attempts).join(played, "game_id", "left_semi"), own(tokens))
+        # Facts of few games are picked; those of many are summed with the others of their runs, and meet their games then.
+        few = batch.count() <= FEW_GAMES
+        picked = lambda facts: facts.join(F.broadcast(batch.select("game_id")), "game_id", "left_semi") if few else facts
+        return summaries.side_measures(batch, picked(own(moves)), own(judged), picked(own(attempts)), own(tokens))
 
     live.grow_summaries(live.stream_files(fx.spark, landed, late.schema, per_batch=1), measure, table, progress)
     totals = live.read_summary_totals(fx.spark, table)
